@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lacuna.functions.text import value_text
@@ -124,8 +125,6 @@ def whitening(cov: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
 
 def project(df: DataFrame, vector: str, matrix: np.ndarray) -> DataFrame:
     """Replace each vector x by x times ``matrix``."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def times(batch: pd.Series) -> pd.Series:
         return pd.Series(list(np.stack(batch.to_numpy()).astype(np.float64) @ matrix)) if len(batch) else batch

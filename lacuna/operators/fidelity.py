@@ -91,7 +91,7 @@ def frequencies(truth: DataFrame, imputed: DataFrame, features, smooth: bool = T
     s = bin_counts(imputed, features, ranges, "nq")
     # every bin of the truth's histogram exists, also when empty on both sides
     grid = ranges.where(F.col("n_distinct") >= FEW_VALUES).select(
-        "feature", F.explode(F.sequence(F.lit(0), F.least(F.lit(MAX_BINS), F.col("n_distinct")) - 1)).cast("double").alias("bin"))
+        "feature", F.explode(F.sequence(F.lit(0), F.least(F.lit(MAX_BINS), F.col("n_distinct")) - 1).cast("array<double>")).alias("bin"))
     both = p.join(s, ["feature", "bin"], "full").join(grid, ["feature", "bin"], "full")
     totals = both.groupBy("feature").agg(F.sum("np").alias("tp"), F.sum("nq").alias("tq"))
     few = ranges.select("feature", (F.col("n_distinct") < FEW_VALUES).alias("few"))
