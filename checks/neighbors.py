@@ -77,22 +77,27 @@ def _tokens(roles: Roles, source: str) -> str:
     return "tok AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def cells_ctes(roles: Roles, source: str, setup: str, dim: int = 64, k: int = K) -> str:
+_COSINE_CELLS = ("sum(a.x * c.x)", "sum(x * x)", "CASE WHEN coalesce(p.dot, 0) = 0 THEN 1.0 ELSE round(1 - p.dot / sqrt(a.n * c.n), 12) END")
+# |x - y| summed over all entries: the norms, corrected where both vectors have an entry
+_MANHATTAN_CELLS = ("sum(abs(a.x - c.x) - abs(a.x) - abs(c.x))", "sum(abs(x))", "coalesce(a.n, 0) + coalesce(c.n, 0) + coalesce(p.dot, 0)")
+
+
+def cells_ctes(roles: Roles, source: str, setup: str, dim: int = 64, k: int = K, metric=_COSINE_CELLS) -> str:
     """CTE top: (k, f, d, v, dist, r), brute force over all pairs of rows."""
     return (f"{setup}, {coded_sql(source, roles)}, {_tokens(roles, source)}, "
             f"sp AS MATERIALIZED (SELECT k, ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} AS b, "
             "sum(CASE WHEN substr(md5(t), 9, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS x FROM tok GROUP BY 1, 2), "
-            "n2 AS MATERIALIZED (SELECT k, sum(x * x) AS n FROM sp GROUP BY 1), "
-            "dots AS MATERIALIZED (SELECT a.k AS q, c.k AS d, sum(a.x * c.x) AS dot FROM sp a JOIN sp c ON a.b = c.b AND a.k <> c.k GROUP BY 1, 2), "
+            f"n2 AS MATERIALIZED (SELECT k, {metric[1]} AS n FROM sp GROUP BY 1), "
+            f"dots AS MATERIALIZED (SELECT a.k AS q, c.k AS d, {metric[0]} AS dot FROM sp a JOIN sp c ON a.b = c.b AND a.k <> c.k GROUP BY 1, 2), "
             + long_sql("coded", roles, lambda f: f"{f}::DOUBLE", "cells")
-            + ", cand AS (SELECT h.k, h.f, o.k AS d, o.v, CASE WHEN coalesce(p.dot, 0) = 0 THEN 1.0 ELSE round(1 - p.dot / sqrt(a.n * c.n), 12) END AS dist "
+            + f", cand AS (SELECT h.k, h.f, o.k AS d, o.v, {metric[2]} AS dist "
             "FROM cells h JOIN cells o ON o.f = h.f AND o.v IS NOT NULL AND h.v IS NULL "
             "LEFT JOIN dots p ON p.q = h.k AND p.d = o.k LEFT JOIN n2 a ON a.k = h.k LEFT JOIN n2 c ON c.k = o.k), "
             "top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k, f ORDER BY dist, d) AS r FROM cand "
             f"QUALIFY row_number() OVER (PARTITION BY k, f ORDER BY dist, d) <= {k})")
 
 
-def imputed_sql(roles: Roles, source: str, setup: str, types: dict[str, str], dim: int = 64) -> str:
+def imputed_sql(roles: Roles, source: str, setup: str, types: dict[str, str], dim: int = 64, metric=_COSINE_CELLS) -> str:
     """The imputed table, decoded."""
     columns, joins = [f"s.{roles.key}"], []
     for f in roles.features:
@@ -105,7 +110,7 @@ def imputed_sql(roles: Roles, source: str, setup: str, types: dict[str, str], di
                          f"QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, v) = 1) f_{f} ON f_{f}.k = s.{roles.key}")
             joins.append(f"LEFT JOIN {code_sql(f, source)} t_{f} ON t_{f}.c = f_{f}.v")
             columns.append(f"coalesce(s.{f}, t_{f}.v)::{types.get(f, 'VARCHAR')} AS {f}")
-    return f"{cells_ctes(roles, source, setup, dim)} SELECT {', '.join(columns)} FROM {source} s {' '.join(joins)}"
+    return f"{cells_ctes(roles, source, setup, dim, K, metric)} SELECT {', '.join(columns)} FROM {source} s {' '.join(joins)}"
 
 
 def _rounded(df, roles: Roles):
@@ -163,6 +168,6 @@ def impute_without_donor(spark, folder):
     return null_counts(impute(holed, PART), PART.features)
 
 
-@check("impute_manhattan")
+@check("impute_manhattan", imputed_sql(PART, "holed", _PART, {}, metric=_MANHATTAN_CELLS))
 def impute_manhattan(spark, folder):
     return _rounded(impute(_holed(spark, folder, "part", PART), PART, metric="manhattan"), PART)

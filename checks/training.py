@@ -141,6 +141,14 @@ def learned_metric(spark, folder):
     return model.scale(rows, "h_x").select(F.posexplode("h_x").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mean"))
 
 
+@check("covariance", "WITH e AS MATERIALIZED (SELECT vec_id, generate_subscripts(embedding, 1)::INTEGER - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) "
+       "SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2")
+def covariance_matrix(spark, folder):
+    got = covariance(table(spark, folder, "embeddings"), "embedding")
+    rows = [(i, j, round(float(v), 6)) for i, r in enumerate(got) for j, v in enumerate(r)]
+    return spark.createDataFrame(rows, "i int, j int, cov double")
+
+
 @check("covariance_whitening")
 def covariance_whitening(spark, folder):
     matrix = whitening(covariance(table(spark, folder, "embeddings"), "embedding"))

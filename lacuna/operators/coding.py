@@ -7,11 +7,10 @@ from pyspark.sql import types as T
 
 from lacuna.operators.cells import q
 from lacuna.operators.position import with_position
-from lacuna.scratch import cut
+from lacuna.scratch import cut, cut_counted
 
-# A dimension up to this many rows is broadcast and ranked in one window per feature;
-# a longer one is range-sorted and joined by shuffle.
-BROADCAST_ROWS = 200_000
+# Up to this many levels are ranked in one window per feature, more by a range sort.
+WINDOW_LEVELS = 200_000
 
 
 def build_dimension(df: DataFrame, columns) -> DataFrame:
@@ -24,8 +23,8 @@ def build_dimension(df: DataFrame, columns) -> DataFrame:
             (q(c).cast("double") if numeric else F.lit(None).cast("double")).alias("number"))))
     levels = (df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
               .groupBy("feature", "value").agg(F.first("number").alias("number")))
-    levels = cut(levels, "levels")
-    if levels.count() <= BROADCAST_ROWS:
+    levels, seen = cut_counted(levels, "levels")
+    if seen["n"] <= WINDOW_LEVELS:
         rank = F.row_number().over(W.partitionBy("feature").orderBy("number", "value")) - 1
         coded = levels.select("feature", "value", rank.alias("code"))
     else:
@@ -36,29 +35,26 @@ def build_dimension(df: DataFrame, columns) -> DataFrame:
     return cut(coded, "dimension")
 
 
-def _side(dimension: DataFrame):
-    small = dimension.count() <= BROADCAST_ROWS
-    return F.broadcast if small else (lambda d: d)
-
-
 def encode(df: DataFrame, dimension: DataFrame, columns) -> DataFrame:
-    """Values to codes; NULL and values outside the dimension become NULL."""
-    side = _side(dimension)
+    """Values to codes; NULL and values outside the dimension become NULL.
+
+    The dimension is a written table of known size: Spark broadcasts it while it is below the
+    broadcast threshold and shuffles otherwise.
+    """
     for c in columns:
         levels = dimension.where(F.col("feature") == c).select(
             F.col("value").alias("__value"), F.col("code").alias("__code"))
-        df = df.join(side(levels), q(c).cast("string") == F.col("__value"), "left").drop("__value")
+        df = df.join(levels, q(c).cast("string") == F.col("__value"), "left").drop("__value")
         df = df.withColumn(c, F.col("__code")).drop("__code")
     return df
 
 
 def decode(df: DataFrame, dimension: DataFrame, columns, types: dict | None = None) -> DataFrame:
     """Codes to values; an unknown code becomes NULL. ``types`` restores the original column types."""
-    side = _side(dimension)
     for c in columns:
         levels = dimension.where(F.col("feature") == c).select(
             F.col("code").alias("__code"), F.col("value").alias("__value"))
-        df = df.join(side(levels), q(c).cast("int") == F.col("__code"), "left").drop("__code")
+        df = df.join(levels, q(c).cast("int") == F.col("__code"), "left").drop("__code")
         value = F.col("__value").cast(types[c]) if types and c in types else F.col("__value")
         df = df.withColumn(c, value).drop("__value")
     return df

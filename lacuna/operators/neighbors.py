@@ -317,7 +317,7 @@ def nearest_cells(queries: Profiles, donors: Profiles, k: int, metric: str, n_fe
     if not donors.n or not queries.n:
         return spark.createDataFrame([], CANDIDATE_SCHEMA + ", rank int")
     # blocks large enough for dense arithmetic, small enough for memory and for every core to have some
-    most = max(64, min(2048, BLOCK_BYTES // (8 * donors.dim)))
+    most = max(64, min(2048, BLOCK_BYTES // (8 * (donors.dim + k * n_features))))
     size = block_rows or int(min(most, max(64, math.ceil(max(queries.n, donors.n) / (2 * cores)))))
     if n_pivots is None:
         n_pivots = min(MAX_PIVOTS, BLOCK_BYTES // (8 * donors.dim), donors.n // (4 * most))

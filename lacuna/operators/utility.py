@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from lacuna.operators.cells import assert_no_holes, q
 from lacuna.operators.neighbors import PROFILE, nearest_cells, profiles, tag_rows
 from lacuna.operators.position import spearman
 from lacuna.roles import Roles
-from lacuna.scratch import cut
+from lacuna.scratch import cut, cut_counted
 
 MODELS = ("logit", "GaussNB", "KNN", "tree", "RF")
 KNN_K = 5
@@ -85,21 +87,24 @@ def model_scores(train: DataFrame, test: DataFrame, roles: Roles, models=MODELS,
     unknown = set(models) - set(MODELS)
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}")
-    fit_on = cut(_assembled(train, roles), "train")
+    fit_on, seen = cut_counted(_assembled(train, roles), "train")
     score_on = cut(_assembled(test, roles), "test")
-    made = estimators(fit_on.count(), seed)
-    f1, importance = {}, {}
-    for name in models:
+    made = estimators(seen["n"], seed)
+
+    def score(name):
         if name == "KNN":
             guess = knn_classify(train, test, roles)
             scored = guess.join(test.select(roles.key, q(roles.target).alias("label")), roles.key)
-        else:
-            model = made[name].fit(fit_on)
-            scored = model.transform(score_on)
-            if name == "RF":
-                importance = dict(zip(roles.covariates, model.featureImportances.toArray().tolist()))
-        f1[name] = micro_f1(scored, "label", "prediction").first()[0]
-    return Scores(f1, importance)
+            return micro_f1(scored, "label", "prediction").first()[0], None
+        model = made[name].fit(fit_on)
+        f1 = micro_f1(model.transform(score_on), "label", "prediction").first()[0]
+        return f1, model.featureImportances.toArray().tolist() if name == "RF" else None
+
+    # independent fits run side by side, so small stages of one fill the gaps of another
+    with ThreadPool(len(models)) as pool:
+        results = dict(zip(models, pool.map(inheritable_thread_target(score), models)))
+    importance = next((dict(zip(roles.covariates, v)) for _, v in results.values() if v), {})
+    return Scores({n: f1 for n, (f1, _) in results.items()}, importance)
 
 
 def rank_correlation(spark, x: dict[str, float], y: dict[str, float]) -> float:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from lacuna.functions.text import MASK_TOKEN, UNKNOWN_TOKEN, encode_rows
 from lacuna.operators import ampute as A
 from lacuna.operators import coding, fidelity, utility
-from lacuna.operators.cells import apply_mask, assert_no_holes, mask_table
+from lacuna.operators.cells import apply_mask, assert_no_holes, mask_table, q
 from lacuna.operators.embed import HashEncoder, embed_text, hash_vectors
 from lacuna.operators.impute import fill_table
 from lacuna.operators.split import train_test_split
@@ -51,14 +51,16 @@ def prepare(df: DataFrame, roles: Roles, settings: Settings = Settings()) -> Pre
     """Code categories over all rows, split, and hide cells of the training part."""
     types = {f: df.schema[f].dataType for f in roles.features}
     dimension = coding.build_dimension(df, roles.categorical)
-    coded = cut(coding.encode(df, dimension, roles.categorical).select(roles.key, *roles.features), "coded")
+    coded = cut(coding.encode(df, dimension, roles.categorical).select(roles.key, *[q(f) for f in roles.features]), "coded")
     train, test = train_test_split(coded, roles, settings.test_size, settings.seed)
     hidden = A.hidden_cells(train, roles, settings.missing_type, settings.missing_rate, settings.seed)
-    mask = cut(mask_table(train, roles, hidden), "mask")
-    flags = {f: F.col(f"__{f}") for f in roles.features}
-    marked = train.join(mask.select(roles.key, *[F.col(f).alias(f"__{f}") for f in roles.features]), roles.key)
-    holed = apply_mask(marked, flags).select(roles.key, *roles.features)
-    return Prepared(train, test, mask, cut(holed, "holed"), dimension, types)
+    # one written table holds the truth and the mask; the holed table is a projection of it
+    flags = {f: F.coalesce(c, F.lit(False)).alias(f"hide {f}") for f, c in hidden.items()}
+    marked = cut(train.select(roles.key, *[q(f) for f in roles.features], *flags.values()), "marked")
+    shown = {f: q(f"hide {f}") for f in flags}
+    truth = marked.select(roles.key, *[q(f) for f in roles.features])
+    holed = apply_mask(marked, shown).select(roles.key, *[q(f) for f in roles.features])
+    return Prepared(truth, test, mask_table(marked, roles, shown), holed, dimension, types)
 
 
 def row_vectors(ready: Prepared, roles: Roles, settings: Settings, make_encoder=None) -> DataFrame:
