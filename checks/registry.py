@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lacuna import Roles
 from lacuna.operators import coding
+from lacuna.scratch import cut
 from lacuna.sources.catalog import parquet_table, register
 
 QUERIES: dict = {}
@@ -47,7 +48,7 @@ def lineitem(spark: SparkSession, folder: str) -> DataFrame:
 
 def coded(df: DataFrame, roles: Roles) -> DataFrame:
     dimension = coding.build_dimension(df, roles.categorical)
-    return coding.encode(df, dimension, roles.categorical).select(roles.key, *roles.features)
+    return cut(coding.encode(df, dimension, roles.categorical).select(roles.key, *roles.features), "coded")
 
 
 # ---------------------------------------------------------------- pieces of SQL

@@ -188,13 +188,12 @@ _RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2
 @check("spearman", f"WITH r AS (SELECT {_RANK.format(c='l_quantity')} AS a, {_RANK.format(c='l_extendedprice')} AS b FROM lineitem) "
        "SELECT round(corr(a, b), 6) AS spearman FROM r")
 def spearman(spark, folder):
-    df = lineitem(spark, folder).select("l_key", "l_quantity", "l_extendedprice")
-    return position.spearman(df, "l_key", "l_quantity", "l_extendedprice").select(F.round("spearman", 6).alias("spearman"))
+    return position.spearman(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("spearman", 6).alias("spearman"))
 
 
 @check("average_rank", f"WITH {LINE_SQL} SELECT l_key, {_RANK.format(c='l_quantity')} AS rank FROM lines")
 def average_rank(spark, folder):
-    return position.average_rank(lineitem(spark, folder), "l_key", "l_quantity")
+    return position.average_rank(lineitem(spark, folder), "l_quantity").select("l_key", "rank")
 
 
 @check("only_first_class", f"WITH {coded_sql('part', PART)} SELECT sum(p_type) = 0 AS first, sum(p_type * 0) = 0 AS zeroed FROM coded")

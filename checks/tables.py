@@ -267,9 +267,9 @@ def poisson_counts(spark, folder):
 def order_statistics(spark, folder):
     df = table(spark, folder, "lineitem")
     n = df.count()
-    got = position.order_statistics(df, {"price": (F.col("l_extendedprice"), int(0.25 * n)),
-                                         "quantity": (F.col("l_quantity"), int(0.75 * n))})
-    return df.agg(F.lit(got["price"]).alias("price"), F.lit(got["quantity"]).alias("quantity"))
+    got = position.order_statistics(df, {"price": (F.col("l_extendedprice"), [int(0.25 * n)]),
+                                         "quantity": (F.col("l_quantity"), [int(0.75 * n)])})
+    return df.agg(F.lit(got["price"][0]).alias("price"), F.lit(got["quantity"][0]).alias("quantity"))
 
 
 @check("value_ranges", "SELECT 'l_quantity' AS feature, min(l_quantity) AS lo, max(l_quantity) AS hi, least(10, count(DISTINCT l_quantity))::INTEGER AS n FROM lineitem "

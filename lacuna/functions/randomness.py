@@ -13,9 +13,21 @@ SPAN = 4294967296.0
 
 
 def digest(*parts: Column | str | int) -> Column:
-    """md5 of the parts joined by '|'. Plain strings and numbers are literals."""
-    cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.md5(F.concat_ws("|", *cols))
+    """md5 of the parts joined by '|'. Plain strings and numbers are literals; columns hold no NULL."""
+    pieces, plain = [], []
+    for i, p in enumerate(parts):
+        if i:
+            plain.append("|")
+        if isinstance(p, Column):
+            if plain:
+                pieces.append(F.lit("".join(plain)))
+            pieces.append(p.cast("string"))
+            plain = []
+        else:
+            plain.append(str(p))
+    if plain:
+        pieces.append(F.lit("".join(plain)))
+    return F.md5(F.concat(*pieces))
 
 
 def uniform(*parts: Column | str | int) -> Column:
@@ -23,6 +35,14 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("double") / F.lit(SPAN)
 
 
+def uniform_below(share: float, *parts: Column | str | int) -> Column:
+    """``uniform(*parts) < share``, decided on the digits without making a number of them."""
+    limit = math.ceil(share * SPAN)
+    if limit <= 0 or limit >= SPAN:
+        return F.lit(limit > 0)
+    return F.substring(digest(*parts), 1, 8) < F.lit(f"{limit:08x}")
+
+
 def cell_uniform(key: Column, feature: str, salt: str, seed: int) -> Column:
     return uniform(key, feature, salt, seed)
 

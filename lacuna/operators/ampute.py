@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lacuna.functions.randomness import cell_uniform, normal_weights, pick_names
+from lacuna.functions.randomness import cell_uniform, normal_weights, pick_names, uniform_below
 from lacuna.operators.cells import apply_mask, q
 from lacuna.operators.position import order_statistics
 from lacuna.roles import Roles
@@ -26,8 +26,7 @@ MECHANISMS = ("MCAR", "MAR", "MNARL", "MNARQ")
 
 def mcar(roles: Roles, rate: float, seed: int, features=None, salt: str = "mcar") -> dict[str, Column]:
     """Every cell hidden with the same probability."""
-    return {f: cell_uniform(F.col(roles.key), f, salt, seed) < F.lit(float(rate))
-            for f in (features or roles.features)}
+    return {f: uniform_below(rate, F.col(roles.key), f, salt, seed) for f in (features or roles.features)}
 
 
 @dataclass(frozen=True)
@@ -153,9 +152,8 @@ def quantile_orders(n: int, quantile: float, cut_at: str) -> dict[str, int]:
 
 def quantile_thresholds(df: DataFrame, features, quantile: float, cut_at: str = "both") -> dict[tuple[str, str], float]:
     orders = quantile_orders(df.count(), quantile, cut_at)
-    wanted = {f"{side}:{f}": (q(f), k) for f in features for side, k in orders.items()}
-    values = order_statistics(df, wanted)
-    return {tuple(name.split(":", 1)): v for name, v in values.items()}
+    values = order_statistics(df, {f: (q(f), list(orders.values())) for f in features})
+    return {(side, f): v for f in features for side, v in zip(orders, values[f])}
 
 
 def mnar_quantile(df: DataFrame, roles: Roles, rate: float, seed: int, quantile: float = QUANTILE,
@@ -172,7 +170,7 @@ def mnar_quantile(df: DataFrame, roles: Roles, rate: float, seed: int, quantile:
             tail = tail | (q(f) <= F.lit(limits["lower", f]))
         if ("upper", f) in limits:
             tail = tail | (q(f) >= F.lit(limits["upper", f]))
-        hidden[f] = (cell_uniform(F.col(roles.key), f, "mnarq", seed) < F.lit(float(rate))) & tail
+        hidden[f] = tail & uniform_below(rate, F.col(roles.key), f, "mnarq", seed)
     if overlay:
         for f, c in mcar(roles, rate, seed, salt="mnarq-overlay").items():
             hidden[f] = hidden[f] | c if f in hidden else c

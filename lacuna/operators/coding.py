@@ -15,14 +15,10 @@ WINDOW_LEVELS = 200_000
 
 def build_dimension(df: DataFrame, columns) -> DataFrame:
     """feature, value (text), code. Numbers sort as numbers, text as text."""
-    entries = []
-    for c in columns:
-        numeric = isinstance(df.schema[c].dataType, T.NumericType)
-        entries.append(F.when(q(c).isNotNull(), F.struct(
-            F.lit(c).alias("feature"), q(c).cast("string").alias("value"),
-            (q(c).cast("double") if numeric else F.lit(None).cast("double")).alias("number"))))
-    levels = (df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-              .groupBy("feature", "value").agg(F.first("number").alias("number")))
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    texts = df.select(*[q(c).cast("string").alias(c) for c in columns])
+    levels = (texts.unpivot([], [q(c) for c in columns], "feature", "value").where("value IS NOT NULL").distinct()
+              .withColumn("number", F.when(F.col("feature").isin(numeric), F.col("value").try_cast("double"))))
     levels, seen = cut_counted(levels, "levels")
     if seen["n"] <= WINDOW_LEVELS:
         rank = F.row_number().over(W.partitionBy("feature").orderBy("number", "value")) - 1

@@ -39,9 +39,8 @@ class HashEncoder:
         known = [(f, stats[f"{i}n"], stats[f"{i}lo"], stats[f"{i}hi"]) for i, f in enumerate(names) if stats[f"{i}n"]]
         if self.binning == "width":
             return {f: [float(lo), float(hi)] for f, _, lo, hi in known}
-        wanted = {f"{b}:{f}": (q(f), max(1, n * b // self.bins)) for f, n, _, _ in known for b in range(1, self.bins)}
-        values = order_statistics(df.where(F.greatest(*[q(f).isNotNull() for f in names * 2])), wanted)
-        return {f: [values[f"{b}:{f}"] for b in range(1, self.bins)] for f, *_ in known}
+        return order_statistics(df, {
+            f: (q(f), [max(1, n * b // self.bins) for b in range(1, self.bins)]) for f, n, *_ in known})
 
     def bin_of(self, value: Column, edges: list[float]) -> Column:
         x = value.cast("double")

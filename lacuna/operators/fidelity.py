@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lacuna.operators.cells import q
 from lacuna.roles import Roles
+from lacuna.scratch import small_table
 
 # Fixed values of the error and frequency definitions
 SMAPE_EPSILON = 1e-6
@@ -15,8 +17,10 @@ MAX_BINS = 10
 FEW_VALUES = 5
 
 
-def _entries(df: DataFrame, prefix: str, features) -> list[Column]:
-    return [F.struct(F.lit(f).alias("feature"), q(f"{prefix}{f}").cast("double").alias("value")) for f in features]
+def _cells(df: DataFrame, features) -> DataFrame:
+    """feature, value: one row per cell, without a key."""
+    wide = df.select(*[q(f).cast("double").alias(f) for f in features])
+    return wide.unpivot([], [q(f) for f in features], "feature", "value").where("value IS NOT NULL")
 
 
 def cell_errors(truth: DataFrame, imputed: DataFrame, mask: DataFrame, roles: Roles) -> DataFrame:
@@ -59,8 +63,11 @@ def value_range(truth: DataFrame, features) -> DataFrame:
                         for tag, g in (("lo", F.min), ("hi", F.max), ("d", F.approx_count_distinct))]).first().asDict()
     few = [f for i, f in enumerate(names) if stats[f"{i}d"] <= 4 * MAX_BINS]
     exact = truth.agg(*[F.count_distinct(q(f)).alias(f) for f in few]).first().asDict() if few else {}
-    rows = [(f, float(stats[f"{i}lo"]), float(stats[f"{i}hi"]), int(exact.get(f, MAX_BINS))) for i, f in enumerate(names)]
-    return spark.createDataFrame(rows, "feature string, lo double, hi double, n_distinct int")
+    return small_table(
+        spark, feature=(names, pa.string()),
+        lo=([float(stats[f"{i}lo"]) for i in range(len(names))], pa.float64()),
+        hi=([float(stats[f"{i}hi"]) for i in range(len(names))], pa.float64()),
+        n_distinct=([int(exact.get(f, MAX_BINS)) for f in names], pa.int32()))
 
 
 def bin_index(value: Column, lo: Column, hi: Column, bins: Column) -> Column:
@@ -69,15 +76,25 @@ def bin_index(value: Column, lo: Column, hi: Column, bins: Column) -> Column:
     return F.when((value >= lo) & (value <= hi), at)
 
 
-def bin_counts(df: DataFrame, features, ranges: DataFrame, out: str) -> DataFrame:
-    """feature, bin, count: equal-width bins, or the value itself for a feature of few values."""
-    cells = df.select(F.explode(F.array(*_entries(df, "", features))).alias("e")).select("e.*")
+def binned(df: DataFrame, features, ranges: DataFrame) -> DataFrame:
+    """feature, bin of every cell: equal-width bins, or the value itself for a feature of few values."""
     bins = F.least(F.lit(MAX_BINS), F.col("n_distinct"))
     label = F.when(F.col("n_distinct") < FEW_VALUES, F.col("value")).otherwise(
         bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins).cast("double"))
     # ranges: one row per feature
-    return (cells.join(F.broadcast(ranges), "feature").select("feature", label.alias("bin"))
-            .where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias(out)))
+    return (_cells(df, features).join(F.broadcast(ranges), "feature")
+            .select("feature", label.alias("bin")).where(F.col("bin").isNotNull()))
+
+
+def _tally(truth: DataFrame, imputed: DataFrame, by: list[str], *more: DataFrame) -> DataFrame:
+    """Counts np (truth) and nq (imputed) of the same groups in one shuffle."""
+    sides = [truth.select(*by, F.lit(1).alias("p"), F.lit(0).alias("q")),
+             imputed.select(*by, F.lit(0).alias("p"), F.lit(1).alias("q")),
+             *[m.select(*by, F.lit(0).alias("p"), F.lit(0).alias("q")) for m in more]]
+    both = sides[0]
+    for s in sides[1:]:
+        both = both.unionByName(s)
+    return both.groupBy(*by).agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
 
 
 def frequencies(truth: DataFrame, imputed: DataFrame, features, smooth: bool = True) -> DataFrame:
@@ -87,45 +104,39 @@ def frequencies(truth: DataFrame, imputed: DataFrame, features, smooth: bool = T
     bin of either side counts as EMPTY_BIN when ``smooth``.
     """
     ranges = value_range(truth, features)
-    p = bin_counts(truth, features, ranges, "np")
-    s = bin_counts(imputed, features, ranges, "nq")
     # every bin of the truth's histogram exists, also when empty on both sides
-    grid = ranges.where(F.col("n_distinct") >= FEW_VALUES).select(
-        "feature", F.explode(F.sequence(F.lit(0), F.least(F.lit(MAX_BINS), F.col("n_distinct")) - 1).cast("array<double>")).alias("bin"))
-    both = p.join(s, ["feature", "bin"], "full").join(grid, ["feature", "bin"], "full")
-    totals = both.groupBy("feature").agg(F.sum("np").alias("tp"), F.sum("nq").alias("tq"))
+    grid = ranges.where(F.col("n_distinct") >= FEW_VALUES).select("feature", F.explode(F.sequence(
+        F.lit(0), F.least(F.lit(MAX_BINS), F.col("n_distinct")) - 1).cast("array<double>")).alias("bin"))
+    counts = _tally(binned(truth, features, ranges), binned(imputed, features, ranges), ["feature", "bin"], grid)
     few = ranges.select("feature", (F.col("n_distinct") < FEW_VALUES).alias("few"))
-    rows = both.join(totals, "feature").join(few, "feature")
+    whole = W.partitionBy("feature")  # at most MAX_BINS bins, or the values of a feature of few
+    rows = counts.join(F.broadcast(few), "feature").select(
+        "*", F.sum("np").over(whole).alias("tp"), F.sum("nq").over(whole).alias("tq"))
 
     def share(n, t):
-        count = F.coalesce(F.col(n), F.lit(0)).cast("double")
-        value = F.when(F.col("few"), count / F.col(t)).otherwise(count / (F.col(t) + F.lit(COUNT_EPSILON)))
-        return F.when(F.coalesce(value, F.lit(0.0)) == 0, F.lit(EMPTY_BIN)).otherwise(value) if smooth else F.coalesce(value, F.lit(0.0))
+        count = F.col(n).cast("double")
+        value = F.when(F.col(t) == 0, F.lit(0.0)).when(F.col("few"), count / F.col(t)).otherwise(
+            count / (F.col(t) + F.lit(COUNT_EPSILON)))
+        return F.when(value == 0, F.lit(EMPTY_BIN)).otherwise(value) if smooth else value
 
     return rows.select("feature", "bin", share("np", "tp").alias("p"), share("nq", "tq").alias("q"))
 
 
 def kl_continuous(truth: DataFrame, imputed: DataFrame, features) -> DataFrame:
     """feature, kl: relative entropy of imputed to truth, both scaled to sum to one."""
-    f = frequencies(truth, imputed, features)
-    sums = f.groupBy("feature").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-    p, s = F.col("p") / F.col("sp"), F.col("q") / F.col("sq")
-    return f.join(sums, "feature").groupBy("feature").agg(F.sum(s * F.log(s / p)).alias("kl"))
-
-
-def level_shares(df: DataFrame, features, out: str) -> DataFrame:
-    """feature, value, share among the observed cells."""
-    cells = df.select(F.explode(F.array(*_entries(df, "", features))).alias("e")).select("e.*").where("value IS NOT NULL")
-    counts = cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("t"))
-    return counts.join(F.broadcast(totals), "feature").select("feature", "value", (F.col("n") / F.col("t")).alias(out))
+    whole = W.partitionBy("feature")
+    shares = frequencies(truth, imputed, features).select(
+        "feature", (F.col("p") / F.sum("p").over(whole)).alias("p"), (F.col("q") / F.sum("q").over(whole)).alias("q"))
+    return shares.groupBy("feature").agg(F.sum(F.col("q") * F.log(F.col("q") / F.col("p"))).alias("kl"))
 
 
 def kl_categorical(truth: DataFrame, imputed: DataFrame, features) -> DataFrame:
     """feature, kl over the values both tables have; not scaled, so it may be negative."""
-    p, s = level_shares(truth, features, "p"), level_shares(imputed, features, "q")
-    both = p.join(s, ["feature", "value"], "full").where((F.col("p") > 0) & (F.col("q") > 0))
-    return both.groupBy("feature").agg(F.sum(F.col("q") * F.log(F.col("q") / F.col("p"))).alias("kl"))
+    counts = _tally(_cells(truth, features), _cells(imputed, features), ["feature", "value"])
+    totals = counts.groupBy("feature").agg(F.sum("np").alias("tp"), F.sum("nq").alias("tq"))
+    p, s = F.col("np") / F.col("tp"), F.col("nq") / F.col("tq")
+    shared = counts.where("np > 0 AND nq > 0").join(F.broadcast(totals), "feature")  # totals: one row per feature
+    return shared.groupBy("feature").agg(F.sum(s * F.log(s / p)).alias("kl"))
 
 
 def kl_by_feature(truth: DataFrame, imputed: DataFrame, roles: Roles) -> DataFrame:
@@ -135,7 +146,7 @@ def kl_by_feature(truth: DataFrame, imputed: DataFrame, roles: Roles) -> DataFra
     if roles.categorical:
         found = kl_categorical(truth, imputed, roles.categorical)
         spark = truth.sparkSession
-        names = spark.createDataFrame([(f,) for f in roles.categorical], "feature string")
+        names = small_table(spark, feature=(roles.categorical, pa.string()))
         parts.append(names.join(found, "feature", "left").select("feature", F.coalesce("kl", F.lit(0.0)).alias("kl")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

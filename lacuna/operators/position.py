@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lacuna.scratch import new_path
+from lacuna.scratch import new_path, small_table
 
 
 def with_position(df: DataFrame, order_by, out: str = "pos", label: str = "ordered") -> DataFrame:
@@ -39,10 +40,8 @@ def _number(table: DataFrame, out: str) -> DataFrame:
     counts = table.select(file.alias("__file")).groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = sorted(((r["__file"], r["n"]) for r in counts), key=lambda s: _natural(s[0]))
     starts = [0, *accumulate(n for _, n in sizes)]
-    spark = table.sparkSession
     # one row per written file, so as many as there were write tasks
-    offsets = spark.createDataFrame(
-        [(f, s) for (f, _), s in zip(sizes, starts)], "__file string, __start bigint")
+    offsets = small_table(table.sparkSession, __file=([f for f, _ in sizes], pa.string()), __start=(starts[:-1], pa.int64()))
     numbered = tagged.join(F.broadcast(offsets), "__file")
     return numbered.select(*table.columns, (F.col("__start") + F.col("__row")).alias(out))
 
@@ -53,22 +52,8 @@ def with_batch(df: DataFrame, order_by, size: int, out: str = "batch_id") -> Dat
     return placed.withColumn(out, F.floor(F.col("__pos") / size).cast("bigint")).drop("__pos")
 
 
-def average_rank(df: DataFrame, key: str, value: str, out: str = "rank") -> DataFrame:
-    """key + rank of ``value`` from 1, equal values sharing the mean of their ranks.
-
-    Equal values are counted before the sort, so a value held by many rows is one row of it.
-    """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    placed = with_position(counts, value, "__pos", "ranks")
-    start = running_total(placed, "__pos", "__n", "__before")
-    ranks = start.select(value, (F.col("__before") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
-    return df.select(key, value).join(ranks, value).select(key, out)
-
-
 def running_total(placed: DataFrame, position: str, amount: str, out: str, width: int = 1 << 16) -> DataFrame:
     """Sum of ``amount`` over all smaller positions: windows over chunks, then over chunk totals."""
-    from pyspark.sql import Window as W
-
     chunk = F.floor(F.col(position) / width)
     chunked = placed.withColumn("__chunk", chunk)
     inside = W.partitionBy("__chunk").orderBy(position).rowsBetween(W.unboundedPreceding, -1)
@@ -84,47 +69,66 @@ def running_total(placed: DataFrame, position: str, amount: str, out: str, width
             .drop("__chunk", "__base"))
 
 
-def spearman(df: DataFrame, key: str, x: str, y: str, out: str = "spearman") -> DataFrame:
+def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """value + its average rank, one row per distinct value."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    placed = with_position(counts, value, "__pos", "ranks")
+    start = running_total(placed, "__pos", "__n", "__before")
+    return start.select(value, (F.col("__before") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
+
+
+def average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
+    """Add the rank of ``value`` from 1, equal values sharing the mean of their ranks.
+
+    Equal values are counted before the sort, so a value held by many rows is one row of it.
+    """
+    return df.join(value_ranks(df, value, out), value)
+
+
+def spearman(df: DataFrame, x: str, y: str, out: str = "spearman") -> DataFrame:
     """Rank correlation of two columns; one row."""
-    rx = average_rank(df, key, x, "__rx")
-    ry = average_rank(df, key, y, "__ry")
-    return rx.join(ry, key).agg(F.corr("__rx", "__ry").alias(out))
+    both = df.select(x, y)
+    return average_rank(average_rank(both, x, "__rx"), y, "__ry").agg(F.corr("__rx", "__ry").alias(out))
 
 
-def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, int]], grid: int = 512) -> dict[str, float]:
-    """The k-th smallest value (k from 1) of each column, exactly.
+def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[int]]], grid: int = 4096) -> dict[str, list[float]]:
+    """The k-th smallest values (k from 1) of each column, exactly, for a list of k per column.
 
-    Each pass counts a grid of equal-width bins per column and keeps the bin that holds the k-th
-    value, with its own smallest and largest value as the next bracket. Map-side counting leaves
-    at most ``grid`` rows per column and task to shuffle, whatever the values and their repeats.
+    Each pass counts a grid of equal-width bins per value sought and keeps the bin that holds it,
+    with its own smallest and largest value as the next bracket. Map-side counting leaves at most
+    ``grid`` rows per value sought and task to shuffle, whatever the values and their repeats.
     """
-    n_and_range = df.agg(
-        *[f(c).alias(f"{name}#{tag}") for name, (c, _) in wanted.items()
-          for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first().asDict()
+    names = list(wanted)
+    wide = df.select(*[wanted[m][0].cast("double").alias(f"x{i}") for i, m in enumerate(names)])
+    seen = wide.agg(*[g(f"x{i}").alias(f"{tag}{i}") for i in range(len(names))
+                      for tag, g in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first().asDict()
     open_, found = {}, {}
-    for name, (c, k) in wanted.items():
-        n = n_and_range[f"{name}#n"]
-        if not 1 <= k <= n:
-            raise ValueError(f"{name}: order {k} outside 1..{n}")
-        open_[name] = (float(n_and_range[f"{name}#lo"]), float(n_and_range[f"{name}#hi"]), k)
-    while open_:
-        for name in [m for m, (lo, hi, _) in open_.items() if lo == hi]:
-            found[name] = open_.pop(name)[0]
+    for i, name in enumerate(names):
+        for j, k in enumerate(wanted[name][1]):
+            if not 1 <= k <= seen[f"n{i}"]:
+                raise ValueError(f"{name}: order {k} outside 1..{seen[f'n{i}']}")
+            open_[i, j] = (seen[f"lo{i}"], seen[f"hi{i}"], k)
+    while True:
+        for at in [a for a, (lo, hi, _) in open_.items() if lo == hi]:
+            found[at] = open_.pop(at)[0]
         if not open_:
-            break
-        entries = []
-        for name, (lo, hi, _) in open_.items():
-            x = wanted[name][0].cast("double")
-            bin_ = F.least(F.floor((x - lo) / (hi - lo) * grid), F.lit(grid - 1)).cast("int")
-            entries.append(F.when(x.between(lo, hi), F.struct(F.lit(name).alias("name"), bin_.alias("bin"), x.alias("x"))))
-        bins = (df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-                .groupBy("name", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-                .collect())
-        for name in list(open_):
-            k = open_[name][2]
-            for b in sorted((r for r in bins if r["name"] == name), key=lambda r: r["bin"]):
-                if k <= b["n"]:
-                    open_[name] = (b["lo"], b["hi"], k)
-                    break
-                k -= b["n"]
-    return found
+            return {m: [found[i, j] for j in range(len(wanted[m][1]))] for i, m in enumerate(names)}
+        sought = list(open_)
+        bins = min(grid, max(16, (1 << 18) // len(sought)))
+
+        def literal(part):
+            return F.element_at(F.array(*[F.lit(float(open_[a][part])) for a in sought]), F.col("c") + 1)
+
+        cells = (wide.select(*[F.col(f"x{i}").alias(str(c)) for c, (i, _) in enumerate(sought)])
+                 .unpivot([], [str(c) for c in range(len(sought))], "c", "x").withColumn("c", F.col("c").cast("int")))
+        lo, hi = literal(0), literal(1)
+        inside = cells.where((F.col("x") >= lo) & (F.col("x") <= hi))
+        bin_ = F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+        counted = (inside.groupBy("c", bin_.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+                   .toPandas().sort_values(["c", "b"]))  # bins that hold a value
+        for c, part in counted.groupby("c"):
+            k = open_[sought[c]][2]
+            before = part["n"].cumsum().to_numpy()
+            at = int(before.searchsorted(k))
+            row = part.iloc[at]
+            open_[sought[c]] = (row["lo"], row["hi"], int(k - (before[at] - row["n"])))

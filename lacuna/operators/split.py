@@ -23,7 +23,7 @@ def test_rule(df: DataFrame, key: str, test_size: float, seed: int) -> Column:
     take = math.ceil(test_size * n)
     if take >= n:
         raise ValueError("the training part would be empty")
-    limit = order_statistics(df, {"u": (u, take)})["u"]
+    limit = order_statistics(df, {"u": (u, [take])})["u"][0]
     ties = df.where(u == limit)
     below, equal = df.agg(F.count_if(u < limit), F.count_if(u == limit)).first()
     if below + equal == take:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from lacuna.operators.cells import assert_no_holes, q
 from lacuna.operators.neighbors import PROFILE, nearest_cells, profiles, tag_rows
-from lacuna.operators.position import spearman
 from lacuna.roles import Roles
 from lacuna.scratch import cut, cut_counted
 
@@ -102,15 +102,15 @@ def model_scores(train: DataFrame, test: DataFrame, roles: Roles, models=MODELS,
 
     # independent fits run side by side, so small stages of one fill the gaps of another
     with ThreadPool(len(models)) as pool:
-        results = dict(zip(models, pool.map(inheritable_thread_target(score), models)))
+        results = dict(zip(models, pool.map(inheritable_thread_target(train.sparkSession)(score), models)))
     importance = next((dict(zip(roles.covariates, v)) for _, v in results.values() if v), {})
     return Scores({n: f1 for n, (f1, _) in results.items()}, importance)
 
 
-def rank_correlation(spark, x: dict[str, float], y: dict[str, float]) -> float:
-    """Spearman of two named score lists: a handful of models, or the covariates of a table."""
-    rows = [(n, float(x[n]), float(y[n])) for n in x]
-    return spearman(spark.createDataFrame(rows, "name string, x double, y double"), "name", "x", "y").first()[0]
+def rank_correlation(x: dict[str, float], y: dict[str, float]) -> float:
+    """Spearman of two named score lists held by the driver: a few models, or the covariates."""
+    a, b = pd.Series(x).rank(), pd.Series(y).rank()
+    return float(a.corr(b)) if a.nunique() > 1 and b.nunique() > 1 else float("nan")
 
 
 def only_first_class(imputed: DataFrame, target: str) -> bool:
@@ -127,7 +127,6 @@ def classification(train: DataFrame, test: DataFrame, imputed: DataFrame, roles:
     if only_first_class(imputed, roles.target):
         return {"base_cls": base.mean, "imputed_cls": 0.0, "model_selection": 0.0, "feature_selection": 0.0}
     got = model_scores(standardize(imputed, stats), test, roles, models, seed)
-    spark = train.sparkSession
     return {"base_cls": base.mean, "imputed_cls": got.mean,
-            "model_selection": rank_correlation(spark, base.f1, got.f1),
-            "feature_selection": rank_correlation(spark, base.importance, got.importance) if base.importance else None}
+            "model_selection": rank_correlation(base.f1, got.f1),
+            "feature_selection": rank_correlation(base.importance, got.importance) if base.importance else None}

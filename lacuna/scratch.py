@@ -9,6 +9,7 @@ import json
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
@@ -43,6 +44,11 @@ def cut_counted(df: DataFrame, label: str, *metrics) -> tuple[DataFrame, dict]:
     return table, seen.get
 
 
+def small_table(spark: SparkSession, **columns) -> DataFrame:
+    """A few rows known to the driver as a local relation: name = (values, arrow type)."""
+    return spark.createDataFrame(pa.table({n: pa.array(list(v), t) for n, (v, t) in columns.items()}))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when a finished table lies at ``path``."""
     jvm = spark.sparkContext._jvm

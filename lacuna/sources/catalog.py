@@ -124,9 +124,10 @@ def load(spark: SparkSession, name: str, folder: str) -> tuple[DataFrame, Roles]
     entry = CATALOG[name]
     df = entry.read(spark, f"{folder.rstrip('/')}/{entry.file}")
     roles = entry.roles(df)
+    if entry.drop_rows_with_holes:
+        df = drop_holes(df, roles.features)
     if roles.key not in df.columns:
-        df = with_position(df.select(*[f"`{f}`" for f in roles.features]), [f"`{f}`" for f in roles.features], roles.key)
+        names = [f"`{f}`" for f in roles.features]
+        df = with_position(df.select(*names), names, roles.key)
     df = project(df, roles)
-    if entry.drop_rows_with_holes:
-        df = drop_holes(df)
     return assert_no_holes(df, roles.features), roles
