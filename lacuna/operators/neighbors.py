@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lacuna.functions.vectors import METRICS
 from lacuna.operators.cells import q
-from lacuna.operators.tiles import as_metric, closest, distances, prepare
+from lacuna.operators.tiles import Tile, as_metric, closest, distances, prepare
 from lacuna.scratch import cut, cut_counted
 
 MAX_PIVOTS = 512
@@ -105,7 +105,7 @@ def _assigner(pivots: np.ndarray, metric: str):
 
 
 BLOCK_SCHEMA = ("block string, cell int, lo double, hi double, n int, "
-                "ids binary, mat binary, owner binary, keys binary, vals binary")
+                "ids binary, mat binary, counts binary, keys binary, vals binary")
 
 
 def _packer(block_rows: int, n_features: int):
@@ -115,16 +115,16 @@ def _packer(block_rows: int, n_features: int):
         t = t.combine_chunks()
         column = {c: t.column(c).combine_chunks() for c in t.column_names}
         rows = column["rows"]
-        owner = np.repeat(np.arange(len(rows), dtype=np.int32), rows.value_lengths().to_numpy())
+        counts = rows.value_lengths().to_numpy().astype(np.int32)
         entries = rows.flatten()
         keys = entries.field("key").to_numpy()
         vals = _flat(entries.field("vals")).astype(np.float64).reshape(len(keys), n_features)
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort((keys, np.repeat(np.arange(len(counts)), counts)))
         ids = np.stack([column["h1"].to_numpy(), column["h2"].to_numpy()], axis=1)
         ring = column["ring"].to_numpy()
         record = {"block": f"{ids[0, 0]:x}.{ids[0, 1]:x}", "cell": column["cell"][0].as_py(),
                   "lo": float(ring.min()), "hi": float(ring.max()), "n": len(ids), "ids": ids.tobytes(),
-                  "mat": _vectors(column["vec"]).tobytes(), "owner": owner[order].tobytes(),
+                  "mat": _vectors(column["vec"]).tobytes(), "counts": counts.tobytes(),
                   "keys": keys[order].tobytes(), "vals": vals[order].tobytes()}
         kinds = {"block": pa.string(), "cell": pa.int32(), "lo": pa.float64(), "hi": pa.float64(), "n": pa.int32()}
         return pa.RecordBatch.from_arrays(
@@ -176,13 +176,26 @@ class Block:
             return np.frombuffer(row[f"{side}_{name}"], dtype=dtype)
 
         n = int(row[f"{side}_n"])
+        self.n = n
         self.vectors = prepare(field("mat", np.float64).reshape(n, -1), metric)
-        self.owner = field("owner", np.int32)
+        self.counts = field("counts", np.int32).astype(np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        # rows of a profile have the same cells observed
+        self.vals = field("vals", np.float64).reshape(int(self.counts.sum()), n_features)
+        self.observed = ~np.isnan(self.vals[self.starts])
         if side == "q":
             self.ids = field("ids", np.int64).reshape(n, 2)
         else:
             self.keys = field("keys", np.int64)
-        self.vals = field("vals", np.float64).reshape(len(self.owner), n_features)
+            self.by_key = np.argsort(self.keys, kind="stable")
+            self.owner = np.repeat(np.arange(n), self.counts)
+
+    def rows_of(self, profiles: np.ndarray):
+        """Row numbers of the given profiles, and for each row the position of its profile in the list."""
+        counts = self.counts[profiles]
+        at = np.repeat(np.arange(len(profiles)), counts)
+        inside = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return self.starts[profiles][at] + inside, at
 
 
 # ---------------------------------------------------------------- tiles in tasks
@@ -193,42 +206,65 @@ CANDIDATE_SCHEMA = "h1 bigint, h2 bigint, f int, key bigint, value double, dist
 class _Best:
     """Running k best donors of every wanted cell of one query block."""
 
-    def __init__(self, block: Block, k: int, n_features: int, bounds: dict[int, np.ndarray] | None):
-        self.block, self.k, self.bounds = block, k, bounds
-        first = np.zeros(len(block.ids), dtype=np.int64)
-        first[block.owner[::-1]] = np.arange(len(block.owner))[::-1]
-        if n_features:
-            holes = np.isnan(block.vals[first])
-            self.wanted = {f: np.flatnonzero(holes[:, f]) for f in range(n_features)}
-        else:
-            self.wanted = {0: np.arange(len(block.ids))}
-        self.wanted = {f: w for f, w in self.wanted.items() if len(w)}
-        self.held = {}
+    def __init__(self, block: Block, k: int, n_features: int, bounds: np.ndarray | None):
+        self.block, self.k = block, k
+        self.any_row = n_features == 0
+        width = max(n_features, 1)
+        self.wanted = np.ones((width, block.n), dtype=bool) if self.any_row else ~block.observed.T
+        # a donor must beat (limit, last_key); a bound from outside admits equal distances of any key
+        self.limit = np.full((width, block.n), np.inf) if bounds is None else np.array(bounds)
+        self.last_key = np.full((width, block.n), np.iinfo(np.int64).max)
+        self.held: list[dict | None] = [None] * width
 
     def add(self, donors: Block, metric: str):
-        d = distances(self.block.vectors, donors.vectors, metric)
-        by_profile = len(donors.owner) == len(d[0]) and np.array_equal(donors.owner, np.arange(d.shape[1]))
-        for f, want in self.wanted.items():
-            offered = np.flatnonzero(~np.isnan(donors.vals[:, f])) if donors.vals.shape[1] else np.arange(len(donors.keys))
-            if not len(offered):
+        tile = Tile(self.block.vectors, donors.vectors, metric)
+        offered = np.ones((len(self.wanted), donors.n), dtype=bool) if self.any_row else donors.observed.T
+        open_ = self.wanted & np.isinf(self.limit)
+        for f in np.flatnonzero(open_.any(axis=1)):
+            self._search_all(f, np.flatnonzero(open_[f]), tile, donors, offered[f])
+        self._search_near(tile, donors, offered, self.wanted & ~open_)
+
+    def _search_all(self, f, rows, tile, donors, offered):
+        """Cells without a bound yet: the k best of the whole block."""
+        columns = donors.by_key[offered[donors.owner[donors.by_key]]]
+        if not len(columns):
+            return
+        step = max(1, (1 << 22) // len(columns))
+        for lo in range(0, len(rows), step):
+            part = rows[lo:lo + step]
+            d = tile.dense(part)[:, donors.owner[columns]]
+            i, j = closest(d, donors.keys[columns], self.k)
+            self._merge(f, part[i], columns[j], d[i, j], donors)
+
+    def _search_near(self, tile, donors, offered, cells):
+        """Cells with a bound: only pairs that can beat it are looked at."""
+        if not cells.any():
+            return
+        reach = np.where(cells, self.limit, -np.inf).max(axis=0)
+        pairs = np.flatnonzero(tile.rough <= (reach + tile.slack)[:, None])
+        if not len(pairs):
+            return
+        i, j = np.divmod(pairs, donors.n)
+        rough = tile.rough.ravel()[pairs]
+        least = donors.keys[donors.starts][j]
+        for f in range(len(cells)):
+            near = np.flatnonzero(cells[f][i] & offered[f][j])
+            gap = rough[near] - self.limit[f][i[near]]
+            # surely not nearer than the bound: only a lower key can win
+            near = near[(gap < -tile.slack) | ((gap <= tile.slack) & (least[near] < self.last_key[f][i[near]]))]
+            if not len(near):
                 continue
-            columns = offered if by_profile else donors.owner[offered]
-            part = d if len(want) == len(d) else d[want]
-            part = part[:, columns]
-            held = self.held.get(f)
-            bound = None if held is None else held["limit"]
-            if self.bounds is not None:
-                given = self.bounds[f][want]
-                bound = given if bound is None else np.minimum(bound, given)
-            i, j = closest(part, donors.keys[offered], self.k, bound)
-            if not len(i):
-                continue
-            rows = offered[j]
-            value = donors.vals[rows, f] if donors.vals.shape[1] else np.zeros(len(rows))
-            self._merge(f, i, donors.keys[rows], value, part[i, j], len(want))
-
-    def _merge(self, f, i, key, value, dist, n):
-        held = self.held.get(f)
+            d = tile.exact(i[near], j[near])
+            rows, at = donors.rows_of(j[near])
+            self._merge(f, i[near][at], rows, d[at], donors)
+
+    def _merge(self, f, i, rows, dist, donors):
+        key = donors.keys[rows]
+        limit = self.limit[f][i]
+        wins = (dist < limit) | ((dist == limit) & (key < self.last_key[f][i]))
+        i, key, dist = i[wins], key[wins], dist[wins]
+        value = np.zeros(len(i)) if self.any_row else donors.vals[rows[wins], f]
+        held = self.held[f]
         if held is not None:
             i = np.concatenate([held["i"], i])
             key = np.concatenate([held["key"], key])
@@ -236,22 +272,20 @@ class _Best:
             dist = np.concatenate([held["dist"], dist])
         order = np.lexsort((key, dist, i))
         i = i[order]
-        starts = np.searchsorted(i, np.arange(n))
-        rank = np.arange(len(i)) - starts[i]
-        keep = order[rank < self.k]
-        kept_i = i[rank < self.k]
-        kept = {"i": kept_i, "key": key[keep], "value": value[keep], "dist": dist[keep]}
-        limit = np.full(n, np.inf)
-        last = rank[rank < self.k] == self.k - 1
-        limit[kept_i[last]] = kept["dist"][last]
-        kept["limit"] = limit
-        self.held[f] = kept
+        rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+        keep, last = rank < self.k, rank == self.k - 1
+        kept = order[keep]
+        self.held[f] = {"i": i[keep], "key": key[kept], "value": value[kept], "dist": dist[kept]}
+        full = i[last]
+        self.limit[f][full] = dist[order[last]]
+        self.last_key[f][full] = key[order[last]]
 
     def rows(self):
-        for f, held in self.held.items():
-            ids = self.block.ids[self.wanted[f][held["i"]]]
-            yield pd.DataFrame({"h1": ids[:, 0], "h2": ids[:, 1], "f": np.int32(f), "key": held["key"],
-                                "value": held["value"], "dist": held["dist"]})
+        for f, held in enumerate(self.held):
+            if held is not None and len(held["i"]):
+                ids = self.block.ids[held["i"]]
+                yield pd.DataFrame({"h1": ids[:, 0], "h2": ids[:, 1], "f": np.int32(f), "key": held["key"],
+                                    "value": held["value"], "dist": held["dist"]})
 
 
 def _tile_task(k: int, metric: str, n_features: int):
@@ -265,7 +299,7 @@ def _tile_task(k: int, metric: str, n_features: int):
                     block = Block(row, "q", metric, n_features)
                     bounds = row.get("q_bounds")
                     if bounds is not None:
-                        bounds = dict(enumerate(np.frombuffer(bounds, dtype=np.float64).reshape(-1, len(block.ids))))
+                        bounds = np.frombuffer(bounds, dtype=np.float64).reshape(-1, block.n)
                     current, best = row["q_block"], _Best(block, k, n_features, bounds)
                 best.add(Block(row, "d", metric, n_features), metric)
         if best is not None:
@@ -380,14 +414,12 @@ def _bounds(near: DataFrame, q_blocks: DataFrame, d_meta: DataFrame, pivots: np.
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 block = Block({f"q_{c}": v for c, v in row.items()}, "q", metric, n_features)
-                n = len(block.ids)
+                n = block.n
                 limit = np.full((max(n_features, 1), n), np.inf)
                 for e in (row["limits"] if row["limits"] is not None else ()):
                     limit[e["f"], e["slot"]] = e["dist"]
-                best = _Best(block, k, n_features, None)
-                reach = np.full(n, -np.inf)
-                for f, want in best.wanted.items():
-                    reach[want] = np.maximum(reach[want], as_metric(limit[f, want], metric))
+                wanted = _Best(block, k, n_features, None).wanted
+                reach = np.where(wanted, as_metric(limit, metric), -np.inf).max(axis=0)
                 used = np.flatnonzero(reach > -np.inf)
                 out = {"block": row["block"], "bounds": limit.tobytes(), "cells": [], "least": [], "most": []}
                 if len(used):

@@ -58,6 +58,52 @@ def distances(a, b, metric: str) -> np.ndarray:
     return np.round(out, PLACES)
 
 
+class Tile:
+    """Distances between two prepared blocks, cheap first and exact where they matter.
+
+    ``rough`` is within ``slack`` of the exact distance, for angles by one matrix product of unit
+    vectors. ``exact`` gives the rounded distance of single pairs, ``dense`` that of whole rows.
+    """
+
+    def __init__(self, a, b, metric: str):
+        self.a, self.b, self.metric = a, b, metric
+        self.angular = metric in ("cosine", "correlation")
+        if self.angular:
+            self.rough = 1.0 - _unit(a) @ _unit(b).T
+            if metric == "correlation":
+                self.rough[a[1] == 0] = np.inf
+                self.rough[:, b[1] == 0] = np.inf
+            # rounding moves a distance by half a unit, the product by much less
+            self.slack = 0.5 * 10.0 ** -PLACES + 1e-15 * max(8, a[0].shape[1])
+        else:
+            self.rough = distances(a, b, metric)
+            self.slack = 0.0
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if not self.angular:
+            return self.rough[i, j]
+        out = np.empty(len(i))
+        for lo in range(0, len(i), 1 << 16):
+            r, c = i[lo:lo + (1 << 16)], j[lo:lo + (1 << 16)]
+            dot = np.einsum("ij,ij->i", self.a[0][r], self.b[0][c])
+            scale = np.sqrt(self.a[1][r] * self.b[1][c])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = 1.0 - dot / scale
+            d[scale == 0] = 1.0 if self.metric == "cosine" else np.inf
+            out[lo:lo + (1 << 16)] = np.round(d, PLACES)
+        return out
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        if not self.angular:
+            return self.rough[rows]
+        return distances((self.a[0][rows], self.a[1][rows]), self.b, self.metric)
+
+
+def _unit(block) -> np.ndarray:
+    x, n = block
+    return x / np.sqrt(np.where(n == 0, 1.0, n))[:, None]
+
+
 def as_metric(d, metric: str):
     """The distance as a true metric, for the triangle inequality: chord length for angles."""
     return np.sqrt(np.maximum(2.0 * d, 0.0)) if metric in ("cosine", "correlation") else d
