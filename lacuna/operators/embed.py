@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lacuna.functions.text import value_text
@@ -14,6 +16,21 @@ from lacuna.operators.position import order_statistics
 from lacuna.roles import Roles
 
 
+def _layout(dim: int):
+    """Signed counts per bucket from coded cells, one Arrow batch at a time."""
+    @F.arrow_udf("array<float>")
+    def layout(codes: pa.Array) -> pa.Array:
+        n = len(codes)
+        flat = codes.flatten().to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(n), len(flat) // max(n, 1))
+        kept = flat >= 0
+        at, sign = rows[kept] * dim + flat[kept] // 2, flat[kept] % 2 * 2.0 - 1.0
+        dense = np.bincount(at, weights=sign, minlength=n * dim).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(dense))
+
+    return layout
+
+
 @dataclass(frozen=True)
 class HashEncoder:
     """Signed feature hashing of the observed cells of a row.
@@ -52,25 +69,31 @@ class HashEncoder:
             return F.lit(0)
         return F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * self.bins), F.lit(self.bins - 1)).cast("int")
 
-    def tokens(self, df: DataFrame, roles: Roles, edges: dict) -> Column:
-        """array<struct<bucket, sign>> of the observed cells."""
-        found = []
-        for f in roles.features:
-            if f in roles.continuous:
-                text = self.bin_of(q(f), edges[f]).cast("string") if f in edges else F.lit(None).cast("string")
-            else:
-                text = value_text(df, f)
-            h = F.md5(F.concat(F.lit(f + "="), text))
-            found.append(F.when(q(f).isNotNull(), F.struct(
-                (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % self.dim).cast("int").alias("bucket"),
-                F.when(F.substring(h, 9, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0)).cast("float").alias("sign"))))
-        return F.array_compact(F.array(*found))
-
-    def vector(self, df: DataFrame, roles: Roles, edges: dict) -> Column:
-        zero = F.array_repeat(F.lit(0.0).cast("float"), self.dim)
-        return F.aggregate(
-            self.tokens(df, roles, edges), zero,
-            lambda acc, t: F.transform(acc, lambda x, i: F.when(i == t["bucket"], x + t["sign"]).otherwise(x)))
+    def place(self, token: str) -> tuple[int, float]:
+        """Bucket and sign of a token known to the driver."""
+        h = hashlib.md5(token.encode()).hexdigest()
+        return int(h[:8], 16) % self.dim, 1.0 if h[8] < "8" else -1.0
+
+    def add(self, df: DataFrame, roles: Roles, edges: dict, out: str) -> DataFrame:
+        """``df`` with the vector column.
+
+        A cell becomes one whole number, 2 * bucket + (sign is +), or -1 in a hole. The tokens of a
+        number are its bins, so these are literals of the plan; a category is hashed once per row.
+        The dense vectors are then laid out from whole Arrow batches.
+        """
+        codes, hashed = [], {}
+        for i, f in enumerate(roles.features):
+            if f not in roles.continuous:
+                hashed[f"__h{i}"] = F.md5(F.concat(F.lit(f + "="), value_text(df, f)))
+                h = F.col(f"__h{i}")
+                bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % self.dim).cast("int")
+                codes.append(bucket * 2 + F.when(F.substring(h, 9, 1) < "8", 1).otherwise(0))
+            elif f in edges:
+                known = F.array(*[F.lit(2 * b + (x > 0)) for b, x in (self.place(f"{f}={n}") for n in range(self.bins))])
+                codes.append(F.when(q(f).isNotNull(), F.element_at(known, self.bin_of(q(f), edges[f]) + 1)))
+        columns = [q(c) for c in df.columns if c != out]
+        coded = F.array(*[F.coalesce(c, F.lit(-1)) for c in codes]) if codes else F.array(F.lit(-1))
+        return df.withColumns(hashed).select(*columns, _layout(self.dim)(coded).alias(out))
 
     def settings(self) -> dict:
         return {"encoder": "hash", "dim": self.dim, "bins": self.bins, "binning": self.binning}
@@ -78,7 +101,7 @@ class HashEncoder:
 
 def hash_vectors(df: DataFrame, roles: Roles, encoder: HashEncoder = HashEncoder(), out: str = "vec") -> DataFrame:
     """The table with one vector per row."""
-    return df.withColumn(out, encoder.vector(df, roles, encoder.fit(df, roles)))
+    return encoder.add(df, roles, encoder.fit(df, roles), out)
 
 
 def embed_text(df: DataFrame, text: str, make_encoder, batch_size: int = 16, out: str = "vec",
