@@ -25,11 +25,6 @@ def with_position(df: DataFrame, order_by, out: str = "pos", label: str = "order
     return _number(table, out)
 
 
-def number_files(table: DataFrame, out: str = "pos") -> DataFrame:
-    """Number the rows of a parquet table in file order: the identity of a table without a key."""
-    return _number(table, out)
-
-
 def _natural(path: str):
     return [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.split(r"(\d+)", path) if p]
 
