@@ -25,8 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that this application alone writes to."""
+    return f"{shared_folder(spark)}/lacuna/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/lacuna/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables this application wrote between stages. DataFrames built on them end here."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

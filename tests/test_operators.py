@@ -16,6 +16,7 @@ from lacuna.operators import cells as C
 from lacuna.operators import coding, fidelity, learn, pairs, position, split, utility
 from lacuna.operators.embed import HashEncoder, embed_text, hash_vectors
 from lacuna.plans.experiment import Settings, evaluate, experiment, prepare, row_vectors, token_for
+from lacuna import scratch
 from lacuna.scratch import new_path
 from lacuna.sources import catalog, tables
 from lacuna.sources.arff import parse_attribute, read_arff
@@ -386,6 +387,14 @@ def test_cache_key_holds_every_setting(spark):
     assert len(calls) == 2
 
 
+def test_own_folder_is_dropped_whole(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "own_folder", lambda s, base=scratch.own_folder(spark): base + "-other")
+    df = scratch.cut(spark.range(5), "t")
+    assert df.count() == 5 and scratch.path_exists(spark, df.inputFiles()[0].rsplit("/", 1)[0])
+    scratch.drop_tables(spark)
+    assert not scratch.path_exists(spark, df.inputFiles()[0].rsplit("/", 1)[0])
+
+
 # ---------------------------------------------------------------- whole runs
 
 def test_experiment_with_a_text_encoder(spark):
