@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lacuna.llm import hilbert, mixing, winnow
+from lacuna.llm import hilbert, maxscore, mixing, winnow
 from lacuna.llm.texts import word_count
 
 QUERIES: dict = {}
@@ -24,6 +24,22 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+TOP_K, SCALE, QUERY_STEP = 20, 64, 20
+
+
+@query("op1_maxscore_top_k", f"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_STEP} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {TOP_K}""")
+def op1(spark, folder):
+    vectors = maxscore.integer_vectors(read(spark, folder, "embeddings"), "vec_id", "embedding", SCALE)
+    return maxscore.top_k(vectors, F.col("key") % QUERY_STEP == 0, TOP_K)
+
+
 SHARDS = 24
 
 
