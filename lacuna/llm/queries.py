@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lacuna.llm import hilbert, maxscore, mixing, winnow
+from lacuna.llm import hilbert, maxscore, mixing, tokenfile, transducer, winnow
 from lacuna.llm.texts import word_count
+from lacuna.scratch import new_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,6 +25,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 TOP_K, SCALE, QUERY_STEP = 20, 64, 20
 
 
@@ -67,3 +75,15 @@ def op5(spark, folder):
     docs = read(spark, folder, "documents")
     return mixing.mix(docs, "doc_id", word_count(F.col("text")), "source", WEIGHTS, EPOCHS).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op9_token_counts")
+def op9(spark, folder):
+    return transducer.token_counts(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op10_token_files")
+def op10(spark, folder):
+    path = new_path(spark, "token-files")
+    tokenfile.write_token_files(read(spark, folder, "documents"), path, vocabulary("word_bpe_49k.json"), end=1)
+    return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

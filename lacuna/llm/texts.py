@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,13 +43,13 @@ def by_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callab
     rows = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
 
     def run(batches):
-        work, types = make(), to_arrow_schema(out)
+        work, arrow = make(), to_arrow_schema(out)
         for batch in batches:
             texts = batch.column(len(keep))
             for part in slices(batch, pc.utf8_length(texts)):
                 columns = work(part.column(len(keep)).to_pylist())
-                made = [pa.array(columns[f.name], types.field(f.name).type) for f in extra]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], schema=types)
+                made = [pa.array(columns[f.name], arrow.field(f.name).type) for f in extra]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], schema=arrow)
 
     return rows.mapInArrow(run, out)
 
@@ -55,3 +57,11 @@ def by_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callab
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("bigint")
+
+
+def per_worker(key: tuple, build: Callable[[], object]) -> object:
+    """What ``build`` gives, kept by the Python worker for its later tasks. Only speed depends on it."""
+    kept = sys.modules.setdefault("_lacuna_kept", types.ModuleType("_lacuna_kept")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
