@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lacuna.llm import hilbert, maxscore, mixing, tokenfile, transducer, winnow
+from lacuna.llm import hilbert, maxscore, mixing, secrets, tokenfile, transducer, winnow
 from lacuna.llm.texts import word_count
 from lacuna.scratch import new_path
 
@@ -48,6 +48,12 @@ def op1(spark, folder):
     return maxscore.top_k(vectors, F.col("key") % QUERY_STEP == 0, TOP_K)
 
 
+@query("op2_secret_structures")
+def op2(spark, folder):
+    return secrets.scan(read(spark, folder, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans",
+                                                                 "n_jwt", "n_pem", "n_der", "n_ssh")
+
+
 SHARDS = 24
 
 
