@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lacuna.llm import hilbert, maxscore, mixing, secrets, tokenfile, transducer, winnow
+from lacuna.llm import hilbert, maxscore, minmax, mixing, secrets, tokenfile, transducer, winnow
 from lacuna.llm.texts import word_count
 from lacuna.scratch import new_path
 
@@ -83,6 +83,23 @@ def op5(spark, folder):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query("op7_min_max_hashing", """
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r(d, t) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.t),
+m AS (SELECT d, min(t) AS t FROM r GROUP BY d)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, t AS component_id, doc_id = t AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN m ON m.d = doc_id""")
+def op7(spark, folder):
+    groups, _ = minmax.near_duplicates(read(spark, folder, "documents"))
+    return groups.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
+
+
 @query("op9_token_counts")
 def op9(spark, folder):
     return transducer.token_counts(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
