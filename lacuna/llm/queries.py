@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lacuna.llm import hilbert, maxscore, minmax, mixing, secrets, tokenfile, transducer, winnow
+from lacuna.llm import bytecnn, hilbert, maxscore, minmax, mixing, secrets, tokenfile, toxicity, transducer, winnow
 from lacuna.llm.texts import word_count
 from lacuna.scratch import new_path
 
@@ -83,6 +83,11 @@ def op5(spark, folder):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query("op6_byte_cnn")
+def op6(spark, folder):
+    return bytecnn.quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query("op7_min_max_hashing", """
 WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -100,6 +105,11 @@ def op7(spark, folder):
     return groups.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 
 
+@query("op8_boosted_toxicity")
+def op8(spark, folder):
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query("op9_token_counts")
 def op9(spark, folder):
     return transducer.token_counts(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
