@@ -65,7 +65,25 @@ def op3(spark, folder):
                       F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-@query("op4_winnowing")
+WEIGHTS, EPOCHS = [5, 2, 1], 3
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ITEM_WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op4_winnowing", f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {ITEM_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {ITEM_WORDS} AS w FROM benchmark),
+iw AS (SELECT item_id, w, least(len(w), 10) AS n FROM i WHERE len(w) > 0),
+ix AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM iw),
+t AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM ix),
+dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM t) WHERE len(w) >= n),
+h AS MATERIALIZED (SELECT doc_id, p, dp.n, item_id FROM dp JOIN t ON dp.n = t.n AND array_to_string(dp.w[p:p + dp.n - 1], ' ') = t.s),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM h) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""")
 def op4(spark, folder):
     documents, _ = winnow.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return documents.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -73,10 +91,22 @@ def op4(spark, folder):
                             (F.col("n_hit") > 0).alias("contaminated"))
 
 
-WEIGHTS, EPOCHS = [5, 2, 1], 3
-
-
-@query("op5_capped_water_filling")
+@query("op5_capped_water_filling", f"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, {WEIGHTS}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight, {EPOCHS} * source_size AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source) AS k FROM w),
+c AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM o WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT level, k FROM c WHERE cap >= weight * level ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN k < coalesce((SELECT k FROM l), 1e18) THEN cap::DOUBLE
+  ELSE least(cap::DOUBLE, weight * (SELECT level FROM l)) END AS target FROM c),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS whole FROM t),
+r AS (SELECT d.*, source_size, target, whole, greatest(0.0, target - whole * source_size) AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('0|' || doc_id), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+x AS (SELECT *, (whole + CASE WHEN middle <= rest AND whole < {EPOCHS} THEN 1 ELSE 0 END)::INTEGER AS copies FROM r)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM x""")
 def op5(spark, folder):
     docs = read(spark, folder, "documents")
     return mixing.mix(docs, "doc_id", word_count(F.col("text")), "source", WEIGHTS, EPOCHS).select(
