@@ -32,8 +32,38 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 #: For each length, the bits of a four-byte word that belong to the rank.
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
-# the tokenizer drops white space, and no token, contraction or composed character spans these four
-SPACES = str.maketrans("\t\n\r", "   ")
+#: ASCII signs: between one of them and a letter or digit before it, the tokenizer always cuts.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+#: A word that parts others when many are encoded as one text. Words that hold it are encoded alone.
+MARK = "|"
+
+#: Words encoded as one text.
+TOGETHER = 20_000
+
+
+def normalized(text: str) -> str:
+    """The text with spaces for tabs and line ends; in lower case if that is what the tokenizer would make of it.
+
+    The tokenizer drops white space, and no token spans it. Lower case is certain for Latin-1 texts, whose letters
+    have one lower form each, without anything like a special token.
+    """
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+def parts_of(word: str) -> tuple[str, str]:
+    """A word and the signs behind its last letter or digit, where these may be encoded apart."""
+    head = word.rstrip(SIGNS)
+    if head and len(head) < len(word) and head[-1].isalnum() and head[-1] < "\u0100" and "<|" not in word:
+        return head, word[len(head) :]
+    return word, ""
 
 
 class WordIds(dict):
@@ -44,17 +74,32 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_str(content), kind
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self[""] = b""
 
     def learn(self, words: set[str]) -> None:
         if len(self) + len(words) > MEMORY:
             self.clear()
-        new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, self.kind).tobytes()
+            self[""] = b""
+        split = {w: parts_of(w) for w in words - self.keys()}
+        bases = {p for parts in split.values() for p in parts} - self.keys()
+        together = [b for b in bases if MARK not in b] if len(self.mark) == 1 else []
+        for i in range(0, len(together), TOGETHER):
+            part = together[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*part, ""]), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(ids == self.mark[0])
+            data, width = ids.tobytes(), ids.itemsize
+            starts = [0, *((ends[:-1] + 1) * width).tolist()]
+            for b, x, y in zip(part, starts, (ends * width).tolist(), strict=True):
+                self[b] = data[x:y]
+        alone = [b for b in bases if b not in self]
+        for b, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
+            self[b] = np.array(e.ids, self.kind).tobytes()
+        self.update({w: self[head] + self[tail] for w, (head, tail) in split.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(SPACES).split(" ") for t in texts]
-        self.learn(set().union(*split) if split else set())
+        split = [normalized(t).split(" ") for t in texts]
+        self.learn(set().union(*split))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 

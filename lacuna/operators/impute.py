@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lacuna.operators import coding
 from lacuna.operators.cells import q
 from lacuna.operators.embed import HashEncoder, hash_vectors, in_metric_space
-from lacuna.operators.neighbors import PROFILE, nearest_cells, profiles, tag_rows
+from lacuna.operators.neighbors import PROFILE, nearest_cells, profiles, tag_rows, with_long_keys
 from lacuna.roles import Roles
 from lacuna.scratch import cut
 
@@ -47,25 +47,28 @@ def _typed(value, feature: str, roles: Roles):
 def fill_table(coded: DataFrame, roles: Roles, vector: str = "vec", k: int = 5, metric: str = "cosine", **tuning) -> DataFrame:
     """Impute a table of numbers and category codes that carries one vector per row.
 
-    A single pass: fills never serve as donors. A feature without any observed cell stays NULL.
+    A single pass: fills never serve as donors. A feature without any observed cell stays NULL. The key may
+    be of any type.
     """
+    coded, restore = with_long_keys(coded, roles.key)
     table, metric = in_metric_space(coded, vector, metric)
     tagged = cut(tag_rows(table, roles.key, vector, roles.features), "rows")
     groups = profiles(tagged, k)
     found = nearest_cells(groups, groups, k, metric, len(roles.features), **tuning)
-    return merge_fills(tagged, found, roles)
+    return restore(merge_fills(tagged, found, roles), roles.key)
 
 
 def nearest_donors(coded: DataFrame, roles: Roles, vector: str = "vec", k: int = 5, metric: str = "cosine", **tuning) -> DataFrame:
     """The donors behind every fill: key, feature, rank, donor key, its value, distance."""
+    coded, restore = with_long_keys(coded, roles.key)
     table, metric = in_metric_space(coded, vector, metric)
     tagged = cut(tag_rows(table, roles.key, vector, roles.features), "rows")
     groups = profiles(tagged, k)
     found = nearest_cells(groups, groups, k, metric, len(roles.features), **tuning)
     names = F.array(*[F.lit(f) for f in roles.features])
-    return tagged.select(*PROFILE, F.col("key").alias("row_id")).join(found, list(PROFILE)).select(
+    return restore(tagged.select(*PROFILE, F.col("key").alias("row_id")).join(found, list(PROFILE)).select(
         F.col("row_id").alias(roles.key), F.element_at(names, F.col("f") + 1).alias("feature"), "rank",
-        F.col("key").alias("donor_id"), "value", "dist")
+        F.col("key").alias("donor_id"), "value", "dist"), roles.key, "donor_id")
 
 
 def impute(df: DataFrame, roles: Roles, k: int = 5, metric: str = "cosine", encoder: HashEncoder = HashEncoder(),

@@ -3,12 +3,13 @@
 1. Rows with equal vector and equal set of observed cells form one *profile*. All its rows have the
    same nearest donors, and of its own rows only the k lowest keys can ever be chosen as donors. So
    a group of copies, however large, costs one profile of k rows.
-2. Profiles are range-sorted by (nearest pivot, distance to it) and cut into blocks of bounded size;
-   a dense region simply yields more blocks.
-3. Query blocks first meet the donor blocks next to them, which bounds the k-th distance of every
-   query. By the triangle inequality a donor block can then be left out if its ring around its pivot
-   lies beyond that bound. What cannot be excluded is joined, so the result is exact.
-4. A task holds one query block and its running k best per cell while donor blocks stream past.
+2. Profiles are sorted within their partitions by (nearest reference vector, distance to it) and cut into
+   blocks of bounded size. A block knows the range of its distances to every reference.
+3. Query blocks form groups that a task can hold, donor blocks form slots. A task takes one group and
+   one slot: a donor block travels once per group, a query block once per slot, never once per pair.
+4. The task keeps the running k best of every cell while donor blocks stream past. By the triangle
+   inequality a donor block is left out for every query whose bound lies beyond one of its ranges. What
+   cannot be excluded is computed, so the result is exact.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegralType, LongType
 
 from lacuna.functions.vectors import METRICS
 from lacuna.operators.cells import q
+from lacuna.operators.position import with_position
 from lacuna.operators.tiles import Tile, as_metric, closest, distances, prepare
 from lacuna.scratch import cut, cut_counted
 
-MAX_PIVOTS = 512
-MIN_PIVOTS = 4  # fewer would exclude too little to pay for the first round
+REFERENCES = 32
 BLOCK_BYTES = 8 << 20
+GROUP_BYTES = 128 << 20  # query vectors and rows that a task holds
+SLOT_BLOCKS = 256  # donor blocks that stream past a group in one task
 SLACK = 1e-9  # bounds are widened by this, so rounding never excludes a tie
 
 PROFILE = ("h1", "h2")
@@ -44,6 +48,8 @@ def profile_id(vector: Column, observed: list[Column]) -> list[Column]:
 
 def tag_rows(df: DataFrame, key: str, vector: str, features) -> DataFrame:
     """h1, h2, key, vec, and the features as doubles."""
+    if not isinstance(df.schema[key].dataType, LongType):
+        raise TypeError(f"{key}: the join works on bigint keys; ``with_long_keys`` gives them to any table")
     ids = profile_id(q(vector), [q(f).isNotNull() for f in features])
     values = F.array(*[q(f).cast("double") for f in features]) if features else F.array().cast("array<double>")
     return df.select(*ids, q(key).alias("key"), q(vector).alias("vec"), values.alias("vals"))
@@ -66,7 +72,7 @@ def profiles(tagged: DataFrame, k: int) -> Profiles:
     lowest = W.partitionBy(*PROFILE).orderBy("key")
     kept = tagged.withColumn("rn", F.row_number().over(lowest)).where(F.col("rn") <= k)
     grouped = kept.groupBy(*PROFILE).agg(
-        F.first("vec").cast("array<double>").alias("vec"),
+        F.first("vec").alias("vec"),
         F.collect_list(F.struct("key", "vals")).alias("rows"),  # k entries at most
     )
     table, seen = cut_counted(grouped, "profiles", F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"))
@@ -86,9 +92,9 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return _flat(column).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
-def _assigner(pivots: np.ndarray, metric: str):
-    """Adds the nearest pivot of every vector and the distance to it."""
-    ready = prepare(pivots, metric)
+def _assigner(references: np.ndarray, metric: str):
+    """Adds the nearest reference of every vector and the distances to all."""
+    ready = prepare(references, metric)
 
     def assign(batches):
         for batch in batches:
@@ -96,20 +102,20 @@ def _assigner(pivots: np.ndarray, metric: str):
                 continue
             d = as_metric(distances(prepare(_vectors(batch.column("vec")), metric), ready, metric), metric)
             cell = d.argmin(axis=1)
-            ring = d[np.arange(len(d)), cell]
+            far = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("h1", "h2", "vec", "rows")), pa.array(cell, pa.int32()), pa.array(ring)],
-                names=["h1", "h2", "vec", "rows", "cell", "ring"])
+                [*(batch.column(c) for c in ("h1", "h2", "vec", "rows")), pa.array(cell, pa.int32()),
+                 pa.array(d[np.arange(len(d)), cell]), far],
+                names=["h1", "h2", "vec", "rows", "cell", "ring", "far"])
 
     return assign
 
 
-BLOCK_SCHEMA = ("block string, cell int, lo double, hi double, n int, "
-                "ids binary, mat binary, counts binary, keys binary, vals binary")
+BLOCK_SCHEMA = "block bigint, n int, ids binary, mat binary, counts binary, keys binary, vals binary, far binary, lo binary, hi binary"
 
 
-def _packer(block_rows: int, n_features: int):
-    """Cuts the sorted stream into blocks: at most ``block_rows`` profiles of one cell each."""
+def _packer(block_rows: int, n_features: int, vector_type: str):
+    """Cuts the sorted stream into blocks of at most ``block_rows`` profiles."""
 
     def pack_one(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -121,74 +127,76 @@ def _packer(block_rows: int, n_features: int):
         vals = _flat(entries.field("vals")).astype(np.float64).reshape(len(keys), n_features)
         order = np.lexsort((keys, np.repeat(np.arange(len(counts)), counts)))
         ids = np.stack([column["h1"].to_numpy(), column["h2"].to_numpy()], axis=1)
-        ring = column["ring"].to_numpy()
-        record = {"block": f"{ids[0, 0]:x}.{ids[0, 1]:x}", "cell": column["cell"][0].as_py(),
-                  "lo": float(ring.min()), "hi": float(ring.max()), "n": len(ids), "ids": ids.tobytes(),
-                  "mat": _vectors(column["vec"]).tobytes(), "counts": counts.tobytes(),
-                  "keys": keys[order].tobytes(), "vals": vals[order].tobytes()}
-        kinds = {"block": pa.string(), "cell": pa.int32(), "lo": pa.float64(), "hi": pa.float64(), "n": pa.int32()}
+        far = _vectors(column["far"])
+        record = {"block": int(ids[0, 0]), "n": len(ids), "ids": ids.tobytes(),
+                  "mat": _flat(column["vec"]).astype(vector_type).tobytes(), "counts": counts.tobytes(),
+                  "keys": keys[order].tobytes(), "vals": vals[order].tobytes(),
+                  "far": far.tobytes(), "lo": far.min(axis=0).tobytes(), "hi": far.max(axis=0).tobytes()}
+        kinds = {"block": pa.int64(), "n": pa.int32()}
         return pa.RecordBatch.from_arrays(
             [pa.array([v], kinds.get(c, pa.binary())) for c, v in record.items()], names=list(record))
 
     def pack(batches):
         pending: list[pa.Table] = []
-        size, cell = 0, None
+        size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            cells = batch.column("cell").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(cells)) + 1), len(cells)]
-            for at, end in zip(edges[:-1], edges[1:]):
-                while at < end:
-                    if size and (cells[at] != cell or size == block_rows):
-                        yield pack_one(pa.concat_tables(pending))
-                        pending, size = [], 0
-                    cell = cells[at]
-                    piece = table.slice(at, min(end - at, block_rows - size))
-                    pending.append(piece)
-                    size += piece.num_rows
-                    at += piece.num_rows
+            table, at = pa.Table.from_batches([batch]), 0
+            while at < batch.num_rows:
+                piece = table.slice(at, block_rows - size)
+                pending.append(piece)
+                size += piece.num_rows
+                at += piece.num_rows
+                if size == block_rows:
+                    yield pack_one(pa.concat_tables(pending))
+                    pending, size = [], 0
         if size:
             yield pack_one(pa.concat_tables(pending))
 
     return pack
 
 
-def build_blocks(side: DataFrame, pivots, metric: str, block_rows: int, n_features: int, label: str):
-    """Written table of blocks, at most ``block_rows`` profiles each, and their number."""
-    if pivots is None:
-        ordered = side.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("ring"))
-    else:
-        ordered = side.mapInArrow(
-            _assigner(pivots, metric),
-            "h1 bigint, h2 bigint, vec array<double>, rows array<struct<key:bigint,vals:array<double>>>, "
-            "cell int, ring double").orderBy("cell", "ring")
-    blocks, seen = cut_counted(ordered.mapInArrow(_packer(block_rows, n_features), BLOCK_SCHEMA), label)
+def _element(table: DataFrame) -> str:
+    """How vector elements travel: floats stay floats."""
+    return "<f4" if table.schema["vec"].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def build_blocks(side: DataFrame, references: np.ndarray, metric: str, block_rows: int, n_features: int, label: str):
+    """Written table of blocks, at most ``block_rows`` profiles each, and their number. No row changes its partition."""
+    kind = side.schema["vec"].dataType.simpleString()
+    if kind not in ("array<float>", "array<double>"):
+        side, kind = side.withColumn("vec", F.col("vec").cast("array<double>")), "array<double>"
+    ordered = side.select("h1", "h2", "vec", "rows").mapInArrow(
+        _assigner(references, metric),
+        f"h1 bigint, h2 bigint, vec {kind}, rows array<struct<key:bigint,vals:array<double>>>, "
+        "cell int, ring double, far array<double>").sortWithinPartitions("cell", "ring", "h1", "h2")
+    packed = ordered.mapInArrow(_packer(block_rows, n_features, _element(side)), BLOCK_SCHEMA)
+    blocks, seen = cut_counted(packed, label)
     return blocks, seen["n"]
 
 
 class Block:
-    """A block as arrays."""
+    """A block as arrays. ``lo`` and ``hi`` are the ranges of its distances to the references, ``far`` the distances."""
 
-    def __init__(self, row, side: str, metric: str, n_features: int):
+    def __init__(self, row, donor: bool, metric: str, n_features: int, vector_type: str):
         def field(name, dtype):
-            return np.frombuffer(row[f"{side}_{name}"], dtype=dtype)
+            return np.frombuffer(row[name], dtype=dtype)
 
-        n = int(row[f"{side}_n"])
+        n = int(row["n"])
         self.n = n
-        self.vectors = prepare(field("mat", np.float64).reshape(n, -1), metric)
+        self.vectors = prepare(field("mat", vector_type).reshape(n, -1), metric)
         self.counts = field("counts", np.int32).astype(np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
         # rows of a profile have the same cells observed
         self.vals = field("vals", np.float64).reshape(int(self.counts.sum()), n_features)
         self.observed = ~np.isnan(self.vals[self.starts])
-        if side == "q":
-            self.ids = field("ids", np.int64).reshape(n, 2)
-        else:
+        if donor:
             self.keys = field("keys", np.int64)
             self.by_key = np.argsort(self.keys, kind="stable")
             self.owner = np.repeat(np.arange(n), self.counts)
+            self.lo, self.hi = field("lo", np.float64), field("hi", np.float64)
+        else:
+            self.ids = field("ids", np.int64).reshape(n, 2)
+            self.far = field("far", np.float64).reshape(n, -1)
 
     def rows_of(self, profiles: np.ndarray):
         """Row numbers of the given profiles, and for each row the position of its profile in the list."""
@@ -206,41 +214,56 @@ CANDIDATE_SCHEMA = "h1 bigint, h2 bigint, f int, key bigint, value double, dist
 class _Best:
     """Running k best donors of every wanted cell of one query block."""
 
-    def __init__(self, block: Block, k: int, n_features: int, bounds: np.ndarray | None):
+    def __init__(self, block: Block, k: int, n_features: int):
         self.block, self.k = block, k
         self.any_row = n_features == 0
         width = max(n_features, 1)
         self.wanted = np.ones((width, block.n), dtype=bool) if self.any_row else ~block.observed.T
-        # a donor must beat (limit, last_key); a bound from outside admits equal distances of any key
-        self.limit = np.full((width, block.n), np.inf) if bounds is None else np.array(bounds)
+        # a donor must beat (limit, last_key)
+        self.limit = np.full((width, block.n), np.inf)
         self.last_key = np.full((width, block.n), np.iinfo(np.int64).max)
         self.held: list[dict | None] = [None] * width
 
+    def near(self, donors: Block, metric: str) -> np.ndarray:
+        """Queries that a donor of the block may still serve, by its ranges around every reference.
+
+        A distance that is undefined (infinite for vectors without spread) excludes nothing.
+        """
+        reach = np.where(self.wanted, as_metric(self.limit, metric), -np.inf).max(axis=0)
+        with np.errstate(invalid="ignore"):
+            beyond = np.fmax(self.block.far - donors.hi, donors.lo - self.block.far)
+        least = np.where(np.isfinite(beyond), beyond, 0.0).max(axis=1)
+        return np.flatnonzero(least <= reach + SLACK)
+
     def add(self, donors: Block, metric: str):
-        tile = Tile(self.block.vectors, donors.vectors, metric)
+        rows = self.near(donors, metric)
+        if not len(rows):
+            return
+        tile = Tile(tuple(None if part is None else part[rows] for part in self.block.vectors), donors.vectors, metric)
         offered = np.ones((len(self.wanted), donors.n), dtype=bool) if self.any_row else donors.observed.T
-        open_ = self.wanted & np.isinf(self.limit)
+        wanted = self.wanted[:, rows]
+        open_ = wanted & np.isinf(self.limit[:, rows])
         for f in np.flatnonzero(open_.any(axis=1)):
-            self._search_all(f, np.flatnonzero(open_[f]), tile, donors, offered[f])
-        self._search_near(tile, donors, offered, self.wanted & ~open_)
+            self._search_all(f, np.flatnonzero(open_[f]), rows, tile, donors, offered[f])
+        self._search_near(tile, rows, donors, offered, wanted & ~open_)
 
-    def _search_all(self, f, rows, tile, donors, offered):
+    def _search_all(self, f, open_, rows, tile, donors, offered):
         """Cells without a bound yet: the k best of the whole block."""
         columns = donors.by_key[offered[donors.owner[donors.by_key]]]
         if not len(columns):
             return
         step = max(1, (1 << 22) // len(columns))
-        for lo in range(0, len(rows), step):
-            part = rows[lo:lo + step]
+        for lo in range(0, len(open_), step):
+            part = open_[lo:lo + step]
             d = tile.dense(part)[:, donors.owner[columns]]
             i, j = closest(d, donors.keys[columns], self.k)
-            self._merge(f, part[i], columns[j], d[i, j], donors)
+            self._merge(f, rows[part[i]], columns[j], d[i, j], donors)
 
-    def _search_near(self, tile, donors, offered, cells):
+    def _search_near(self, tile, rows, donors, offered, cells):
         """Cells with a bound: only pairs that can beat it are looked at."""
         if not cells.any():
             return
-        reach = np.where(cells, self.limit, -np.inf).max(axis=0)
+        reach = np.where(cells, self.limit[:, rows], -np.inf).max(axis=0)
         pairs = np.flatnonzero(tile.rough <= (reach + tile.slack)[:, None])
         if not len(pairs):
             return
@@ -249,14 +272,15 @@ class _Best:
         least = donors.keys[donors.starts][j]
         for f in range(len(cells)):
             near = np.flatnonzero(cells[f][i] & offered[f][j])
-            gap = rough[near] - self.limit[f][i[near]]
+            at = rows[i[near]]
+            gap = rough[near] - self.limit[f][at]
             # surely not nearer than the bound: only a lower key can win
-            near = near[(gap < -tile.slack) | ((gap <= tile.slack) & (least[near] < self.last_key[f][i[near]]))]
+            near = near[(gap < -tile.slack) | ((gap <= tile.slack) & (least[near] < self.last_key[f][at]))]
             if not len(near):
                 continue
             d = tile.exact(i[near], j[near])
-            rows, at = donors.rows_of(j[near])
-            self._merge(f, i[near][at], rows, d[at], donors)
+            found, pair = donors.rows_of(j[near])
+            self._merge(f, rows[i[near]][pair], found, d[pair], donors)
 
     def _merge(self, f, i, rows, dist, donors):
         key = donors.keys[rows]
@@ -288,42 +312,40 @@ class _Best:
                                     "value": held["value"], "dist": held["dist"]})
 
 
-def _tile_task(k: int, metric: str, n_features: int):
+def _tile_task(k: int, metric: str, n_features: int, q_type: str, d_type: str):
     def run(batches):
-        current, best = None, None
+        current, held = None, []
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                if row["q_block"] != current:
-                    if best is not None:
+                if (row["team"], row["slot"]) != current:
+                    for best in held:
                         yield from best.rows()
-                    block = Block(row, "q", metric, n_features)
-                    bounds = row.get("q_bounds")
-                    if bounds is not None:
-                        bounds = np.frombuffer(bounds, dtype=np.float64).reshape(-1, block.n)
-                    current, best = row["q_block"], _Best(block, k, n_features, bounds)
-                best.add(Block(row, "d", metric, n_features), metric)
-        if best is not None:
+                    current, held = (row["team"], row["slot"]), []
+                if row["is_donor"]:
+                    donors = Block(row, True, metric, n_features, d_type)
+                    for best in held:
+                        best.add(donors, metric)
+                else:
+                    held.append(_Best(Block(row, False, metric, n_features, q_type), k, n_features))
+        for best in held:
             yield from best.rows()
 
     return run
 
 
-def _prefixed(blocks: DataFrame, side: str, *drop) -> DataFrame:
-    return blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns if c not in drop])
+def deal(q_blocks: DataFrame, d_blocks: DataFrame, teams: int, slots: int) -> DataFrame:
+    """Blocks with the (team, slot) of the tasks they go to: queries to every slot, donors to every team."""
+    def part(number):
+        return F.pmod(F.xxhash64("block"), F.lit(number)).cast("int")
 
+    def each(number):
+        return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
 
-def meet(pairs: DataFrame, q_blocks: DataFrame, d_blocks: DataFrame, k: int, metric: str,
-         n_features: int, tasks: int, slots: int) -> DataFrame:
-    """Join block payloads along ``pairs`` and keep the k best per cell within every (query block, slot)."""
-    slot = F.pmod(F.xxhash64("d_block"), F.lit(slots))
-    listed = pairs.select("q_block", "d_block", slot.alias("slot"))
-    donors = _prefixed(d_blocks, "d", "cell", "lo", "hi", "ids")
-    queries = _prefixed(q_blocks, "q", "cell", "lo", "hi", "keys")
-    queries = queries.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
-    left = listed.join(donors, "d_block").repartition(tasks, "q_block", "slot")
-    right = queries.repartition(tasks, "q_block", "slot")
-    joined = left.join(right.hint("merge"), ["q_block", "slot"]).sortWithinPartitions("q_block", "slot")
-    return joined.mapInPandas(_tile_task(k, metric, n_features), CANDIDATE_SCHEMA)
+    queries = q_blocks.select("*", F.lit(False).alias("is_donor"), part(teams).alias("team")).withColumn("slot", each(slots))
+    donors = d_blocks.select("*", F.lit(True).alias("is_donor"), part(slots).alias("slot")).withColumn("team", each(teams))
+    nothing = F.lit(None).cast("binary")
+    queries = queries.withColumns({"keys": nothing, "lo": nothing, "hi": nothing})
+    return queries.unionByName(donors.withColumns({"ids": nothing, "far": nothing}))
 
 
 def best_k(candidates: DataFrame, k: int) -> DataFrame:
@@ -351,116 +373,58 @@ def nearest_cells(queries: Profiles, donors: Profiles, k: int, metric: str, n_fe
     if not donors.n or not queries.n:
         return spark.createDataFrame([], CANDIDATE_SCHEMA + ", rank int")
     # blocks large enough for dense arithmetic, small enough for memory and for every core to have some
-    most = max(64, min(2048, BLOCK_BYTES // (8 * (donors.dim + k * n_features))))
+    row_bytes = 8 * (donors.dim + k * n_features + REFERENCES)
+    most = max(64, min(2048, BLOCK_BYTES // row_bytes))
     size = block_rows or int(min(most, max(64, math.ceil(max(queries.n, donors.n) / (2 * cores)))))
-    if n_pivots is None:
-        n_pivots = min(MAX_PIVOTS, BLOCK_BYTES // (8 * donors.dim), donors.n // (4 * most))
-    pivots = None
-    if n_pivots >= MIN_PIVOTS:
-        chosen = donors.table.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()
-        pivots = np.array([r["vec"] for r in chosen], dtype=np.float64)
-    d_blocks, many_d = build_blocks(donors.table, pivots, metric, size, n_features, "donor-blocks")
+    chosen = donors.table.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots or REFERENCES).collect()
+    references = np.array([r["vec"] for r in chosen], dtype=np.float64)
+    d_blocks, many_d = build_blocks(donors.table, references, metric, size, n_features, "donor-blocks")
     q_blocks, many_q = (d_blocks, many_d) if same else \
-        build_blocks(queries.table, pivots, metric, size, n_features, "query-blocks")
-    slots = max(1, math.ceil(many_d / 256), min(math.ceil(2 * cores / many_q), many_d))
-    tasks = int(min(many_q * slots, 20_000))
-
-    d_meta = d_blocks.select(F.col("block").alias("d_block"), "cell", "lo", "hi")
-    q_meta = q_blocks.select(F.col("block").alias("q_block"), "cell", "lo", "hi")
-    if pivots is None:
-        pairs = q_meta.select("q_block", "cell").join(d_meta.select("d_block", "cell"), "cell")
-        return best_k(meet(pairs, q_blocks, d_blocks, k, metric, n_features, tasks, slots), k)
-
-    seeds = cut(_next_to(q_meta, d_meta), "seeds")
-    near = cut(meet(seeds, q_blocks, d_blocks, k, metric, n_features, tasks, 1), "near")
-    bounded, reach = _bounds(best_k(near, k), q_blocks, d_meta, pivots, k, metric, n_features)
-    rest = (reach.join(d_meta, "cell")
-            .where((F.col("hi") >= F.col("least")) & (F.col("lo") <= F.col("most")))
-            .join(seeds, ["q_block", "d_block"], "left_anti"))
-    far = meet(rest.select("q_block", "d_block"), bounded, d_blocks, k, metric, n_features, tasks, slots)
-    return best_k(near.unionByName(far), k)
-
-
-def _next_to(q_meta: DataFrame, d_meta: DataFrame) -> DataFrame:
-    """Per query block the nearest donor block below and above it in (cell, ring) order."""
-    both = (q_meta.select("cell", "lo", F.lit(1).alias("is_query"), F.col("q_block").alias("block"))
-            .unionByName(d_meta.select("cell", "lo", F.lit(0).alias("is_query"), F.col("d_block").alias("block"))))
-    order = W.partitionBy("cell").orderBy("lo", "is_query", "block")
-    donor = F.when(F.col("is_query") == 0, F.col("block"))
-    seen = both.select(
-        "block", "is_query",
-        F.last(donor, True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("below"),
-        F.first(donor, True).over(order.rowsBetween(0, W.unboundedFollowing)).alias("above"))
-    return (seen.where("is_query = 1")
-            .select(F.col("block").alias("q_block"), F.explode(F.array_distinct(F.array("below", "above"))).alias("d_block"))
-            .where(F.col("d_block").isNotNull()))
-
-
-def _bounds(near: DataFrame, q_blocks: DataFrame, d_meta: DataFrame, pivots: np.ndarray, k: int,
-            metric: str, n_features: int):
-    """Query blocks with the k-th distance of each cell, and the rings of each pivot they must reach."""
-    kth = near.where(F.col("rank") == k).select("h1", "h2", "f", "dist")
-    ids = q_blocks.select("block", "n", "ids").mapInPandas(_list_ids, "block string, slot int, h1 bigint, h2 bigint")
-    limits = (ids.join(kth, ["h1", "h2"]).groupBy("block")
-              .agg(F.collect_list(F.struct("slot", "f", "dist")).alias("limits")))  # one block's cells
-    widest = d_meta.groupBy("cell").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo")).collect()  # one row per pivot
-    rings = {r["cell"]: (r["lo"], r["hi"]) for r in widest}
-    cells = np.array(sorted(rings), dtype=np.int64)
-    low = np.array([rings[c][0] for c in cells])
-    high = np.array([rings[c][1] for c in cells])
-    ready = prepare(pivots[cells], metric)
-
-    def bound(batches):
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                block = Block({f"q_{c}": v for c, v in row.items()}, "q", metric, n_features)
-                n = block.n
-                limit = np.full((max(n_features, 1), n), np.inf)
-                for e in (row["limits"] if row["limits"] is not None else ()):
-                    limit[e["f"], e["slot"]] = e["dist"]
-                wanted = _Best(block, k, n_features, None).wanted
-                reach = np.where(wanted, as_metric(limit, metric), -np.inf).max(axis=0)
-                used = np.flatnonzero(reach > -np.inf)
-                out = {"block": row["block"], "bounds": limit.tobytes(), "cells": [], "least": [], "most": []}
-                if len(used):
-                    vectors = (block.vectors[0][used], None if block.vectors[1] is None else block.vectors[1][used])
-                    d = as_metric(distances(vectors, ready, metric), metric)
-                    span = reach[used, None] + SLACK
-                    open_ = (d - span <= high) & (d + span >= low)
-                    hit = np.flatnonzero(open_.any(axis=0))
-                    out["cells"] = cells[hit].astype(np.int32)
-                    out["least"] = np.where(open_, d - span, np.inf).min(axis=0)[hit]
-                    out["most"] = np.where(open_, d + span, -np.inf).max(axis=0)[hit]
-                yield pd.DataFrame([out])
-
-    reached = cut(
-        q_blocks.join(limits, "block", "left").mapInPandas(
-            bound, "block string, bounds binary, cells array<int>, least array<double>, most array<double>"), "reach")
-    bounded = q_blocks.join(reached.select("block", "bounds"), "block")
-    rings_of = reached.select(
-        F.col("block").alias("q_block"), F.explode(F.arrays_zip("cells", "least", "most")).alias("r")
-    ).select("q_block", F.col("r.cells").alias("cell"), F.col("r.least").alias("least"), F.col("r.most").alias("most"))
-    return bounded, rings_of
-
-
-def _list_ids(batches):
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            ids = np.frombuffer(row.ids, dtype=np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"block": row.block, "slot": np.arange(len(ids), dtype=np.int32),
-                                "h1": ids[:, 0], "h2": ids[:, 1]})
+        build_blocks(queries.table, references, metric, size, n_features, "query-blocks")
+    teams = math.ceil(many_q * size * row_bytes / GROUP_BYTES)
+    slots = max(math.ceil(many_d / SLOT_BLOCKS), min(math.ceil(2 * cores / teams), many_d))
+    dealt = (deal(q_blocks, d_blocks, teams, slots).repartition(teams * slots, "team", "slot")
+             .sortWithinPartitions("team", "slot", "is_donor"))
+    task = _tile_task(k, metric, n_features, _element(queries.table), _element(donors.table))
+    return best_k(dealt.mapInPandas(task, CANDIDATE_SCHEMA), k)
+
+
+# ---------------------------------------------------------------- keys of any type
+
+def with_long_keys(df: DataFrame, key: str):
+    """(``df`` with a bigint key, a function that puts the first keys back into named columns of a result).
+
+    Whole numbers are widened. Other keys get their rank, so the lowest key stays the lowest; they must be unique and
+    not null, like every key here.
+    """
+    kind = df.schema[key].dataType
+    if isinstance(kind, LongType):
+        return df, lambda out, *columns: out
+    if isinstance(kind, IntegralType):
+        return df.withColumn(key, q(key).cast("bigint")), lambda out, *columns: out.withColumns({c: q(c).cast(kind) for c in columns})
+    names = with_position(df.select(q(key).alias("__key")), "__key", "__id", "keys")
+
+    def restore(out, *columns):
+        for c in columns:
+            out = out.join(names.withColumnRenamed("__id", c), c).drop(c).withColumnRenamed("__key", c).select(*out.columns)
+        return out
+
+    numbered = df.join(names.withColumnRenamed("__key", key), key).drop(key).withColumnRenamed("__id", key)
+    return numbered.select(*df.columns), restore
 
 
 # ---------------------------------------------------------------- whole rows
 
 def nearest_rows(df: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", **tuning) -> DataFrame:
-    """row_id, donor_id, dist, rank: the k nearest other rows of every row."""
+    """row_id, donor_id, dist, rank: the k nearest other rows of every row. The key may be of any type."""
+    df, restore = with_long_keys(df, key)
     tagged = tag_rows(df, key, vector, [])
     groups = profiles(tagged, k + 1)
     found = nearest_cells(groups, groups, k + 1, metric, 0, **tuning)
     lists = found.groupBy(*PROFILE).agg(F.array_sort(F.collect_list(F.struct("dist", "key"))).alias("near"))
     others = F.slice(F.filter("near", lambda x: x["key"] != F.col("row_id")), 1, k)
-    return (tagged.select(*PROFILE, F.col("key").alias("row_id")).join(lists, list(PROFILE))
-            .select("row_id", F.posexplode(others).alias("pos", "donor"))
-            .select("row_id", F.col("donor.key").alias("donor_id"), F.col("donor.dist").alias("dist"),
-                    (F.col("pos") + 1).alias("rank")))
+    out = (tagged.select(*PROFILE, F.col("key").alias("row_id")).join(lists, list(PROFILE))
+           .select("row_id", F.posexplode(others).alias("pos", "donor"))
+           .select("row_id", F.col("donor.key").alias("donor_id"), F.col("donor.dist").alias("dist"),
+                   (F.col("pos") + 1).alias("rank")))
+    return restore(out, "row_id", "donor_id")

@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from lacuna.operators.cells import assert_no_holes, q
-from lacuna.operators.neighbors import PROFILE, nearest_cells, profiles, tag_rows
+from lacuna.operators.neighbors import PROFILE, nearest_cells, profiles, tag_rows, with_long_keys
 from lacuna.roles import Roles
 from lacuna.scratch import cut, cut_counted
 
@@ -35,13 +35,14 @@ def standardize(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFra
 def knn_classify(train: DataFrame, test: DataFrame, roles: Roles, k: int = KNN_K, **tuning) -> DataFrame:
     """key, prediction: majority label of the k nearest training rows, the lowest of equal ones."""
     vector = F.array(*[q(f).cast("double") for f in roles.covariates])
+    (train, _), (test, restore) = with_long_keys(train, roles.key), with_long_keys(test, roles.key)
     donors = profiles(tag_rows(train.select(roles.key, vector.alias("vec"), q(roles.target).cast("double").alias("label")),
                                roles.key, "vec", ["label"]), k)
     asked = tag_rows(test.select(roles.key, vector.alias("vec"), F.lit(None).cast("double").alias("label")),
                      roles.key, "vec", ["label"])
     found = nearest_cells(profiles(asked, 1), donors, k, "euclidean", 1, **tuning)
     votes = found.groupBy(*PROFILE).agg(F.mode("value", deterministic=True).alias("prediction"))
-    return asked.select(*PROFILE, F.col("key").alias(roles.key)).join(votes, list(PROFILE)).select(roles.key, "prediction")
+    return restore(asked.select(*PROFILE, F.col("key").alias(roles.key)).join(votes, list(PROFILE)).select(roles.key, "prediction"), roles.key)
 
 
 def micro_f1(predicted: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -103,17 +103,61 @@ def test_result_does_not_depend_on_partitioning(spark):
 
 
 def test_pruning_leaves_blocks_out(spark, monkeypatch):
-    """Far clusters: most pairs of blocks are never joined, and the result stays exact."""
+    """Far clusters: most pairs of blocks are never computed, and the result stays exact."""
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 5)) * 100
     x = np.round(centres[np.repeat(np.arange(12), 40)] + rng.normal(size=(480, 5)), 3)
-    pairs = []
-    meet = N.meet
-    monkeypatch.setattr(N, "meet", lambda p, *a: pairs.append(p.count()) or meet(p, *a))
     got = N.nearest_rows(table(spark, x), "id", "vec", 3, "euclidean", block_rows=20, n_pivots=12)
     assert {(r.row_id, r.donor_id) for r in got.collect()} == expected_rows(x, "euclidean", 3)
-    blocks = 480 / 20
-    assert sum(pairs) < blocks * blocks / 3
+
+    groups = N.profiles(N.tag_rows(table(spark, x).coalesce(1), "id", "vec", []), 4)
+    blocks, many = N.build_blocks(groups.table.coalesce(1), x[::40], "euclidean", 20, 0, "test")
+    rows = N.deal(blocks, blocks, 1, 1).orderBy("is_donor").toPandas()
+    made = []
+    tile = N.Tile
+    monkeypatch.setattr(N, "Tile", lambda a, b, m: made.append(len(a[0])) or tile(a, b, m))
+    list(N._tile_task(4, "euclidean", 0, "<f8", "<f8")([rows]))
+    assert sum(made) < 480 * many / 2
+
+
+def test_payloads_travel_once_per_team_and_slot(spark):
+    groups = N.profiles(N.tag_rows(table(spark, sample(seed=8)), "id", "vec", []), 4)
+    blocks, many = N.build_blocks(groups.table, sample(seed=8)[:5], "cosine", 16, 0, "test")
+    size = F.octet_length("mat")
+    whole = blocks.agg(F.sum(size)).first()[0]
+    sent = {r["is_donor"]: r["bytes"] for r in N.deal(blocks, blocks, 3, 5).groupBy("is_donor").agg(F.sum(size).alias("bytes")).collect()}
+    assert many >= 8 and sent == {True: 3 * whole, False: 5 * whole}
+
+
+@pytest.mark.parametrize("tuning", [{}, {"block_rows": 8, "n_pivots": 1}, {"block_rows": 8, "n_pivots": 12}])
+def test_constant_vectors_have_the_lowest_keys(spark, tuning):
+    """Correlation is infinite from a vector without spread to all others, whatever the references."""
+    x = sample(seed=11)
+    x[::6] = x[::6, :1]
+    got = N.nearest_rows(table(spark, x), "id", "vec", 3, "correlation", **tuning)
+    assert {(r.row_id, r.donor_id) for r in got.collect()} == expected_rows(x, "correlation", 3)
+
+
+@pytest.mark.parametrize("kind,put", [("int", int), ("smallint", int), ("string", "k{:03d}".format), ("decimal(10,0)", None)])
+def test_keys_of_any_type(spark, kind, put):
+    x = sample(n=60, seed=9)
+    df = table(spark, x)
+    key = F.format_string("k%03d", "id") if kind == "string" else F.col("id").cast(kind)
+    want = expected_rows(x, "cosine", 3)
+    got = N.nearest_rows(df.withColumn("id", key), "id", "vec", 3)
+    assert dict(got.dtypes)["donor_id"] == kind
+    assert {(put(int(r.row_id)) if put and kind != "string" else r.row_id, r.donor_id) for r in got.collect()} == \
+        {(put(i), put(j)) if put else (i, j) for i, j in want}
+    holes = df.withColumn("id", key).withColumn("v", F.when(F.col("vec")[0] > 0, F.col("vec")[1]))
+    filled = fill_table(holes, Roles("id", ("v",)), k=3)
+    plain = fill_table(df.withColumn("v", F.when(F.col("vec")[0] > 0, F.col("vec")[1])), Roles("id", ("v",)), k=3)
+    assert sorted(r.v for r in filled.collect()) == sorted(r.v for r in plain.collect())
+    assert dict(filled.dtypes)["id"] == kind
+
+
+def test_other_keys_need_a_number(spark):
+    with pytest.raises(TypeError, match="bigint"):
+        N.tag_rows(spark.createDataFrame([("a", [1.0])], "id string, vec array<double>"), "id", "vec", [])
 
 
 def test_mahalanobis(spark):
