@@ -62,6 +62,24 @@ def neighbors_mahalanobis(spark, folder):
     return _rows(spark, folder, "mahalanobis")
 
 
+_CONSTANT = ("WITH r AS (SELECT vec_id AS k, CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda x: embedding[1]) ELSE embedding END AS v FROM embeddings), "
+             "e AS MATERIALIZED (SELECT k, generate_subscripts(v, 1) AS i, unnest(v)::DOUBLE AS x FROM r), "
+             "c AS MATERIALIZED (SELECT k, i, x - avg(x) OVER (PARTITION BY k) AS x FROM e), "
+             "flat AS (SELECT k FROM e GROUP BY k HAVING min(x) = max(x)), "
+             f"p AS (SELECT a.k AS q, b.k AS d, CASE WHEN a.k IN (FROM flat) OR b.k IN (FROM flat) THEN 1e9 ELSE round({_COSINE}, 12) END AS dist "
+             "FROM c a JOIN c b ON a.i = b.i AND a.k <> b.k GROUP BY 1, 2) "
+             "SELECT q AS row_id, d AS donor_id, (row_number() OVER (PARTITION BY q ORDER BY dist, d))::INTEGER AS rank FROM p "
+             f"QUALIFY row_number() OVER (PARTITION BY q ORDER BY dist, d) <= {K}")
+
+
+@check("neighbors_constant_vectors", _CONSTANT)
+def neighbors_constant_vectors(spark, folder):
+    flat = F.transform("embedding", lambda x: F.col("embedding")[0])
+    df = table(spark, folder, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 5 == 0, flat).otherwise(F.col("embedding")))
+    found = nearest_rows(df, "vec_id", "embedding", K, "correlation", n_pivots=12, block_rows=64)
+    return found.select("row_id", "donor_id", F.col("rank").cast("int").alias("rank"))
+
+
 # ---------------------------------------------------------------- cells
 
 def _tokens(roles: Roles, source: str) -> str:
@@ -171,3 +189,20 @@ def impute_without_donor(spark, folder):
 @check("impute_manhattan", imputed_sql(PART, "holed", _PART, {}, metric=_MANHATTAN_CELLS))
 def impute_manhattan(spark, folder):
     return _rounded(impute(_holed(spark, folder, "part", PART), PART, metric="manhattan"), PART)
+
+
+_OTHER_KEY = _PART + ", other AS (SELECT {key} AS p_partkey, p_retailprice, p_size, p_brand, p_type FROM holed)"
+
+
+def _impute_keyed(spark, folder, key):
+    return _rounded(impute(_holed(spark, folder, "part", PART).withColumn("p_partkey", key), PART), PART)
+
+
+@check("impute_int_key", imputed_sql(PART, "other", _OTHER_KEY.format(key="p_partkey::INTEGER"), {}))
+def impute_int_key(spark, folder):
+    return _impute_keyed(spark, folder, F.col("p_partkey").cast("int"))
+
+
+@check("impute_string_key", imputed_sql(PART, "other", _OTHER_KEY.format(key="'part ' || lpad(p_partkey::VARCHAR, 9, '0')"), {}))
+def impute_string_key(spark, folder):
+    return _impute_keyed(spark, folder, F.concat(F.lit("part "), F.lpad(F.col("p_partkey").cast("string"), 9, "0")))

@@ -47,6 +47,24 @@ def cell_errors(spark, folder):
     return got.select(*[F.round(c, 6).alias(c) for c in ("smape", "error", "asmape")])
 
 
+# every 50th row has no price in the guess, every 70th row is gone: prices and sum cannot be scored
+@check("cell_errors_unfilled", _ERRORS.replace("SELECT round(smape, 6) AS smape, round(error, 6) AS error, round(smape + error, 6) AS asmape FROM m",
+                                               "SELECT NULL::DOUBLE AS smape, round(error, 6) AS error, NULL::DOUBLE AS asmape FROM m"))
+def cell_errors_unfilled(spark, folder):
+    truth, guess, mask = _guessed(spark, folder)
+    lost = guess.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice")))
+    return fidelity.cell_errors(truth, lost, mask, ORDERS).select(*[F.round(c, 6).alias(c) for c in ("smape", "error", "asmape")])
+
+
+@check("unfilled_cells", GUESSED + ", lost AS (SELECT * FROM coded WHERE o_orderkey % 70 = 0 OR o_orderkey % 50 = 0) "
+       f"SELECT count(*) FILTER ({_u('o_totalprice')} < 0.3) AS o_totalprice, count(*) FILTER (o_orderkey % 70 = 0 AND {_u('o_orderstatus')} < 0.3) AS o_orderstatus, "
+       f"count(*) FILTER (o_orderkey % 70 = 0 AND {_u('o_orderpriority')} < 0.3) AS o_orderpriority FROM lost")
+def unfilled_cells(spark, folder):
+    _, guess, mask = _guessed(spark, folder)
+    lost = guess.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice"))).where("o_orderkey % 70 <> 0")
+    return fidelity.unfilled_cells(lost, mask, ORDERS)
+
+
 # ---------------------------------------------------------------- distributions
 
 _LINES = f"{LINE_SQL}, {coded_sql('lines', LINEITEM)}"
@@ -191,6 +209,26 @@ def spearman(spark, folder):
     return position.spearman(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("spearman", 6).alias("spearman"))
 
 
+_SOME = "SELECT CASE WHEN l_quantity > 3 THEN l_quantity END AS a, CASE WHEN l_extendedprice < 50000 THEN l_extendedprice END AS b FROM lineitem"
+
+
+def _some(spark, folder):
+    return table(spark, folder, "lineitem").select(F.expr("CASE WHEN l_quantity > 3 THEN l_quantity END").alias("a"),
+                                                   F.expr("CASE WHEN l_extendedprice < 50000 THEN l_extendedprice END").alias("b"))
+
+
+@check("spearman_with_nulls", f"WITH s AS ({_SOME}), p AS (SELECT * FROM s WHERE a IS NOT NULL AND b IS NOT NULL), "
+       f"r AS (SELECT {_RANK.format(c='a')} AS a, {_RANK.format(c='b')} AS b FROM p) SELECT round(corr(a, b), 6) AS spearman FROM r")
+def spearman_with_nulls(spark, folder):
+    return position.spearman(_some(spark, folder), "a", "b").select(F.round("spearman", 6).alias("spearman"))
+
+
+@check("average_rank_with_nulls", f"WITH s AS ({_SOME}), r AS (SELECT b, {_RANK.format(c='b')} AS rank FROM s WHERE b IS NOT NULL) "
+       "SELECT b, rank FROM r UNION ALL SELECT NULL, NULL FROM s WHERE b IS NULL")
+def average_rank_with_nulls(spark, folder):
+    return position.average_rank(_some(spark, folder).select("b"), "b").select("b", "rank")
+
+
 @check("average_rank", f"WITH {LINE_SQL} SELECT l_key, {_RANK.format(c='l_quantity')} AS rank FROM lines")
 def average_rank(spark, folder):
     return position.average_rank(lineitem(spark, folder), "l_quantity").select("l_key", "rank")

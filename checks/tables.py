@@ -54,18 +54,29 @@ def scan_csv_semicolon(spark, folder):
 @check("scan_arff", "SELECT p_partkey::DOUBLE AS p_partkey, CASE WHEN p_size > 40 THEN NULL ELSE p_size::DOUBLE END AS p_size, "
        "p_retailprice, p_brand, p_type FROM part")
 def scan_arff(spark, folder):
-    part = table(spark, folder, "part")
-    levels = {c: sorted(r[0] for r in part.select(c).distinct().collect()) for c in ("p_brand", "p_type")}
-    head = ["% parts", "@relation part", "", "@attribute p_partkey integer", "@ATTRIBUTE p_size NUMERIC",
-            "@attribute 'p_retailprice' real", *[f"@attribute {c} {{{','.join(v)}}}" for c, v in levels.items()], "@data"]
     size = F.when(F.col("p_size") > 40, F.lit("?")).otherwise(F.col("p_size").cast("string"))
-    rows = part.select(F.concat_ws(",", "p_partkey", size, "p_retailprice", "p_brand", "p_type").alias("value"))
+    return _arff(spark, folder, F.concat_ws(",", "p_partkey", size, "p_retailprice", "p_brand", "p_type"))
+
+
+def _arff(spark, folder, row):
+    """Rows of part as data lines behind a header that declares text as string."""
+    head = ["% parts", "@relation part", "", "@attribute p_partkey integer", "@ATTRIBUTE p_size NUMERIC",
+            "@attribute 'p_retailprice' real", "@attribute p_brand string", "@attribute p_type string", "@data"]
     path = new_path(spark, "arff")
     spark.createDataFrame([(v,) for v in head], "value string").coalesce(1).write.text(path)
-    rows.write.mode("append").text(path)
+    table(spark, folder, "part").select(row.alias("value")).write.mode("append").text(path)
     return read_arff(spark, path)
 
 
+@check("scan_arff_quoted", "SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, p_retailprice, '@' || p_brand || ', it''s' AS p_brand, "
+       "CASE WHEN p_size > 40 THEN '?' ELSE '%' || p_type END AS p_type FROM part")
+def scan_arff_quoted(spark, folder):
+    """Values that look like keywords, comments and missing cells, in either kind of quotes."""
+    brand = F.concat(F.lit('"@'), "p_brand", F.lit(", it's\""))
+    kind = F.when(F.col("p_size") > 40, F.lit("'?'")).otherwise(F.concat(F.lit("'%"), "p_type", F.lit("'")))
+    return _arff(spark, folder, F.concat_ws(" , ", "p_partkey", "p_size", "p_retailprice", brand, kind))
+
+
 @check("catalog_table", "SELECT c_custkey, c_acctbal, c_mktsegment, c_nationkey FROM customer")
 def catalog_table(spark, folder):
     return catalog.load(spark, "customer", folder)[0]
@@ -272,6 +283,24 @@ def order_statistics(spark, folder):
     return df.agg(F.lit(got["price"][0]).alias("price"), F.lit(got["quantity"][0]).alias("quantity"))
 
 
+# a third of the values infinite, some not numbers
+_ODD = "CASE WHEN l_linenumber = 1 THEN '-inf' WHEN l_linenumber = 2 THEN 'inf' WHEN l_linenumber = 3 AND l_quantity > 45 THEN 'nan' ELSE l_extendedprice::VARCHAR END::DOUBLE"
+
+
+@check("order_statistics_infinite", f"WITH o AS (SELECT {_ODD} AS v, row_number() OVER (ORDER BY {_ODD}) AS k, count(*) OVER () AS n FROM lineitem) "
+       "SELECT k::INTEGER AS k, CASE WHEN isnan(v) THEN 'NaN' WHEN isinf(v) THEN CASE WHEN v < 0 THEN '-Infinity' ELSE 'Infinity' END ELSE round(v, 2)::DECIMAL(18,2)::VARCHAR END AS v FROM o WHERE k IN "
+       "(1, floor(n * 0.1)::INT, floor(n * 0.3)::INT, floor(n * 0.4)::INT, floor(n * 0.5)::INT, floor(n * 0.7)::INT, floor(n * 0.9)::INT, n)")
+def order_statistics_infinite(spark, folder):
+    odd = F.expr("double(CASE WHEN l_linenumber = 1 THEN '-Infinity' WHEN l_linenumber = 2 THEN 'Infinity' "
+                 "WHEN l_linenumber = 3 AND l_quantity > 45 THEN 'NaN' ELSE string(l_extendedprice) END)")
+    df = table(spark, folder, "lineitem").select(odd.alias("v"))
+    n = df.count()
+    ks = [1, *[int(n * t / 10) for t in (1, 3, 4, 5, 7, 9)], n]
+    values = position.order_statistics(df, {"v": (F.col("v"), ks)})["v"]
+    text = [str(v).replace("inf", "Infinity").replace("nan", "NaN") if v - v != 0 else f"{v:.2f}" for v in values]
+    return df.limit(1).select(F.explode(F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), F.array(*map(F.lit, text)).alias("v"))).alias("r")).select("r.k", "r.v")
+
+
 @check("value_ranges", "SELECT 'l_quantity' AS feature, min(l_quantity) AS lo, max(l_quantity) AS hi, least(10, count(DISTINCT l_quantity))::INTEGER AS n FROM lineitem "
        "UNION ALL SELECT 'l_tax', min(l_tax), max(l_tax), least(10, count(DISTINCT l_tax)) FROM lineitem")
 def value_ranges(spark, folder):

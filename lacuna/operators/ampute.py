@@ -61,7 +61,8 @@ def fit_intercepts(df: DataFrame, scores: dict[str, Column], rate: float,
     """The b of each column at which the mean of sigmoid(score + b) is ``rate``.
 
     The scores are written once. Every round is one aggregate over all columns: the mean and its
-    slope at the current b, a Newton step kept inside a shrinking bracket.
+    slope at the current b, a Newton step kept inside a shrinking bracket. It ends when the mean is met or the step
+    is lost in rounding; not to end is an error.
     """
     if not 0 < rate < 1:
         raise ValueError("rate must lie between 0 and 1")
@@ -89,8 +90,13 @@ def fit_intercepts(df: DataFrame, scores: dict[str, Column], rate: float,
                 continue
             slope = got[f"d{i}"]
             nxt = b - gap / slope if slope > 0 else (lo + hi) / 2
+            if abs(nxt - b) <= tolerance * max(1.0, abs(b)):
+                done[i] = nxt
             state[i] = (lo, hi, nxt if lo < nxt < hi else (lo + hi) / 2)
-    return {t: done.get(i, state[i][2]) for i, t in enumerate(names)}
+    if len(done) < len(names):
+        missed = [t for i, t in enumerate(names) if i not in done]
+        raise ArithmeticError(f"no intercept within {rounds} rounds for {missed}")
+    return {t: done[i] for i, t in enumerate(names)}
 
 
 def _each(f, names):

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from lacuna.operators.cells import q
 from lacuna.operators.position import with_position
-from lacuna.scratch import cut, cut_counted
-
-# Up to this many levels are ranked in one window per feature, more by a range sort.
-WINDOW_LEVELS = 200_000
+from lacuna.scratch import cut
 
 
 def build_dimension(df: DataFrame, columns) -> DataFrame:
@@ -19,16 +16,12 @@ def build_dimension(df: DataFrame, columns) -> DataFrame:
     texts = df.select(*[q(c).cast("string").alias(c) for c in columns])
     levels = (texts.unpivot([], [q(c) for c in columns], "feature", "value").where("value IS NOT NULL").distinct()
               .withColumn("number", F.when(F.col("feature").isin(numeric), F.col("value").try_cast("double"))))
-    levels, seen = cut_counted(levels, "levels")
-    if seen["n"] <= WINDOW_LEVELS:
-        rank = F.row_number().over(W.partitionBy("feature").orderBy("number", "value")) - 1
-        coded = levels.select("feature", "value", rank.alias("code"))
-    else:
-        placed = with_position(levels, ["feature", "number", "value"], "pos", "levels")
-        first = placed.groupBy("feature").agg(F.min("pos").alias("start"))
-        coded = placed.join(F.broadcast(first), "feature").select(
-            "feature", "value", (F.col("pos") - F.col("start")).cast("int").alias("code"))
-    return cut(coded, "dimension")
+    placed = with_position(cut(levels, "levels"), ["feature", "number", "value"], "pos", "dimension")
+    starts = {r["feature"]: r["start"] for r in placed.groupBy("feature").agg(F.min("pos").alias("start")).collect()}  # one row per column
+    start = F.lit(0)
+    for feature, at in starts.items():
+        start = F.when(F.col("feature") == feature, F.lit(at)).otherwise(start)
+    return placed.select("feature", "value", (F.col("pos") - start).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, dimension: DataFrame, columns) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -23,31 +25,51 @@ def _cells(df: DataFrame, features) -> DataFrame:
     return wide.unpivot([], [q(f) for f in features], "feature", "value").where("value IS NOT NULL")
 
 
+def _hidden(truth: DataFrame, imputed: DataFrame, mask: DataFrame, roles: Roles) -> DataFrame:
+    """Truth (t_), fill (i_) and mask (m_) of every row of the mask; a key that is missing elsewhere leaves NULLs."""
+    def side(df, tag, numbers):
+        return df.select(roles.key, *[(q(f).cast("double") if numbers else q(f)).alias(f"{tag}_{f}") for f in roles.features])
+
+    return side(mask, "m", False).join(side(truth, "t", True), roles.key, "left").join(side(imputed, "i", True), roles.key, "left")
+
+
+def _sum(columns) -> Column:
+    return reduce(lambda a, b: a + b, columns, F.lit(0))
+
+
+def unfilled_cells(imputed: DataFrame, mask: DataFrame, roles: Roles) -> DataFrame:
+    """One row: number of hidden cells without a fill, per feature. A key without a row counts in each hidden cell."""
+    joined = _hidden(imputed, imputed, mask, roles)
+    return joined.agg(*[F.count_if(q(f"m_{f}") & q(f"i_{f}").isNull()).alias(f) for f in roles.features])
+
+
 def cell_errors(truth: DataFrame, imputed: DataFrame, mask: DataFrame, roles: Roles) -> DataFrame:
     """One row: smape over hidden numbers, error rate over hidden categories, and their sum.
 
-    Three tables of one row per key are joined on it; every measure comes from one pass.
+    Three tables of one row per key are joined on it; every measure comes from one pass. A hidden cell without
+    truth or fill cannot be scored: its measure, and the sum, are NULL.
     """
-    t = truth.select(roles.key, *[q(f).cast("double").alias(f"t_{f}") for f in roles.features])
-    i = imputed.select(roles.key, *[q(f).cast("double").alias(f"i_{f}") for f in roles.features])
-    m = mask.select(roles.key, *[q(f).alias(f"m_{f}") for f in roles.features])
-    joined = t.join(i, roles.key).join(m, roles.key)
-    total, hidden = F.lit(0.0), F.lit(0)
-    for f in roles.continuous:
+    joined = _hidden(truth, imputed, mask, roles)
+
+    def hidden(f):
+        return F.coalesce(q(f"m_{f}"), F.lit(False))
+
+    def gap(f):
         o, x = q(f"t_{f}"), q(f"i_{f}")
-        gap = F.abs(o - x) / (F.abs(o) + F.abs(x) + F.lit(SMAPE_EPSILON))
-        total = total + F.when(q(f"m_{f}"), gap).otherwise(0.0)
-        hidden = hidden + F.when(q(f"m_{f}"), 1).otherwise(0)
-    wrong, coded = F.lit(0), F.lit(0)
-    for f in roles.categorical:
-        wrong = wrong + F.when(q(f"m_{f}") & ~q(f"t_{f}").eqNullSafe(q(f"i_{f}")), 1).otherwise(0)
-        coded = coded + F.when(q(f"m_{f}"), 1).otherwise(0)
-    sums = joined.agg(F.sum(total).alias("g"), F.sum(hidden).alias("n"), F.sum(wrong).alias("w"), F.sum(coded).alias("c"))
-
-    def ratio(a, b):
-        return F.when(F.col(b) > 0, F.col(a) / F.col(b))
-
-    return sums.select(ratio("g", "n").alias("smape"), ratio("w", "c").alias("error")).withColumn(
+        return F.when(hidden(f), F.abs(o - x) / (F.abs(o) + F.abs(x) + F.lit(SMAPE_EPSILON))).otherwise(0.0)
+
+    def measures(features, error):
+        lost = [F.when(hidden(f) & (q(f"t_{f}").isNull() | q(f"i_{f}").isNull()), 1).otherwise(0) for f in features]
+        return F.sum(_sum(map(error, features))), F.sum(_sum(F.when(hidden(f), 1).otherwise(0) for f in features)), F.sum(_sum(lost))
+
+    number = measures(roles.continuous, gap)
+    kind = measures(roles.categorical, lambda f: F.when(hidden(f) & ~q(f"t_{f}").eqNullSafe(q(f"i_{f}")), 1).otherwise(0))
+    sums = joined.agg(*[c.alias(n) for c, n in zip([*number, *kind], ("g", "n", "lost_n", "w", "c", "lost_c"))])
+
+    def ratio(a, b, lost):
+        return F.when((F.col(b) > 0) & (F.col(lost) == 0), F.col(a) / F.col(b))
+
+    return sums.select(ratio("g", "n", "lost_n").alias("smape"), ratio("w", "c", "lost_c").alias("error")).withColumn(
         "asmape", F.col("smape") + F.col("error"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lacuna.scratch import new_path, small_table
+from lacuna.scratch import cut, new_path, small_table
 
 
 def with_position(df: DataFrame, order_by, out: str = "pos", label: str = "ordered") -> DataFrame:
@@ -48,82 +49,126 @@ def with_batch(df: DataFrame, order_by, size: int, out: str = "batch_id") -> Dat
 
 
 def running_total(placed: DataFrame, position: str, amount: str, out: str, width: int = 1 << 16) -> DataFrame:
-    """Sum of ``amount`` over all smaller positions: windows over chunks, then over chunk totals."""
-    chunk = F.floor(F.col(position) / width)
-    chunked = placed.withColumn("__chunk", chunk)
-    inside = W.partitionBy("__chunk").orderBy(position).rowsBetween(W.unboundedPreceding, -1)
-    totals = chunked.groupBy("__chunk").agg(F.sum(amount).alias("__sum"))
-    if placed.count() > width:
-        before = W.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-        # one row per 65,536 positions
-        totals = totals.select("__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    else:
-        totals = totals.select("__chunk", F.lit(0).alias("__base"))
-    return (chunked.join(totals, "__chunk")
-            .withColumn(out, F.coalesce(F.sum(amount).over(inside), F.lit(0)) + F.col("__base"))
-            .drop("__chunk", "__base"))
+    """Sum of ``amount`` over all smaller positions: windows over chunks of ``width`` rows, over chunks of chunks, then
+    one number per ``width`` squared rows on the driver."""
+    chunked = placed.withColumn("__chunk", F.floor(F.col(position) / width))
+    before = W.unboundedPreceding, -1
+    totals = chunked.groupBy("__chunk").agg(F.sum(amount).alias("__sum")).withColumn("__outer", F.floor(F.col("__chunk") / width))
+    outer = sorted((r["__outer"], r["n"]) for r in totals.groupBy("__outer").agg(F.coalesce(F.sum("__sum"), F.lit(0)).alias("n")).collect())
+    starts = [0, *accumulate(n for _, n in outer)]
+    zero = F.lit(0)
+    base = zero
+    for (number, _), start in zip(outer[1:], starts[1:]):
+        base = F.when(F.col("__outer") == number, F.lit(start)).otherwise(base)
+    inner = F.coalesce(F.sum("__sum").over(W.partitionBy("__outer").orderBy("__chunk").rowsBetween(*before)), zero)
+    totals = totals.select("__chunk", (inner + base).alias("__base"))
+    inside = F.coalesce(F.sum(amount).over(W.partitionBy("__chunk").orderBy(position).rowsBetween(*before)), zero)
+    return chunked.join(totals, "__chunk").withColumn(out, inside + F.col("__base")).drop("__chunk", "__base")
 
 
 def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """value + its average rank, one row per distinct value."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    """value + its average rank, one row per distinct value; NULL has no rank."""
+    return _ranks(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, out)
+
+
+def _ranks(counts: DataFrame, value: str, out: str) -> DataFrame:
     placed = with_position(counts, value, "__pos", "ranks")
     start = running_total(placed, "__pos", "__n", "__before")
     return start.select(value, (F.col("__before") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
 
 
 def average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
-    """Add the rank of ``value`` from 1, equal values sharing the mean of their ranks.
+    """Add the rank of ``value`` from 1, equal values sharing the mean of their ranks; a NULL value has rank NULL.
 
     Equal values are counted before the sort, so a value held by many rows is one row of it.
     """
-    return df.join(value_ranks(df, value, out), value)
+    return df.join(value_ranks(df, value, out), value, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, out: str = "spearman") -> DataFrame:
-    """Rank correlation of two columns; one row."""
-    both = df.select(x, y)
-    return average_rank(average_rank(both, x, "__rx"), y, "__ry").agg(F.corr("__rx", "__ry").alias(out))
+    """Rank correlation of the rows that have both values; one row.
+
+    Rows are counted by pair of values first. Ranks are joined to the counted pairs, so a value held by
+    many rows is no hot key.
+    """
+    pairs = cut(df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+                .groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    ranked = pairs
+    for c in ("x", "y"):
+        counts = pairs.groupBy(c).agg(F.sum("n").alias("__n"))
+        ranked = ranked.join(_ranks(counts, c, f"r{c}"), c)
+    middle = (pairs.agg(F.sum("n")).first()[0] or 0) / 2 + 0.5  # the mean of all ranks
+    dx, dy, n = F.col("rx") - F.lit(middle), F.col("ry") - F.lit(middle), F.col("n")
+    spread = F.sqrt(F.sum(n * dx * dx)) * F.sqrt(F.sum(n * dy * dy))
+    return ranked.agg(F.when(spread > 0, F.sum(n * dx * dy) / spread).alias(out))
+
 
+#: Points of the sketch from which the next bracket of an order statistic is taken, and its accuracy.
+POINTS, ACCURACY = 1000, 10_000
 
-def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[int]]], grid: int = 4096) -> dict[str, list[float]]:
-    """The k-th smallest values (k from 1) of each column, exactly, for a list of k per column.
 
-    Each pass counts a grid of equal-width bins per value sought and keeps the bin that holds it,
-    with its own smallest and largest value as the next bracket. Map-side counting leaves at most
-    ``grid`` rows per value sought and task to shuffle, whatever the values and their repeats.
+def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[int]]], few: int = 4096) -> dict[str, list[float]]:
+    """The k-th smallest values (k from 1) of each column, exactly, for a list of k per column. NaN is largest.
+
+    A pass takes exact counts around each bracket and a quantile sketch of what lies strictly inside. The next
+    bracket is a few sketch points wide, so a pass leaves about a three-hundredth of the rows, whatever their
+    values. At most ``few`` values are left for the last pass, which collects and sorts them.
     """
     names = list(wanted)
     wide = df.select(*[wanted[m][0].cast("double").alias(f"x{i}") for i, m in enumerate(names)])
-    seen = wide.agg(*[g(f"x{i}").alias(f"{tag}{i}") for i in range(len(names))
-                      for tag, g in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first().asDict()
-    open_, found = {}, {}
+    share = F.array(*[F.lit(i / POINTS) for i in range(POINTS + 1)])
+
+    def sketch(x: Column) -> Column:
+        return F.percentile_approx(x, share, ACCURACY)
+
+    def number(i: int) -> Column:
+        return F.when(~F.isnan(f"x{i}"), F.col(f"x{i}"))
+
+    seen = wide.agg(*[c.alias(f"{tag}{i}") for i in range(len(names)) for tag, c in (
+        ("n", F.count(f"x{i}")), ("real", F.count(number(i))), ("lo", F.min(number(i))), ("hi", F.max(number(i))), ("q", sketch(number(i))))]).first().asDict()
+    found, open_ = {}, {}
     for i, name in enumerate(names):
         for j, k in enumerate(wanted[name][1]):
             if not 1 <= k <= seen[f"n{i}"]:
                 raise ValueError(f"{name}: order {k} outside 1..{seen[f'n{i}']}")
-            open_[i, j] = (seen[f"lo{i}"], seen[f"hi{i}"], k)
-    while True:
-        for at in [a for a, (lo, hi, _) in open_.items() if lo == hi]:
-            found[at] = open_.pop(at)[0]
-        if not open_:
-            return {m: [found[i, j] for j in range(len(wanted[m][1]))] for i, m in enumerate(names)}
-        sought = list(open_)
-        bins = min(grid, max(16, (1 << 18) // len(sought)))
-
-        def literal(part):
-            return F.element_at(F.array(*[F.lit(float(open_[a][part])) for a in sought]), F.col("c") + 1)
-
-        cells = (wide.select(*[F.col(f"x{i}").alias(str(c)) for c, (i, _) in enumerate(sought)])
-                 .unpivot([], [str(c) for c in range(len(sought))], "c", "x").withColumn("c", F.col("c").cast("int")))
-        lo, hi = literal(0), literal(1)
-        inside = cells.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        bin_ = F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
-        counted = (inside.groupBy("c", bin_.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-                   .toPandas().sort_values(["c", "b"]))  # bins that hold a value
-        for c, part in counted.groupby("c"):
-            k = open_[sought[c]][2]
-            before = part["n"].cumsum().to_numpy()
-            at = int(before.searchsorted(k))
-            row = part.iloc[at]
-            open_[sought[c]] = (row["lo"], row["hi"], int(k - (before[at] - row["n"])))
+            if k > seen[f"real{i}"]:
+                found[i, j] = math.nan
+            else:
+                # outer bracket, the sketch inside it, its rows, the k within it, and how far to reach around the k
+                open_[i, j] = [(seen[f"lo{i}"], seen[f"hi{i}"]), seen[f"q{i}"], seen[f"real{i}"], k, 1]
+    while open_:
+        aggregates, bracket = [], {}
+        for at, (outer, points, n, k, reach) in open_.items():
+            middle = POINTS * (k - 0.5) / n
+            lo = points[max(0, math.floor(middle) - reach)] if points and math.floor(middle) >= reach else outer[0]
+            hi = points[min(POINTS, math.ceil(middle) + reach)] if points and math.ceil(middle) + reach <= POINTS else outer[1]
+            bracket[at] = lo, hi
+            x, tag = number(at[0]), f"{at[0]}_{at[1]}"
+            inside = (x > lo) & (x < hi)
+            within = (x >= F.lit(outer[0])) & (x <= F.lit(outer[1]))
+            aggregates += [F.count_if(within & (x < lo)).alias(f"b{tag}"), F.count_if(x == lo).alias(f"l{tag}"), F.count_if(inside).alias(f"i{tag}"),
+                           F.count_if(x == hi).alias(f"h{tag}"), sketch(F.when(inside, x)).alias(f"q{tag}")]
+        got = wide.agg(*aggregates).first().asDict()
+        last = []
+        for at, (outer, points, n, k, reach) in list(open_.items()):
+            below, low, inside, high, points = (got[f"{c}{at[0]}_{at[1]}"] for c in "blihq")
+            (lo, hi), rest = bracket[at], k - below
+            if rest < 1 or (rest > low + inside + high and lo < hi) or (lo == hi and rest > low):
+                open_[at][4] = 4 * reach  # the sketch was off: a wider bracket of the same points
+            elif rest <= low:
+                found[at] = lo
+                del open_[at]
+            elif rest > low + inside:
+                found[at] = hi
+                del open_[at]
+            elif inside <= few:
+                last.append((at, lo, hi, rest - low))
+                del open_[at]
+            else:
+                open_[at] = [(points[0], points[-1]), points, inside, rest - low, 1]
+        if last:
+            values = wide.agg(*[F.sort_array(F.collect_list(F.when((number(i) > lo) & (number(i) < hi), number(i)))).alias(f"v{c}")
+                                for c, ((i, _), lo, hi, _) in enumerate(last)]).first()
+            for c, (at, _, _, k) in enumerate(last):
+                found[at] = values[c][k - 1]
+    return {m: [found[i, j] for j in range(len(wanted[m][1]))] for i, m in enumerate(names)}

@@ -50,8 +50,12 @@ def micro_f1(predicted: DataFrame, label: str, prediction: str) -> DataFrame:
     return predicted.agg(F.avg(F.when(q(label) == q(prediction), 1.0).otherwise(0.0)).alias("f1"))
 
 
-def estimators(n_rows: int, seed: int = 0) -> dict:
-    """The four fitted models. The penalty of the logistic model is 1/n, as with unit inverse strength."""
+def estimators(n_rows: int, seed: int = 0, tree_depth: int = 30, forest_depth: int = 10, bins: int = 64) -> dict:
+    """The four fitted models. The penalty of the logistic model is 1/n, as with unit inverse strength.
+
+    Trees split on at most ``bins`` candidate values per covariate. 30 is the deepest tree there is; the 100 trees of
+    the forest stop at ``forest_depth``.
+    """
     from pyspark.ml.classification import (
         DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier,
     )
@@ -59,8 +63,8 @@ def estimators(n_rows: int, seed: int = 0) -> dict:
     return {
         "logit": LogisticRegression(maxIter=1000, tol=1e-4, regParam=1.0 / max(n_rows, 1), standardization=False),
         "GaussNB": NaiveBayes(modelType="gaussian"),
-        "tree": DecisionTreeClassifier(maxDepth=12, maxBins=64, seed=seed),
-        "RF": RandomForestClassifier(numTrees=100, maxDepth=10, maxBins=64, seed=seed),
+        "tree": DecisionTreeClassifier(maxDepth=tree_depth, maxBins=bins, seed=seed),
+        "RF": RandomForestClassifier(numTrees=100, maxDepth=forest_depth, maxBins=bins, seed=seed),
     }
 
 
@@ -83,14 +87,14 @@ def _assembled(df: DataFrame, roles: Roles) -> DataFrame:
     return df.select(roles.key, array_to_vector(x).alias("features"), q(roles.target).cast("double").alias("label"))
 
 
-def model_scores(train: DataFrame, test: DataFrame, roles: Roles, models=MODELS, seed: int = 0) -> Scores:
-    """Train each model on ``train`` and score it on ``test``; both are coded and standardised."""
+def model_scores(train: DataFrame, test: DataFrame, roles: Roles, models=MODELS, seed: int = 0, **limits) -> Scores:
+    """Train each model on ``train`` and score it on ``test``; both are coded and standardised. ``limits``: see ``estimators``."""
     unknown = set(models) - set(MODELS)
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}")
     fit_on, seen = cut_counted(_assembled(train, roles), "train")
     score_on = cut(_assembled(test, roles), "test")
-    made = estimators(seen["n"], seed)
+    made = estimators(seen["n"], seed, **limits)
 
     def score(name):
         if name == "KNN":

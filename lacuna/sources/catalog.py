@@ -88,7 +88,7 @@ CATALOG: dict[str, Table] = {
     "breast": Table("wdbc.data", lambda spark, path: read_delimited(
         spark, path, {"id": "bigint", "Diagnosis": "string", **_typed(BREAST_NUMBERS)}).drop("id"),
         _fixed(BREAST_NUMBERS, ["Diagnosis"], "Diagnosis")),
-    "concrete": Table("Concrete_Data.csv", _csv(_typed(CONCRETE, Age="int"), header=True),
+    "concrete": Table("Concrete_Data.csv", _csv(_typed(CONCRETE, Age="int"), header=True, replace_header=True),
                       _fixed([c for c in CONCRETE if c != "Age"], ["Age"], "Age")),
     "kings": Table("kc_house_data.csv", _csv(_typed(KINGS_FILE, id="bigint", date="string", zipcode="int"), header=True),
                    _fixed(KINGS_CONTINUOUS, KINGS_CATEGORICAL, "grade", [c for c in KINGS_CONTINUOUS if c not in KINGS_NOT_INTEGER])),

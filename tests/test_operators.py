@@ -71,6 +71,35 @@ def test_average_rank_and_spearman(spark):
     assert got == pytest.approx(pdf["x"].rank().corr(pdf["y"].rank()))
 
 
+def test_ranks_without_values(spark):
+    df = spark.createDataFrame([(1, 2.0, 1.0), (2, None, 5.0), (3, 1.0, None), (4, 7.0, 0.5), (5, 7.0, 9.0)], "id int, x double, y double")
+    got = {r["id"]: r["rank"] for r in position.average_rank(df, "x").collect()}
+    assert got == {1: 2.0, 2: None, 3: 1.0, 4: 3.5, 5: 3.5}
+    pairs = df.toPandas().dropna()
+    assert position.spearman(df, "x", "y").first()[0] == pytest.approx(pairs["x"].rank().corr(pairs["y"].rank()))
+    assert position.spearman(df.where("id < 2"), "x", "y").first()[0] is None
+    assert position.spearman(df.where("false"), "x", "y").first()[0] is None
+
+
+@pytest.mark.parametrize("values", [
+    [math.inf, -math.inf, 0.0, 1.0, math.inf, math.nan], [1.7e308, -1.7e308, 1e308, 5.0, math.nan, math.nan], [-0.0, 0.0, 5e-324, -5e-324],
+    [math.inf] * 3 + [-math.inf] * 3, [10.0**e for e in range(-300, 301, 7)], [math.nan] * 4])
+def test_order_statistics_of_any_doubles(spark, values):
+    df = spark.createDataFrame([(v,) for v in values * 5] + [(None,)], "v double")
+    want = sorted([v for v in values * 5 if v == v]) + [math.nan] * sum(v != v for v in values * 5)
+    ks = [1, 2, len(want) // 3, len(want) // 2, len(want)]
+    for few in (1, 4096):
+        got = position.order_statistics(df, {"v": (F.col("v"), ks)}, few=few)["v"]
+        assert [str(v) for v in got] == [str(want[k - 1]) for k in ks] or got == [want[k - 1] for k in ks]
+
+
+def test_order_statistics_in_several_passes(spark):
+    v = np.random.default_rng(5).lognormal(sigma=9, size=60000)
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    ks = [1, 17, 29999, 30000, 59000, 60000]
+    assert position.order_statistics(df, {"v": (F.col("v"), ks)}, few=8)["v"] == [np.sort(v)[k - 1] for k in ks]
+
+
 def test_running_total_over_chunks(spark):
     df = spark.range(1000).select(F.col("id").alias("pos"), (F.col("id") % 5).alias("n"))
     got = {r.pos: r.before for r in position.running_total(df, "pos", "n", "before", width=64).collect()}
@@ -83,7 +112,7 @@ def test_order_statistics_with_a_heavy_value(spark):
     v = np.concatenate([np.full(400, 3.25), rng.lognormal(sigma=6, size=799)])
     df = spark.createDataFrame(pd.DataFrame({"v": v}))
     ks = [1, 10, 399, 400, 401, 600, 1199]
-    got = position.order_statistics(df, {"v": (F.col("v"), ks)}, grid=16)["v"]
+    got = position.order_statistics(df, {"v": (F.col("v"), ks)}, few=16)["v"]
     assert got == [np.sort(v)[k - 1] for k in ks]
     with pytest.raises(ValueError):
         position.order_statistics(df, {"v": (F.col("v"), [0])})
@@ -113,8 +142,7 @@ def test_numbers_sort_as_numbers_and_unknown_values_become_null(spark):
     assert coding.encode(other, dimension, ["n"]).first().n is None
 
 
-def test_large_dimension_is_ranked_by_range_sort(spark, monkeypatch):
-    monkeypatch.setattr(coding, "WINDOW_LEVELS", 3)
+def test_large_dimension_is_ranked_by_range_sort(spark):
     df = spark.createDataFrame([(v, str(v)) for v in range(30)], "n int, s string")
     got = {(r.feature, r.value): r.code for r in coding.build_dimension(df, ["n", "s"]).collect()}
     assert all(got["n", str(v)] == v for v in range(30))
@@ -331,6 +359,32 @@ def test_arff(spark, tmp_path):
         parse_attribute("@attribute d date")
 
 
+def test_arff_keeps_every_row(spark, tmp_path):
+    path = tmp_path / "t.arff"
+    path.write_text("@relation r\n@attribute k {'@x','a, b',\"it's\"}\n@attribute n real\n@data\n'@x',1\n\"@x\",2\n@x,3\n'a, b',4\n% gone\n\n\"it's\",?\n?,6\n@data,7\n".replace("@data,7\n", ""))
+    assert sorted(map(str, read_arff(spark, str(path)).collect())) == sorted(
+        f"Row(k={k!r}, n={n})" for k, n in (("@x", 1.0), ("@x", 2.0), ("@x", 3.0), ("a, b", 4.0), ("it's", None), (None, 6.0)))
+    path.write_text(path.read_text() + "other,1\n")
+    with pytest.raises(Exception, match="undeclared value other"):
+        read_arff(spark, str(path)).collect()
+    path.write_text("@relation r\n@attribute n real\n@data\n1,2\n")
+    with pytest.raises(Exception, match="number of fields"):
+        read_arff(spark, str(path)).collect()
+
+
+def test_csv_header_in_another_order_is_an_error(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("b,a\n1,2\n")
+    with pytest.raises(Exception):
+        read_delimited(spark, str(path), {"a": "int", "b": "int"}, header=True).collect()
+
+
+def test_intercepts_that_do_not_converge_are_an_error(spark):
+    df = numbers(spark)
+    with pytest.raises(ArithmeticError):
+        A.fit_intercepts(df, {"t": F.col("x").cast("double")}, 0.3, rounds=1)
+
+
 def test_malformed_csv_is_an_error(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("1,x\n")
