@@ -9,6 +9,7 @@ from lacuna.operators import ampute as A
 from lacuna.operators import cells as C
 from lacuna.operators import fidelity, position, split, utility
 from lacuna.plans.experiment import experiment
+from lacuna.scratch import new_path
 
 # A stand-in for an imputed table: hidden prices are 10 % too low, hidden codes one too high.
 _CODED = coded_sql("orders", ORDERS)
@@ -245,3 +246,8 @@ def only_first_class(spark, folder):
 def experiment_part(spark, folder):
     return experiment(C.project(table(spark, folder, "part"), PART), PART)
 
+
+@check("experiment_tuned")
+def experiment_tuned(spark, folder):
+    """With a learned metric and cached vectors."""
+    return experiment(C.project(table(spark, folder, "part"), PART), PART, tune=True, cache=new_path(spark, "vectors"))

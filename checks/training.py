@@ -28,7 +28,7 @@ def letter_counter():
 @check("embed_documents", "SELECT doc_id, " + ", ".join(
     f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE AS n_{c}" for c in LETTERS) + " FROM documents")
 def embed_documents(spark, folder):
-    made = embed_text(table(spark, folder, "documents").select("doc_id", "text"), "text", letter_counter)
+    made = embed_text(table(spark, folder, "documents").select("doc_id", "text"), "text", letter_counter, limit=None)
     return made.select("doc_id", *[F.element_at("vec", i + 1).cast("double").alias(f"n_{c}") for i, c in enumerate(LETTERS)])
 
 

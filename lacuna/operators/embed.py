@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,10 +11,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lacuna.functions.text import value_text
+from lacuna.functions.text import MAX_TOKENS, truncate_tokens, value_text
 from lacuna.operators.cells import q
 from lacuna.operators.position import order_statistics
 from lacuna.roles import Roles
+from lacuna.scratch import cut
 
 
 def _layout(dim: int):
@@ -105,22 +107,40 @@ def hash_vectors(df: DataFrame, roles: Roles, encoder: HashEncoder = HashEncoder
 
 
 def embed_text(df: DataFrame, text: str, make_encoder, batch_size: int = 16, out: str = "vec",
-               distinct: bool = True) -> DataFrame:
-    """Vectors of a text column from a user's encoder, in mini-batches.
+               distinct: bool = True, limit: int | None = MAX_TOKENS) -> DataFrame:
+    """Vectors of a text column from a user's encoder, in mini-batches; the text column itself is left out.
 
     ``make_encoder()`` runs once per Python worker and returns a function of an array of texts that
-    gives an (n, D) matrix. With ``distinct`` every text is encoded once and joined back.
+    gives an (n, D) matrix. It sees the first ``limit`` tokens (None: whole texts). With ``distinct`` every text is
+    encoded once: digests and row numbers choose one row per text, only chosen texts are encoded, and
+    vectors are joined to rows without their texts.
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
 
+    shown = F.col(text) if limit is None else truncate_tokens(F.col(text), limit)
     encode = predict_batch_udf(make_encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     if not distinct:
-        return df.withColumn(out, encode(F.col(text)))
-    # joined by a 128-bit digest, so long texts are shuffled once; copies of a text are encoded once
-    tagged = df.withColumn("__id", F.md5(F.col(text)))
-    once = tagged.groupBy("__id").agg(F.first(text).alias("__text")).select("__id", encode(F.col("__text")).alias(out))
-    return tagged.join(once, "__id", "left").drop("__id")
+        return df.withColumn(out, encode(shown)).drop(text)
+    rows = cut(df.withColumn("__text", shown).drop(text).withColumns({"__id": F.md5("__text"), "__row": F.monotonically_increasing_id()}), "texts")
+    chosen = rows.where("__id IS NOT NULL").groupBy("__id").agg(F.min("__row").alias("__row")).select("__row")
+    once = rows.select("__row", "__id", "__text").join(chosen, "__row", "left_semi").select("__id", encode(F.col("__text")).alias(out))
+    return rows.drop("__text", "__row").join(once, "__id", "left").drop("__id")
+
+
+def hashed_fields(dim: int = 64):
+    """A text encoder without weights: signed counts of the fields of a row's text, hashed into ``dim`` entries."""
+    def make():
+        def encode(texts):
+            out = np.zeros((len(texts), dim), dtype=np.float32)
+            for i, t in enumerate(texts):
+                for w in (t or "").split(", "):  # fields
+                    h = zlib.crc32(w.encode())
+                    out[i, h % dim] += 1 if h >> 31 else -1
+            return out
+        return encode
+
+    return make
 
 
 MAX_COVARIANCE_DIM = 4096

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,11 +10,14 @@ from lacuna.functions.text import MASK_TOKEN, UNKNOWN_TOKEN, encode_rows
 from lacuna.operators import ampute as A
 from lacuna.operators import coding, fidelity, utility
 from lacuna.operators.cells import apply_mask, assert_no_holes, mask_table, q
-from lacuna.operators.embed import HashEncoder, embed_text, hash_vectors
+from lacuna.operators.embed import HashEncoder, embed_text, hash_vectors, hashed_fields
 from lacuna.operators.impute import fill_table
+from lacuna.operators.learn import learn_metric
+from lacuna.operators.pairs import contrastive_pairs
 from lacuna.operators.split import train_test_split
 from lacuna.roles import Roles
 from lacuna.scratch import cut
+from lacuna.sources.tables import cached_embeddings
 
 METRIC_NAMES = ("smape", "error", "asmape", "kl", "base_cls", "imputed_cls", "model_selection", "feature_selection")
 
@@ -67,9 +70,33 @@ def row_vectors(ready: Prepared, roles: Roles, settings: Settings, make_encoder=
     """The holed table with vectors: from a user's text encoder, or from the hashing encoder."""
     if make_encoder is None:
         return hash_vectors(ready.holed, roles, settings.encoder)
-    shown = coding.decode(ready.holed, ready.dimension, roles.categorical, ready.types)
-    texts = encode_rows(shown, roles, settings.encoding, token=settings.token)
-    return ready.holed.join(embed_text(texts, "text", make_encoder, settings.batch_size).drop("text"), roles.key)
+    texts = encode_rows(_shown(ready, roles), roles, settings.encoding, token=settings.token)
+    return ready.holed.join(embed_text(texts, "text", make_encoder, settings.batch_size), roles.key)
+
+
+def _shown(ready: Prepared, roles: Roles) -> DataFrame:
+    """The holed table with its categories in words."""
+    return coding.decode(ready.holed, ready.dimension, roles.categorical, ready.types)
+
+
+def tuned_vectors(ready: Prepared, roles: Roles, settings: Settings, make_encoder=None) -> DataFrame:
+    """As ``row_vectors``, scaled by a metric learned from contrastive triples of the holed rows' texts.
+
+    Without an encoder the texts are hashed field by field.
+    """
+    make_encoder = make_encoder or hashed_fields(settings.encoder.dim)
+    triples = contrastive_pairs(_shown(ready, roles), roles, settings.encoding, token=settings.token, seed=settings.seed, batch_size=settings.batch_size)
+    for text, out in (("anchor", "h_x"), ("positive", "h_pos"), ("negative", "h_neg")):
+        triples = embed_text(triples, text, make_encoder, settings.batch_size, out, distinct=False)
+    learned = learn_metric(cut(triples.select("h_x", "h_pos", "h_neg"), "triples"))
+    return learned.scale(row_vectors(ready, roles, settings, make_encoder), "vec")
+
+
+def fingerprint(df: DataFrame, roles: Roles) -> list[str]:
+    """Row count and two order-free digests of the key and features."""
+    row = F.xxhash64(q(roles.key), *[q(f) for f in roles.features])
+    seen = df.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(row.cast("decimal(20,0)"))).first()
+    return [str(v) for v in seen]
 
 
 def evaluate(imputed: DataFrame, truth: DataFrame, test: DataFrame, mask: DataFrame, roles: Roles,
@@ -85,10 +112,27 @@ def evaluate(imputed: DataFrame, truth: DataFrame, test: DataFrame, mask: DataFr
 
 
 def experiment(df: DataFrame, roles: Roles, settings: Settings = Settings(), make_encoder=None,
-               models=utility.MODELS) -> DataFrame:
-    """Hide cells of a complete table, fill them, and score the result."""
+               models=utility.MODELS, tune: bool = False, cache: str | None = None, encoder_name: str | None = None) -> DataFrame:
+    """Hide cells of a complete table, fill them, and score the result.
+
+    ``tune`` learns a metric from contrastive triples first. ``cache`` names a folder that keeps the vectors under a key
+    of everything that shapes them: data, roles, all settings, tuning and encoder. An encoder of the user's own
+    needs a name for that.
+    """
+    if cache and make_encoder is not None and not encoder_name:
+        raise ValueError("a cached encoder needs a name")
     ready = prepare(df, roles, settings)
-    vectors = row_vectors(ready, roles, settings, make_encoder)
+
+    def compute():
+        return (tuned_vectors if tune else row_vectors)(ready, roles, settings, make_encoder)
+
+    if cache:
+        shape = {"settings": asdict(settings), "roles": asdict(roles), "tune": tune, "encoder": encoder_name or settings.encoder.settings(),
+                 "data": fingerprint(df, roles)}
+        kept = cached_embeddings(df.sparkSession, cache, shape, roles.key, "vec", compute)
+        vectors = ready.holed.join(kept, roles.key)
+    else:
+        vectors = compute()
     imputed = cut(fill_table(vectors, roles, "vec", settings.k, settings.metric), "imputed")
     assert_no_holes(imputed, roles.features)
     return evaluate(imputed, ready.truth, ready.test, ready.mask, roles, models, settings.seed)

@@ -280,10 +280,13 @@ def test_texts_are_encoded_once(spark):
             return np.array([[len(t), 1.0] for t in texts], dtype=np.float32)
         return encode
 
-    df = spark.createDataFrame([(i, "same" if i < 30 else f"t{i}") for i in range(40)], "id bigint, t string")
+    texts = ["same" if i < 30 else f"t{i} " * i for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
     for distinct in (True, False):
-        got = embed_text(df, "t", make, 4, distinct=distinct).collect()
-        assert all(r.vec == [len(r.t), 1.0] for r in got) and len(got) == 40
+        for limit, shown in ((None, texts), (5, [" ".join(t.split()[:5]) for t in texts])):
+            made = embed_text(df, "t", make, 4, distinct=distinct, limit=limit)
+            assert made.columns == ["id", "vec"]
+            assert {r.id: r.vec for r in made.collect()} == {i: [len(t), 1.0] for i, t in enumerate(shown)}
 
 
 def test_pooling(spark):
@@ -451,6 +454,21 @@ def test_own_folder_is_dropped_whole(spark, monkeypatch):
 
 # ---------------------------------------------------------------- whole runs
 
+def test_tuned_experiment_with_a_cache(spark, tmp_path):
+    """A second run reads the vectors of the first; other settings have vectors of their own."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(i % 7), float(rng.normal()), int(i % 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, c int")
+    settings = Settings(missing_type="MCAR", batch_size=8)
+    runs = [experiment(df, ROLES, settings, models=("GaussNB",), tune=True, cache=str(tmp_path)).first() for _ in range(2)]
+    assert str(runs[0]) == str(runs[1]) and len(list(tmp_path.glob("embeddings-*"))) == 1
+    experiment(df, ROLES, Settings(missing_type="MCAR", batch_size=8, seed=1), models=("GaussNB",), tune=True, cache=str(tmp_path))
+    experiment(df.where("id < 100"), ROLES, settings, models=("GaussNB",), cache=str(tmp_path))
+    assert len(list(tmp_path.glob("embeddings-*"))) == 3
+    with pytest.raises(ValueError, match="name"):
+        experiment(df, ROLES, settings, make_encoder=lambda: None, cache=str(tmp_path))
+
+
 def test_experiment_with_a_text_encoder(spark):
     def make():
         def encode(texts):
