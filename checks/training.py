@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks.registry import PART, check, table
@@ -149,8 +150,12 @@ def covariance_matrix(spark, folder):
     return spark.createDataFrame(rows, "i int, j int, cov double")
 
 
-@check("covariance_whitening")
+# in the new space the covariance is the unit matrix
+@check("covariance_whitening", "WITH d AS (SELECT unnest(range(0, max(len(embedding)))) AS i FROM embeddings) "
+       "SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END::DOUBLE AS cov FROM d a, d b")
 def covariance_whitening(spark, folder):
-    matrix = whitening(covariance(table(spark, folder, "embeddings"), "embedding"))
-    return spark.createDataFrame([(i, float(r[i])) for i, r in enumerate(matrix)], "i int, diagonal double")
-
+    cov = covariance(table(spark, folder, "embeddings"), "embedding")
+    turn = whitening(cov)
+    new = turn.T @ (cov + 1e-6 * np.eye(len(cov))) @ turn
+    rows = [(i, j, round(float(v), 6) + 0.0) for i, r in enumerate(new) for j, v in enumerate(r)]
+    return spark.createDataFrame(rows, "i int, j int, cov double")
