@@ -24,23 +24,11 @@ WEIGHTS, EPOCHS = [5, 2, 1], 3
 SHARDS = 24
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number of each row, written so that later reads agree on it."""
-    return cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-
-
-def _kept(numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents whose ``__row`` is among ``rows``, with their own columns."""
-    return numbered.join(rows, "__row", "left_semi").drop("__row")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte network does not reject. Labels come from the folder's table. Rows are numbered, so
-    repeated rows and null ids are judged one by one."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    net = bytecnn.fit_on(docs, labels)
-    numbered = _numbered(docs)
-    return _kept(numbered, bytecnn.scored(numbered, net, "__row").where(F.col("score") >= QUALITY).select("__row"))
+    """Documents that the byte network does not reject. Labels come from the folder's table. Rows are scored where
+    they lie, so repeated rows and null ids are judged one by one."""
+    net = bytecnn.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return bytecnn.with_score(docs, net, "__score").where(F.col("__score") >= QUALITY).drop("__score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,18 +37,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with a benchmark item."""
-    numbered = _numbered(docs)
-    found, _ = winnow.contamination(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__row")
-    return _kept(numbered, found.where(F.col("n_hit") == 0).select(F.col("id").alias("__row")))
+    """Documents that share no window of words with a benchmark item. The text alone decides, so the few texts that
+    are hit are excluded by digest, whatever the ids of their rows."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    found, _ = winnow.contamination(docs.select(digest.alias("__text"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__text")
+    hit = cut(found.where(F.col("n_hit") > 0).select(F.col("id").alias("__text")).distinct(), "contaminated")
+    return docs.withColumn("__text", digest).join(hit, "__text", "left_anti").drop("__text")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix repeats it: a row per copy, none for a document that is left out."""
-    numbered = _numbered(docs)
-    mixed = mixing.mix(numbered.withColumn("__words", word_count(F.col("text"))), "__row", F.col("__words"), "source", WEIGHTS, EPOCHS)
-    copies = mixed.where(F.col("copies") > 0).select("__row", "copies").withColumnRenamed("copies", "__copies")
-    return numbered.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    mixed = mixing.mix(docs, "doc_id", word_count(F.col("text")), "source", WEIGHTS, EPOCHS).where(F.col("mix.copies") > 0)
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

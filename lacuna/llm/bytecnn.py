@@ -150,12 +150,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return net
 
 
-def scored(df: DataFrame, net: ByteNet, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``score`` (0 to 1) of every row; null and empty texts are scored as one window of zeros."""
+def with_score(df: DataFrame, net: ByteNet, out: str, text: str = "text") -> DataFrame:
+    """All columns of every row and the score (0 to 1) of its text; null and empty texts are scored as one window of zeros."""
     def make():
-        return lambda texts: {"score": net.score(texts)}
+        return lambda texts: {out: net.score(texts)}
 
-    return by_text(df, [key], text, make, "score double")
+    return by_text(df, df.columns, text, make, f"{out} double")
 
 
 def quality(df: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,6 +165,7 @@ def quality(df: DataFrame, labels: DataFrame, label: str = "quality", threshold:
     held out, other columns are left out. Without labels, or with labels of one class, every score is the
     smoothed share of label 1; an empty table gives no rows.
     """
-    answers = scored(df, fit_on(df, labels, label, key=key, text=text), key, text)
+    net = fit_on(df, labels, label, key=key, text=text)
+    answers = with_score(df.select(F.col(key), F.col(text).alias("text")), net, "score").drop("text")
     return answers.select(key, (F.coalesce(fold(F.col(key)), F.lit(-1)) == 0).alias("held_out"), "score",
                           (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -38,36 +38,56 @@ def source_targets(sizes: DataFrame, weights: list[int], max_epochs: int = 3) ->
     return table.select("source", "source_size", "weight", target.alias("target"))
 
 
-def seeded_order(key: str, seed: int) -> Column:
-    """A keyed digest that orders rows at random, alike in every run."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+def seeded_order(df: DataFrame, key: str, seed: int) -> Column:
+    """A keyed digest that orders rows at random, alike in every run; rows without key by all they hold."""
+    known = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string")))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), known))
 
 
-def mix(df: DataFrame, key: str, size: Column, source: str, weights: list[int], max_epochs: int = 3, seed: int = 0,
-        extra: list[str] | None = None) -> DataFrame:
-    """Columns ``key``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` of every row.
+def source_plan(base: DataFrame, weights: list[int], max_epochs: int) -> DataFrame:
+    """One row per source: ``source``, ``source_size``, ``target``, ``whole`` (repetitions of all its rows) and ``limit`` (rows
+    whose order is not above it are taken once more; null: none). ``base`` has ``source``, ``size`` and ``order``.
+
+    The running total is made in two steps: sums per order prefix, then a window inside each prefix.
+    """
+    targets = source_targets(base.select("source", "size"), weights, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0)).cast("int")
+    rest = F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = cut(targets.withColumn("whole", whole).withColumn("rest", F.when(F.col("whole") < max_epochs, rest).otherwise(F.lit(-1.0))).drop("weight"), "targets")
+    # rows of one key are taken or left together
+    keys = base.groupBy("source", "order").agg(F.sum("size").alias("size")).withColumn("prefix", F.substring("order", 1, PREFIX))
+    keys = cut(keys, "orders")
+    parts = keys.groupBy("source", "prefix").agg(F.sum("size").alias("part"))
+    before = W.unboundedPreceding, -1
+    parts = parts.select(F.col("source").alias("s"), F.col("prefix").alias("p"), F.coalesce(
+        F.sum("part").over(W.partitionBy("source").orderBy("prefix").rowsBetween(*before)), F.lit(0)).alias("base"))
+    inside = F.sum("size").over(W.partitionBy("source", "prefix").orderBy("order").rowsBetween(*before))
+    middle = F.col("base") + F.col("inside") + F.col("size") / F.lit(2.0)
+    placed = (keys.withColumn("inside", F.coalesce(inside, F.lit(0)))
+              .join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("prefix") == F.col("p"))).select("source", "order", middle.alias("middle")))
+    rests = targets.select(F.col("source").alias("s"), "rest")
+    taken = placed.join(rests, F.col("source").eqNullSafe(F.col("s"))).where("middle <= rest").groupBy("s").agg(F.max("order").alias("limit"))
+    plan = targets.join(taken, F.col("source").eqNullSafe(F.col("s")), "left")
+    return cut(plan.select("source", "source_size", "target", "whole", "limit"), "plan")
+
+
+def mix(df: DataFrame, key: str, size: Column, source: str, weights: list[int], max_epochs: int = 3, seed: int = 0) -> DataFrame:
+    """All rows and columns of ``df`` with a struct ``mix``: ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
 
     A source repeats all its rows floor(target / size) times. The rest of its target is filled by rows
     in keyed random order: a row is taken once more if the middle of its stretch of the running total
-    lies within the rest, so the source misses its target by half of one row's size at most.
+    lies within the rest, so the source misses its target by half of one row's size at most. In the end
+    that is one limit per source, so rows are decided where they lie and no text is shuffled.
     Null sources are one source, the last. Rows of size 0 are repeated by the same rule and count nothing.
-    Rows with equal keys are separate rows; an empty table gives no rows. ``extra`` columns are carried.
+    Rows of one key are decided together, rows without key one by one unless equal in all columns; an empty
+    table gives no rows. A column named ``mix`` is replaced.
     """
-    columns = [c for c in extra or []]
-    base = cut(df.select(F.col(key).alias("__key"), F.col(source).alias("source"), size.alias("size"), *columns)
-               .withColumn("__order", seeded_order("__key", seed)).withColumn("__prefix", F.substring("__order", 1, PREFIX)), "mix")
-    targets = source_targets(base.select("source", "size"), weights, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0))
-    targets = targets.withColumn("__whole", whole).withColumn(
-        "__rest", F.greatest(F.lit(0.0), F.col("target") - F.col("__whole") * F.col("source_size"))).drop("weight")
-    parts = base.groupBy("source", "__prefix").agg(F.sum("size").alias("__part"))
-    before = W.partitionBy("source").orderBy("__prefix").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(F.col("source").alias("__s"), F.col("__prefix").alias("__p"), F.coalesce(F.sum("__part").over(before), F.lit(0)).alias("__base"))
-    targets = targets.withColumnRenamed("source", "__t")
-    plan = cut(parts.join(targets, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t"), "mix-plan")
-    inside = W.partitionBy("source", "__prefix").orderBy("__order", "__key", "size", *columns).rowsBetween(W.unboundedPreceding, -1)
-    rows = base.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__prefix") == F.col("__p")))
-    at = F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("__base") + F.col("size") / F.lit(2.0)
-    copies = (F.col("__whole") + F.when((at <= F.col("__rest")) & (F.col("__whole") < max_epochs), 1).otherwise(0)).cast("int")
-    return (rows.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("bigint"))
-            .select(F.col("__key").alias(key), "source", "size", "source_size", "target", "copies", "taken", *columns))
+    order = seeded_order(df, key, seed)
+    base = cut(df.select(F.col(source).cast("string").alias("source"), size.cast("bigint").alias("size"), order.alias("order")), "mix")
+    plan = source_plan(base, weights, max_epochs).select(F.struct("*").alias("__plan"))
+    rows = df.drop("mix").withColumn("__size", size.cast("bigint")).withColumn("__order", order)
+    joined = rows.join(plan, F.col(source).cast("string").eqNullSafe(F.col("__plan.source")))
+    copies = F.col("__plan.whole") + F.when(F.col("__order") <= F.col("__plan.limit"), 1).otherwise(0)
+    told = F.struct(F.col("__plan.source").alias("source"), F.col("__size").alias("size"), F.col("__plan.source_size").alias("source_size"),
+                    F.col("__plan.target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+    return joined.withColumn("mix", told).drop("__plan", "__size", "__order")

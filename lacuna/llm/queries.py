@@ -108,9 +108,8 @@ r AS (SELECT d.*, source_size, target, whole, greatest(0.0, target - whole * sou
 x AS (SELECT *, (whole + CASE WHEN middle <= rest AND whole < {EPOCHS} THEN 1 ELSE 0 END)::INTEGER AS copies FROM r)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM x""")
 def op5(spark, folder):
-    docs = read(spark, folder, "documents")
-    return mixing.mix(docs, "doc_id", word_count(F.col("text")), "source", WEIGHTS, EPOCHS).select(
-        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    docs = read(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, "doc_id", word_count(F.col("text")), "source", WEIGHTS, EPOCHS).select("doc_id", "mix.*")
 
 
 @query("op6_byte_cnn")
