@@ -39,7 +39,7 @@ SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MARK = "|"
 
 #: Words encoded as one text.
-TOGETHER = 20_000
+TOGETHER = 200
 
 
 def normalized(text: str) -> str:
@@ -81,21 +81,25 @@ class WordIds(dict):
         if len(self) + len(words) > MEMORY:
             self.clear()
             self[""] = b""
-        split = {w: parts_of(w) for w in words - self.keys()}
-        bases = {p for parts in split.values() for p in parts} - self.keys()
+        new = words - self.keys()
+        signed = {w: parts_of(w) for w in new if w[-1] in SIGNS}
+        bases = new.difference(signed)
+        bases.update(*signed.values())
+        bases -= self.keys()
         together = [b for b in bases if MARK not in b] if len(self.mark) == 1 else []
-        for i in range(0, len(together), TOGETHER):
-            part = together[i : i + TOGETHER]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*part, ""]), add_special_tokens=False).ids, self.kind)
-            ends = np.flatnonzero(ids == self.mark[0])
-            data, width = ids.tobytes(), ids.itemsize
-            starts = [0, *((ends[:-1] + 1) * width).tolist()]
-            for b, x, y in zip(part, starts, (ends * width).tolist(), strict=True):
-                self[b] = data[x:y]
-        alone = [b for b in bases if b not in self]
-        for b, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
+        runs = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
+        made = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*run, ""]) for run in runs], add_special_tokens=False)
+        for run, encoding in zip(runs, made):
+            ids = np.array(encoding.ids, self.kind)
+            data, ends = ids.tobytes(), np.flatnonzero(ids == self.mark[0]) * ids.itemsize
+            starts = np.append(0, ends[:-1] + ids.itemsize)
+            self.update(zip(run, [data[x:y] for x, y in zip(starts.tolist(), ends.tolist())], strict=True))
+        alone = [b for b in bases if MARK in b or len(self.mark) != 1]
+        for b, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             self[b] = np.array(e.ids, self.kind).tobytes()
-        self.update({w: self[head] + self[tail] for w, (head, tail) in split.items()})
+        for w, (head, tail) in signed.items():
+            if tail:
+                self[w] = self[head] + self[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [normalized(t).split(" ") for t in texts]
@@ -170,7 +174,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, key: str = "doc_
     are all written, ordered by their ids. Other columns are left out; an empty table gives empty files.
     """
     spark = df.sparkSession
-    tokens = cut(token_ids(df.withColumnRenamed(key, "key"), tokenizer, "key", text, end), "ids")
+    named = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    tokens = cut(token_ids(named, tokenizer, "key", "text", end), "ids")
     key_type = tokens.schema["key"].dataType.simpleString()
     # one row per id of the vocabulary
     counted = count_ids(tokens).orderBy(F.desc("n"), "id").select("id", "n").toPandas()
