@@ -8,6 +8,7 @@ one to four low bytes of each rank.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -24,7 +25,7 @@ from lacuna.scratch import cut, small_table
 BLOCK_IDS = 1 << 16
 
 #: Words whose ids a worker remembers; only speed depends on it.
-MEMORY = 600_000
+MEMORY = 800_000
 
 #: For each control byte, the lengths of its four ranks.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
@@ -66,6 +67,18 @@ def parts_of(word: str) -> tuple[str, str]:
     return word, ""
 
 
+def is_plain(word: str) -> bool:
+    """Lower-case Latin-1 letters alone: nothing to normalize, and one piece for the tokenizer."""
+    return word.isalpha() and word == word.lower() and (word.isascii() or max(word) < "\u0100")
+
+
+def bare(content: str) -> str:
+    """The same vocabulary and merges for words that are separated by spaces and need no other rule."""
+    whole = json.loads(content)
+    words = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    return json.dumps(whole | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": words}})
+
+
 class WordIds(dict):
     """Word to the bytes of its ids. Words are what lies between spaces, tabs and line ends."""
 
@@ -73,19 +86,31 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.kind = Tokenizer.from_str(content), kind
+        self.tokenizer, self.bare, self.kind = Tokenizer.from_str(content), Tokenizer.from_str(bare(content)), kind
+        # tokens that end a word, in a vocabulary that marks them
+        suffix, vocabulary = json.loads(content)["model"].get("end_of_word_suffix"), self.bare.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self[""] = b""
 
     def learn(self, words: set[str]) -> None:
         if len(self) + len(words) > MEMORY:
+            kept = {w: self[w] for w in words & self.keys()} | {"": b""}
             self.clear()
-            self[""] = b""
+            self.update(kept)
         new = words - self.keys()
         signed = {w: parts_of(w) for w in new if w[-1] in SIGNS}
         bases = new.difference(signed)
         bases.update(*signed.values())
         bases -= self.keys()
+        plain = [b for b in bases if is_plain(b)] if self.ends.any() else []
+        runs = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for run, encoding in zip(runs, self.bare.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False)):
+            ids = np.array(encoding.ids, self.kind)
+            data, ends = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            self.update(zip(run, [data[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())], strict=True))
+        bases.difference_update(plain)
         together = [b for b in bases if MARK not in b] if len(self.mark) == 1 else []
         runs = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
         made = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*run, ""]) for run in runs], add_special_tokens=False)
