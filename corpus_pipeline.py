@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lacuna.llm import bytecnn, hilbert, minmax, mixing, winnow
 from lacuna.llm.texts import word_count
-from lacuna.scratch import cut
+from lacuna.scratch import cut, cut_counted
 
 #: A document stays with this quality score or more.
 QUALITY = 0.3
@@ -23,6 +23,9 @@ WEIGHTS, EPOCHS = [5, 2, 1], 3
 
 SHARDS = 24
 
+#: Digests of 32 bytes that may be sent to all tasks: 16 MB.
+MOST_SENT = 500_000
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network does not reject. Labels come from the folder's table. Rows are scored where
@@ -38,10 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item. The text alone decides, so the few texts that
-    are hit are excluded by digest, whatever the ids of their rows."""
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    are hit are excluded by digest, whatever the ids of their rows. Their digests are counted: up to MOST_SENT are sent
+    to every task, so that no clean text is shuffled; Spark chooses the join beyond that."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     found, _ = winnow.contamination(docs.select(digest.alias("__text"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__text")
-    hit = cut(found.where(F.col("n_hit") > 0).select(F.col("id").alias("__text")).distinct(), "contaminated")
+    hit, seen = cut_counted(found.where(F.col("n_hit") > 0).select(F.col("id").alias("__text")).distinct(), "contaminated")
+    if seen["n"] <= MOST_SENT:
+        hit = F.broadcast(hit)
     return docs.withColumn("__text", digest).join(hit, "__text", "left_anti").drop("__text")
 
 
