@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lacuna.operators.position import with_position
-from lacuna.scratch import cut
+from lacuna.scratch import cut, cut_counted, with_place
 
-#: Hash prefixes (hexadecimal digits) that cut each source into windows: 4,096 per source, so that
-#: a source with a third of all rows is summed by 4,096 tasks and not by one.
-PREFIX = 3
+#: Stretches of the ordered rows that are summed apart, so that a source or a key with a third of all rows
+#: is summed by a third of as many tasks and not by one.
+STRETCHES = 4096
+
+#: What orders the rows of a source: the keyed digest, and for rows of one key their size, all they hold, and their place.
+ORDER = ("order", "size", "tie", "file", "place")
 
 
 def source_targets(sizes: DataFrame, weights: list[int], max_epochs: int = 3) -> DataFrame:
@@ -46,27 +49,27 @@ def seeded_order(df: DataFrame, key: str, seed: int) -> Column:
 
 def source_plan(base: DataFrame, weights: list[int], max_epochs: int) -> DataFrame:
     """One row per source: ``source``, ``source_size``, ``target``, ``whole`` (repetitions of all its rows) and ``limit`` (rows
-    whose order is not above it are taken once more; null: none). ``base`` has ``source``, ``size`` and ``order``.
+    whose ORDER is not above it are taken once more; null: none). ``base`` has ``source`` and the columns of ORDER.
 
-    The running total is made in two steps: sums per order prefix, then a window inside each prefix.
+    The running total is made in two steps: sums per stretch of the sorted rows, then a window inside each stretch.
     """
+    base, seen = cut_counted(base, "mix")
     targets = source_targets(base.select("source", "size"), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0)).cast("int")
     rest = F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))
     targets = cut(targets.withColumn("whole", whole).withColumn("rest", F.when(F.col("whole") < max_epochs, rest).otherwise(F.lit(-1.0))).drop("weight"), "targets")
-    # rows of one key are taken or left together
-    keys = base.groupBy("source", "order").agg(F.sum("size").alias("size")).withColumn("prefix", F.substring("order", 1, PREFIX))
-    keys = cut(keys, "orders")
-    parts = keys.groupBy("source", "prefix").agg(F.sum("size").alias("part"))
+    sorted_rows = with_position(base, [F.col("source").asc_nulls_last(), *ORDER], "pos", "orders")
+    sorted_rows = sorted_rows.withColumn("stretch", F.floor(F.col("pos") / (seen["n"] // STRETCHES + 1)))
+    parts = sorted_rows.groupBy("source", "stretch").agg(F.sum("size").alias("part"))
     before = W.unboundedPreceding, -1
-    parts = parts.select(F.col("source").alias("s"), F.col("prefix").alias("p"), F.coalesce(
-        F.sum("part").over(W.partitionBy("source").orderBy("prefix").rowsBetween(*before)), F.lit(0)).alias("base"))
-    inside = F.sum("size").over(W.partitionBy("source", "prefix").orderBy("order").rowsBetween(*before))
+    parts = parts.select(F.col("source").alias("s"), F.col("stretch").alias("p"), F.coalesce(
+        F.sum("part").over(W.partitionBy("source").orderBy("stretch").rowsBetween(*before)), F.lit(0)).alias("base"))
+    inside = F.sum("size").over(W.partitionBy("source", "stretch").orderBy("pos").rowsBetween(*before))
     middle = F.col("base") + F.col("inside") + F.col("size") / F.lit(2.0)
-    placed = (keys.withColumn("inside", F.coalesce(inside, F.lit(0)))
-              .join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("prefix") == F.col("p"))).select("source", "order", middle.alias("middle")))
+    placed = (sorted_rows.withColumn("inside", F.coalesce(inside, F.lit(0)))
+              .join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("p"))).select("source", *ORDER, middle.alias("middle")))
     rests = targets.select(F.col("source").alias("s"), "rest")
-    taken = placed.join(rests, F.col("source").eqNullSafe(F.col("s"))).where("middle <= rest").groupBy("s").agg(F.max("order").alias("limit"))
+    taken = placed.join(rests, F.col("source").eqNullSafe(F.col("s"))).where("middle <= rest").groupBy("s").agg(F.max(F.struct(*ORDER)).alias("limit"))
     plan = targets.join(taken, F.col("source").eqNullSafe(F.col("s")), "left")
     return cut(plan.select("source", "source_size", "target", "whole", "limit"), "plan")
 
@@ -79,13 +82,15 @@ def mix(df: DataFrame, key: str, size: Column, source: str, weights: list[int],
     lies within the rest, so the source misses its target by half of one row's size at most. In the end
     that is one limit per source, so rows are decided where they lie and no text is shuffled.
     Null sources are one source, the last. Rows of size 0 are repeated by the same rule and count nothing.
-    Rows of one key are decided together, rows without key one by one unless equal in all columns; an empty
-    table gives no rows. A column named ``mix`` is replaced.
+    Rows of one key follow each other by size, then by all they hold, and equal ones by their place in the input, so every row
+    is decided alone; an empty table gives no rows. A column named ``mix`` is replaced.
     """
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
     order = seeded_order(df, key, seed)
-    base = cut(df.select(F.col(source).cast("string").alias("source"), size.cast("bigint").alias("size"), order.alias("order")), "mix")
-    plan = source_plan(base, weights, max_epochs).select(F.struct("*").alias("__plan"))
-    rows = df.drop("mix").withColumn("__size", size.cast("bigint")).withColumn("__order", order)
+    placed = with_place(df, "mix-rows")
+    ordered = [order.alias("order"), size.cast("bigint").alias("size"), tie.alias("tie"), F.col("__file").alias("file"), F.col("__place").alias("place")]
+    plan = source_plan(placed.select(F.col(source).cast("string").alias("source"), *ordered), weights, max_epochs).select(F.struct("*").alias("__plan"))
+    rows = placed.select("*", F.struct(*ordered).alias("__order"), size.cast("bigint").alias("__size")).drop("mix", "__file", "__place")
     joined = rows.join(plan, F.col(source).cast("string").eqNullSafe(F.col("__plan.source")))
     copies = F.col("__plan.whole") + F.when(F.col("__order") <= F.col("__plan.limit"), 1).otherwise(0)
     told = F.struct(F.col("__plan.source").alias("source"), F.col("__size").alias("size"), F.col("__plan.source_size").alias("source_size"),

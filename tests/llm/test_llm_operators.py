@@ -296,6 +296,25 @@ def test_mix_of_awkward_rows(awkward, empty):
 
 # ---------------------------------------------------------------- near duplicates
 
+def test_mix_splits_repeated_keys(spark, tmp_path):
+    """One key and one row without key, each a third of the rows, are taken in part; so is a source made of nothing else."""
+    rows = [(7, f"{'w ' * 9}{i % 50}", "a") for i in range(300)] + [(None, "w " * 10, "a")] * 300 + [(1000 + i, "w " * 10, "a") for i in range(300)]
+    rows += [(8, "w " * 10, "b")] * 400 + [(None, "w " * 10, "c")] * 400 + [(2000 + i, "w " * 10, "d") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    df.write.parquet(str(tmp_path / "rows"))
+    size, results = word_count(F.col("text")), []
+    for given in (df, spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "rows")).where("source is not null").select("source", "text", "doc_id")):
+        got = mixing.mix(given, "doc_id", size, "source", [50, 7, 5, 31]).select("doc_id", "text", "mix.*").collect()
+        assert len(got) == len(rows)
+        target, taken = {r["source"]: r["target"] for r in got}, Counter()
+        for r in got:
+            taken[r["source"]] += r["taken"]
+        assert all(abs(taken[s] - target[s]) <= 5 for s in target), (target, taken)
+        assert all(len({r["copies"] for r in got if r["source"] == s}) == 2 for s in "bc")
+        results.append(sorted(repr((r["doc_id"], r["text"], r["source"], r["copies"])) for r in got))
+    assert results[0] == results[1]  # the third has its columns in another order
+
+
 def brute_groups(rows, percent):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
