@@ -22,7 +22,8 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 RANK = {k: i for i, k in enumerate(KINDS)}
 
 # candidates of the confirmed kinds: dotted base64url, armoured blocks, runs of base64 or hex
-DOTTED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+# a token has three parts, an encrypted one five, of which the second is empty where the key is agreed on or given
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+))?(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}(?![0-9A-Fa-f])")
@@ -114,16 +115,16 @@ def prefixed(data: bytes, count: int | None) -> tuple[list[bytes] | None, bytes]
     return (fields if count is None or len(fields) == count else None), data[at:]
 
 
-def is_signed_token(header: str, payload: str) -> bool:
-    """A JSON header that names its algorithm, and a JSON object (or encrypted content) behind it."""
+def is_token(header: str, payload: str, encrypted: bool) -> bool:
+    """A JSON header that names its algorithm, and a JSON object behind it, or of five parts a header that names its encryption too."""
     try:
         head = json.loads(from_base64(header) or b"")
     except (ValueError, RecursionError):
         return False
     if not isinstance(head, dict) or not isinstance(head.get("alg"), str):
         return False
-    if "enc" in head:
-        return True
+    if "enc" in head or encrypted:
+        return "enc" in head
     try:
         return isinstance(json.loads(from_base64(payload) or b""), dict)
     except (ValueError, RecursionError):
@@ -138,9 +139,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out, armoured = [], []
-    for m in DOTTED.finditer(text):
-        if is_signed_token(m.group(1), m.group(2)):
-            out.append((m.start(), m.end(), "jwt"))
+    at = 0
+    while m := DOTTED.search(text, at):
+        at = m.end(1)  # a part that is no header may stand before one
+        if is_token(m.group(1), m.group(2), m.group(5) is not None):
+            at = m.end()
+            out.append((m.start(), at, "jwt"))
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
             data = from_base64(re.sub(r"\\n|\\r|\s", "", m.group(2)))

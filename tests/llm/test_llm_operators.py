@@ -146,6 +146,18 @@ def test_secret_structures(spark):
     assert secrets.redact(rows[0][1], got[0]) == "é [SECRET] ."
 
 
+def test_tokens_end_before_a_full_stop(spark):
+    signed, part = jwt({"alg": "HS256"}, {"sub": 1}), "c2lnbmF0dXJlLWJ5dGVz"
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "dir", "enc": "A256GCM"}).encode()).rstrip(b"=").decode()
+    tokens = [signed, f"{head}.{part}.{part}.{part}.{part}", f"{head}..{part}.{part}.{part}"]
+    texts = [(t, f"{a}{t}{b}", len(a)) for t in tokens for a, b in (
+        ("token ", ". Next"), ("token ", "."), ("", ", then"), ('"', '"'), ("'", "'."), ("(", ")"), ("configuration.service.", " "), ("", "...\nNext"), ("", ""))]
+    texts += [(None, f"{signed}.{part}.{part}", 0), (None, f"{signed}.{part}", 0), (None, f"{part}.{part}.{part}.{part}.{part}.", 0), (None, "somewhere... else", 0)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.scan(spark.createDataFrame([document(i, t) for i, (_, t, _) in enumerate(texts)], SCHEMA)).collect()}
+    for i, (token, text, at) in enumerate(texts):
+        assert [s for s in got[i] if s.startswith("jwt")] == ([f"jwt:{at}:{at + len(token)}"] if token else []), text
+
+
 def test_secret_base_spans(spark, awkward, empty):
     texts = ["PassWord = 'abcdef' token:\"12345\" api_key=zzzzzz apikey==abcdef", "AKIA" + "A1" * 8 + " AKIASHORT akia" + "a" * 20, "0123456789abcdef01234567 " * 2,
              "ſecret=abcdef toKen=abcdef", "secret: token=abcdefgh", "password =  \n abcdef", ""]
