@@ -9,7 +9,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lacuna.scratch import cut
+from lacuna.scratch import cut, small_table, with_place
 
 
 def fold(key: Column) -> Column:
@@ -17,29 +17,40 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)).cast("int")
 
 
+#: A text of more than this part of the byte bound is passed over, so that a few long ones do not fill it.
+SHARE = 16
+
+
 def fit_on_labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int, fit: Callable[[list[tuple[str, int]]], dict],
                     key: str = "doc_id", text: str = "text") -> dict:
     """What ``fit`` makes of (text, label) of at most ``rows`` labelled rows outside fold 0, of ``most_bytes`` in all.
 
     The rows are the first in a keyed random order, so they are the same in every run; texts are whole. Null
-    labels, keys without a text row and labels other than 0 and 1 are passed over. One task fits on the
+    labels, keys without a text row, labels other than 0 and 1 and texts of more than ``most_bytes`` / SHARE are passed
+    over, and later rows take their place. Labelled texts of which none can be taken are an error. One task fits on the
     bounded sample, and what it returns (plain values and arrays) goes to the driver.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fold(F.col(key)) != 0))
     order = F.md5(F.col(key).cast("string"))
-    chosen = known.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label"), order.alias("order")).orderBy("order", "label").limit(rows)
-    # the sample is bounded by ``rows``, so it may be broadcast
-    found = cut(docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-                .join(F.broadcast(chosen), "__key").select("order", "label", "text"), "labelled")
-    sizes = sorted((r["order"], r["n"]) for r in found.select("order", F.octet_length("text").alias("n")).collect())
-    last = [o for (o, _), total in zip(sizes, accumulate(n for _, n in sizes)) if total <= most_bytes]
-    if not last:
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fold(F.col(key)) != 0))
+    known = known.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label"), order.alias("order")).distinct()
+    placed = with_place(docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text")), "texts")
+    sized = placed.select("__key", "__file", "__place", F.octet_length("text").alias("n"))
+    short = sized.where(F.col("n") <= most_bytes // SHARE)
+    # the sample is bounded by ``rows`` and by bytes before any text is read
+    first = short.join(known, "__key").orderBy("order", "label", "__file", "__place").limit(rows).select("order", "label", "__file", "__place", "n").collect()
+    kept = [r for r, total in zip(first, accumulate(r["n"] for r in first)) if total <= most_bytes]
+    if not kept:
+        if not sized.join(known, "__key").isEmpty():
+            raise ValueError(f"{label}: every labelled text has more than {most_bytes // SHARE} bytes")
         return fit([])
+    types = {"order": pa.string(), "label": pa.int32(), "__file": pa.int64(), "__place": pa.int64()}
+    chosen = small_table(docs.sparkSession, **{c: ([r[c] for r in kept], t) for c, t in types.items()})
+    found = cut(placed.drop("__key").join(F.broadcast(chosen), ["__file", "__place"]).select("order", "label", "text"), "labelled")
 
     def run(batches):
         read = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in range(3)))]
         model = fit([(t, y) for _, y, t in sorted(read)])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    made = found.where(F.col("order") <= last[-1]).coalesce(1).mapInArrow(run, "model binary").collect()
+    made = found.coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(made[0]["model"])

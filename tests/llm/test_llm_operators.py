@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from lacuna.llm import bytecnn, hilbert, maxscore, minmax, mixing, secrets, tokenfile, toxicity, transducer, winnow
 from lacuna.llm.components import components
-from lacuna.llm.labelled import fold
+from lacuna.llm.labelled import fit_on_labelled, fold
 from lacuna.llm.texts import word_count
 from lacuna.scratch import new_path
 
@@ -468,6 +468,20 @@ def test_held_out_labels_are_never_read(spark, awkward):
     assert collected(toxicity.toxicity(awkward, labels), "doc_id", "score") == collected(toxicity.toxicity(awkward, other), "doc_id", "score")
 
 
+def test_long_texts_leave_the_sample_whole(spark):
+    """The first keys of the order have texts of more than the bound, or of a large part of it."""
+    ids = sorted((i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    long = {ids[0]: 2000, ids[1]: 900, ids[3]: 70}
+    docs = spark.createDataFrame([(i, "x" * long.get(i, 20)) for i in ids], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in [*ids, *range(1000, 1050)]], "doc_id bigint, quality int")
+    given = lambda rows, most: fit_on_labelled(docs, labels, "quality", rows, most, lambda x: {"n": x})["n"]
+    left = [("x" * 20, i % 2) for i in ids if i not in long]
+    assert given(30, 1000) == left[:30]
+    assert given(1000, 400) == left[:20]
+    with pytest.raises(ValueError, match="every labelled text"):
+        given(30, 100)
+
+
 def test_calibration_rises():
     draw = np.random.default_rng(0)
     margin = draw.normal(size=500).round(1)
