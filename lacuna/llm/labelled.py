@@ -25,7 +25,8 @@ def fit_on_labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
                     key: str = "doc_id", text: str = "text") -> dict:
     """What ``fit`` makes of (text, label) of at most ``rows`` labelled rows outside fold 0, of ``most_bytes`` in all.
 
-    The rows are the first in a keyed random order, so they are the same in every run; texts are whole. Null
+    The rows are the first in a keyed random order, so they are the same in every run; texts are whole. A key gives
+    one text, that of the smallest digest, and is taken once with each label it has. Null
     labels, keys without a text row, labels other than 0 and 1 and texts of more than ``most_bytes`` / SHARE are passed
     over, and later rows take their place. Labelled texts of which none can be taken are an error. One task fits on the
     bounded sample, and what it returns (plain values and arrays) goes to the driver.
@@ -34,10 +35,12 @@ def fit_on_labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fold(F.col(key)) != 0))
     known = known.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label"), order.alias("order")).distinct()
     placed = with_place(docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text")), "texts")
-    sized = placed.select("__key", "__file", "__place", F.octet_length("text").alias("n"))
-    short = sized.where(F.col("n") <= most_bytes // SHARE)
+    sized = placed.select("__key", "__file", "__place", F.octet_length("text").alias("n"), F.xxhash64("text").alias("tie"))
+    # one text of a key, so that a key held by many rows is one row before it is joined
+    least = F.min(F.struct("tie", "__file", "__place", "n")).alias("least")
+    short = sized.where(F.col("n") <= most_bytes // SHARE).groupBy("__key").agg(least).select("__key", "least.*")
     # the sample is bounded by ``rows`` and by bytes before any text is read
-    first = short.join(known, "__key").orderBy("order", "label", "__file", "__place").limit(rows).select("order", "label", "__file", "__place", "n").collect()
+    first = short.join(known, "__key").orderBy("order", "label").limit(rows).select("order", "label", "__file", "__place", "n").collect()
     kept = [r for r, total in zip(first, accumulate(r["n"] for r in first)) if total <= most_bytes]
     if not kept:
         if not sized.join(known, "__key").isEmpty():

@@ -482,6 +482,17 @@ def test_long_texts_leave_the_sample_whole(spark):
         given(30, 100)
 
 
+def test_a_repeated_key_is_one_text_of_the_sample(spark):
+    """The first key of the order holds most rows, of documents and of labels."""
+    ids = sorted((i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(i, f"text {i:14}") for i in ids] + [(ids[0], f"other {i:13}") for i in range(100)] + [(ids[0], f"text {ids[0]:14}")] * 100
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), [(i, i % 2) for i in ids] + [(ids[0], ids[0] % 2)] * 50
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    given = [fit_on_labelled(docs.repartition(n), labels, "quality", 20, 10_000, lambda x: {"n": x})["n"] for n in (2, 5)]
+    assert given[0] == given[1] and len(given[0]) == 20
+    assert given[0][1:] == [(f"text {i:14}", i % 2) for i in ids[1:20]] and (ids[0], given[0][0][0]) in rows
+
+
 def test_calibration_rises():
     draw = np.random.default_rng(0)
     margin = draw.normal(size=500).round(1)
