@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from lacuna.llm.labelled import fit_on_labelled, fold
@@ -84,7 +85,7 @@ class Features(dict):
         you = [i for i, w, _ in marked if w in YOU]
         disguised = DISGUISED.findall(text)
         plain = [self[re.sub(r"[*.\-_]", "", d.lower().translate(PLAIN))] for d in disguised]
-        letters = sum(map(str.isupper, text)) if len(text) < 64 else len(CAPITAL.findall(text))
+        letters = len(CAPITAL.findall(text))
         near, j = 0, 0
         for i in sorted({i for i, _ in hits + starts}):
             while j < len(you) and you[j] < i - NEAR:
@@ -97,8 +98,9 @@ class Features(dict):
                 len(SIGN.findall(text)) / chars, len(DOUBLED.findall(text)) / n]
 
 
-CAPITAL = re.compile(r"[A-Z]")
-SHOUTED = re.compile(r"\b[A-Z]{3,}\b")
+# capitals of any script, at every size
+CAPITAL = regex.compile(r"\p{Lu}")
+SHOUTED = regex.compile(r"\b\p{Lu}{3,}\b")
 SIGN = re.compile(r"[#&*$%@!?]")
 DOUBLED = re.compile(r"([!?.#*&$%])\1+")
 

@@ -493,6 +493,14 @@ def test_a_repeated_key_is_one_text_of_the_sample(spark):
     assert given[0][1:] == [(f"text {i:14}", i % 2) for i in ids[1:20]] and (ids[0], given[0][0][0]) in rows
 
 
+@pytest.mark.parametrize("word", ["SHOUT", "ÄRGER", "ΘΥΜΟΣ", "ГНЕВ"])
+def test_capitals_count_alike_at_every_size(word):
+    features = toxicity.Features({})
+    for text in (f"{word} now", f"{word} now " * 20):
+        of = dict(zip(toxicity.FEATURES, features.of(text)))
+        assert of["capitals"] == pytest.approx(len(word) * text.count(word) / len(text)) and of["shouted"] == 0.5
+
+
 def test_calibration_rises():
     draw = np.random.default_rng(0)
     margin = draw.normal(size=500).round(1)
