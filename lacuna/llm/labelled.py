@@ -9,7 +9,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lacuna.scratch import cut, small_table, with_place
+from lacuna.llm.texts import with_place
+from lacuna.scratch import cut, small_table
 
 
 def fold(key: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lacuna.operators.position import with_position
-from lacuna.scratch import cut, cut_counted, with_place
+from lacuna.llm.texts import with_place
+from lacuna.scratch import cut, cut_counted
 
 #: Stretches of the ordered rows that are summed apart, so that a source or a key with a third of all rows
 #: is summed by a third of as many tasks and not by one.

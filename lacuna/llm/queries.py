@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lacuna.llm import bytecnn, hilbert, maxscore, minmax, mixing, secrets, tokenfile, toxicity, transducer, winnow
+from lacuna.llm import bytecnn, hilbert, maxscore, minmax, mixing, secrets, suffixes, tokenfile, toxicity, transducer, winnow
 from lacuna.llm.texts import word_count
 from lacuna.scratch import new_path
 
@@ -149,3 +149,10 @@ def op10(spark, folder):
     path = new_path(spark, "token-files")
     tokenfile.write_token_files(read(spark, folder, "documents"), path, vocabulary("word_bpe_49k.json"), end=1)
     return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op13_suffix_array_dedup")
+def op13(spark, folder):
+    out = suffixes.remove_repeats(read(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
