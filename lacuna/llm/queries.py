@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lacuna.llm import bytecnn, hilbert, maxscore, minmax, mixing, secrets, suffixes, tokenfile, toxicity, transducer, winnow
+from lacuna.llm import bytecnn, conversations, hilbert, maxscore, minmax, mixing, negatives, secrets, suffixes, tokenfile, toxicity, transducer, winnow
 from lacuna.llm.texts import word_count
 from lacuna.scratch import new_path
 
@@ -151,6 +151,52 @@ def op10(spark, folder):
     return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut off, repeated or given to the user, as a CRC of their place decides."""
+    def known(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    fate = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn")).cast("binary")) % 20
+    hurt = rows.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"), fate.alias("fate")).where("fate <> 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return hurt.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+@query("op11_hirschberg_repair")
+def op11(spark, folder):
+    rows = read(spark, folder, "conversations")
+    report, repaired = conversations.repair(damaged(rows))
+    digests = conversations.joined_digest(repaired).withColumnRenamed("key", "k")
+    all_ids = rows.select("conv_id").distinct()
+    out = (all_ids.join(report, F.col("conv_id").eqNullSafe(F.col("key")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("k")), "left"))
+    counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+ANCHOR_STEP, NOISE_STEP, CLASSES = 100, 7, 10
+LABEL = f"CASE WHEN vec_id % {NOISE_STEP} = 0 THEN (label + 1) % {CLASSES} ELSE label END"
+
+
+@query("op12_kronecker_negatives", f"""
+WITH v AS MATERIALIZED (SELECT DISTINCT vec_id, ({LABEL})::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, list_dot_product(a.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % {ANCHOR_STEP} = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE label = own),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE place <= 5 AND label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10""")
+def op12(spark, folder):
+    vectors = negatives.labelled_vectors(read(spark, folder, "embeddings"), "vec_id", "embedding", F.expr(LABEL), 256)
+    return negatives.hard_negatives(vectors, F.col("key") % ANCHOR_STEP == 0, positives=5, negatives=10, least=30, most=90)
+
+
 @query("op13_suffix_array_dedup")
 def op13(spark, folder):
     out = suffixes.remove_repeats(read(spark, folder, "documents"))
