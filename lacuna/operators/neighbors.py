@@ -3,37 +3,44 @@
 1. Rows with equal vector and equal set of observed cells form one *profile*. All its rows have the
    same nearest donors, and of its own rows only the k lowest keys can ever be chosen as donors. So
    a group of copies, however large, costs one profile of k rows.
-2. Profiles are sorted within their partitions by (nearest reference vector, distance to it) and cut into
-   blocks of bounded size. A block knows the range of its distances to every reference.
-3. Query blocks form groups that a task can hold, donor blocks form slots. A task takes one group and
-   one slot: a donor block travels once per group, a query block once per slot, never once per pair.
-4. The task keeps the running k best of every cell while donor blocks stream past. By the triangle
-   inequality a donor block is left out for every query whose bound lies beyond one of its ranges. What
-   cannot be excluded is computed, so the result is exact.
+2. Profiles are range-partitioned by (nearest reference vector, distance to it) and cut into blocks of
+   bounded size, so a block is a neighbourhood, however the rows lay before. It knows the range of its
+   distances to every reference, and a first bound for each of its holes from its own donors.
+3. Query blocks that follow each other form teams that a task can hold. By the triangle inequality a donor block
+   is left out for every team whose queries all lie beyond one of its ranges: the ranges alone travel to find this out, and
+   vectors only to the teams that may need them, the nearest first.
+4. Donors of a team are dealt into slots. A task takes one team and one slot, keeps the running k best of every
+   cell while donor blocks stream past, and excludes blocks and pairs again as its bounds fall. What cannot be
+   excluded is computed, so the result is exact.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import IntegralType, LongType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegralType, LongType, StructType
 
 from lacuna.functions.vectors import METRICS
 from lacuna.operators.cells import q
 from lacuna.operators.position import with_position
-from lacuna.operators.tiles import Tile, as_metric, closest, distances, prepare
-from lacuna.scratch import cut, cut_counted
+from lacuna.operators.tiles import PLACES, Tile, as_metric, closest, distances, prepare
+from lacuna.scratch import cut, cut_counted, small_table
 
 REFERENCES = 32
 BLOCK_BYTES = 8 << 20
-GROUP_BYTES = 128 << 20  # query vectors and rows that a task holds
-SLOT_BLOCKS = 256  # donor blocks that stream past a group in one task
+PART_BYTES = 64 << 20  # profiles that one task cuts into blocks
+TEAM_BYTES = 128 << 20  # query vectors and rows that a task holds
+SLOT_BLOCKS = 256  # donor blocks that stream past a team in one task
 SLACK = 1e-9  # bounds are widened by this, so rounding never excludes a tie
+ROUNDED = 4 * 10.0**-PLACES  # two ways to sum one distance may round it to neighbours
 
 PROFILE = ("h1", "h2")
 
@@ -92,8 +99,11 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return _flat(column).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+PLACED = "h1 bigint, h2 bigint, vec {kind}, rows array<struct<key:bigint,vals:array<double>>>, asks boolean, gives boolean"
+
+
 def _assigner(references: np.ndarray, metric: str):
-    """Adds the nearest reference of every vector and the distances to all."""
+    """Adds the nearest reference of every vector and the distance to it."""
     ready = prepare(references, metric)
 
     def assign(batches):
@@ -102,22 +112,26 @@ def _assigner(references: np.ndarray, metric: str):
                 continue
             d = as_metric(distances(prepare(_vectors(batch.column("vec")), metric), ready, metric), metric)
             cell = d.argmin(axis=1)
-            far = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("h1", "h2", "vec", "rows")), pa.array(cell, pa.int32()),
-                 pa.array(d[np.arange(len(d)), cell]), far],
-                names=["h1", "h2", "vec", "rows", "cell", "ring", "far"])
+                [*batch.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])],
+                names=[*batch.schema.names, "cell", "ring"])
 
     return assign
 
 
-BLOCK_SCHEMA = "block bigint, n int, ids binary, mat binary, counts binary, keys binary, vals binary, far binary, lo binary, hi binary"
+BLOCK_SCHEMA = ("part int, seq int, asks boolean, gives boolean, n int, ids binary, mat binary, counts binary, keys binary, vals binary, "
+                "far binary, lo binary, hi binary, bound binary, reach binary")
 
 
-def _packer(block_rows: int, n_features: int, vector_type: str):
-    """Cuts the sorted stream into blocks of at most ``block_rows`` profiles."""
+def _packer(references: np.ndarray, metric: str, block_rows: int, k: int, n_features: int, vector_type: str):
+    """Cuts the sorted stream into blocks of at most ``block_rows`` profiles.
+
+    Profiles that ask and profiles that give are blocks of their own, unless all do both. Holes get their first
+    bound from the donors of their own stretch of the stream and of the one before it.
+    """
+    ready, types = prepare(references, metric), to_arrow_schema(StructType.fromDDL(BLOCK_SCHEMA))
 
-    def pack_one(t: pa.Table) -> pa.RecordBatch:
+    def pack_one(t: pa.Table, **known) -> dict:
         t = t.combine_chunks()
         column = {c: t.column(c).combine_chunks() for c in t.column_names}
         rows = column["rows"]
@@ -126,19 +140,38 @@ def _packer(block_rows: int, n_features: int, vector_type: str):
         keys = entries.field("key").to_numpy()
         vals = _flat(entries.field("vals")).astype(np.float64).reshape(len(keys), n_features)
         order = np.lexsort((keys, np.repeat(np.arange(len(counts)), counts)))
-        ids = np.stack([column["h1"].to_numpy(), column["h2"].to_numpy()], axis=1)
-        far = _vectors(column["far"])
-        record = {"block": int(ids[0, 0]), "n": len(ids), "ids": ids.tobytes(),
-                  "mat": _flat(column["vec"]).astype(vector_type).tobytes(), "counts": counts.tobytes(),
-                  "keys": keys[order].tobytes(), "vals": vals[order].tobytes(),
-                  "far": far.tobytes(), "lo": far.min(axis=0).tobytes(), "hi": far.max(axis=0).tobytes()}
-        kinds = {"block": pa.int64(), "n": pa.int32()}
-        return pa.RecordBatch.from_arrays(
-            [pa.array([v], kinds.get(c, pa.binary())) for c, v in record.items()], names=list(record))
+        vectors = _vectors(column["vec"])
+        far = as_metric(distances(prepare(vectors, metric), ready, metric), metric)
+        return {**known, "n": len(counts), "ids": np.stack([column["h1"].to_numpy(), column["h2"].to_numpy()], axis=1).tobytes(),
+                "mat": vectors.astype(vector_type).tobytes(), "counts": counts.tobytes(), "keys": keys[order].tobytes(), "vals": vals[order].tobytes(),
+                "far": far.tobytes(), "lo": far.min(axis=0).tobytes(), "hi": far.max(axis=0).tobytes(), "bound": b"", "reach": b""}
 
     def pack(batches):
+        from pyspark import TaskContext
+
         pending: list[pa.Table] = []
-        size = 0
+        size = seq = 0
+        part, before = TaskContext.get().partitionId(), None
+
+        def stretch():
+            nonlocal seq, before
+            t = pa.concat_tables(pending)
+            asks, gives = t.column("asks"), t.column("gives")
+            both = pc.all(asks).as_py() and pc.all(gives).as_py()
+            sides = [(t, True, True)] if both else [(t.filter(asks), True, False), (t.filter(gives), False, True)]
+            packed = [pack_one(side, asks=a, gives=g, part=part, seq=seq + i) for i, (side, a, g) in enumerate(sides) if side.num_rows]
+            donors = next((Block(p, True, metric, n_features, vector_type) for p in packed if p["gives"]), None)
+            for p in packed:
+                if p["asks"]:
+                    best = _Best(Block(p, False, metric, n_features, vector_type), k, n_features)
+                    for near in (donors, before):
+                        if near is not None:
+                            best.add(near, metric)
+                    best.limit += ROUNDED
+                    p["bound"], p["reach"] = best.limit.tobytes(), best.reach(metric).tobytes()
+            seq, before = seq + len(packed), donors or before
+            return pa.RecordBatch.from_pylist(packed, schema=types)
+
         for batch in batches:
             table, at = pa.Table.from_batches([batch]), 0
             while at < batch.num_rows:
@@ -147,31 +180,53 @@ def _packer(block_rows: int, n_features: int, vector_type: str):
                 size += piece.num_rows
                 at += piece.num_rows
                 if size == block_rows:
-                    yield pack_one(pa.concat_tables(pending))
+                    yield stretch()
                     pending, size = [], 0
         if size:
-            yield pack_one(pa.concat_tables(pending))
+            yield stretch()
 
     return pack
 
 
-def _element(table: DataFrame) -> str:
+def _element(kind: str) -> str:
     """How vector elements travel: floats stay floats."""
-    return "<f4" if table.schema["vec"].dataType.simpleString() == "array<float>" else "<f8"
+    return "<f4" if kind == "array<float>" else "<f8"
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Written table of blocks with their number along the curve, in teams of ``per_team``."""
+
+    table: DataFrame
+    n: int
+    per_team: int
+    vector_type: str
 
+    @property
+    def teams(self) -> int:
+        return math.ceil(self.n / self.per_team)
 
-def build_blocks(side: DataFrame, references: np.ndarray, metric: str, block_rows: int, n_features: int, label: str):
-    """Written table of blocks, at most ``block_rows`` profiles each, and their number. No row changes its partition."""
-    kind = side.schema["vec"].dataType.simpleString()
+
+def build_blocks(queries: DataFrame, donors: DataFrame, references: np.ndarray, metric: str, block_rows: int, k: int, n_features: int,
+                 parts: int = 1, per_team: int = 1) -> Blocks:
+    """Blocks of at most ``block_rows`` profiles, dealt to ``parts`` tasks by (nearest reference, distance to it)."""
+    def side(table: DataFrame, asks: bool, gives: bool) -> DataFrame:
+        return table.select("h1", "h2", "vec", "rows", F.lit(asks).alias("asks"), F.lit(gives).alias("gives"))
+
+    both = side(queries, True, True) if queries is donors else side(queries, True, False).unionByName(side(donors, False, True))
+    kind = both.schema["vec"].dataType.simpleString()
     if kind not in ("array<float>", "array<double>"):
-        side, kind = side.withColumn("vec", F.col("vec").cast("array<double>")), "array<double>"
-    ordered = side.select("h1", "h2", "vec", "rows").mapInArrow(
-        _assigner(references, metric),
-        f"h1 bigint, h2 bigint, vec {kind}, rows array<struct<key:bigint,vals:array<double>>>, "
-        "cell int, ring double, far array<double>").sortWithinPartitions("cell", "ring", "h1", "h2")
-    packed = ordered.mapInArrow(_packer(block_rows, n_features, _element(side)), BLOCK_SCHEMA)
-    blocks, seen = cut_counted(packed, label)
-    return blocks, seen["n"]
+        both, kind = both.withColumn("vec", F.col("vec").cast("array<double>")), "array<double>"
+    order = ["cell", "ring", "h1", "h2"]
+    placed = both.mapInArrow(_assigner(references, metric), PLACED.format(kind=kind) + ", cell int, ring double")
+    ranged = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    written = cut(ranged.mapInArrow(_packer(references, metric, block_rows, k, n_features, _element(kind)), BLOCK_SCHEMA), "blocks")
+    # one row per task that cut blocks
+    sizes = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts = [0, *accumulate(n for _, n in sizes)]
+    offsets = small_table(written.sparkSession, part=([p for p, _ in sizes], pa.int32()), start=(starts[:-1], pa.int64()))
+    table = written.join(offsets, "part").withColumn("block", F.col("start") + F.col("seq")).drop("part", "seq", "start")
+    return Blocks(table, starts[-1], per_team, _element(kind))
 
 
 class Block:
@@ -197,6 +252,8 @@ class Block:
         else:
             self.ids = field("ids", np.int64).reshape(n, 2)
             self.far = field("far", np.float64).reshape(n, -1)
+            bound = field("bound", np.float64)
+            self.bound = bound.reshape(-1, n) if len(bound) else None
 
     def rows_of(self, profiles: np.ndarray):
         """Row numbers of the given profiles, and for each row the position of its profile in the list."""
@@ -211,6 +268,16 @@ class Block:
 CANDIDATE_SCHEMA = "h1 bigint, h2 bigint, f int, key bigint, value double, dist double"
 
 
+def beyond(far: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How far a donor of a block at least is from each query, by its ranges around every reference.
+
+    A distance that is undefined (infinite for vectors without spread) excludes nothing.
+    """
+    with np.errstate(invalid="ignore"):
+        gap = np.fmax(far - hi, lo - far)
+    return np.where(np.isfinite(gap), gap, 0.0).max(axis=1)
+
+
 class _Best:
     """Running k best donors of every wanted cell of one query block."""
 
@@ -219,21 +286,18 @@ class _Best:
         self.any_row = n_features == 0
         width = max(n_features, 1)
         self.wanted = np.ones((width, block.n), dtype=bool) if self.any_row else ~block.observed.T
-        # a donor must beat (limit, last_key)
-        self.limit = np.full((width, block.n), np.inf)
+        # a donor must beat (limit, last_key); a bound from elsewhere may be met, but not passed
+        self.limit = np.full((width, block.n), np.inf) if block.bound is None else block.bound.copy()
         self.last_key = np.full((width, block.n), np.iinfo(np.int64).max)
         self.held: list[dict | None] = [None] * width
 
-    def near(self, donors: Block, metric: str) -> np.ndarray:
-        """Queries that a donor of the block may still serve, by its ranges around every reference.
+    def reach(self, metric: str) -> np.ndarray:
+        """How far from each query a donor may be."""
+        return np.where(self.wanted, as_metric(self.limit, metric), -np.inf).max(axis=0)
 
-        A distance that is undefined (infinite for vectors without spread) excludes nothing.
-        """
-        reach = np.where(self.wanted, as_metric(self.limit, metric), -np.inf).max(axis=0)
-        with np.errstate(invalid="ignore"):
-            beyond = np.fmax(self.block.far - donors.hi, donors.lo - self.block.far)
-        least = np.where(np.isfinite(beyond), beyond, 0.0).max(axis=1)
-        return np.flatnonzero(least <= reach + SLACK)
+    def near(self, donors: Block, metric: str) -> np.ndarray:
+        """Queries that a donor of the block may still serve, by its ranges around every reference."""
+        return np.flatnonzero(beyond(self.block.far, donors.lo, donors.hi) <= self.reach(metric) + SLACK)
 
     def add(self, donors: Block, metric: str):
         rows = self.near(donors, metric)
@@ -274,8 +338,8 @@ class _Best:
             near = np.flatnonzero(cells[f][i] & offered[f][j])
             at = rows[i[near]]
             gap = rough[near] - self.limit[f][at]
-            # surely not nearer than the bound: only a lower key can win
-            near = near[(gap < -tile.slack) | ((gap <= tile.slack) & (least[near] < self.last_key[f][at]))]
+            # surely not nearer than the bound: only a key as low can win
+            near = near[(gap < -tile.slack) | ((gap <= tile.slack) & (least[near] <= self.last_key[f][at]))]
             if not len(near):
                 continue
             d = tile.exact(i[near], j[near])
@@ -285,7 +349,7 @@ class _Best:
     def _merge(self, f, i, rows, dist, donors):
         key = donors.keys[rows]
         limit = self.limit[f][i]
-        wins = (dist < limit) | ((dist == limit) & (key < self.last_key[f][i]))
+        wins = (dist < limit) | ((dist == limit) & (key <= self.last_key[f][i]))
         i, key, dist = i[wins], key[wins], dist[wins]
         value = np.zeros(len(i)) if self.any_row else donors.vals[rows[wins], f]
         held = self.held[f]
@@ -294,7 +358,7 @@ class _Best:
             key = np.concatenate([held["key"], key])
             value = np.concatenate([held["value"], value])
             dist = np.concatenate([held["dist"], dist])
-        order = np.lexsort((key, dist, i))
+        order = np.lexsort((value, key, dist, i))  # rows of one key by their value
         i = i[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
         keep, last = rank < self.k, rank == self.k - 1
@@ -312,7 +376,7 @@ class _Best:
                                     "value": held["value"], "dist": held["dist"]})
 
 
-def _tile_task(k: int, metric: str, n_features: int, q_type: str, d_type: str):
+def _tile_task(k: int, metric: str, n_features: int, vector_type: str):
     def run(batches):
         current, held = None, []
         for pdf in batches:
@@ -322,35 +386,96 @@ def _tile_task(k: int, metric: str, n_features: int, q_type: str, d_type: str):
                         yield from best.rows()
                     current, held = (row["team"], row["slot"]), []
                 if row["is_donor"]:
-                    donors = Block(row, True, metric, n_features, d_type)
+                    donors = Block(row, True, metric, n_features, vector_type)
                     for best in held:
                         best.add(donors, metric)
                 else:
-                    held.append(_Best(Block(row, False, metric, n_features, q_type), k, n_features))
+                    held.append(_Best(Block(row, False, metric, n_features, vector_type), k, n_features))
         for best in held:
             yield from best.rows()
 
     return run
 
 
-def deal(q_blocks: DataFrame, d_blocks: DataFrame, teams: int, slots: int) -> DataFrame:
-    """Blocks with the (team, slot) of the tasks they go to: queries to every slot, donors to every team."""
-    def part(number):
-        return F.pmod(F.xxhash64("block"), F.lit(number)).cast("int")
+DEALT = "team int, slot int, rank int, is_donor boolean, block bigint"
 
-    def each(number):
-        return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
 
-    queries = q_blocks.select("*", F.lit(False).alias("is_donor"), part(teams).alias("team")).withColumn("slot", each(slots))
-    donors = d_blocks.select("*", F.lit(True).alias("is_donor"), part(slots).alias("slot")).withColumn("team", each(teams))
+def _chooser(slot_blocks: int, least_slots: int):
+    """The tasks of every team: its query blocks, then the ranges of all donor blocks, to the blocks each slot gets."""
+
+    def chosen(team, held, seen):
+        """Donor blocks by how near they may be."""
+        near = sorted(seen)
+        slots = max(math.ceil(len(near) / slot_blocks), min(least_slots, len(near)))
+        rows = [(team, slot, 0, False, block) for block in held for slot in range(slots)]
+        rows += [(team, i % slots, i // slots, True, block) for i, (_, block) in enumerate(near)]
+        return pd.DataFrame(rows, columns=["team", "slot", "rank", "is_donor", "block"])
+
+    def run(batches):
+        team, held, queries, seen, ready = None, [], [], [], None
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                if row["team"] != team:
+                    if seen:
+                        yield chosen(team, held, seen)
+                    team, held, queries, seen, ready = row["team"], [], [], [], None
+                if not row["is_donor"]:
+                    n = int(row["n"])
+                    far = np.frombuffer(row["far"], np.float64).reshape(n, -1)
+                    reach = np.frombuffer(row["reach"], np.float64)
+                    if np.isneginf(reach).all():
+                        continue  # nothing is wanted
+                    held.append(row["block"])
+                    queries.append((far[~np.isneginf(reach)], reach[~np.isneginf(reach)]))
+                    continue
+                if not queries:
+                    continue
+                if ready is None:
+                    # per query block its own ranges, looked at first
+                    ready = np.array([f.min(axis=0) for f, _ in queries]), np.array([f.max(axis=0) for f, _ in queries]), np.array([r.max() for _, r in queries])
+                lo, hi = np.frombuffer(row["lo"], np.float64), np.frombuffer(row["hi"], np.float64)
+                with np.errstate(invalid="ignore"):
+                    gap = np.fmax(ready[0] - hi, lo - ready[1])
+                gap = np.where(np.isfinite(gap), gap, 0.0).max(axis=1)
+                least = None
+                for i in np.flatnonzero(gap <= ready[2] + SLACK):
+                    far, reach = queries[i]
+                    at = beyond(far, lo, hi)
+                    if (at <= reach + SLACK).any():
+                        least = min(at.min(), math.inf if least is None else least)
+                        if least <= 0:
+                            break
+                if least is not None:
+                    seen.append((float(least), row["block"]))
+        if seen:
+            yield chosen(team, held, seen)
+
+    return run
+
+
+def choose(blocks: Blocks, slot_blocks: int, least_slots: int) -> DataFrame:
+    """Which block goes to which team and slot: query blocks to all slots of their team, a donor block to one slot of each
+    team that may need it. Only ranges and bounds are read, no vectors."""
     nothing = F.lit(None).cast("binary")
-    queries = queries.withColumns({"keys": nothing, "lo": nothing, "hi": nothing})
-    return queries.unionByName(donors.withColumns({"ids": nothing, "far": nothing}))
+    queries = blocks.table.where("asks").select((F.col("block") / blocks.per_team).cast("int").alias("team"), F.lit(False).alias("is_donor"), "block", "n", "far",
+                                                "reach", nothing.alias("lo"), nothing.alias("hi"))
+    donors = blocks.table.where("gives").select(F.explode(F.sequence(F.lit(0), F.lit(blocks.teams - 1))).alias("team"), F.lit(True).alias("is_donor"), "block", "n",
+                                                nothing.alias("far"), nothing.alias("reach"), "lo", "hi")
+    met = queries.unionByName(donors).repartition(blocks.teams, "team").sortWithinPartitions("team", "is_donor", "block")
+    return met.mapInPandas(_chooser(slot_blocks, least_slots), DEALT)
+
+
+def deal(blocks: Blocks, chosen: DataFrame) -> DataFrame:
+    """Blocks laid out for the tasks of the join: the queries of a team, then the donors of a slot, the nearest first."""
+    written, seen = cut_counted(chosen, "deal", F.count_if(F.col("is_donor") & (F.col("rank") == 0)).alias("tasks"), F.max("slot").alias("last"))
+    tasks, slots = max(1, seen["tasks"]), (seen["last"] or 0) + 1
+    task = F.pmod(F.col("team").cast("bigint") * slots + F.col("slot"), F.lit(tasks)).cast("int")
+    return blocks.table.join(written, "block").repartitionById(tasks, task).sortWithinPartitions("team", "slot", "is_donor", "rank")
 
 
 def best_k(candidates: DataFrame, k: int) -> DataFrame:
     """The final merge: k nearest per cell over all tasks."""
-    order = W.partitionBy("h1", "h2", "f").orderBy("dist", "key")
+    order = W.partitionBy("h1", "h2", "f").orderBy("dist", "key", "value")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -378,15 +503,13 @@ def nearest_cells(queries: Profiles, donors: Profiles, k: int, metric: str, n_fe
     size = block_rows or int(min(most, max(64, math.ceil(max(queries.n, donors.n) / (2 * cores)))))
     chosen = donors.table.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots or REFERENCES).collect()
     references = np.array([r["vec"] for r in chosen], dtype=np.float64)
-    d_blocks, many_d = build_blocks(donors.table, references, metric, size, n_features, "donor-blocks")
-    q_blocks, many_q = (d_blocks, many_d) if same else \
-        build_blocks(queries.table, references, metric, size, n_features, "query-blocks")
-    teams = math.ceil(many_q * size * row_bytes / GROUP_BYTES)
-    slots = max(math.ceil(many_d / SLOT_BLOCKS), min(math.ceil(2 * cores / teams), many_d))
-    dealt = (deal(q_blocks, d_blocks, teams, slots).repartition(teams * slots, "team", "slot")
-             .sortWithinPartitions("team", "slot", "is_donor"))
-    task = _tile_task(k, metric, n_features, _element(queries.table), _element(donors.table))
-    return best_k(dealt.mapInPandas(task, CANDIDATE_SCHEMA), k)
+    parts = math.ceil((queries.n + (0 if same else donors.n)) * row_bytes / PART_BYTES)
+    per_team = max(1, TEAM_BYTES // (size * row_bytes))
+    blocks = build_blocks(queries.table, donors.table, references, metric, size, k, n_features, parts, per_team)
+    least_slots = math.ceil(2 * cores / blocks.teams)
+    chosen = choose(blocks, SLOT_BLOCKS, least_slots)
+    task = _tile_task(k, metric, n_features, blocks.vector_type)
+    return best_k(deal(blocks, chosen).mapInPandas(task, CANDIDATE_SCHEMA), k)
 
 
 # ---------------------------------------------------------------- keys of any type

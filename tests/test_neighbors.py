@@ -110,23 +110,44 @@ def test_pruning_leaves_blocks_out(spark, monkeypatch):
     got = N.nearest_rows(table(spark, x), "id", "vec", 3, "euclidean", block_rows=20, n_pivots=12)
     assert {(r.row_id, r.donor_id) for r in got.collect()} == expected_rows(x, "euclidean", 3)
 
-    groups = N.profiles(N.tag_rows(table(spark, x).coalesce(1), "id", "vec", []), 4)
-    blocks, many = N.build_blocks(groups.table.coalesce(1), x[::40], "euclidean", 20, 0, "test")
-    rows = N.deal(blocks, blocks, 1, 1).orderBy("is_donor").toPandas()
-    made = []
-    tile = N.Tile
-    monkeypatch.setattr(N, "Tile", lambda a, b, m: made.append(len(a[0])) or tile(a, b, m))
-    list(N._tile_task(4, "euclidean", 0, "<f8", "<f8")([rows]))
-    assert sum(made) < 480 * many / 2
-
-
-def test_payloads_travel_once_per_team_and_slot(spark):
-    groups = N.profiles(N.tag_rows(table(spark, sample(seed=8)), "id", "vec", []), 4)
-    blocks, many = N.build_blocks(groups.table, sample(seed=8)[:5], "cosine", 16, 0, "test")
-    size = F.octet_length("mat")
-    whole = blocks.agg(F.sum(size)).first()[0]
-    sent = {r["is_donor"]: r["bytes"] for r in N.deal(blocks, blocks, 3, 5).groupBy("is_donor").agg(F.sum(size).alias("bytes")).collect()}
-    assert many >= 8 and sent == {True: 3 * whole, False: 5 * whole}
+
+def computed_share(spark, monkeypatch, x, metric, partitions, block_rows):
+    """(share of all pairs that are computed, share of donor payloads shipped to teams), with the blocks cut from that many partitions."""
+    groups = N.profiles(N.tag_rows(table(spark, x).repartition(partitions), "id", "vec", []), 4)
+    references = np.array([r["vec"] for r in groups.table.orderBy(F.xxhash64("vec")).limit(N.REFERENCES).collect()])
+    blocks = N.build_blocks(groups.table, groups.table, references, metric, block_rows, 4, 0, partitions, 4)
+    dealt = N.deal(blocks, N.choose(blocks, N.SLOT_BLOCKS, 1))
+    sent = dealt.where("is_donor").count() / (blocks.n * blocks.teams)
+    made, tile = [], N.Tile
+    with monkeypatch.context() as m:
+        m.setattr(N, "Tile", lambda a, b, metric: made.append(len(a[0]) * len(b[0])) or tile(a, b, metric))
+        rows = dealt.toPandas().sort_values(["team", "slot", "is_donor", "rank"])
+        list(N._tile_task(4, metric, 0, "<f8")([rows]))
+    return sum(made) / groups.n ** 2, sent
+
+
+def test_pruning_does_not_depend_on_partitions(spark, monkeypatch):
+    """As few pairs are computed with blocks cut in 64 tasks as in one, and donors go to few teams."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8)) * 20
+    x = np.round(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 8)), 4)
+    one, sent_one = computed_share(spark, monkeypatch, x, "euclidean", 1, 50)
+    many, sent_many = computed_share(spark, monkeypatch, x, "euclidean", 64, 50)
+    print(one, many, sent_one, sent_many)
+    assert many <= 1.5 * one < 0.3
+    assert sent_many < 0.5 and sent_one < 0.5
+
+
+def test_donors_travel_once_per_team_that_may_need_them(spark):
+    x = sample(seed=8)
+    groups = N.profiles(N.tag_rows(table(spark, x), "id", "vec", []), 4)
+    blocks = N.build_blocks(groups.table, groups.table, x[:5], "cosine", 16, 4, 0, 2, 3)
+    dealt = N.deal(blocks, N.choose(blocks, 2, 1))
+    donors = dealt.where("is_donor").groupBy("team", "block").count().collect()
+    assert blocks.teams >= 3 and all(r["count"] == 1 for r in donors)
+    slots = {r["team"]: r["n"] for r in dealt.groupBy("team").agg((F.max("slot") + 1).alias("n")).collect()}
+    queries = dealt.where("NOT is_donor").groupBy("team", "block").count().collect()
+    assert all(r["count"] == slots[r["team"]] for r in queries)
 
 
 @pytest.mark.parametrize("tuning", [{}, {"block_rows": 8, "n_pivots": 1}, {"block_rows": 8, "n_pivots": 12}])
