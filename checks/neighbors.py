@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from checks.registry import CUSTOMER, PART, check, code_sql, coded, coded_sql, holed_sql, long_sql, table
+from checks.registry import CUSTOMER, LINE_SQL, LINEITEM, PART, check, code_sql, coded, coded_sql, holed_sql, lineitem, long_sql, table
 from lacuna import Roles
 from lacuna.operators import ampute as A
 from lacuna.operators.cells import null_counts
-from lacuna.operators.embed import hash_vectors, in_metric_space
+from lacuna.operators.embed import embed_text, hash_vectors, in_metric_space
 from lacuna.operators.impute import impute, nearest_donors
 from lacuna.operators.neighbors import nearest_rows
 
@@ -100,9 +105,9 @@ _COSINE_CELLS = ("sum(a.x * c.x)", "sum(x * x)", "CASE WHEN coalesce(p.dot, 0) =
 _MANHATTAN_CELLS = ("sum(abs(a.x - c.x) - abs(a.x) - abs(c.x))", "sum(abs(x))", "coalesce(a.n, 0) + coalesce(c.n, 0) + coalesce(p.dot, 0)")
 
 
-def cells_ctes(roles: Roles, source: str, setup: str, dim: int = 64, k: int = K, metric=_COSINE_CELLS) -> str:
+def cells_ctes(roles: Roles, source: str, setup: str, dim: int = 64, k: int = K, metric=_COSINE_CELLS, order: str = "dist, d", tokens: str | None = None) -> str:
     """CTE top: (k, f, d, v, dist, r), brute force over all pairs of rows."""
-    return (f"{setup}, {coded_sql(source, roles)}, {_tokens(roles, source)}, "
+    return (f"{setup}, {coded_sql(source, roles)}, {tokens or _tokens(roles, source)}, "
             f"sp AS MATERIALIZED (SELECT k, ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} AS b, "
             "sum(CASE WHEN substr(md5(t), 9, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS x FROM tok GROUP BY 1, 2), "
             f"n2 AS MATERIALIZED (SELECT k, {metric[1]} AS n FROM sp GROUP BY 1), "
@@ -111,11 +116,11 @@ def cells_ctes(roles: Roles, source: str, setup: str, dim: int = 64, k: int = K,
             + f", cand AS (SELECT h.k, h.f, o.k AS d, o.v, {metric[2]} AS dist "
             "FROM cells h JOIN cells o ON o.f = h.f AND o.v IS NOT NULL AND h.v IS NULL "
             "LEFT JOIN dots p ON p.q = h.k AND p.d = o.k LEFT JOIN n2 a ON a.k = h.k LEFT JOIN n2 c ON c.k = o.k), "
-            "top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k, f ORDER BY dist, d) AS r FROM cand "
-            f"QUALIFY row_number() OVER (PARTITION BY k, f ORDER BY dist, d) <= {k})")
+            f"top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k, f ORDER BY {order}) AS r FROM cand "
+            f"QUALIFY row_number() OVER (PARTITION BY k, f ORDER BY {order}) <= {k})")
 
 
-def imputed_sql(roles: Roles, source: str, setup: str, types: dict[str, str], dim: int = 64, metric=_COSINE_CELLS) -> str:
+def imputed_sql(roles: Roles, source: str, setup: str, types: dict[str, str], dim: int = 64, metric=_COSINE_CELLS, **more) -> str:
     """The imputed table, decoded."""
     columns, joins = [f"s.{roles.key}"], []
     for f in roles.features:
@@ -128,7 +133,7 @@ def imputed_sql(roles: Roles, source: str, setup: str, types: dict[str, str], di
                          f"QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, v) = 1) f_{f} ON f_{f}.k = s.{roles.key}")
             joins.append(f"LEFT JOIN {code_sql(f, source)} t_{f} ON t_{f}.c = f_{f}.v")
             columns.append(f"coalesce(s.{f}, t_{f}.v)::{types.get(f, 'VARCHAR')} AS {f}")
-    return f"{cells_ctes(roles, source, setup, dim, K, metric)} SELECT {', '.join(columns)} FROM {source} s {' '.join(joins)}"
+    return f"{cells_ctes(roles, source, setup, dim, K, metric, **more)} SELECT {', '.join(columns)} FROM {source} s {' '.join(joins)}"
 
 
 def _rounded(df, roles: Roles):
@@ -165,16 +170,45 @@ def impute_customer(spark, folder):
     return _rounded(impute(_holed(spark, folder, "customer", CUSTOMER), CUSTOMER), CUSTOMER)
 
 
-# labels exist for some documents only: these holes are real
+# labels exist for some documents only: these holes are real. Rows lie near each other by the words of their texts
 LABELLED = Roles("doc_id", ("n_chars",), ("lang", "source", "quality", "toxic"), ("n_chars",), "quality")
-_LABELLED = ("WITH joined AS (SELECT d.doc_id, d.n_chars, d.lang, d.source, l.quality, l.toxic "
+_LABELLED = ("WITH joined AS (SELECT d.doc_id, d.text, d.n_chars, d.lang, d.source, l.quality, l.toxic "
              "FROM documents d LEFT JOIN labels l USING (doc_id))")
+_WORDS = "tok AS (SELECT doc_id AS k, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS t FROM joined)"
+
+
+def hashed_words(dim: int = 64):
+    """An encoder of whole texts: signed counts of their words, by digest."""
+    def make():
+        known: dict[str, tuple[int, int]] = {}
+
+        def entry(word):
+            h = hashlib.md5(word.encode()).hexdigest()
+            return int(h[:8], 16) % dim, 1 if h[8] < "8" else -1
+
+        def encode(texts):
+            out = np.zeros((len(texts), dim), np.float32)
+            for i, text in enumerate(texts):
+                for word, n in Counter(re.findall(r"[^\x20\x09-\x0D]+", text or "")).items():
+                    if word not in known:
+                        if len(known) > 1 << 16:
+                            known.clear()
+                        known[word] = entry(word)
+                    at, sign = known[word]
+                    out[i, at] += sign * n
+            return out
 
+        return encode
 
-@check("impute_labels", imputed_sql(LABELLED, "joined", _LABELLED, {"quality": "INTEGER", "toxic": "INTEGER"}))
+    return make
+
+
+@check("impute_labels", imputed_sql(LABELLED, "joined", _LABELLED, {"quality": "INTEGER", "toxic": "INTEGER"}, tokens=_WORDS))
 def impute_labels(spark, folder):
-    joined = table(spark, folder, "documents").drop("text").join(table(spark, folder, "labels"), "doc_id", "left")
-    return _rounded(impute(joined, LABELLED), LABELLED)
+    """Quality and toxicity of unlabelled documents from labelled ones with like texts."""
+    joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    vectors = embed_text(joined, "text", hashed_words(), batch_size=512, limit=None)
+    return _rounded(impute(vectors, LABELLED, vector="vec"), LABELLED)
 
 
 _NO_DONOR = _PART + ", gone AS (SELECT p_partkey, p_retailprice, NULL::INTEGER AS p_size, p_brand, p_type FROM holed)"
@@ -206,3 +240,31 @@ def impute_int_key(spark, folder):
 @check("impute_string_key", imputed_sql(PART, "other", _OTHER_KEY.format(key="'part ' || lpad(p_partkey::VARCHAR, 9, '0')"), {}))
 def impute_string_key(spark, folder):
     return _impute_keyed(spark, folder, F.concat(F.lit("part "), F.lpad(F.col("p_partkey").cast("string"), 9, "0")))
+
+
+# two rows of each key, and many without one
+_PAIRED = "CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE 'part ' || lpad((p_partkey // 2)::VARCHAR, 9, '0') END"
+
+
+@check("impute_repeated_string_key", f"SELECT {_PAIRED} AS p_partkey, p_retailprice, p_size, p_brand, p_type FROM ("
+       + imputed_sql(PART, "holed", _PART, {}, order="dist, CASE WHEN d % 97 = 0 THEN -1 ELSE d // 2 END, v") + ")")
+def impute_repeated_string_key(spark, folder):
+    key = F.concat(F.lit("part "), F.lpad(F.expr("p_partkey div 2").cast("string"), 9, "0"))
+    return _impute_keyed(spark, folder, F.when(F.col("p_partkey") % 97 != 0, key))
+
+
+@check("impute_nan", imputed_sql(PART, "holed", _PART, {}))
+def impute_nan(spark, folder):
+    """Holes of a column of doubles that arrive as NaN."""
+    holed = _holed(spark, folder, "part", PART).withColumn("p_retailprice", F.coalesce("p_retailprice", F.lit(float("nan"))))
+    return _rounded(impute(holed, PART), PART)
+
+
+_FEW_TAXES = "CASE WHEN l_tax > 0.06 THEN NULL ELSE l_tax END"
+
+
+@check("null_counts_nan", f"WITH {LINE_SQL}, n AS (SELECT * REPLACE ({_FEW_TAXES} AS l_tax) FROM lines) SELECT "
+       + ", ".join(f"count(*) - count({f}) AS {f}" for f in LINEITEM.features) + " FROM n")
+def null_counts_nan(spark, folder):
+    df = lineitem(spark, folder).withColumn("l_tax", F.when(F.col("l_tax") > 0.06, float("nan")).otherwise(F.col("l_tax")))
+    return null_counts(df, LINEITEM.features)

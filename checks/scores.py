@@ -84,7 +84,7 @@ def _changed(spark, folder):
 
 def _continuous(names) -> str:
     """CTE fr: (f, b, p, q), smoothed shares of the histogram bins."""
-    cells = {s: " UNION ALL ".join(f"SELECT '{f}' AS f, {f}::DOUBLE AS v FROM {s}" for f in names) for s in ("coded", "changed")}
+    cells = {s: " UNION ALL ".join(f"SELECT '{f}' AS f, {f}::DOUBLE AS v FROM {s} WHERE {f} IS NOT NULL" for f in names) for s in ("coded", "changed")}
     return (f"tc AS ({cells['coded']}), ic AS ({cells['changed']}), "
             "rg AS (SELECT f, min(v) AS lo, max(v) AS hi, least(10, count(DISTINCT v)) AS nb, count(DISTINCT v) < 5 AS few FROM tc GROUP BY f), "
             "tb AS (SELECT f, CASE WHEN few THEN v ELSE least(floor((v - lo) / (hi - lo) * nb), nb - 1) END AS b, count(*) AS n FROM tc JOIN rg USING (f) GROUP BY 1, 2), "
@@ -137,6 +137,30 @@ def kl_mean(spark, folder):
     return fidelity.kl_mean(*_changed(spark, folder), LINEITEM).select(F.round("kl", 6).alias("kl"))
 
 
+# expensive lines have lost their price, some of them by NaN and some by NULL
+_KNOWN = "CASE WHEN l_quantity > 45 THEN NULL ELSE l_extendedprice END AS l_extendedprice"
+_LOST = f"{LINE_SQL}, whole AS (SELECT * REPLACE ({_KNOWN}) FROM lines), {coded_sql('whole', LINEITEM)}"
+
+
+@check("kl_nan", f"WITH {_LOST}, {CHANGED}, {_continuous(LINEITEM.continuous)}, {_KL_CONT}, {_KL_CAT} "
+       "SELECT round(avg(kl), 6) AS kl FROM (SELECT kl FROM kc UNION ALL SELECT kl FROM kd)")
+def kl_nan(spark, folder):
+    gone = F.when(F.col("l_quantity") > 48, None).when(F.col("l_quantity") > 45, float("nan"))
+    truth, other = (df.withColumn("l_extendedprice", gone.otherwise(F.col("l_extendedprice"))) for df in _changed(spark, folder))
+    return fidelity.kl_mean(truth, other, LINEITEM).select(F.round("kl", 6).alias("kl"))
+
+
+@check("cell_errors_nan", _ERRORS.replace("SELECT round(smape, 6) AS smape, round(error, 6) AS error, round(smape + error, 6) AS asmape FROM m",
+                                          f"SELECT NULL::DOUBLE AS smape, round(error, 6) AS error, NULL::DOUBLE AS asmape, (SELECT count(*) FROM coded WHERE o_orderkey % 50 = 0 AND {_u('o_totalprice')} < 0.3) AS unfilled FROM m"))
+def cell_errors_nan(spark, folder):
+    """A fill that is NaN is no fill."""
+    truth, guess, mask = _guessed(spark, folder)
+    lost = guess.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 50 == 0, float("nan")).otherwise(F.col("o_totalprice")))
+    unfilled = fidelity.unfilled_cells(lost, mask, ORDERS).first()["o_totalprice"]
+    return fidelity.cell_errors(truth, lost, mask, ORDERS).select(*[F.round(c, 6).alias(c) for c in ("smape", "error", "asmape")],
+                                                                  F.lit(unfilled).cast("bigint").alias("unfilled"))
+
+
 # ---------------------------------------------------------------- utility
 
 @check("standardize", f"WITH {LINE_SQL} SELECT l_key, " + ", ".join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from lacuna.functions.holes import known
 from lacuna.functions.randomness import digest
 from lacuna.roles import Roles
 
@@ -24,7 +25,7 @@ def number_text(col: Column) -> Column:
 
 def value_text(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
-    return number_text(F.col(f"`{name}`")) if isinstance(kind, T.NumericType) else F.col(f"`{name}`").cast("string")
+    return number_text(known(df, name)) if isinstance(kind, T.NumericType) else F.col(f"`{name}`").cast("string")
 
 
 def cell_text(df: DataFrame, name: str, token: str = MASK_TOKEN) -> Column:

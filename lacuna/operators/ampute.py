@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lacuna.functions.randomness import cell_uniform, normal_weights, pick_names, uniform_below
-from lacuna.operators.cells import apply_mask, q
+from lacuna.functions.holes import q
+from lacuna.operators.cells import apply_mask
 from lacuna.operators.position import order_statistics
 from lacuna.roles import Roles
 from lacuna.scratch import cut

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lacuna.functions.holes import known, q
 from lacuna.functions.text import MASK_TOKEN, cell_text
 from lacuna.roles import Roles
 
 
-def q(name: str) -> Column:
-    """A column by its exact name, dots and spaces included."""
-    return F.col(f"`{name}`")
-
-
 def project(df: DataFrame, roles: Roles) -> DataFrame:
     """Key, continuous, then categorical columns."""
     return df.select(roles.key, *[q(f) for f in roles.features])
@@ -27,14 +23,14 @@ def all_but(df: DataFrame, *names: str) -> list[str]:
 
 
 def drop_holes(df: DataFrame, columns=None) -> DataFrame:
-    """Rows without any hole."""
+    """Rows without any hole, NULL or NaN."""
     return df.dropna("any", subset=list(columns) if columns else None)
 
 
 def null_counts(df: DataFrame, columns=None) -> DataFrame:
     """One row: the number of holes of every column, in one pass."""
     names = list(columns or df.columns)
-    return df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in names])
+    return df.agg(*[F.count_if(known(df, c).isNull()).alias(c) for c in names])
 
 
 def assert_no_holes(df: DataFrame, columns=None) -> DataFrame:
@@ -53,7 +49,7 @@ def fill_token(df: DataFrame, features, token: str = MASK_TOKEN) -> DataFrame:
 
 def missing_features(df: DataFrame, roles: Roles, out: str = "missing") -> DataFrame:
     """key + the names of the holes of each row, in role order."""
-    names = F.array(*[F.when(q(f).isNull(), F.lit(f)) for f in roles.features])
+    names = F.array(*[F.when(known(df, f).isNull(), F.lit(f)) for f in roles.features])
     return df.select(roles.key, F.array_compact(names).alias(out))
 
 
@@ -72,7 +68,7 @@ def mask_table(df: DataFrame, roles: Roles, hidden: dict[str, Column]) -> DataFr
 def to_cells(df: DataFrame, roles: Roles, features=None) -> DataFrame:
     """Long form: key, feature, value (double), one row per cell, holes included."""
     names = list(features or roles.features)
-    wide = df.select(roles.key, *[q(f).cast("double").alias(f) for f in names])
+    wide = df.select(roles.key, *[known(df, f).cast("double").alias(f) for f in names])
     return wide.unpivot([roles.key], [q(f) for f in names], "feature", "value")
 
 

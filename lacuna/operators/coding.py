@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from lacuna.operators.cells import q
+from lacuna.functions.holes import q
 from lacuna.operators.position import with_position
 from lacuna.scratch import cut
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lacuna.functions.text import MAX_TOKENS, truncate_tokens, value_text
-from lacuna.operators.cells import q
+from lacuna.functions.holes import known, q
 from lacuna.operators.position import order_statistics
 from lacuna.roles import Roles
 from lacuna.scratch import cut
@@ -53,13 +53,13 @@ class HashEncoder:
         names = roles.continuous
         if not names:
             return {}
-        stats = df.agg(*[g(q(f)).alias(f"{i}{tag}") for i, f in enumerate(names)
+        stats = df.agg(*[g(known(df, f)).alias(f"{i}{tag}") for i, f in enumerate(names)
                          for tag, g in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first().asDict()
-        known = [(f, stats[f"{i}n"], stats[f"{i}lo"], stats[f"{i}hi"]) for i, f in enumerate(names) if stats[f"{i}n"]]
+        seen = [(f, stats[f"{i}n"], stats[f"{i}lo"], stats[f"{i}hi"]) for i, f in enumerate(names) if stats[f"{i}n"]]
         if self.binning == "width":
-            return {f: [float(lo), float(hi)] for f, _, lo, hi in known}
+            return {f: [float(lo), float(hi)] for f, _, lo, hi in seen}
         return order_statistics(df, {
-            f: (q(f), [max(1, n * b // self.bins) for b in range(1, self.bins)]) for f, n, *_ in known})
+            f: (known(df, f), [max(1, n * b // self.bins) for b in range(1, self.bins)]) for f, n, *_ in seen})
 
     def bin_of(self, value: Column, edges: list[float]) -> Column:
         x = value.cast("double")
@@ -91,8 +91,8 @@ class HashEncoder:
                 bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % self.dim).cast("int")
                 codes.append(bucket * 2 + F.when(F.substring(h, 9, 1) < "8", 1).otherwise(0))
             elif f in edges:
-                known = F.array(*[F.lit(2 * b + (x > 0)) for b, x in (self.place(f"{f}={n}") for n in range(self.bins))])
-                codes.append(F.when(q(f).isNotNull(), F.element_at(known, self.bin_of(q(f), edges[f]) + 1)))
+                places = F.array(*[F.lit(2 * b + (x > 0)) for b, x in (self.place(f"{f}={n}") for n in range(self.bins))])
+                codes.append(F.when(known(df, f).isNotNull(), F.element_at(places, self.bin_of(q(f), edges[f]) + 1)))
         columns = [q(c) for c in df.columns if c != out]
         coded = F.array(*[F.coalesce(c, F.lit(-1)) for c in codes]) if codes else F.array(F.lit(-1))
         return df.withColumns(hashed).select(*columns, _layout(self.dim)(coded).alias(out))

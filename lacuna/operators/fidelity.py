@@ -7,7 +7,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lacuna.operators.cells import q
+from lacuna.functions.holes import known, nan_as_null, q
 from lacuna.roles import Roles
 from lacuna.scratch import small_table
 
@@ -21,14 +21,14 @@ FEW_VALUES = 5
 
 def _cells(df: DataFrame, features) -> DataFrame:
     """feature, value: one row per cell, without a key."""
-    wide = df.select(*[q(f).cast("double").alias(f) for f in features])
+    wide = df.select(*[known(df, f).cast("double").alias(f) for f in features])
     return wide.unpivot([], [q(f) for f in features], "feature", "value").where("value IS NOT NULL")
 
 
 def _hidden(truth: DataFrame, imputed: DataFrame, mask: DataFrame, roles: Roles) -> DataFrame:
     """Truth (t_), fill (i_) and mask (m_) of every row of the mask; a key that is missing elsewhere leaves NULLs."""
     def side(df, tag, numbers):
-        return df.select(roles.key, *[(q(f).cast("double") if numbers else q(f)).alias(f"{tag}_{f}") for f in roles.features])
+        return df.select(roles.key, *[(known(df, f).cast("double") if numbers else q(f)).alias(f"{tag}_{f}") for f in roles.features])
 
     return side(mask, "m", False).join(side(truth, "t", True), roles.key, "left").join(side(imputed, "i", True), roles.key, "left")
 
@@ -80,7 +80,7 @@ def value_range(truth: DataFrame, features) -> DataFrame:
     small is counted exactly, so the values of a dense column are never shuffled.
     """
     names = list(features)
-    spark = truth.sparkSession
+    spark, truth = truth.sparkSession, nan_as_null(truth, features)
     stats = truth.agg(*[g(q(f)).alias(f"{i}{tag}") for i, f in enumerate(names)
                         for tag, g in (("lo", F.min), ("hi", F.max), ("d", F.approx_count_distinct))]).first().asDict()
     few = [f for i, f in enumerate(names) if stats[f"{i}d"] <= 4 * MAX_BINS]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lacuna.operators import coding
-from lacuna.operators.cells import q
+from lacuna.functions.holes import nan_as_null, q, unused
 from lacuna.operators.embed import HashEncoder, hash_vectors, in_metric_space
 from lacuna.operators.neighbors import PROFILE, nearest_cells, profiles, tag_rows, with_long_keys
 from lacuna.roles import Roles
@@ -47,10 +47,10 @@ def _typed(value, feature: str, roles: Roles):
 def fill_table(coded: DataFrame, roles: Roles, vector: str = "vec", k: int = 5, metric: str = "cosine", **tuning) -> DataFrame:
     """Impute a table of numbers and category codes that carries one vector per row.
 
-    A single pass: fills never serve as donors. A feature without any observed cell stays NULL. The key may
-    be of any type.
+    A single pass: fills never serve as donors. A feature without any observed cell stays NULL; NaN is a hole. The key may
+    be of any type. Every row is kept, also those of a repeated or NULL key, which are rows like any other.
     """
-    coded, restore = with_long_keys(coded, roles.key)
+    coded, restore = with_long_keys(nan_as_null(coded, roles.features), roles.key)
     table, metric = in_metric_space(coded, vector, metric)
     tagged = cut(tag_rows(table, roles.key, vector, roles.features), "rows")
     groups = profiles(tagged, k)
@@ -60,7 +60,7 @@ def fill_table(coded: DataFrame, roles: Roles, vector: str = "vec", k: int = 5,
 
 def nearest_donors(coded: DataFrame, roles: Roles, vector: str = "vec", k: int = 5, metric: str = "cosine", **tuning) -> DataFrame:
     """The donors behind every fill: key, feature, rank, donor key, its value, distance."""
-    coded, restore = with_long_keys(coded, roles.key)
+    coded, restore = with_long_keys(nan_as_null(coded, roles.features), roles.key)
     table, metric = in_metric_space(coded, vector, metric)
     tagged = cut(tag_rows(table, roles.key, vector, roles.features), "rows")
     groups = profiles(tagged, k)
@@ -78,8 +78,10 @@ def impute(df: DataFrame, roles: Roles, k: int = 5, metric: str = "cosine", enco
     ``vector`` names a column with the user's own row vectors; without it the hashing encoder is used.
     """
     types = {f: df.schema[f].dataType for f in roles.features}
+    df = nan_as_null(df, roles.features)
     if vector is None:
-        vector, df = "__vec", hash_vectors(df, roles, encoder, "__vec")
+        vector = unused(df, "__vec")
+        df = hash_vectors(df, roles, encoder, vector)
     dimension = coding.build_dimension(df, roles.categorical) if roles.categorical else None
     coded = coding.encode(df, dimension, roles.categorical) if dimension is not None else df
     filled = fill_table(coded, roles, vector, k, metric, **tuning)

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegralType, LongType, StructType
 
 from lacuna.functions.vectors import METRICS
-from lacuna.operators.cells import q
+from lacuna.functions.holes import known, q, unused
 from lacuna.operators.position import with_position
 from lacuna.operators.tiles import PLACES, Tile, as_metric, closest, distances, prepare
 from lacuna.scratch import cut, cut_counted, small_table
@@ -37,7 +37,9 @@ from lacuna.scratch import cut, cut_counted, small_table
 REFERENCES = 32
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 64 << 20  # profiles that one task cuts into blocks
+PART_ROWS = 4096  # and those that are worth a task
 TEAM_BYTES = 128 << 20  # query vectors and rows that a task holds
+TASKS_PER_CORE = 32
 SLOT_BLOCKS = 256  # donor blocks that stream past a team in one task
 SLACK = 1e-9  # bounds are widened by this, so rounding never excludes a tie
 ROUNDED = 4 * 10.0**-PLACES  # two ways to sum one distance may round it to neighbours
@@ -57,8 +59,8 @@ def tag_rows(df: DataFrame, key: str, vector: str, features) -> DataFrame:
     """h1, h2, key, vec, and the features as doubles."""
     if not isinstance(df.schema[key].dataType, LongType):
         raise TypeError(f"{key}: the join works on bigint keys; ``with_long_keys`` gives them to any table")
-    ids = profile_id(q(vector), [q(f).isNotNull() for f in features])
-    values = F.array(*[q(f).cast("double") for f in features]) if features else F.array().cast("array<double>")
+    ids = profile_id(q(vector), [known(df, f).isNotNull() for f in features])
+    values = F.array(*[known(df, f).cast("double") for f in features]) if features else F.array().cast("array<double>")
     return df.select(*ids, q(key).alias("key"), q(vector).alias("vec"), values.alias("vals"))
 
 
@@ -71,20 +73,24 @@ class Profiles:
     dim: int
 
 
-def profiles(tagged: DataFrame, k: int) -> Profiles:
-    """One row per profile with its k lowest keys and their values.
+def profiles(tagged: DataFrame, k: int, once: bool = False) -> Profiles:
+    """One row per profile with its k lowest keys and their values, or with ``once`` its k lowest different keys.
 
     The rank filter is applied in every task before the shuffle, so a hot profile sends k rows per task.
     """
-    lowest = W.partitionBy(*PROFILE).orderBy("key")
-    kept = tagged.withColumn("rn", F.row_number().over(lowest)).where(F.col("rn") <= k)
+    lowest = W.partitionBy(*PROFILE).orderBy("key") if once else W.partitionBy(*PROFILE).orderBy("key", "vals")
+    rank = F.dense_rank() if once else F.row_number()
+    kept = tagged.withColumn("rn", rank.over(lowest)).where(F.col("rn") <= k)
+    if once:
+        kept = kept.withColumn("before", F.lag("key").over(lowest)).where("before IS NULL OR before <> key")
     grouped = kept.groupBy(*PROFILE).agg(
         F.first("vec").alias("vec"),
         F.collect_list(F.struct("key", "vals")).alias("rows"),  # k entries at most
     )
-    table, seen = cut_counted(grouped, "profiles", F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"))
-    if seen["least"] != seen["most"]:
-        raise ValueError("vectors must exist for every row and have one length")
+    table, seen = cut_counted(grouped, "profiles", F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"),
+                              F.count_if(F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull() | F.isnan(x))).alias("bad"))
+    if seen["least"] != seen["most"] or seen["bad"]:
+        raise ValueError("vectors must exist for every row, hold numbers alone and have one length")
     return Profiles(table, seen["n"], seen["most"] or 0)
 
 
@@ -220,7 +226,10 @@ def build_blocks(queries: DataFrame, donors: DataFrame, references: np.ndarray,
     order = ["cell", "ring", "h1", "h2"]
     placed = both.mapInArrow(_assigner(references, metric), PLACED.format(kind=kind) + ", cell int, ring double")
     ranged = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    written = cut(ranged.mapInArrow(_packer(references, metric, block_rows, k, n_features, _element(kind)), BLOCK_SCHEMA), "blocks")
+    packed = ranged.mapInArrow(_packer(references, metric, block_rows, k, n_features, _element(kind)), BLOCK_SCHEMA)
+    written, seen = cut_counted(packed, "blocks")
+    if parts == 1:
+        return Blocks(written.withColumn("block", F.col("seq").cast("bigint")).drop("part", "seq"), seen["n"], per_team, _element(kind))
     # one row per task that cut blocks
     sizes = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     starts = [0, *accumulate(n for _, n in sizes)]
@@ -465,12 +474,11 @@ def choose(blocks: Blocks, slot_blocks: int, least_slots: int) -> DataFrame:
     return met.mapInPandas(_chooser(slot_blocks, least_slots), DEALT)
 
 
-def deal(blocks: Blocks, chosen: DataFrame) -> DataFrame:
-    """Blocks laid out for the tasks of the join: the queries of a team, then the donors of a slot, the nearest first."""
-    written, seen = cut_counted(chosen, "deal", F.count_if(F.col("is_donor") & (F.col("rank") == 0)).alias("tasks"), F.max("slot").alias("last"))
-    tasks, slots = max(1, seen["tasks"]), (seen["last"] or 0) + 1
+def deal(blocks: Blocks, chosen: DataFrame, tasks: int, slots: int) -> DataFrame:
+    """Blocks laid out for the tasks of the join: the queries of a team, then the donors of a slot, the nearest first. A task
+    may get several slots of at most ``slots`` per team, one after the other."""
     task = F.pmod(F.col("team").cast("bigint") * slots + F.col("slot"), F.lit(tasks)).cast("int")
-    return blocks.table.join(written, "block").repartitionById(tasks, task).sortWithinPartitions("team", "slot", "is_donor", "rank")
+    return blocks.table.join(chosen, "block").repartitionById(tasks, task).sortWithinPartitions("team", "slot", "is_donor", "rank")
 
 
 def best_k(candidates: DataFrame, k: int) -> DataFrame:
@@ -503,51 +511,69 @@ def nearest_cells(queries: Profiles, donors: Profiles, k: int, metric: str, n_fe
     size = block_rows or int(min(most, max(64, math.ceil(max(queries.n, donors.n) / (2 * cores)))))
     chosen = donors.table.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots or REFERENCES).collect()
     references = np.array([r["vec"] for r in chosen], dtype=np.float64)
-    parts = math.ceil((queries.n + (0 if same else donors.n)) * row_bytes / PART_BYTES)
+    placed = queries.n + (0 if same else donors.n)
+    parts = max(math.ceil(placed * row_bytes / PART_BYTES), min(cores, placed // PART_ROWS))
     per_team = max(1, TEAM_BYTES // (size * row_bytes))
     blocks = build_blocks(queries.table, donors.table, references, metric, size, k, n_features, parts, per_team)
     least_slots = math.ceil(2 * cores / blocks.teams)
     chosen = choose(blocks, SLOT_BLOCKS, least_slots)
+    slots = max(least_slots, math.ceil(blocks.n / SLOT_BLOCKS))
+    tasks = min(blocks.teams * slots, TASKS_PER_CORE * cores)
     task = _tile_task(k, metric, n_features, blocks.vector_type)
-    return best_k(deal(blocks, chosen).mapInPandas(task, CANDIDATE_SCHEMA), k)
+    return best_k(deal(blocks, chosen, tasks, slots).mapInPandas(task, CANDIDATE_SCHEMA), k)
 
 
 # ---------------------------------------------------------------- keys of any type
 
+#: Stands for a NULL key, which comes before all others.
+NO_KEY = -(1 << 63)
+
+
 def with_long_keys(df: DataFrame, key: str):
-    """(``df`` with a bigint key, a function that puts the first keys back into named columns of a result).
+    """(``df`` with a bigint key that is never NULL, a function that puts the first keys back into named columns of a result).
 
-    Whole numbers are widened. Other keys get their rank, so the lowest key stays the lowest; they must be unique and
-    not null, like every key here.
+    Whole numbers are widened and NULL becomes the lowest bigint, which is an error as a key. Other keys get the rank of
+    their value, NULL the lowest. No row is lost or doubled, however often a key occurs.
     """
     kind = df.schema[key].dataType
-    if isinstance(kind, LongType):
-        return df, lambda out, *columns: out
     if isinstance(kind, IntegralType):
-        return df.withColumn(key, q(key).cast("bigint")), lambda out, *columns: out.withColumns({c: q(c).cast(kind) for c in columns})
-    names = with_position(df.select(q(key).alias("__key")), "__key", "__id", "keys")
+        wide = q(key).cast("bigint")
+        taken = F.raise_error(F.lit(f"{key}: {NO_KEY} cannot be a key")).cast("bigint")
+        given = F.when(wide == NO_KEY, taken).otherwise(F.coalesce(wide, F.lit(NO_KEY)))
+        return df.withColumn(key, given), lambda out, *columns: out.withColumns({c: F.when(q(c) != NO_KEY, q(c)).cast(kind) for c in columns})
+    names = with_position(df.select(q(key).alias("value")).distinct(), "value", "number", "keys")
+    value, number = unused(df, "__value"), unused(df, "__number")
+    lookup = names.withColumnsRenamed({"value": value, "number": number})
 
     def restore(out, *columns):
         for c in columns:
-            out = out.join(names.withColumnRenamed("__id", c), c).drop(c).withColumnRenamed("__key", c).select(*out.columns)
+            found = names.withColumnsRenamed({"value": unused(out, "__value"), "number": unused(out, "__number")})
+            joined = out.join(found, q(c) == q(found.columns[1]))
+            out = joined.select(*[q(found.columns[0]).alias(c) if o == c else q(o) for o in out.columns])
         return out
 
-    numbered = df.join(names.withColumnRenamed("__key", key), key).drop(key).withColumnRenamed("__id", key)
-    return numbered.select(*df.columns), restore
+    numbered = df.join(lookup, q(key).eqNullSafe(q(value)))
+    return numbered.select(*[q(number).alias(c) if c == key else q(c) for c in df.columns]), restore
 
 
 # ---------------------------------------------------------------- whole rows
 
 def nearest_rows(df: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", **tuning) -> DataFrame:
-    """row_id, donor_id, dist, rank: the k nearest other rows of every row. The key may be of any type."""
+    """row_id, donor_id, dist, rank: the k nearest other rows of every row. The key may be of any type.
+
+    Rows of one key never serve each other. A key, or NULL, held by several rows is an error where they are so near to
+    each other that k others can't be told.
+    """
     df, restore = with_long_keys(df, key)
     tagged = tag_rows(df, key, vector, [])
-    groups = profiles(tagged, k + 1)
+    groups = profiles(tagged, k + 1, once=True)
     found = nearest_cells(groups, groups, k + 1, metric, 0, **tuning)
     lists = found.groupBy(*PROFILE).agg(F.array_sort(F.collect_list(F.struct("dist", "key"))).alias("near"))
     others = F.slice(F.filter("near", lambda x: x["key"] != F.col("row_id")), 1, k)
-    out = (tagged.select(*PROFILE, F.col("key").alias("row_id")).join(lists, list(PROFILE))
-           .select("row_id", F.posexplode(others).alias("pos", "donor"))
+    short = (F.size("near") > k) & (F.size("others") < k)
+    out = (tagged.select(*PROFILE, F.col("key").alias("row_id")).join(lists, list(PROFILE)).withColumn("others", others)
+           .select("row_id", F.posexplode(F.when(short, F.raise_error(F.lit(f"{key} holds keys of several rows")).cast("array<struct<dist:double,key:bigint>>"))
+                                          .otherwise(F.col("others"))).alias("pos", "donor"))
            .select("row_id", F.col("donor.key").alias("donor_id"), F.col("donor.dist").alias("dist"),
                    (F.col("pos") + 1).alias("rank")))
     return restore(out, "row_id", "donor_id")

@@ -9,6 +9,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lacuna.functions.holes import q, unused
 from lacuna.scratch import cut, new_path, small_table
 
 
@@ -32,20 +33,22 @@ def _natural(path: str):
 
 def _number(table: DataFrame, out: str) -> DataFrame:
     file = F.col("_metadata.file_path")
-    tagged = table.select("*", file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    counts = table.select(file.alias("__file")).groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = sorted(((r["__file"], r["n"]) for r in counts), key=lambda s: _natural(s[0]))
+    name, row, start = (unused(table, c) for c in ("__file", "__row", "__start"))
+    tagged = table.select("*", file.alias(name), F.col("_metadata.row_index").alias(row))
+    counts = table.select(file.alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = sorted(((r["file"], r["n"]) for r in counts), key=lambda s: _natural(s[0]))
     starts = [0, *accumulate(n for _, n in sizes)]
     # one row per written file, so as many as there were write tasks
-    offsets = small_table(table.sparkSession, __file=([f for f, _ in sizes], pa.string()), __start=(starts[:-1], pa.int64()))
-    numbered = tagged.join(F.broadcast(offsets), "__file")
-    return numbered.select(*table.columns, (F.col("__start") + F.col("__row")).alias(out))
+    offsets = small_table(table.sparkSession, **{name: ([f for f, _ in sizes], pa.string()), start: (starts[:-1], pa.int64())})
+    numbered = tagged.join(offsets, name)
+    return numbered.select(*[q(c) for c in table.columns if c != out], (F.col(start) + F.col(row)).alias(out))
 
 
 def with_batch(df: DataFrame, order_by, size: int, out: str = "batch_id") -> DataFrame:
     """Fixed consecutive mini-batches of ``size`` rows in key order."""
-    placed = with_position(df, order_by, "__pos", "batches")
-    return placed.withColumn(out, F.floor(F.col("__pos") / size).cast("bigint")).drop("__pos")
+    position = unused(df, "__pos")
+    placed = with_position(df, order_by, position, "batches")
+    return placed.withColumn(out, F.floor(F.col(position) / size).cast("bigint")).drop(position)
 
 
 def running_total(placed: DataFrame, position: str, amount: str, out: str, width: int = 1 << 16) -> DataFrame:
@@ -68,13 +71,14 @@ def running_total(placed: DataFrame, position: str, amount: str, out: str, width
 
 def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """value + its average rank, one row per distinct value; NULL has no rank."""
-    return _ranks(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, out)
+    return _ranks(df.where(q(value).isNotNull()).groupBy(q(value).alias("v")).agg(F.count(F.lit(1)).alias("n")), value, out)
 
 
 def _ranks(counts: DataFrame, value: str, out: str) -> DataFrame:
-    placed = with_position(counts, value, "__pos", "ranks")
-    start = running_total(placed, "__pos", "__n", "__before")
-    return start.select(value, (F.col("__before") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
+    """``value`` and its rank, from ``v`` and how often it occurs, ``n``."""
+    placed = with_position(counts, "v", "pos", "ranks")
+    start = running_total(placed, "pos", "n", "before")
+    return start.select(F.col("v").alias(value), (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
 
 
 def average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
@@ -91,11 +95,11 @@ def spearman(df: DataFrame, x: str, y: str, out: str = "spearman") -> DataFrame:
     Rows are counted by pair of values first. Ranks are joined to the counted pairs, so a value held by
     many rows is no hot key.
     """
-    pairs = cut(df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    pairs = cut(df.select(q(x).alias("x"), q(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
                 .groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
     ranked = pairs
     for c in ("x", "y"):
-        counts = pairs.groupBy(c).agg(F.sum("n").alias("__n"))
+        counts = pairs.groupBy(F.col(c).alias("v")).agg(F.sum("n").alias("n"))
         ranked = ranked.join(_ranks(counts, c, f"r{c}"), c)
     middle = (pairs.agg(F.sum("n")).first()[0] or 0) / 2 + 0.5  # the mean of all ranks
     dx, dy, n = F.col("rx") - F.lit(middle), F.col("ry") - F.lit(middle), F.col("n")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
-from lacuna.operators.cells import assert_no_holes, q
+from lacuna.functions.holes import known, q
+from lacuna.operators.cells import assert_no_holes
 from lacuna.operators.neighbors import PROFILE, nearest_cells, profiles, tag_rows, with_long_keys
 from lacuna.roles import Roles
 from lacuna.scratch import cut, cut_counted
@@ -23,7 +24,7 @@ def scale_stats(train: DataFrame, roles: Roles) -> dict[str, tuple[float, float]
     names = roles.continuous
     if not names:
         return {}
-    got = train.agg(*[g(q(f)).alias(f"{i}{tag}") for i, f in enumerate(names)
+    got = train.agg(*[g(known(train, f)).alias(f"{i}{tag}") for i, f in enumerate(names)
                       for tag, g in (("m", F.avg), ("s", F.stddev_samp))]).first().asDict()
     return {f: (got[f"{i}m"], got[f"{i}s"] or 1.0) for i, f in enumerate(names)}
 
@@ -36,7 +37,7 @@ def knn_classify(train: DataFrame, test: DataFrame, roles: Roles, k: int = KNN_K
     """key, prediction: majority label of the k nearest training rows, the lowest of equal ones."""
     vector = F.array(*[q(f).cast("double") for f in roles.covariates])
     (train, _), (test, restore) = with_long_keys(train, roles.key), with_long_keys(test, roles.key)
-    donors = profiles(tag_rows(train.select(roles.key, vector.alias("vec"), q(roles.target).cast("double").alias("label")),
+    donors = profiles(tag_rows(train.select(roles.key, vector.alias("vec"), known(train, roles.target).cast("double").alias("label")),
                                roles.key, "vec", ["label"]), k)
     asked = tag_rows(test.select(roles.key, vector.alias("vec"), F.lit(None).cast("double").alias("label")),
                      roles.key, "vec", ["label"])

@@ -6,10 +6,11 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from lacuna.functions.text import MASK_TOKEN, UNKNOWN_TOKEN, encode_rows
+from lacuna.functions.text import MASK_TOKEN, encode_rows
 from lacuna.operators import ampute as A
 from lacuna.operators import coding, fidelity, utility
-from lacuna.operators.cells import apply_mask, assert_no_holes, mask_table, q
+from lacuna.functions.holes import nan_as_null, q
+from lacuna.operators.cells import apply_mask, assert_no_holes, mask_table
 from lacuna.operators.embed import HashEncoder, embed_text, hash_vectors, hashed_fields
 from lacuna.operators.impute import fill_table
 from lacuna.operators.learn import learn_metric
@@ -52,6 +53,7 @@ class Prepared:
 
 def prepare(df: DataFrame, roles: Roles, settings: Settings = Settings()) -> Prepared:
     """Code categories over all rows, split, and hide cells of the training part."""
+    df = nan_as_null(df, roles.features)
     types = {f: df.schema[f].dataType for f in roles.features}
     dimension = coding.build_dimension(df, roles.categorical)
     coded = cut(coding.encode(df, dimension, roles.categorical).select(roles.key, *[q(f) for f in roles.features]), "coded")
@@ -136,8 +138,3 @@ def experiment(df: DataFrame, roles: Roles, settings: Settings = Settings(), mak
     imputed = cut(fill_table(vectors, roles, "vec", settings.k, settings.metric), "imputed")
     assert_no_holes(imputed, roles.features)
     return evaluate(imputed, ready.truth, ready.test, ready.mask, roles, models, settings.seed)
-
-
-def token_for(encoder_family: str) -> str:
-    """Mask token of a text encoder: masked models have one of their own."""
-    return MASK_TOKEN if encoder_family in ("bert-base", "bert-large", "roberta") else UNKNOWN_TOKEN

@@ -74,7 +74,7 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     placed = lines.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("split"),
                           F.monotonically_increasing_id().alias("line")).alias("at"), F.trim("value").alias("text"))
     marks = placed.where(F.lower("text").rlike("^@data\\s*(%.*)?$")).groupBy("file").agg(F.min("at").alias("mark"))  # one row per file
-    data = (placed.join(F.broadcast(marks), "file", "left").where(F.col("mark").isNull() | (F.col("at") > F.col("mark")))
+    data = (placed.join(marks, "file", "left").where(F.col("mark").isNull() | (F.col("at") > F.col("mark")))
             .where((F.col("text") != "") & ~F.col("text").startswith("%")))
     cells = data.select("text", F.regexp_extract_all("text", F.lit(_FIELD), 1).alias("cells"))
     right = F.when(F.size("cells") != len(fields), F.raise_error(F.concat(F.lit("wrong number of fields: "), F.col("text")))).otherwise(F.col("cells"))

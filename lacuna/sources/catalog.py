@@ -43,7 +43,7 @@ CONCRETE = ["Cement", "Blast Furnace Slag", "Fly Ash", "Water", "Superplasticize
 KINGS_FILE = ["id", "date", "price", "bedrooms", "bathrooms", "sqft_living", "sqft_lot", "floors", "waterfront", "view", "condition", "grade", "sqft_above", "sqft_basement", "yr_built", "yr_renovated", "zipcode", "lat", "long", "sqft_living15", "sqft_lot15"]
 KINGS_CONTINUOUS = ["price", "sqft_living", "sqft_lot", "sqft_above", "sqft_basement", "yr_built", "yr_renovated", "lat", "long", "sqft_living15", "sqft_lot15"]
 KINGS_CATEGORICAL = ["bedrooms", "bathrooms", "floors", "waterfront", "view", "condition", "grade"]
-KINGS_NOT_INTEGER = ["lat", "long"]
+KINGS_INTEGER = ["price", "sqft_living", "sqft_lot", "sqft_above", "sqft_basement", "yr_built", "yr_renovated", "sqft_living15", "sqft_lot15"]
 LETTER = ["lettr", "x-box", "y-box", "width", "high", "onpix", "x-bar", "y-bar", "x2bar", "y2bar", "xybar", "x2ybr", "xy2br", "x-ege", "xegvy", "y-ege", "yegvx"]
 LOAN_FILE = ["ID", "Age", "Experience", "Income", "ZIP Code", "Family", "CCAvg", "Education", "Mortgage", "Personal Loan", "Securities Account", "CD Account", "Online", "CreditCard"]
 LOAN_CONTINUOUS = ["Age", "Experience", "Income", "CCAvg", "Mortgage"]
@@ -91,7 +91,7 @@ CATALOG: dict[str, Table] = {
     "concrete": Table("Concrete_Data.csv", _csv(_typed(CONCRETE, Age="int"), header=True, replace_header=True),
                       _fixed([c for c in CONCRETE if c != "Age"], ["Age"], "Age")),
     "kings": Table("kc_house_data.csv", _csv(_typed(KINGS_FILE, id="bigint", date="string", zipcode="int"), header=True),
-                   _fixed(KINGS_CONTINUOUS, KINGS_CATEGORICAL, "grade", [c for c in KINGS_CONTINUOUS if c not in KINGS_NOT_INTEGER])),
+                   _fixed(KINGS_CONTINUOUS, KINGS_CATEGORICAL, "grade", KINGS_INTEGER)),
     "letter": Table("letter-recognition.data", _csv(_typed(LETTER, "int", lettr="string")),
                     _fixed(LETTER[1:], ["lettr"], "lettr", LETTER[1:])),
     "loan": Table("Bank_Personal_Loan_Modelling.csv", _csv(_typed(LOAN_FILE), header=True),

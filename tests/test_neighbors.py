@@ -116,7 +116,7 @@ def computed_share(spark, monkeypatch, x, metric, partitions, block_rows):
     groups = N.profiles(N.tag_rows(table(spark, x).repartition(partitions), "id", "vec", []), 4)
     references = np.array([r["vec"] for r in groups.table.orderBy(F.xxhash64("vec")).limit(N.REFERENCES).collect()])
     blocks = N.build_blocks(groups.table, groups.table, references, metric, block_rows, 4, 0, partitions, 4)
-    dealt = N.deal(blocks, N.choose(blocks, N.SLOT_BLOCKS, 1))
+    dealt = N.deal(blocks, N.choose(blocks, N.SLOT_BLOCKS, 1), 8, 4)
     sent = dealt.where("is_donor").count() / (blocks.n * blocks.teams)
     made, tile = [], N.Tile
     with monkeypatch.context() as m:
@@ -142,7 +142,7 @@ def test_donors_travel_once_per_team_that_may_need_them(spark):
     x = sample(seed=8)
     groups = N.profiles(N.tag_rows(table(spark, x), "id", "vec", []), 4)
     blocks = N.build_blocks(groups.table, groups.table, x[:5], "cosine", 16, 4, 0, 2, 3)
-    dealt = N.deal(blocks, N.choose(blocks, 2, 1))
+    dealt = N.deal(blocks, N.choose(blocks, 2, 1), 5, 16)
     donors = dealt.where("is_donor").groupBy("team", "block").count().collect()
     assert blocks.teams >= 3 and all(r["count"] == 1 for r in donors)
     slots = {r["team"]: r["n"] for r in dealt.groupBy("team").agg((F.max("slot") + 1).alias("n")).collect()}
@@ -281,3 +281,48 @@ def test_observed_cells_stay_and_no_hole_is_left(spark):
         assert got[i].n is not None and got[i].c is not None
         assert n is None or got[i].n == n
         assert c is None or got[i].c == c
+
+
+def test_nan_is_a_hole_for_donors_and_queries(spark):
+    """A twin with NaN serves nobody; the cell that is NaN gets a fill, whichever row of a profile comes first."""
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0], nan, 0), (2, [1.0, 0.0], 5.0, 0), (3, [0.0, 1.0], 7.0, 0), (4, [1.0, 0.0], None, 0)]
+    assert [filled(spark, rows, k=1)[i].n for i in (1, 2, 3, 4)] == [5.0, 5.0, 7.0, 5.0]
+    rows = [(1, [1.0, 0.0], 5.0, 0), (2, [1.0, 0.0], nan, 0), (3, [0.0, 1.0], 9.0, 0), (4, [1.0, 0.0], None, 0)]
+    assert [filled(spark, rows, k=2)[i].n for i in (1, 2, 3, 4)] == [5.0, 7.0, 9.0, 7.0]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_rows_of_repeated_and_null_keys_stay(spark, kind):
+    keys = [None, 3, 3, 5, None, 6]
+    rows = [(k, [1.0, float(i)], None if i in (0, 2) else float(i), i) for i, k in enumerate(keys)]
+    df = cell_table(spark, rows, SCHEMA).withColumn("id", F.col("id").cast(kind)).withColumn("vec", F.array(F.lit(1.0), F.col("c").cast("double")))
+    got = sorted(((str(r.id), r.c, r.n) for r in fill_table(df, ROLES, k=1).collect()), key=lambda r: r[1])
+    assert [(g[0], g[1]) for g in got] == [(str(k), i) for i, k in enumerate(keys)]
+    assert all(g[2] is not None for g in got) and {g[1]: g[2] for g in got}[3] == 3.0
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_rows_of_one_key_do_not_serve_each_other(spark, kind):
+    x = np.array([[1.0, 0.0], [1.0, 0.1], [1.0, 0.2], [0.0, 1.0], [0.1, 1.0]])
+    df = table(spark, x).withColumn("id", F.when(F.col("id") < 4, F.col("id")).cast(kind))  # the last key is NULL
+    got = {(None if r.row_id is None else int(r.row_id), None if r.donor_id is None else int(r.donor_id)) for r in N.nearest_rows(df, "id", "vec", 1).collect()}
+    assert got == {(0, 1), (1, 2), (2, 1), (3, None), (None, 3)}
+    same = table(spark, x).withColumn("id", F.lit(1).cast(kind))
+    with pytest.raises(Exception, match="several rows"):
+        N.nearest_rows(same, "id", "vec", 2, block_rows=2).collect()
+
+
+def test_names_of_helper_columns(spark):
+    x = sample(n=40, seed=12)
+    df = table(spark, x).select(F.format_string("k%03d", "id").alias("__id"), F.col("vec").alias("__pos"))
+    assert N.nearest_rows(df, "__id", "__pos", 2).count() == 80
+    df = table(spark, x).select(F.format_string("k%03d", "id").alias("__value"), F.col("vec").alias("__number"))
+    assert N.nearest_rows(df, "__value", "__number", 2).count() == 80
+
+
+def test_vectors_must_exist(spark):
+    for bad in (None, [1.0, None], [1.0, float("nan")], [1.0]):
+        df = spark.createDataFrame([(1, [1.0, 2.0]), (2, bad)], "id bigint, vec array<double>")
+        with pytest.raises(ValueError, match="vectors must exist"):
+            N.nearest_rows(df, "id", "vec", 1)

@@ -15,7 +15,7 @@ from lacuna.operators import ampute as A
 from lacuna.operators import cells as C
 from lacuna.operators import coding, fidelity, learn, pairs, position, split, utility
 from lacuna.operators.embed import HashEncoder, embed_text, hash_vectors
-from lacuna.plans.experiment import Settings, evaluate, experiment, prepare, row_vectors, token_for
+from lacuna.plans.experiment import Settings, evaluate, experiment, prepare, row_vectors
 from lacuna import scratch
 from lacuna.scratch import new_path
 from lacuna.sources import catalog, tables
@@ -503,5 +503,10 @@ def test_rank_correlation_of_scores():
     assert math.isnan(utility.rank_correlation({"a": 1, "b": 1}, {"a": 1, "b": 2}))
 
 
-def test_tokens_by_encoder():
-    assert token_for("bert-base") == "[MASK]" and token_for("gpt2") == "[UNK]"
+def test_ranks_of_columns_with_helper_names(spark):
+    df = spark.createDataFrame([(i % 4, float(i % 3), i) for i in range(12)], "__pos int, __n double, __file int")
+    assert sorted(r.rank for r in position.average_rank(df, "__pos").collect())[:3] == [2.0] * 3
+    assert position.average_rank(df, "__n").count() == 12
+    placed = position.with_position(df, "__file", "pos").collect()
+    assert all(r.pos == r["__file"] for r in placed)
+    assert {r.batch_id for r in position.with_batch(df, "__file", 5).collect()} == {0, 1, 2}
