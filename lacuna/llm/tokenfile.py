@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -24,8 +25,11 @@ from lacuna.scratch import cut, small_table
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
 
-#: Words whose ids a worker remembers; only speed depends on it.
-MEMORY = 800_000
+#: Bytes of words and their ids that a worker remembers, as Python counts them; only speed depends on it.
+MEMORY = 64 << 20
+
+#: What a word in a dictionary takes besides its letters and ids.
+ENTRY = 200
 
 #: For each control byte, the lengths of its four ranks.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
@@ -59,17 +63,11 @@ def normalized(text: str) -> str:
     return text.lower()
 
 
-def parts_of(word: str) -> tuple[str, str]:
-    """A word and the signs behind its last letter or digit, where these may be encoded apart."""
-    head = word.rstrip(SIGNS)
-    if head and len(head) < len(word) and head[-1].isalnum() and head[-1] < "\u0100" and "<|" not in word:
-        return head, word[len(head) :]
-    return word, ""
-
+#: Lower-case Latin-1 letters alone: nothing to normalize, and one piece for the tokenizer.
+PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
-def is_plain(word: str) -> bool:
-    """Lower-case Latin-1 letters alone: nothing to normalize, and one piece for the tokenizer."""
-    return word.isalpha() and word == word.lower() and (word.isascii() or max(word) < "\u0100")
+#: Signs behind such a letter or digit are encoded apart.
+LETTER_LAST = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
 
 
 def bare(content: str) -> str:
@@ -79,57 +77,89 @@ def bare(content: str) -> str:
     return json.dumps(whole | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": words}})
 
 
-class WordIds(dict):
-    """Word to the bytes of its ids. Words are what lies between spaces, tabs and line ends."""
+def strings(array: pa.Array) -> list[str]:
+    """As ``to_pylist``, without an Arrow object for every value."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+class WordIds:
+    """The bytes of the ids of words, which are what lies between spaces, tabs and line ends.
+
+    The words of many texts are split and told apart by Arrow; only those not remembered are encoded, and ids are
+    gathered for all of them at once. When memory is full, words that occurred only once are forgotten.
+    """
 
     def __init__(self, content: str, kind: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.bare, self.kind = Tokenizer.from_str(content), Tokenizer.from_str(bare(content)), kind
+        self.tokenizer, self.bare, self.kind = Tokenizer.from_str(content), Tokenizer.from_str(bare(content)), np.dtype(kind)
         # tokens that end a word, in a vocabulary that marks them
         suffix, vocabulary = json.loads(content)["model"].get("end_of_word_suffix"), self.bare.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self[""] = b""
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > MEMORY:
-            kept = {w: self[w] for w in words & self.keys()} | {"": b""}
-            self.clear()
-            self.update(kept)
-        new = words - self.keys()
-        signed = {w: parts_of(w) for w in new if w[-1] in SIGNS}
-        bases = new.difference(signed)
-        bases.update(*signed.values())
-        bases -= self.keys()
-        plain = [b for b in bases if is_plain(b)] if self.ends.any() else []
-        runs = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        self.known: dict[str, bytes] = {}
+        self.size = 0
+
+    def learn(self, words: pa.Array) -> dict[str, bytes]:
+        """Ids of different words that are not remembered, and of the parts they were encoded in."""
+        heads = pc.utf8_rtrim(words, characters=SIGNS)
+        apart = pc.and_(pc.and_(pc.match_substring_regex(heads, LETTER_LAST), pc.not_equal(heads, words)), pc.invert(pc.match_substring(words, "<|")))
+        signed, heads = strings(words.filter(apart)), strings(heads.filter(apart))
+        tails = [w[len(h) :] for w, h in zip(signed, heads)]
+        bases = pa.chunked_array([words.filter(pc.invert(apart)), pa.array(heads, pa.string()), pa.array(list(set(tails)), pa.string())]).combine_chunks().unique()
+        found = {b: self.known[b] for b in strings(bases) if b in self.known} if self.known else {}
+        new = bases.filter(pc.invert(pc.is_in(bases, value_set=pa.array(list(found), pa.string())))) if found else bases
+        plain = pc.match_substring_regex(new, PLAIN) if self.ends.any() else pa.array([False] * len(new), pa.bool_())
+        easy, others = strings(new.filter(plain)), strings(new.filter(pc.invert(plain)))
+        runs = [easy[i : i + TOGETHER] for i in range(0, len(easy), TOGETHER)]
         for run, encoding in zip(runs, self.bare.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False)):
             ids = np.array(encoding.ids, self.kind)
-            data, ends = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            self.update(zip(run, [data[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())], strict=True))
-        bases.difference_update(plain)
-        together = [b for b in bases if MARK not in b] if len(self.mark) == 1 else []
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            self._part(found, run, ids.tobytes(), [0, *ends[:-1].tolist()], ends.tolist())
+        together = [b for b in others if MARK not in b] if len(self.mark) == 1 else []
         runs = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
         made = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*run, ""]) for run in runs], add_special_tokens=False)
         for run, encoding in zip(runs, made):
             ids = np.array(encoding.ids, self.kind)
-            data, ends = ids.tobytes(), np.flatnonzero(ids == self.mark[0]) * ids.itemsize
-            starts = np.append(0, ends[:-1] + ids.itemsize)
-            self.update(zip(run, [data[x:y] for x, y in zip(starts.tolist(), ends.tolist())], strict=True))
-        alone = [b for b in bases if MARK in b or len(self.mark) != 1]
+            ends = np.flatnonzero(ids == self.mark[0]) * ids.itemsize
+            self._part(found, run, ids.tobytes(), [0, *(ends[:-1] + ids.itemsize).tolist()], ends.tolist())
+        alone = [b for b in others if MARK in b or len(self.mark) != 1]
         for b, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self[b] = np.array(e.ids, self.kind).tobytes()
-        for w, (head, tail) in signed.items():
-            if tail:
-                self[w] = self[head] + self[tail]
+            found[b] = np.array(e.ids, self.kind).tobytes()
+        found.update(zip(signed, [found[h] + found[t] for h, t in zip(heads, tails)]))
+        return found
+
+    @staticmethod
+    def _part(found, run, data, starts, ends):
+        found.update(zip(run, [data[x:y] for x, y in zip(starts, ends)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [normalized(t).split(" ") for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        split = pc.split_pattern(pa.array([normalized(t) for t in texts], pa.large_string()), " ")
+        coded = split.values.cast(pa.string()).dictionary_encode() if len(split.values) else pa.array([], pa.string()).dictionary_encode()
+        words = strings(coded.dictionary)
+        ids = [self.known.get(w) for w in words]
+        missing = [i for i, b in enumerate(ids) if b is None]
+        if missing:
+            found = self.learn(coded.dictionary.take(pa.array(missing)))
+            self.size += sum(len(w) + len(b) for w, b in found.items()) + ENTRY * len(found)
+            if self.size > MEMORY:
+                # of what is remembered, only words met again stay
+                self.known = {w: b for w, b in zip(words, ids) if b is not None}
+                self.size = sum(len(w) + len(b) + ENTRY for w, b in self.known.items())
+            for i in missing:
+                ids[i] = found[words[i]]
+            if self.size <= MEMORY:
+                self.known.update(found)
+        # the ids of all words, gathered from those of the different ones
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        starts, at = np.cumsum(lengths) - lengths, coded.indices.to_numpy(zero_copy_only=False)
+        counts = lengths[at]
+        ends = np.cumsum(counts)
+        whole = flat[np.repeat(starts[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.append(0, ends)[split.offsets.to_numpy()] * self.kind.itemsize
+        return [whole[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def token_ids(df: DataFrame, path: str, key: str, text: str, end: int) -> DataFrame:
@@ -196,7 +226,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, key: str = "doc_
 
     Texts are tokenized once; the ids are kept as a table, counted, and sorted by key through a range
     shuffle. Null texts are empty, so they hold the end id alone. Null keys come first. Rows with equal keys
-    are all written, ordered by their ids. Other columns are left out; an empty table gives empty files.
+    are all written, by many tasks if there are many, ordered by their first 64 bytes of ids. Other columns are left out; an empty table gives empty files.
     """
     spark = df.sparkSession
     named = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -236,7 +266,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, key: str = "doc_
         if keys:
             yield block()
 
-    tokens.repartitionByRange("key").sortWithinPartitions("key", "ids").mapInArrow(run, out).write.parquet(f"{path}/blocks")
+    # rows of one key are divided by their first ids, and those that begin alike by their place
+    divided = F.substring("ids", 1, 64), F.col("_metadata.row_index")
+    tokens.repartitionByRange("key", *divided).sortWithinPartitions("key", "ids").mapInArrow(run, out).write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     blocks.groupBy("part").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{path}/parts")
 

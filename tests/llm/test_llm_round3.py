@@ -13,7 +13,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm import conversations, negatives, queries, suffixes
+from tokenizers import Tokenizer
+
+from lacuna.llm import conversations, negatives, queries, suffixes, tokenfile
 
 # ---------------------------------------------------------------- conversations
 
@@ -259,3 +261,39 @@ def test_multikey_quicksort_sorts():
     assert strings == sorted(strings)
     assert same.tolist() == [False, *(a == b for a, b in zip(strings, strings[1:]))]
     assert all(x < y for x, y, s in zip(order, order[1:], same[1:]) if s)  # equal ones stay in the order given
+
+
+# ---------------------------------------------------------------- token files
+
+def test_rows_of_one_key_are_written_by_many_tasks(spark, tmp_path):
+    """A key with most rows: no task writes more than its part, and the order by key holds."""
+    pick = random.Random(5)
+    rows = [(7 if i % 11 else i, " ".join(pick.choice(["one", "two", "three", "four"]) for _ in range(pick.randrange(3, 30)))) for i in range(3300)]
+    rows += [(None, "lost words"), (None, None)]
+    path = f"{tmp_path}/files"
+    tokenizer = queries.vocabulary("word_bpe_49k.json")
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenfile.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), path, tokenizer)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    parts = [r["n"] for r in spark.read.parquet(f"{path}/parts").collect()]
+    assert len(parts) > 4 and max(parts) < 0.3 * sum(parts)
+    got = tokenfile.read_token_files(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
+    encode = Tokenizer.from_file(tokenizer).encode
+    assert sorted(bytes(r["ids"]) for r in got) == sorted(np.array([*encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t in rows)
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    """With hardly any memory the ids stay right, and what is remembered stays within it."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    words, whole = tokenfile.WordIds(open(path, encoding="utf-8").read(), "<u2"), Tokenizer.from_file(path)
+    monkeypatch.setattr(tokenfile, "MEMORY", 60_000)
+    pick = random.Random(9)
+    for _ in range(6):
+        texts = [" ".join(pick.choice("abcdefgéß") * pick.randrange(1, 9) + pick.choice(["", ".", "!?", "'s", "<|", "|", "東"]) for _ in range(200)) for _ in range(5)]
+        texts += ["", " ", "Aµª º2 x². ÀÉ|", "a\tb\r\nc  d "]
+        assert [np.frombuffer(b, "<u2").tolist() for b in words.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert words.size <= 60_000 and words.size == sum(len(w) + len(b) + tokenfile.ENTRY for w, b in words.known.items())
