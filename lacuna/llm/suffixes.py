@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lacuna.llm.texts import with_place
+from lacuna.llm.texts import slices, with_place
 from lacuna.scratch import cut
 
 #: Leading bytes by which anchors are chosen and suffixes dealt.
 LEAD = 24
 
 #: Bytes of text looked at together in one task.
-STEP = 2 << 20
+STEP = 1 << 20
 
 #: Contexts sorted together in one task.
 CHUNK = 4096
@@ -272,7 +272,7 @@ def _cut_out(schema: StructType):
 
     def run(batches):
         types = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, pc.binary_length(whole.column(1)))):
             kept, runs = [], []
             for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
                 text = text.as_py()
