@@ -86,3 +86,27 @@ def with_place(df: DataFrame, label: str) -> DataFrame:
         except AnalysisException:  # files of another kind
             pass
     return cut(df, label).select("*", *place)
+
+
+#: Bits of a filter for each value, and the least and the most of all: 2**29 bits are 64 MB.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+
+PAGE_BITS = 1 << 15
+
+
+def bitmap(values: DataFrame, hashed: str, n: int) -> tuple[DataFrame, int]:
+    """A filter in which the hashes of ``n`` values set a bit each, as a table of pages of 4 KB, and its number of bits: BITS_EACH per
+    value, within LEAST_BITS and MOST_BITS."""
+    bits = min(max(LEAST_BITS, 1 << (max(1, BITS_EACH * n) - 1).bit_length()), MOST_BITS)
+    low = (F.col(hashed).bitwiseAND(F.lit(bits - 1)) + 1).alias("low")
+    return values.select(low).groupBy(F.bitmap_bucket_number("low").alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("low")).alias("__bits")), bits
+
+
+def with_passed(df: DataFrame, hashed: Column, pages: DataFrame, bits: int, out: str) -> DataFrame:
+    """``df`` with ``out``, false where the filter of ``bitmap`` surely lacks the hash. The filter has a fixed largest size, so every task gets it."""
+    low = hashed.bitwiseAND(F.lit(bits - 1))
+    page, at = F.call_function("shiftright", low, F.lit(15)) + 1, low.bitwiseAND(F.lit(PAGE_BITS - 1))
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))
+    joined = df.join(F.broadcast(pages), page == F.col("__page"), "left")
+    return joined.select(*df.columns, F.coalesce(bit == 1, F.lit(False)).alias(out))
