@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lacuna.functions.holes import known, nan_as_null, q
 from lacuna.roles import Roles
@@ -19,12 +24,6 @@ MAX_BINS = 10
 FEW_VALUES = 5
 
 
-def _cells(df: DataFrame, features) -> DataFrame:
-    """feature, value: one row per cell, without a key."""
-    wide = df.select(*[known(df, f).cast("double").alias(f) for f in features])
-    return wide.unpivot([], [q(f) for f in features], "feature", "value").where("value IS NOT NULL")
-
-
 def _hidden(truth: DataFrame, imputed: DataFrame, mask: DataFrame, roles: Roles) -> DataFrame:
     """Truth (t_), fill (i_) and mask (m_) of every row of the mask; a key that is missing elsewhere leaves NULLs."""
     def side(df, tag, numbers):
@@ -87,36 +86,86 @@ def value_range(truth: DataFrame, features) -> DataFrame:
     exact = truth.agg(*[F.count_distinct(q(f)).alias(f) for f in few]).first().asDict() if few else {}
     return small_table(
         spark, feature=(names, pa.string()),
-        lo=([float(stats[f"{i}lo"]) for i in range(len(names))], pa.float64()),
-        hi=([float(stats[f"{i}hi"]) for i in range(len(names))], pa.float64()),
+        lo=([None if stats[f"{i}lo"] is None else float(stats[f"{i}lo"]) for i in range(len(names))], pa.float64()),
+        hi=([None if stats[f"{i}hi"] is None else float(stats[f"{i}hi"]) for i in range(len(names))], pa.float64()),
         n_distinct=([int(exact.get(f, MAX_BINS)) for f in names], pa.int32()))
 
 
-def bin_index(value: Column, lo: Column, hi: Column, bins: Column) -> Column:
-    """Equal-width bin; the last bin is closed, values outside are NULL."""
-    at = F.least(F.floor((value - lo) / (hi - lo) * bins), bins - 1).cast("int")
-    return F.when((value >= lo) & (value <= hi), at)
+@dataclass(frozen=True)
+class Bins:
+    """How the values of a feature are counted: in equal-width bins, the last one closed and values outside left out, or one by one."""
+
+    feature: str
+    lo: float = 0.0
+    hi: float = 0.0
+    bins: int = 0  # 0: value by value
 
 
-def binned(df: DataFrame, features, ranges: DataFrame) -> DataFrame:
-    """feature, bin of every cell: equal-width bins, or the value itself for a feature of few values."""
-    bins = F.least(F.lit(MAX_BINS), F.col("n_distinct"))
-    label = F.when(F.col("n_distinct") < FEW_VALUES, F.col("value")).otherwise(
-        bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins).cast("double"))
-    # ranges: one row per feature
-    return (_cells(df, features).join(F.broadcast(ranges), "feature")
-            .select("feature", label.alias("bin")).where(F.col("bin").isNotNull()))
+def bins_of(ranges: DataFrame) -> list[Bins]:
+    """Bins of the truth's ranges; features of few values are counted by value."""
+    return [Bins(r["feature"], r["lo"], r["hi"], min(MAX_BINS, r["n_distinct"]) if r["n_distinct"] >= FEW_VALUES else 0) for r in ranges.collect()]  # one per feature
 
 
-def _tally(truth: DataFrame, imputed: DataFrame, by: list[str], *more: DataFrame) -> DataFrame:
-    """Counts np (truth) and nq (imputed) of the same groups in one shuffle."""
-    sides = [truth.select(*by, F.lit(1).alias("p"), F.lit(0).alias("q")),
-             imputed.select(*by, F.lit(0).alias("p"), F.lit(1).alias("q")),
-             *[m.select(*by, F.lit(0).alias("p"), F.lit(0).alias("q")) for m in more]]
-    both = sides[0]
-    for s in sides[1:]:
-        both = both.unionByName(s)
-    return both.groupBy(*by).agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+#: Different values that a task adds up before it passes their counts on.
+VALUES_HELD = 1 << 16
+
+
+def tallied(df: DataFrame, plan: list[Bins]) -> DataFrame:
+    """feature (its number in ``plan``), bin, n: counts of all features, in one scan.
+
+    A task adds up a vector of counts per histogram, and a table of counts for features counted by value.
+    """
+    out = StructType.fromDDL("feature int, bin double, n bigint")
+    wide = df.select(*[known(df, b.feature).cast("double").alias(f"x{i}") for i, b in enumerate(plan)])
+
+    def run(batches):
+        types, sums = to_arrow_schema(out), [np.zeros(b.bins, np.int64) if b.bins else Counter() for b in plan]
+
+        def passed_on(i):
+            held = sums[i]
+            values, counts = (np.flatnonzero(held), held[np.flatnonzero(held)]) if plan[i].bins else (list(held), list(held.values()))
+            if not plan[i].bins:
+                sums[i] = Counter()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i, np.int32)), pa.array(values, pa.float64()), pa.array(counts, pa.int64())], schema=types)
+
+        for batch in batches:
+            for i, b in enumerate(plan):
+                x = batch.column(i).drop_null().to_numpy()
+                if b.bins:
+                    x = x[(x >= b.lo) & (x <= b.hi)]
+                    at = np.minimum(np.floor((x - b.lo) / (b.hi - b.lo) * b.bins), b.bins - 1).astype(np.int64)
+                    sums[i] += np.bincount(at, minlength=b.bins)
+                else:
+                    values, counts = np.unique(x + 0.0, return_counts=True)
+                    sums[i].update(dict(zip(values.tolist(), counts.tolist())))
+                    if len(sums[i]) > VALUES_HELD:
+                        yield passed_on(i)
+        for i in range(len(plan)):
+            yield passed_on(i)
+
+    return wide.mapInArrow(run, out).groupBy("feature", "bin").agg(F.sum("n").alias("n"))
+
+
+def _both(truth: DataFrame, imputed: DataFrame, plan: list[Bins]) -> DataFrame:
+    """feature, bin, few, np (truth), nq (imputed), tp, tq (their sums over the feature). Every bin of a histogram exists, also when empty."""
+    spark = truth.sparkSession
+    zero, bins = F.lit(0).cast("bigint"), [(i, float(x)) for i, b in enumerate(plan) for x in range(b.bins)]
+    grid = small_table(spark, feature=([i for i, _ in bins], pa.int32()), bin=([x for _, x in bins], pa.float64()))  # MAX_BINS per feature at most
+    sides = [tallied(truth, plan).select("feature", "bin", F.col("n").alias("np"), zero.alias("nq")),
+             tallied(imputed, plan).select("feature", "bin", zero.alias("np"), F.col("n").alias("nq")),
+             grid.select("feature", "bin", zero.alias("np"), zero.alias("nq"))]
+    counts = reduce(DataFrame.unionByName, sides).groupBy("feature", "bin").agg(F.sum("np").alias("np"), F.sum("nq").alias("nq"))
+    whole = W.partitionBy("feature")  # at most MAX_BINS bins, or the values of a feature
+    names = F.array(*[F.lit(b.feature) for b in plan])
+    few = F.element_at(F.array(*[F.lit(b.bins == 0) for b in plan]), F.col("feature") + 1)
+    return counts.select(F.element_at(names, F.col("feature") + 1).alias("feature"), "bin", few.alias("few"), "np", "nq",
+                         F.sum("np").over(whole).alias("tp"), F.sum("nq").over(whole).alias("tq"))
+
+
+def _share(n: str, t: str, smooth: bool = True) -> Column:
+    count = F.col(n).cast("double")
+    value = F.when(F.col(t) == 0, F.lit(0.0)).when(F.col("few"), count / F.col(t)).otherwise(count / (F.col(t) + F.lit(COUNT_EPSILON)))
+    return F.when(value == 0, F.lit(EMPTY_BIN)).otherwise(value) if smooth else value
 
 
 def frequencies(truth: DataFrame, imputed: DataFrame, features, smooth: bool = True) -> DataFrame:
@@ -125,52 +174,38 @@ def frequencies(truth: DataFrame, imputed: DataFrame, features, smooth: bool = T
     Counted values are shares of the rows; histogram bins are shares of the counted values. An empty
     bin of either side counts as EMPTY_BIN when ``smooth``.
     """
-    ranges = value_range(truth, features)
-    # every bin of the truth's histogram exists, also when empty on both sides
-    grid = ranges.where(F.col("n_distinct") >= FEW_VALUES).select("feature", F.explode(F.sequence(
-        F.lit(0), F.least(F.lit(MAX_BINS), F.col("n_distinct")) - 1).cast("array<double>")).alias("bin"))
-    counts = _tally(binned(truth, features, ranges), binned(imputed, features, ranges), ["feature", "bin"], grid)
-    few = ranges.select("feature", (F.col("n_distinct") < FEW_VALUES).alias("few"))
-    whole = W.partitionBy("feature")  # at most MAX_BINS bins, or the values of a feature of few
-    rows = counts.join(F.broadcast(few), "feature").select(
-        "*", F.sum("np").over(whole).alias("tp"), F.sum("nq").over(whole).alias("tq"))
+    rows = _both(truth, imputed, bins_of(value_range(truth, features)))
+    return rows.select("feature", "bin", _share("np", "tp", smooth).alias("p"), _share("nq", "tq", smooth).alias("q"))
 
-    def share(n, t):
-        count = F.col(n).cast("double")
-        value = F.when(F.col(t) == 0, F.lit(0.0)).when(F.col("few"), count / F.col(t)).otherwise(
-            count / (F.col(t) + F.lit(COUNT_EPSILON)))
-        return F.when(value == 0, F.lit(EMPTY_BIN)).otherwise(value) if smooth else value
 
-    return rows.select("feature", "bin", share("np", "tp").alias("p"), share("nq", "tq").alias("q"))
+def _entropies(truth: DataFrame, imputed: DataFrame, continuous, categorical) -> DataFrame:
+    """feature, kl: for numbers the relative entropy of imputed to truth, both scaled to sum to one; for categories that over the
+    values both tables have, not scaled, so it may be negative. One scan of each table counts all features."""
+    plan = (bins_of(value_range(truth, continuous)) if continuous else []) + [Bins(f) for f in categorical]
+    whole = W.partitionBy("feature")
+    number = F.col("feature").isin(*continuous) if continuous else F.lit(False)
+    rows = _both(truth, imputed, plan).select("*", _share("np", "tp").alias("p"), _share("nq", "tq").alias("q"))
+    p, q_ = F.col("p") / F.sum("p").over(whole), F.col("q") / F.sum("q").over(whole)
+    scaled = rows.select("*", (q_ * F.log(q_ / p)).alias("term"))
+    a, b = F.col("np") / F.col("tp"), F.col("nq") / F.col("tq")
+    term = F.when(number, F.col("term")).when((F.col("np") > 0) & (F.col("nq") > 0), b * F.log(b / a))
+    found = scaled.groupBy("feature").agg(F.sum(term).alias("kl"))
+    names = small_table(truth.sparkSession, feature=([b.feature for b in plan], pa.string()))
+    return names.join(found, "feature", "left").select("feature", F.coalesce("kl", F.lit(0.0)).alias("kl"))
 
 
 def kl_continuous(truth: DataFrame, imputed: DataFrame, features) -> DataFrame:
-    """feature, kl: relative entropy of imputed to truth, both scaled to sum to one."""
-    whole = W.partitionBy("feature")
-    shares = frequencies(truth, imputed, features).select(
-        "feature", (F.col("p") / F.sum("p").over(whole)).alias("p"), (F.col("q") / F.sum("q").over(whole)).alias("q"))
-    return shares.groupBy("feature").agg(F.sum(F.col("q") * F.log(F.col("q") / F.col("p"))).alias("kl"))
+    """feature, kl: relative entropy of imputed to truth over the truth's bins."""
+    return _entropies(truth, imputed, list(features), [])
 
 
 def kl_categorical(truth: DataFrame, imputed: DataFrame, features) -> DataFrame:
-    """feature, kl over the values both tables have; not scaled, so it may be negative."""
-    counts = _tally(_cells(truth, features), _cells(imputed, features), ["feature", "value"])
-    totals = counts.groupBy("feature").agg(F.sum("np").alias("tp"), F.sum("nq").alias("tq"))
-    p, s = F.col("np") / F.col("tp"), F.col("nq") / F.col("tq")
-    shared = counts.where("np > 0 AND nq > 0").join(F.broadcast(totals), "feature")  # totals: one row per feature
-    return shared.groupBy("feature").agg(F.sum(s * F.log(s / p)).alias("kl"))
+    """feature, kl over the values both tables have; 0 where they have none in common."""
+    return _entropies(truth, imputed, [], list(features))
 
 
 def kl_by_feature(truth: DataFrame, imputed: DataFrame, roles: Roles) -> DataFrame:
-    parts = []
-    if roles.continuous:
-        parts.append(kl_continuous(truth, imputed, roles.continuous))
-    if roles.categorical:
-        found = kl_categorical(truth, imputed, roles.categorical)
-        spark = truth.sparkSession
-        names = small_table(spark, feature=(roles.categorical, pa.string()))
-        parts.append(names.join(found, "feature", "left").select("feature", F.coalesce("kl", F.lit(0.0)).alias("kl")))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _entropies(truth, imputed, list(roles.continuous), list(roles.categorical))
 
 
 def kl_mean(truth: DataFrame, imputed: DataFrame, roles: Roles) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import re
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lacuna.functions.holes import q, unused
 from lacuna.scratch import cut, new_path, small_table
@@ -107,72 +109,123 @@ def spearman(df: DataFrame, x: str, y: str, out: str = "spearman") -> DataFrame:
     return ranked.agg(F.when(spread > 0, F.sum(n * dx * dy) / spread).alias(out))
 
 
-#: Points of the sketch from which the next bracket of an order statistic is taken, and its accuracy.
-POINTS, ACCURACY = 1000, 10_000
+#: Bits of a key that one pass counts.
+DIGIT = 18
+
+
+def sort_keys(x: np.ndarray) -> np.ndarray:
+    """Doubles as 64-bit numbers of the same order; zeros are equal, NaN is largest."""
+    x = np.where(np.isnan(x), np.nan, x + 0.0)
+    bits = x.view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def from_sort_key(key: int) -> float:
+    bits = np.array([key ^ (1 << 63)], np.uint64).view(np.int64)
+    return float((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)[0])
+
+
+def _keys(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return sort_keys(batch.column(i).drop_null().to_numpy())
+
+
+def _begin(keys: np.ndarray, prefix: int, depth: int) -> np.ndarray:
+    return keys[(keys >> np.uint64(64 - depth)) == np.uint64(prefix)] if depth else keys
+
+
+def _count_digits(wide: DataFrame, wanted: dict[tuple[int, int, int], list[int]]) -> dict:
+    """For (column, known bits, their number): per order k the digit that follows, the values before it, those that have it, and all.
+
+    One scan for all columns and orders. A task adds up counts in arrays of fixed size; the counts of one prefix are summed and
+    searched in one place, and one row for each order comes back.
+    """
+    counted = StructType.fromDDL("i int, prefix bigint, depth int, digits binary, counts binary")
+    found = StructType.fromDDL("i int, prefix bigint, depth int, k bigint, digit bigint, below bigint, same bigint, n bigint")
+
+    def count(batches):
+        types, sums = to_arrow_schema(counted), {}
+        for batch in batches:
+            for i in {i for i, _, _ in wanted}:
+                keys = _keys(batch, i)
+                for at in (w for w in wanted if w[0] == i):
+                    width = min(DIGIT, 64 - at[2])
+                    part = _begin(keys, at[1], at[2])
+                    digits = (part >> np.uint64(64 - at[2] - width)) & np.uint64((1 << width) - 1)
+                    sums[at] = sums.get(at, 0) + np.bincount(digits.astype(np.int64), minlength=1 << width)
+        for (i, prefix, depth), total in sums.items():
+            some = np.flatnonzero(total)
+            row = [i], [prefix], [depth], [some.astype(np.int32).tobytes()], [total[some].astype(np.int64).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, types)], schema=types)
+
+    def search(batches):
+        types, sums = to_arrow_schema(found), {}
+        for batch in batches:
+            for i, prefix, depth, digits, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                total = sums.setdefault((i, prefix, depth), np.zeros(1 << min(DIGIT, 64 - depth), np.int64))
+                total[np.frombuffer(digits, np.int32)] += np.frombuffer(counts, np.int64)
+        rows = []
+        for at, total in sums.items():
+            upto = np.cumsum(total)
+            for k in wanted[at]:
+                digit = int(np.searchsorted(upto, k)) if k <= upto[-1] else -1
+                rows.append((*at, k, digit, int(upto[digit] - total[digit]), int(total[digit]), int(upto[-1])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema=types)
+
+    rows = wide.mapInArrow(count, counted).repartition("i", "prefix", "depth").mapInArrow(search, found).collect()
+    return {(r["i"], r["prefix"], r["depth"], r["k"]): r for r in rows}
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[int]]], few: int = 4096) -> dict[str, list[float]]:
     """The k-th smallest values (k from 1) of each column, exactly, for a list of k per column. NaN is largest.
 
-    A pass takes exact counts around each bracket and a quantile sketch of what lies strictly inside. The next
-    bracket is a few sketch points wide, so a pass leaves about a three-hundredth of the rows, whatever their
-    values. At most ``few`` values are left for the last pass, which collects and sorts them.
+    Radix selection: a scan counts the leading bits of the values' sort keys, for all columns and orders together; the next one
+    the bits that follow among the values that begin like the one sought. Where at most ``few`` such values are left, a last
+    scan collects them. There are never more than five scans, whatever the values and their number.
     """
     names = list(wanted)
     wide = df.select(*[wanted[m][0].cast("double").alias(f"x{i}") for i, m in enumerate(names)])
-    share = F.array(*[F.lit(i / POINTS) for i in range(POINTS + 1)])
-
-    def sketch(x: Column) -> Column:
-        return F.percentile_approx(x, share, ACCURACY)
-
-    def number(i: int) -> Column:
-        return F.when(~F.isnan(f"x{i}"), F.col(f"x{i}"))
-
-    seen = wide.agg(*[c.alias(f"{tag}{i}") for i in range(len(names)) for tag, c in (
-        ("n", F.count(f"x{i}")), ("real", F.count(number(i))), ("lo", F.min(number(i))), ("hi", F.max(number(i))), ("q", sketch(number(i))))]).first().asDict()
-    found, open_ = {}, {}
-    for i, name in enumerate(names):
-        for j, k in enumerate(wanted[name][1]):
-            if not 1 <= k <= seen[f"n{i}"]:
-                raise ValueError(f"{name}: order {k} outside 1..{seen[f'n{i}']}")
-            if k > seen[f"real{i}"]:
-                found[i, j] = math.nan
-            else:
-                # outer bracket, the sketch inside it, its rows, the k within it, and how far to reach around the k
-                open_[i, j] = [(seen[f"lo{i}"], seen[f"hi{i}"]), seen[f"q{i}"], seen[f"real{i}"], k, 1]
+    found: dict = {}
+    # prefix, its bits, k among the values with it, their number
+    open_ = {(i, j): (0, 0, k, None) for i, m in enumerate(names) for j, k in enumerate(wanted[m][1])}
+    for (i, _), (_, _, k, _) in open_.items():
+        if k < 1:
+            raise ValueError(f"{names[i]}: order {k} is below 1")
+    left: dict = {}
     while open_:
-        aggregates, bracket = [], {}
-        for at, (outer, points, n, k, reach) in open_.items():
-            middle = POINTS * (k - 0.5) / n
-            lo = points[max(0, math.floor(middle) - reach)] if points and math.floor(middle) >= reach else outer[0]
-            hi = points[min(POINTS, math.ceil(middle) + reach)] if points and math.ceil(middle) + reach <= POINTS else outer[1]
-            bracket[at] = lo, hi
-            x, tag = number(at[0]), f"{at[0]}_{at[1]}"
-            inside = (x > lo) & (x < hi)
-            within = (x >= F.lit(outer[0])) & (x <= F.lit(outer[1]))
-            aggregates += [F.count_if(within & (x < lo)).alias(f"b{tag}"), F.count_if(x == lo).alias(f"l{tag}"), F.count_if(inside).alias(f"i{tag}"),
-                           F.count_if(x == hi).alias(f"h{tag}"), sketch(F.when(inside, x)).alias(f"q{tag}")]
-        got = wide.agg(*aggregates).first().asDict()
-        last = []
-        for at, (outer, points, n, k, reach) in list(open_.items()):
-            below, low, inside, high, points = (got[f"{c}{at[0]}_{at[1]}"] for c in "blihq")
-            (lo, hi), rest = bracket[at], k - below
-            if rest < 1 or (rest > low + inside + high and lo < hi) or (lo == hi and rest > low):
-                open_[at][4] = 4 * reach  # the sketch was off: a wider bracket of the same points
-            elif rest <= low:
-                found[at] = lo
-                del open_[at]
-            elif rest > low + inside:
-                found[at] = hi
+        asked: dict = {}
+        for (i, _), (prefix, depth, k, _) in open_.items():
+            asked.setdefault((i, prefix, depth), []).append(k)
+        got = _count_digits(wide, asked)
+        for at, (prefix, depth, k, _) in list(open_.items()):
+            r = got.get((at[0], prefix, depth, k))
+            if r is None or r["digit"] < 0:
+                raise ValueError(f"{names[at[0]]}: order {k} outside 1..{r['n'] if r else 0}")
+            width = min(DIGIT, 64 - depth)
+            state = (prefix << width) | r["digit"], depth + width, k - r["below"], r["same"]
+            if state[1] == 64:
+                found[at] = from_sort_key(state[0])
                 del open_[at]
-            elif inside <= few:
-                last.append((at, lo, hi, rest - low))
+            elif r["same"] <= few:
+                left[at] = state
                 del open_[at]
             else:
-                open_[at] = [(points[0], points[-1]), points, inside, rest - low, 1]
-        if last:
-            values = wide.agg(*[F.sort_array(F.collect_list(F.when((number(i) > lo) & (number(i) < hi), number(i)))).alias(f"v{c}")
-                                for c, ((i, _), lo, hi, _) in enumerate(last)]).first()
-            for c, (at, _, _, k) in enumerate(last):
-                found[at] = values[c][k - 1]
+                open_[at] = state
+    if left:
+        parts = sorted({(i, prefix, depth) for (i, _), (prefix, depth, _, _) in left.items()})
+        out = StructType.fromDDL("part int, value double")
+
+        def pick(batches):
+            types = to_arrow_schema(out)
+            for batch in batches:
+                for c, (i, prefix, depth) in enumerate(parts):
+                    values = batch.column(i).drop_null().to_numpy()
+                    values = values[(sort_keys(values) >> np.uint64(64 - depth)) == np.uint64(prefix)]
+                    if len(values):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), c, np.int32)), pa.array(values)], schema=types)
+
+        values = wide.mapInArrow(pick, out).toPandas()  # ``few`` for each at most
+        lists = [np.sort(values["value"].to_numpy()[values["part"].to_numpy() == c]) for c in range(len(parts))]
+        for (i, j), (prefix, depth, k, _) in left.items():
+            found[i, j] = float(lists[parts.index((i, prefix, depth))][k - 1] + 0.0)
     return {m: [found[i, j] for j in range(len(wanted[m][1]))] for i, m in enumerate(names)}
