@@ -120,6 +120,34 @@ def epoch_losses(spark, folder):
     return losses.select("epoch", F.round("bce_loss", 6).alias("bce_loss"))
 
 
+# two gradient steps of one epoch: even batches, then odd ones
+_START = "list_transform(range(0, 193), lambda i: CASE WHEN i < 64 THEN 1.0::DOUBLE ELSE 0.0 END)"
+
+
+def _step_sql(n: int, before: str) -> str:
+    return (f"s{n} AS MATERIALIZED (SELECT share, y, f, list_dot_product(f, {before}) AS z FROM p WHERE batch_id % 2 = {n}), "
+            f"b{n} AS (SELECT sum(share) AS many, sum(share * (greatest(z, 0) - z * y + ln(1 + exp(-abs(z))))) AS loss FROM s{n}), "
+            f"g{n} AS (SELECT i, sum(share * (1 / (1 + exp(-z)) - y) * x) / (SELECT many FROM b{n}) AS g FROM "
+            f"(SELECT share, y, z, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM s{n}) GROUP BY i), "
+            f"w{n} AS MATERIALIZED (SELECT list({before}[i] - 0.1 * g ORDER BY i) AS w FROM g{n})")
+
+
+_EPOCH = (f"{TRIPLES}, h AS (SELECT batch_id, 0.5 / count(*) OVER (PARTITION BY batch_id) AS share, x::DOUBLE[] AS x, u::DOUBLE[] AS u, w::DOUBLE[] AS w FROM t), "
+          "p AS MATERIALIZED (SELECT batch_id, share, y, list_concat(list_transform(list_zip(x, v), lambda e: e[1] * e[2]), x, v, [1.0::DOUBLE]) AS f "
+          "FROM (SELECT batch_id, share, 1.0::DOUBLE AS y, x, u AS v FROM h UNION ALL SELECT batch_id, share, 0.0, x, w FROM h)), "
+          f"{_step_sql(0, _START)}, {_step_sql(1, '(SELECT w FROM w0)')} "
+          "SELECT 'loss' AS name, 0 AS i, round((b0.loss + b1.loss) / (b0.many + b1.many), 6) AS value FROM b0, b1 "
+          "UNION ALL SELECT 'weight', generate_subscripts(w, 1)::INTEGER - 1, round(unnest(w), 6) FROM w1")
+
+
+@check("epoch_tuning", _EPOCH)
+def epoch_tuning(spark, folder):
+    metric, losses = learn.tune_metric(spark, lambda epoch: _triples(spark, folder), 64, epochs=1, steps=2)
+    weights = [*metric.weights, *metric.a, *metric.b, metric.bias]
+    rows = [("loss", 0, round(losses.first()["bce_loss"], 6))] + [("weight", i, round(float(w), 6)) for i, w in enumerate(weights)]
+    return spark.createDataFrame(rows, "name string, i int, value double")
+
+
 def _pair_vectors(spark, folder):
     """Triples of texts of the holed parts, as vectors of the bag of their fields."""
     holed = A.apply_mask(table(spark, folder, "part"), A.mcar(PART, 0.3, 0))

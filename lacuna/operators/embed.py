@@ -16,6 +16,7 @@ from lacuna.functions.holes import known, q
 from lacuna.operators.position import order_statistics
 from lacuna.roles import Roles
 from lacuna.scratch import cut
+from lacuna.sources.tables import add_texts, known_texts
 
 
 def _layout(dim: int):
@@ -107,19 +108,29 @@ def hash_vectors(df: DataFrame, roles: Roles, encoder: HashEncoder = HashEncoder
 
 
 def embed_text(df: DataFrame, text: str, make_encoder, batch_size: int = 16, out: str = "vec",
-               distinct: bool = True, limit: int | None = MAX_TOKENS) -> DataFrame:
+               distinct: bool = True, limit: int | None = MAX_TOKENS, kept: str | None = None) -> DataFrame:
     """Vectors of a text column from a user's encoder, in mini-batches; the text column itself is left out.
 
     ``make_encoder()`` runs once per Python worker and returns a function of an array of texts that
     gives an (n, D) matrix. It sees the first ``limit`` tokens (None: whole texts). With ``distinct`` every text is
     encoded once: digests and row numbers choose one row per text, only chosen texts are encoded, and
-    vectors are joined to rows without their texts.
+    vectors are joined to rows without their texts. ``kept`` names a folder that holds the vectors of one encoder by the digest of
+    the text it sees: only texts that are not in it are encoded, and then added, whatever run they come from.
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
 
     shown = F.col(text) if limit is None else truncate_tokens(F.col(text), limit)
     encode = predict_batch_udf(make_encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    if kept is not None:
+        digest = F.unhex(F.sha2(F.col("__text").cast("binary"), 256))
+        rows = cut(df.withColumn("__text", shown).drop(text).withColumns({"__id": digest, "__row": F.monotonically_increasing_id()}), "texts")
+        new = rows.select("__id").where("__id IS NOT NULL").distinct().join(known_texts(df.sparkSession, kept), F.col("__id") == F.col("digest"), "left_anti")
+        chosen = rows.join(new, "__id", "left_semi").groupBy("__id").agg(F.min("__row").alias("__row")).select("__row")
+        once = rows.select("__row", "__id", "__text").join(chosen, "__row", "left_semi")
+        add_texts(once.select(F.col("__id").alias("digest"), encode(F.col("__text")).alias("vec")), kept)
+        known = known_texts(df.sparkSession, kept).select(F.col("digest").alias("__id"), F.col("vec").alias(out))
+        return rows.drop("__text", "__row").join(known, "__id", "left").drop("__id")
     if not distinct:
         return df.withColumn(out, encode(shown)).drop(text)
     rows = cut(df.withColumn("__text", shown).drop(text).withColumns({"__id": F.md5("__text"), "__row": F.monotonically_increasing_id()}), "texts")

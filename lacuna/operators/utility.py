@@ -124,15 +124,15 @@ def only_first_class(imputed: DataFrame, target: str) -> bool:
     return not imputed.agg(F.sum(q(target))).first()[0]
 
 
-def classification(train: DataFrame, test: DataFrame, imputed: DataFrame, roles: Roles, models=MODELS, seed: int = 0) -> dict:
-    """base_cls, imputed_cls, model_selection, feature_selection."""
+def classification(train: DataFrame, test: DataFrame, imputed: DataFrame, roles: Roles, models=MODELS, seed: int = 0, **limits) -> dict:
+    """base_cls, imputed_cls, model_selection, feature_selection. ``limits``: see ``estimators``."""
     stats = scale_stats(train, roles)
     train = assert_no_holes(standardize(train, stats), roles.features)
     test = assert_no_holes(standardize(test, stats), roles.features)
-    base = model_scores(train, test, roles, models, seed)
+    base = model_scores(train, test, roles, models, seed, **limits)
     if only_first_class(imputed, roles.target):
         return {"base_cls": base.mean, "imputed_cls": 0.0, "model_selection": 0.0, "feature_selection": 0.0}
-    got = model_scores(standardize(imputed, stats), test, roles, models, seed)
+    got = model_scores(standardize(imputed, stats), test, roles, models, seed, **limits)
     return {"base_cls": base.mean, "imputed_cls": got.mean,
             "model_selection": rank_correlation(base.f1, got.f1),
             "feature_selection": rank_correlation(base.importance, got.importance) if base.importance else None}

@@ -1,4 +1,4 @@
-"""Sinks and the embedding cache."""
+"""Sinks and the caches of vectors."""
 
 from __future__ import annotations
 
@@ -33,6 +33,21 @@ def cached_embeddings(spark: SparkSession, folder: str, settings: dict, key: str
     return read_embeddings(spark, path)
 
 
+def known_texts(spark: SparkSession, path: str) -> DataFrame:
+    """digest, vec of the texts whose vectors are kept at ``path``. A text written twice, after a run that broke off, counts once."""
+    empty = spark.createDataFrame([], "digest binary, vec array<float>")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return empty
+    return spark.read.schema(empty.schema).parquet(path).dropDuplicates(["digest"])
+
+
+def add_texts(vectors: DataFrame, path: str) -> None:
+    """Append digest, vec of texts that were not known. Every file holds whole rows, so what a broken run left behind is of use."""
+    vectors.select("digest", "vec").write.mode("append").parquet(path)
+
+
 def write_metrics(metrics: DataFrame, path: str, fmt: str = "json") -> None:
     """Named results, one row."""
     metrics.write.mode("overwrite").format(fmt).save(path)

@@ -510,3 +510,49 @@ def test_ranks_of_columns_with_helper_names(spark):
     placed = position.with_position(df, "__file", "pos").collect()
     assert all(r.pos == r["__file"] for r in placed)
     assert {r.batch_id for r in position.with_batch(df, "__file", 5).collect()} == {0, 1, 2}
+
+
+def test_texts_are_encoded_once_over_runs(spark, tmp_path):
+    """Another seed hides other cells: only texts that no run has seen are encoded."""
+    df = numbers(spark, 120)
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        def encode(texts):
+            seen.add(len(texts))
+            return np.array([[len(t), t.count("a"), 1.0] for t in texts], np.float32)
+        return encode
+
+    def run(seed):
+        before = seen.value
+        settings = Settings(missing_type="MCAR", seed=seed)
+        got = experiment(df, ROLES, settings, make, models=("GaussNB",), cache=str(tmp_path), encoder_name="letters").first()
+        ready = prepare(df, ROLES, settings)
+        texts = {r.text for r in T.encode_rows(coding.decode(ready.holed, ready.dimension, ROLES.categorical, ready.types), ROLES).collect()}
+        return got, seen.value - before, texts
+
+    first, encoded, known = run(0)
+    assert encoded == len(known)
+    again, encoded, _ = run(0)
+    assert encoded == 0 and str(again) == str(first)
+    _, encoded, texts = run(1)
+    assert encoded == len(texts - known) < len(texts)
+
+
+def test_tuning_by_epochs_lowers_the_loss(spark, tmp_path):
+    df = numbers(spark, 200)
+    where = str(tmp_path / "losses")
+    got = experiment(df, ROLES, Settings(missing_type="MCAR"), models=("GaussNB",), tune=True, epochs=3, losses=where).first()
+    losses = [r.bce_loss for r in spark.read.schema("epoch int, bce_loss double").json(where).orderBy("epoch").collect()]
+    assert len(losses) == 3 and losses[-1] < losses[0] and got["smape"] is not None
+    none, record = learn.tune_metric(spark, lambda e: spark.createDataFrame([], "batch_id bigint, h_x array<double>, h_pos array<double>, h_neg array<double>"), 3, epochs=1)
+    assert none.weights.tolist() == [1.0] * 3 and record.first().bce_loss is None
+
+
+def test_limits_of_models_reach_a_run(spark):
+    df = numbers(spark, 60)
+    made = utility.estimators(60, tree_depth=3, bins=7)
+    assert made["tree"].getMaxDepth() == 3 and made["tree"].getMaxBins() == 7
+    with pytest.raises(TypeError, match="no_such_limit"):
+        experiment(df, ROLES, Settings(missing_type="MCAR"), models=("tree",), no_such_limit=1)
+
