@@ -51,7 +51,7 @@ def op1(spark, folder):
 @query("op2_secret_structures")
 def op2(spark, folder):
     return secrets.scan(read(spark, folder, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans",
-                                                                 "n_jwt", "n_pem", "n_der", "n_ssh")
+                                                                 "n_jwt", "n_pem", "n_der", "n_ssh", "n_public")
 
 
 SHARDS = 24

@@ -24,8 +24,13 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 # candidates of the confirmed kinds: dotted base64url, armoured blocks, runs of base64 or hex
 # a token has three parts, an encrypted one five, of which the second is empty where the key is agreed on or given
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+))?(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
+# lines of headers may stand before the block
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----((?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n\\]*(?:\n|\\n))*)([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
+SEALED = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,([0-9A-Fa-f]{16,32})\s")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+# what encodes a sequence, a length or the magic begins with one of three letters: with the URL alphabet, and over line ends
+BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])[MAb][A-Za-z0-9_-]{39,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[MAb](?:[A-Za-z0-9+/]{59,79}\r?\n[A-Za-z0-9+/])+[A-Za-z0-9+/]{0,79}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}(?![0-9A-Fa-f])")
 
 #: Levels of nested lengths that are followed; deeper ones are read as plain content.
@@ -91,6 +96,20 @@ def is_key(data: bytes) -> bool:
     return set(tags) == {0x02} and len(tags) == 2 and len(parts[0][1]) >= 64
 
 
+def is_public(data: bytes) -> bool:
+    """Whether a confirmed key encoding holds a public key: algorithm and bits, modulus and exponent, or fields without the magic."""
+    if data[:1] != b"\x30":
+        return not data.startswith(b"openssh-key-v1\0")
+    tags = [t for t, _ in elements(elements(data)[0][1])]
+    return tags == [0x30, 0x03] or tags == [0x02, 0x02]
+
+
+def is_sealed(headers: str, data: bytes) -> bool:
+    """An encrypted block whose headers name its cipher and start value: whole cipher blocks."""
+    found = SEALED.search(headers)
+    return "ENCRYPTED" in headers and found is not None and len(data) >= 64 and len(data) % (len(found.group(1)) // 2) == 0
+
+
 def is_ssh(data: bytes) -> bool:
     """The private key container with its magic, or a public key: length-prefixed fields that fill the data."""
     magic = b"openssh-key-v1\0"
@@ -137,8 +156,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    out, armoured = [], []
+def confirmed_spans(text: str) -> tuple[list[tuple[int, int, str]], int]:
+    """Spans of confirmed structures, and how many of them are public keys."""
+    out, taken, public = [], [], 0
     at = 0
     while m := DOTTED.search(text, at):
         at = m.end(1)  # a part that is no header may stand before one
@@ -147,20 +167,25 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start(), at, "jwt"))
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
-            data = from_base64(re.sub(r"\\n|\\r|\s", "", m.group(2)))
-            if data and (is_key(data) or is_ssh(data) or "ENCRYPTED" in m.group(1) and nested(data)):
+            data = from_base64(re.sub(r"\\n|\\r|\s", "", m.group(3)))
+            plain = data and (is_key(data) or is_ssh(data))
+            if data and (plain or "ENCRYPTED" in m.group(1) and nested(data) or is_sealed(m.group(2), data)):
                 out.append((m.start(), m.end(), "pem"))
-                armoured.append((m.start(), m.end()))
-    for pattern, decode in ((BASE64, from_base64), (HEX_ANY, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
+                taken.append((m.start(), m.end()))
+                public += bool(plain) and is_public(data)
+    for pattern, decode in ((WRAPPED, lambda x: from_base64(re.sub(r"\s", "", x))), (BASE64, from_base64), (BASE64_URL, lambda x: from_base64(x) if "-" in x or "_" in x else None),
+                            (HEX_ANY, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
         for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in armoured):
+            if any(a <= m.start() < b for a, b in taken):
                 continue
             data = decode(m.group(0))
             if data and data[0] in (0x30, 0x00, 0x6F):  # a sequence, a length, or the magic
                 kind = "der" if is_key(data) else "ssh" if is_ssh(data) else None
                 if kind:
                     out.append((m.start(), m.end(), kind))
-    return out
+                    taken.append((m.start(), m.end()))
+                    public += is_public(data)
+    return out, public
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -177,10 +202,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     def make():
         def work(texts):
-            columns = {f"n_{k}": [] for k in KINDS} | {"base_sha256": [], "spans": []}
+            columns = {f"n_{k}": [] for k in KINDS} | {"n_public": [], "base_sha256": [], "spans": []}
             for t in texts:
                 base = base_spans(t)
-                spans = base + confirmed_spans(t)
+                confirmed, public = confirmed_spans(t)
+                spans = base + confirmed
+                columns["n_public"].append(public)
                 for k in KINDS:
                     columns[f"n_{k}"].append(sum(s[2] == k for s in spans))
                 columns["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -189,7 +216,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
         return work
 
-    counts = ", ".join(f"n_{k} bigint" for k in KINDS)
+    counts = ", ".join(f"n_{k} bigint" for k in (*KINDS, "public"))
     return by_text(df, [key], text, make, f"{counts}, base_sha256 string, spans string")
 
 
