@@ -21,7 +21,16 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr
 
 #: Letters that digits and signs stand for when a word is disguised.
 PLAIN = str.maketrans("013457@$!|", "oieastasil")
-DISGUISED = re.compile(r"(?<![^\s])[^\W\d_]+[0-9@$!|*.\-_]+[^\W_][\w@$!|*]*")
+# words with signs inside, before or behind; what joins single letters may be repeated
+MIXED = re.compile(r"[\w@$!|*]+(?:[.\-_]+[\w@$!|*]+)*")
+HAS_LETTER, HAS_SIGN = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|*.\-_]")
+
+
+def disguises(text: str) -> list[str]:
+    """Words that mix letters with digits or signs, without the signs that end a sentence; the lexicon decides what they are."""
+    words = (w.strip("!|*_") for w in MIXED.findall(text))
+    return [w for w in words if HAS_SIGN.search(w) and HAS_LETTER.search(w)]
+
 
 #: Words remembered per task; only speed depends on it.
 MEMORY = 600_000
@@ -83,7 +92,7 @@ class Features(dict):
         hits = [(i, k[1]) for i, _, k in marked if k[1]]
         starts = [(i, k[2]) for i, _, k in marked if k[2]]
         you = [i for i, w, _ in marked if w in YOU]
-        disguised = DISGUISED.findall(text)
+        disguised = disguises(text)
         plain = [self[re.sub(r"[*.\-_]", "", d.lower().translate(PLAIN))] for d in disguised]
         letters = len(CAPITAL.findall(text))
         near, j = 0, 0
