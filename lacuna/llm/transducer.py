@@ -28,6 +28,9 @@ MEMORY = 600_000
 #: Compiled states a worker keeps before it starts anew; only speed depends on it.
 MOST_STATES = 250_000
 
+#: Pairs of tokens remembered; beyond that the machine starts anew.
+MOST_PAIRS = 1_000_000
+
 # Classes of characters. The letters of the contractions 's 't 'm 'd 're 've 'll are classes of their own.
 LETTER, NUMBER, SPACE, WHITE, QUOTE, OTHER, ONE, RV, EL, E, END = range(11)
 # States: what the text read so far leaves open.
@@ -138,7 +141,7 @@ class CountingMachine:
     """
 
     def __init__(self, vocabulary: dict[bytes, int], ranks: dict[tuple[bytes, bytes], int]):
-        self.ranks, self.allowed = ranks, {}
+        self.ranks = ranks
         self.tree, self.token, self.grows = {}, [None], [True]
         for word in vocabulary:
             node = 0
@@ -153,7 +156,7 @@ class CountingMachine:
 
     def restart(self):
         self.states = [((0, b"", 0),)]
-        self.numbers, self.moves = {self.states[0]: 0}, {}
+        self.numbers, self.moves, self.allowed = {self.states[0]: 0}, {}, {}
 
     def merged(self, word: bytes) -> list[bytes]:
         """Plain merging, for the short strings that decide whether two tokens may stand together."""
@@ -192,7 +195,7 @@ class CountingMachine:
         return move
 
     def count(self, word: str) -> int:
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > MOST_STATES or len(self.allowed) > MOST_PAIRS:
             self.restart()
         state = total = 0
         moves = self.moves
