@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from lacuna.llm import conversations, minmax, negatives, queries, suffixes, tokenfile
+from lacuna.llm import conversations, minmax, negatives, queries, secrets, suffixes, tokenfile, toxicity, transducer
 from lacuna.llm.texts import bitmap, with_passed
+from test_llm_operators import rsa_key
 
 # ---------------------------------------------------------------- conversations
 
@@ -331,3 +333,47 @@ def test_recall_of_pairs_at_the_pipelines_limit(spark):
     found = groups.where("component_id <> key").count()
     print("pairs", close, "found", found)
     assert close > 200 and found >= 0.99 * close
+
+
+# ---------------------------------------------------------------- secrets, disguises, memories
+
+def test_keys_in_other_forms():
+    """Legacy encrypted blocks with headers, keys over line ends without armour or in the URL alphabet; public keys are told apart."""
+    key = rsa_key()
+    coded = base64.b64encode(key).decode()
+    lines = "\n".join(re.findall(".{1,64}", coded))
+    url = base64.urlsafe_b64encode(key).rstrip(b"=").decode()
+    assert "-" in url or "_" in url
+    sealed = "\n".join(re.findall(".{1,64}", base64.b64encode(bytes(range(256)) * 2).decode()))
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + sealed + "\n-----END RSA PRIVATE KEY-----"
+    unsealed = block.replace("DEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n", "")
+    for text, kind in ((f"x {lines} y", "der"), (f"x {url} y", "der"), (f"x {block} y", "pem")):
+        spans, public = secrets.confirmed_spans(text)
+        assert spans == [(2, len(text) - 2, kind)] and public == 0, kind
+    assert secrets.confirmed_spans(unsealed)[0] == []
+
+    def element(tag, data):
+        size = len(data).to_bytes(2, "big").lstrip(b"\0") or b"\0"
+        return bytes([tag]) + (bytes([len(data)]) if len(data) < 128 else bytes([0x80 | len(size)]) + size) + data
+
+    spki = element(0x30, element(0x30, element(0x06, bytes([42, 134, 72]))) + element(0x03, b"\0" + bytes(range(1, 60))))
+    text = f"-----BEGIN PUBLIC KEY-----\n{base64.b64encode(spki).decode()}\n-----END PUBLIC KEY-----"
+    assert secrets.confirmed_spans(text) == ([(0, len(text), "pem")], 1)
+
+
+@pytest.mark.parametrize("text, plain", [("1diot", "idiot"), ("a $tupid b", "stupid"), ("@ss", "ass"), ("a$$", "ass"), ('"id1ot"', "idiot"), ("(1d1ot)", "idiot"),
+                                         ("i.d.i.o.t", "idiot"), ("st-u-pid!", "stupid"), ("no wonder. Next, it's fine!", None)])
+def test_disguises(text, plain):
+    found = [re.sub(r"[*.\-_]", "", d.lower().translate(toxicity.PLAIN)) for d in toxicity.disguises(text)]
+    assert found == ([plain] if plain else [])
+
+
+def test_pairs_of_tokens_are_bounded(monkeypatch):
+    monkeypatch.setattr(transducer, "MOST_PAIRS", 50)
+    pick = random.Random(1)
+    letters = [bytes([b]) for b in range(97, 101)]
+    machine = transducer.CountingMachine({w: i for i, w in enumerate([*letters, b"ab", b"cd", b"abcd", b"bc"])}, {(b"a", b"b"): 0, (b"c", b"d"): 1, (b"ab", b"cd"): 2, (b"b", b"c"): 3})
+    for _ in range(300):
+        word = "".join(pick.choice("abcd") for _ in range(pick.randrange(1, 30)))
+        assert machine.count(word) == len(machine.merged(word.encode()))
+        assert len(machine.allowed) < 50 + 30 * 8
