@@ -62,7 +62,19 @@ def neighbors_correlation(spark, folder):
     return _rows(spark, folder, "correlation")
 
 
-@check("neighbors_mahalanobis")
+# the inverse of the covariance by elimination, one row of [matrix | unit] after the other
+_INVERSE = ("cv AS MATERIALIZED (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) + CASE WHEN a.i = b.i THEN 1e-6 ELSE 0 END AS c FROM e a JOIN e b ON a.k = b.k GROUP BY 1, 2), "
+            "rw AS (SELECT i, list_concat(list(c ORDER BY j), list(CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY j)) AS r FROM cv GROUP BY i), "
+            "g(k, m) AS (SELECT 0, list(r ORDER BY i) FROM rw UNION ALL SELECT k + 1, list_transform(m, lambda row, n: CASE WHEN n = k + 1 "
+            "THEN list_transform(row, lambda x: x / m[k + 1][k + 1]) ELSE list_transform(row, lambda x, c: x - row[k + 1] * m[k + 1][c] / m[k + 1][k + 1]) END) FROM g WHERE k < len(m)), "
+            "inv AS MATERIALIZED (SELECT list_transform(m, lambda row: row[len(m) + 1:]) AS p FROM g WHERE k = len(m)), "
+            "v AS MATERIALIZED (SELECT vec_id AS k, embedding::DOUBLE[] AS x, list_transform(p, lambda row: list_dot_product(row, embedding::DOUBLE[])) AS y FROM embeddings, inv), "
+            "n AS MATERIALIZED (SELECT *, list_dot_product(x, y) AS s FROM v), "
+            "p AS (SELECT a.k AS q, b.k AS d, round(sqrt(greatest(a.s + b.s - 2 * list_dot_product(a.x, b.y), 0)), 9) AS dist FROM n a JOIN n b ON a.k <> b.k) ")
+
+
+@check("neighbors_mahalanobis", f"WITH RECURSIVE {_LONG}, {_INVERSE} SELECT q AS row_id, d AS donor_id, round(dist, 6) AS dist, "
+       f"(row_number() OVER (PARTITION BY q ORDER BY dist, d))::INTEGER AS rank FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY dist, d) <= {K}")
 def neighbors_mahalanobis(spark, folder):
     return _rows(spark, folder, "mahalanobis")
 

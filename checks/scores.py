@@ -210,7 +210,16 @@ def logistic_regression(spark, folder):
     return _model(spark, folder, "logit")
 
 
-@check("gaussian_naive_bayes")
+_BAYES = ", ".join([
+    _SPLIT[:_SPLIT.index(", nn AS")],
+    "nb AS (SELECT y, count(*) AS n, " + ", ".join(f"avg({x}) AS m_{x}, avg({x} * {x}) - avg({x}) * avg({x}) AS v_{x}" for x in ("x1", "x2", "x3")) + " FROM z WHERE NOT te GROUP BY y)",
+    "ep AS (SELECT 1e-9 * greatest(var_pop(x1), var_pop(x2), var_pop(x3)) AS e, count(*) AS n FROM z WHERE NOT te)",
+    "ll AS (SELECT k, z.y AS label, nb.y AS prediction, ln(nb.n / ep.n) - 0.5 * (" + " + ".join(f"ln(v_{x} + e) + ({x} - m_{x}) * ({x} - m_{x}) / (v_{x} + e)" for x in ("x1", "x2", "x3"))
+    + ") AS score FROM z, nb, ep WHERE te)",
+    "best AS (SELECT * FROM ll QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, prediction) = 1)"])
+
+
+@check("gaussian_naive_bayes", _BAYES + " SELECT 'GaussNB' AS name, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS score FROM best")
 def gaussian_naive_bayes(spark, folder):
     return _model(spark, folder, "GaussNB")
 

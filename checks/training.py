@@ -10,7 +10,7 @@ from lacuna.functions import vectors as V
 from lacuna.functions.randomness import normal_weights
 from lacuna.operators import ampute as A
 from lacuna.operators import learn, pairs
-from lacuna.operators.embed import covariance, embed_text, whitening
+from lacuna.operators.embed import covariance, embed_text, project, whitening
 from lacuna.scratch import cut
 
 LETTERS = "aeio"
@@ -178,12 +178,13 @@ def covariance_matrix(spark, folder):
     return spark.createDataFrame(rows, "i int, j int, cov double")
 
 
-# in the new space the covariance is the unit matrix
+# the rows in the new space have the unit matrix as covariance, but for the ridge
 @check("covariance_whitening", "WITH d AS (SELECT unnest(range(0, max(len(embedding)))) AS i FROM embeddings) "
        "SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END::DOUBLE AS cov FROM d a, d b")
 def covariance_whitening(spark, folder):
-    cov = covariance(table(spark, folder, "embeddings"), "embedding")
-    turn = whitening(cov)
-    new = turn.T @ (cov + 1e-6 * np.eye(len(cov))) @ turn
-    rows = [(i, j, round(float(v), 6) + 0.0) for i, r in enumerate(new) for j, v in enumerate(r)]
-    return spark.createDataFrame(rows, "i int, j int, cov double")
+    """Vectors are projected row by row, and Spark takes the covariance of what comes out."""
+    df = table(spark, folder, "embeddings")
+    new = project(df, "embedding", whitening(covariance(df, "embedding"), ridge=0.0))
+    pairs = new.select("embedding", F.posexplode("embedding").alias("i", "x")).select("i", "x", F.posexplode("embedding").alias("j", "y"))
+    found = pairs.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
+    return found.select("i", "j", (F.round("cov", 6) + F.lit(0.0)).alias("cov"))

@@ -7,9 +7,10 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lacuna.functions.text import MAX_TOKENS, truncate_tokens, value_text
 from lacuna.functions.holes import known, q
@@ -157,18 +158,69 @@ def hashed_fields(dim: int = 64):
 MAX_COVARIANCE_DIM = 4096
 
 
-def covariance(df: DataFrame, vector: str) -> np.ndarray:
-    """Sample covariance of a vector column: two tree aggregations, a D x D matrix on the driver."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation, Summarizer
+GRAM = StructType([StructField("n", LongType()), StructField("mean", BinaryType()), StructField("scatter", BinaryType())])
+
+
+def _merge_grams(parts):
+    """(rows, mean, sum of outer products around it) of several such triples, without cancellation."""
+    n, mean, scatter = 0, None, None
+    for m, other, s in parts:
+        if not m:
+            continue
+        if not n:
+            n, mean, scatter = m, other.copy(), s.copy()
+            continue
+        gap = other - mean
+        scatter += s + np.outer(gap, gap) * (n * m / (n + m))
+        mean += gap * (m / (n + m))
+        n += m
+    return n, mean, scatter
+
+
+def _gram_row(n, mean, scatter, types):
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([n], [mean.tobytes()], [scatter.tobytes()]), types)], schema=types)
 
-    features = df.select(array_to_vector(q(vector)).alias("v"))
-    std = features.select(Summarizer.std(F.col("v")).alias("s")).first()["s"].toArray()
-    if len(std) > MAX_COVARIANCE_DIM:
-        raise ValueError(f"vectors of length {len(std)}: a covariance matrix is limited to {MAX_COVARIANCE_DIM}")
-    corr = np.nan_to_num(Correlation.corr(features, "v").first()[0].toArray())
-    np.fill_diagonal(corr, 1.0)
-    return corr * std[:, None] * std[None, :]
+
+#: Tasks that merge the matrices of all others before one merges theirs.
+MERGERS = 16
+
+
+def covariance(df: DataFrame, vector: str) -> np.ndarray:
+    """Sample covariance of a vector column: one pass, every task adds up its rows around their mean, tasks' matrices are merged
+    in two levels, and one D x D matrix comes to the driver. At least two rows are needed."""
+    types = to_arrow_schema(GRAM)
+
+    def add_up(batches):
+        def grams():
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                    if x.shape[1] > MAX_COVARIANCE_DIM:
+                        raise ValueError(f"vectors of length {x.shape[1]}: a covariance matrix is limited to {MAX_COVARIANCE_DIM}")
+                    mean = x.mean(axis=0)
+                    yield len(x), mean, (x - mean).T @ (x - mean)
+
+        n, mean, scatter = _merge_grams(grams())
+        if n:
+            yield _gram_row(n, mean, scatter, types)
+
+    def merge(batches):
+        def grams():
+            for batch in batches:
+                for n, mean, scatter in zip(*(c.to_pylist() for c in batch.columns)):
+                    mean = np.frombuffer(mean)
+                    yield n, mean, np.frombuffer(scatter).reshape(len(mean), -1)
+
+        n, mean, scatter = _merge_grams(grams())
+        if n:
+            yield _gram_row(n, mean, scatter, types)
+
+    parts = df.select(q(vector)).mapInArrow(add_up, GRAM).repartition(MERGERS).mapInArrow(merge, GRAM).coalesce(1).mapInArrow(merge, GRAM)
+    got = parts.first()
+    if got is None or got["n"] < 2:
+        raise ValueError("a covariance needs two rows")
+    dim = len(got["mean"]) // 8
+    return np.frombuffer(got["scatter"]).reshape(dim, dim) / (got["n"] - 1)
 
 
 def whitening(cov: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
@@ -177,10 +229,12 @@ def whitening(cov: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
 
 
 def project(df: DataFrame, vector: str, matrix: np.ndarray) -> DataFrame:
-    """Replace each vector x by x times ``matrix``."""
-    @F.pandas_udf("array<double>")
-    def times(batch: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(batch.to_numpy()).astype(np.float64) @ matrix)) if len(batch) else batch
+    """Replace each vector x by x times ``matrix``, whole Arrow batches at a time."""
+    @F.arrow_udf("array<double>")
+    def times(batch: pa.Array) -> pa.Array:
+        x = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1) if len(batch) else np.zeros((0, len(matrix)))
+        y = x @ matrix
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * matrix.shape[1], pa.int32()), pa.array(y.ravel()))
 
     return df.withColumn(vector, times(q(vector)))
 

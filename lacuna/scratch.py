@@ -10,7 +10,6 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
@@ -56,24 +55,6 @@ def cut_counted(df: DataFrame, label: str, *metrics) -> tuple[DataFrame, dict]:
     return table, seen.get
 
 
-def with_place(df: DataFrame, label: str) -> DataFrame:
-    """``df`` with ``__file`` and ``__place``, which tell all rows apart, equal ones too, and are the same whenever the result is read.
-
-    Rows read from Parquet files, also filtered or with columns left out, are named by their place in the file. Any other table
-    is written once.
-    """
-    node = df._jdf.queryExecution().analyzed()
-    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
-        node = node.children().apply(0)
-    place = F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place")
-    if node.nodeName() == "LogicalRelation":
-        try:
-            return df.select("*", *place)
-        except AnalysisException:  # files of another kind
-            pass
-    return cut(df, label).select("*", *place)
-
-
 def small_table(spark: SparkSession, **columns) -> DataFrame:
     """A few rows known to the driver as a local relation: name = (values, arrow type)."""
     return spark.createDataFrame(pa.table({n: pa.array(list(v), t) for n, (v, t) in columns.items()}))
