@@ -280,3 +280,14 @@ _FEW_TAXES = "CASE WHEN l_tax > 0.06 THEN NULL ELSE l_tax END"
 def null_counts_nan(spark, folder):
     df = lineitem(spark, folder).withColumn("l_tax", F.when(F.col("l_tax") > 0.06, float("nan")).otherwise(F.col("l_tax")))
     return null_counts(df, LINEITEM.features)
+
+
+LINES_SQL = imputed_sql(LINEITEM, "holed", f"WITH {LINE_SQL}, " + holed_sql("lines", LINEITEM), {})
+
+
+# the SQL looks at all pairs of rows, so it runs in a test on the smallest table alone
+@check("impute_lineitem")
+def impute_lineitem(spark, folder):
+    holed = A.apply_mask(lineitem(spark, folder), A.mcar(LINEITEM, 0.3, 0))
+    return _rounded(impute(holed, LINEITEM), LINEITEM)
+

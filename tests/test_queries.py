@@ -28,3 +28,11 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["p_partkey", "p_retailprice", "p_size", "p_brand", "p_type"]
     assert df.count() == 200
+
+
+def test_impute_lineitem_against_all_pairs(spark, con):
+    """The query whose SQL is too slow for larger tables."""
+    from checks.neighbors import LINES_SQL, impute_lineitem
+
+    same, n, detail = compare(spark, con, FOLDER, "impute_lineitem", impute_lineitem, LINES_SQL)
+    assert same and n == 6000, detail
