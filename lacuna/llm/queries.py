@@ -57,7 +57,27 @@ def op2(spark, folder):
 SHARDS = 24
 
 
-@query("op3_hilbert_shards")
+# the CRC is folded bit by bit, the curve step by step over (bit, dimension)
+@query("op3_hilbert_shards", f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, lang, source, (strlen(coalesce(text, '')) + 8)::BIGINT AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+c AS MATERIALIZED (SELECT row, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) AS crc FROM d),
+lc AS (SELECT v, floor((row_number() OVER (ORDER BY v) - 1) * 256 / greatest(count(*) OVER (), 256))::BIGINT AS cell FROM (SELECT DISTINCT lang AS v FROM d WHERE lang IS NOT NULL)),
+sc AS (SELECT v, floor((row_number() OVER (ORDER BY v) - 1) * 256 / greatest(count(*) OVER (), 256))::BIGINT AS cell FROM (SELECT DISTINCT source AS v FROM d WHERE source IS NOT NULL)),
+p AS (SELECT row, [coalesce(lc.cell, 0), coalesce(sc.cell, 0), least((length(bin(size + 1)) - 1) * 8 + (((size + 1) << 3) >> (length(bin(size + 1)) - 1)) % 8, 255)]::BIGINT[] AS p
+  FROM d LEFT JOIN lc ON lc.v = lang LEFT JOIN sc ON sc.v = source),
+u AS (SELECT row, list_reduce(list_concat([p], list_transform(range(0, 21), lambda n: [128 >> (n // 3), n % 3 + 1, 0]::BIGINT[])), lambda x, s:
+  [CASE WHEN x[s[2]] & s[1] <> 0 THEN xor(x[1], s[1] - 1) ELSE xor(x[1], xor(x[1], x[s[2]]) & (s[1] - 1)) END,
+   CASE WHEN s[2] <> 2 OR x[2] & s[1] <> 0 THEN x[2] ELSE xor(x[2], xor(x[1], x[2]) & (s[1] - 1)) END,
+   CASE WHEN s[2] <> 3 OR x[3] & s[1] <> 0 THEN x[3] ELSE xor(x[3], xor(x[1], x[3]) & (s[1] - 1)) END]::BIGINT[]) AS x FROM p),
+g AS (SELECT row, [x[1], xor(x[2], x[1]), xor(x[3], xor(x[2], x[1]))] AS g FROM u),
+f AS (SELECT row, list_transform(g, lambda x: xor(x, list_reduce(list_concat([0::BIGINT], list_transform(range(0, 7), lambda n: 128::BIGINT >> n)),
+  lambda t, q: CASE WHEN g[3] & q <> 0 THEN xor(t, q - 1) ELSE t END))) AS f FROM g),
+h AS (SELECT row, list_sum(list_transform(range(0, 24), lambda n: ((f[n % 3 + 1] >> (7 - n // 3)) & 1) << (23 - n)))::BIGINT AS hilbert FROM f),
+o AS (SELECT doc_id, size, crc, hilbert, row_number() OVER (ORDER BY hilbert, crc, doc_id NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM d JOIN c USING (row) JOIN h USING (row))
+SELECT doc_id, size, crc::BIGINT AS text_crc32, 'rows' AS law, (pos * {SHARDS} // n)::INTEGER AS shard,
+  (pos - ((pos * {SHARDS} // n) * n + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard, hilbert FROM o""")
 def op3(spark, folder):
     base = hilbert.measured(read(spark, folder, "documents"), "doc_id", "text", "lang", "source")
     out = hilbert.hilbert_shards(base, SHARDS, ["lang", "source"], ["size"], ["text_crc32", "doc_id"])
