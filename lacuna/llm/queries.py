@@ -184,7 +184,52 @@ def damaged(rows: DataFrame) -> DataFrame:
     return hurt.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
 
 
-@query("op11_hirschberg_repair")
+# all edits of all rows, one row after the other: the least cost and letters of each of the four states
+def _paid(x: str, cost, letter: str) -> str:
+    """SQL of a state's cost (six digits) and letters after one more edit; '~' is a state not reached."""
+    return f"CASE WHEN {x} = '~' THEN '~' ELSE lpad((substr({x}, 1, 6)::INTEGER + {cost})::VARCHAR, 6, '0') || substr({x}, 7) || '{letter}' END"
+
+
+_INSERTED = ("[s[1], s[2], least(s[3], " + ", ".join(_paid(f"s[{i}]", 3, "I") for i in (1, 2, 4)) + "), least(s[4], " + _paid("s[3]", 3, "I") + ")]")
+_EXTRA = "(CASE WHEN r[2] = 'cut' THEN 3 ELSE 0 END)"
+
+
+def _stays(letter: str, states: list[int], initial: str | None = None) -> str:
+    ok = "r[2] <> 'gone'" + (f" AND r[1] = '{initial}'" if initial else "")
+    cost = _EXTRA if letter == "K" else f"3 + {_EXTRA}"
+    return ", ".join(f"CASE WHEN {ok} THEN {_paid(f'b[{s}]', cost, letter)} ELSE '~' END" for s in states)
+
+
+_ROW = ("[" + _paid("b[1]", 4, "D") + ", "
+        + "least(" + _paid("b[2]", 4, "D") + ", " + _stays("K", [1], "s") + "), "
+        + "least(" + _paid("b[3]", 4, "D") + ", " + _stays("K", [1, 2, 4], "u") + ", " + _stays("R", [1, 2, 4]) + "), "
+        + "least(" + _paid("b[4]", 4, "D") + ", " + _stays("K", [3], "a") + ", " + _stays("R", [3]) + ")]")
+
+
+@query("op11_hirschberg_repair", f"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+x AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(place)), '..'), lambda h: ('0x' || h)::BIGINT)),
+  lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) % 20 AS fate FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM x WHERE fate <> 0),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM d),
+t AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair FROM o),
+f AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM t),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, list(role ORDER BY n) AS roles, list(text ORDER BY n) AS texts,
+  list([left(role, 1), CASE WHEN fault IN ('blank', 'duplicate') THEN 'gone' WHEN fault = 'truncated' THEN 'cut' ELSE '' END] ORDER BY n) AS codes FROM f GROUP BY conv_id),
+e AS (SELECT *, list_reduce(list_concat([['000000', '~', '~', '~']], codes), lambda s, r: list_transform([{_INSERTED}], lambda b: {_ROW})[1]) AS s FROM c),
+b AS (SELECT *, least(s[1], {_paid("s[2]", 6, "II")}, {_paid("s[3]", 3, "I")}, s[4]) AS best FROM e),
+a AS (SELECT *, substr(best, 1, 6)::BIGINT AS cost, substr(best, 7) AS audit FROM b),
+w AS (SELECT *, list_reduce(list_concat([['0', '1', '', '']], list_transform(regexp_extract_all(audit, '.'), lambda l: [l, '', '', ''])),
+  lambda p, l: CASE WHEN l[1] = 'D' THEN [p[1], (p[2]::INTEGER + 1)::VARCHAR, p[3], p[4]] ELSE
+    list_transform([CASE WHEN l[1] = 'K' THEN roles[p[2]::INTEGER] WHEN p[1] = 'u' THEN 'assistant' ELSE 'user' END], lambda role:
+      [left(role, 1), (p[2]::INTEGER + CASE WHEN l[1] = 'I' THEN 0 ELSE 1 END)::VARCHAR, p[3] || p[4] || role || ':' || CASE WHEN l[1] = 'I' THEN '' ELSE texts[p[2]::INTEGER] END, chr(10)])[1] END) AS done FROM a)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(done[3], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM i.conv_id""")
 def op11(spark, folder):
     rows = read(spark, folder, "conversations")
     report, repaired = conversations.repair(damaged(rows))
@@ -217,7 +262,18 @@ def op12(spark, folder):
     return negatives.hard_negatives(vectors, F.col("key") % ANCHOR_STEP == 0, positives=5, negatives=10, least=30, most=90)
 
 
-@query("op13_suffix_array_dedup")
+@query("op13_suffix_array_dedup", """
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row, length(h) // 2 AS n, unnest(range(0, length(h) // 2 - 99)) AS p, h FROM d WHERE length(h) >= 200),
+m AS (SELECT row, p, md5_number(substr(h, 2 * p + 1, 200)) AS m FROM w),
+r AS (SELECT row, p FROM m QUALIFY row_number() OVER (PARTITION BY m ORDER BY row, p) > 1),
+e AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY row ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY p) AS run FROM e),
+s AS (SELECT row, run, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY row, run),
+k AS (SELECT row, sum(b - a) AS n_removed, count(*) AS n_spans, list([a, b] ORDER BY a) AS spans FROM s GROUP BY row),
+c AS (SELECT d.*, n_removed, n_spans, list_concat([[0, 0]], coalesce(spans, []), [[length(h) // 2, length(h) // 2]]) AS cuts FROM d LEFT JOIN k USING (row))
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(cuts)), lambda i: substr(h, 2 * cuts[i][2] + 1, 2 * (cuts[i + 1][1] - cuts[i][2]))), ''))) AS kept_sha256 FROM c""")
 def op13(spark, folder):
     out = suffixes.remove_repeats(read(spark, folder, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
