@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from lacuna.functions import vectors as V
 from lacuna.functions.randomness import normal_weights
 from lacuna.operators import ampute as A
 from lacuna.operators import learn, pairs
-from lacuna.operators.embed import covariance, embed_text, project, whitening
+from lacuna.operators.embed import covariance, embed_text, embed_tokens, project, whitening
 from lacuna.scratch import cut
 
 LETTERS = "aeio"
@@ -188,3 +191,33 @@ def covariance_whitening(spark, folder):
     pairs = new.select("embedding", F.posexplode("embedding").alias("i", "x")).select("i", "x", F.posexplode("embedding").alias("j", "y"))
     found = pairs.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
     return found.select("i", "j", (F.round("cov", 6) + F.lit(0.0)).alias("cov"))
+
+
+# a stand-in for an encoder's tokenizer: pieces of four letters; and for the encoder: shares of its token ids
+LIMIT, KINDS = 128, 8
+
+
+def pieces():
+    def tokenize(texts):
+        cut_up = ([p for w in re.findall(r"[^\x20\x09-\x0D]+", t) for p in re.findall(".{1,4}", w, re.DOTALL)] for t in texts)
+        return [[int(hashlib.md5(p.encode()).hexdigest()[:7], 16) % 1000 for p in found[:LIMIT]] for found in cut_up]
+
+    return tokenize
+
+
+def shares():
+    def encode(ids, mask):
+        counts = np.stack([((ids % KINDS == i) * mask).sum(axis=1) for i in range(KINDS)], axis=1)
+        return counts / np.maximum(mask.sum(axis=1, keepdims=True), 1)
+
+    return encode
+
+
+@check("embed_tokens", "WITH t AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), lambda w: regexp_extract_all(w, '.{1,4}', 0, 's')))"
+       f"[1:{LIMIT}] AS p FROM documents), k AS (SELECT doc_id, list_transform(p, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT % 1000 % {KINDS}) AS k FROM t) "
+       f"SELECT doc_id, i::INTEGER AS i, round(coalesce(len(list_filter(k, lambda x: x = i)) / len(k), 0), 6) AS share FROM k, range(0, {KINDS}) r(i)")
+def embed_tokens_query(spark, folder):
+    """Whole texts are cut by the tokenizer's own tokens."""
+    found = embed_tokens(table(spark, folder, "documents").select("doc_id", "text"), "text", pieces, shares, limit=LIMIT)
+    return found.select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "i", F.round(F.col("x").cast("double"), 6).alias("share"))
+

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, LongType, StructField, StructType
 
 from lacuna.functions.text import MAX_TOKENS, truncate_tokens, value_text
 from lacuna.functions.holes import known, q
@@ -140,6 +140,64 @@ def embed_text(df: DataFrame, text: str, make_encoder, batch_size: int = 16, out
     return rows.drop("__text", "__row").join(once, "__id", "left").drop("__id")
 
 
+#: Token places, padding included, that an encoder sees at once, and rows whose texts are sorted by length together.
+TOKEN_BUDGET, LENGTH_WINDOW = 1 << 14, 4096
+
+
+def batches_by_length(lengths: np.ndarray, budget: int) -> list[np.ndarray]:
+    """Row numbers in batches of like lengths: rows times longest length stays within ``budget``; a longer text is a batch of its own."""
+    order = np.argsort(lengths, kind="stable")
+    found, start = [], 0
+    for i in range(1, len(order) + 1):
+        # the next text would be the longest of the batch
+        if i == len(order) or (i - start + 1) * max(1, int(lengths[order[i]])) > budget:
+            found.append(order[start:i])
+            start = i
+    return found
+
+
+def embed_tokens(df: DataFrame, text: str, make_tokenizer, make_model, limit: int | None = MAX_TOKENS, budget: int = TOKEN_BUDGET,
+                 window: int = LENGTH_WINDOW, pad: int = 0, out: str = "vec") -> DataFrame:
+    """Vectors of a text column from a user's tokenizer and encoder; the text column itself is left out.
+
+    ``make_tokenizer()`` and ``make_model()`` run once per task. The tokenizer gives a list of token ids for each text of a list, of
+    which the first ``limit`` are kept (None: all). The model gets a matrix of ids, filled up with ``pad``, and a matrix that is 1 where
+    a token is, and returns a vector per row. Texts of ``window`` rows are put into batches of like length, each of at most ``budget`` places, so
+    little is padding. A null or empty text has no tokens.
+    """
+    kept = [c for c in df.columns if c not in (text, out)]
+    schema = StructType([*(df.schema[c] for c in kept), StructField(out, ArrayType(FloatType()))])
+
+    def run(batches):
+        tokenize, model, types = make_tokenizer(), make_model(), to_arrow_schema(schema)
+
+        def encoded(rows: pa.Table) -> pa.Table:
+            ids = [np.asarray(t[:limit], np.int64) for t in tokenize([t or "" for t in rows.column(len(kept)).to_pylist()])]
+            lengths, vectors = np.array([len(t) for t in ids]), [None] * len(ids)
+            for part in batches_by_length(lengths, budget):
+                places = np.full((len(part), max(1, lengths[part].max())), pad, np.int64)
+                mask = np.zeros(places.shape, np.int64)
+                for r, i in enumerate(part):
+                    places[r, : lengths[i]], mask[r, : lengths[i]] = ids[i], 1
+                for i, vector in zip(part, np.asarray(model(places, mask), np.float32)):
+                    vectors[i] = vector
+            columns = [rows.column(c) for c in range(len(kept))]
+            return pa.Table.from_arrays([*columns, pa.array(vectors, types.field(out).type)], schema=types)
+
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, window):
+                held.append(batch.slice(at, window))
+                size += held[-1].num_rows
+                if size >= window:
+                    yield from encoded(pa.Table.from_batches(held)).to_batches()
+                    held, size = [], 0
+        if size:
+            yield from encoded(pa.Table.from_batches(held)).to_batches()
+
+    return df.select(*map(q, kept), q(text).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
 def hashed_fields(dim: int = 64):
     """A text encoder without weights: signed counts of the fields of a row's text, hashed into ``dim`` entries."""
     def make():

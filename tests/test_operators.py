@@ -14,7 +14,7 @@ from lacuna.functions import vectors as V
 from lacuna.operators import ampute as A
 from lacuna.operators import cells as C
 from lacuna.operators import coding, fidelity, learn, pairs, position, split, utility
-from lacuna.operators.embed import HashEncoder, embed_text, hash_vectors
+from lacuna.operators.embed import HashEncoder, embed_text, embed_tokens, hash_vectors
 from lacuna.plans.experiment import Settings, evaluate, experiment, prepare, row_vectors
 from lacuna import scratch
 from lacuna.scratch import new_path
@@ -556,3 +556,24 @@ def test_limits_of_models_reach_a_run(spark):
     with pytest.raises(TypeError, match="no_such_limit"):
         experiment(df, ROLES, Settings(missing_type="MCAR"), models=("tree",), no_such_limit=1)
 
+
+def test_batches_of_tokens_hold_little_padding(spark):
+    """Texts of very different lengths: batches stay within the budget, and hardly a tenth is padding."""
+    pick = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(n))) for i, n in enumerate(pick.lognormal(3, 1.2, 3000))] + [(3000, None), (3001, ""), (3002, "w " * 5000)]
+    places, tokens, widest = (spark.sparkContext.accumulator(0) for _ in range(3))
+
+    def model():
+        def encode(ids, mask):
+            assert ids.size <= 1000 or len(ids) == 1
+            places.add(ids.size)
+            tokens.add(int(mask.sum()))
+            return np.stack([mask.sum(axis=1), (ids * mask).sum(axis=1)], axis=1)
+        return encode
+
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "id bigint, text string, vec double").repartition(2)
+    got = {r.id: list(r.vec) for r in embed_tokens(df, "text", lambda: lambda texts: [[1] * len(t.split()) for t in texts], model, limit=512, budget=1000).collect()}
+    assert got == {i: [min(512, len((t or "").split()))] * 2 for i, t in rows}
+    assert places.value < 1.1 * tokens.value
+    assert embed_tokens(df.where("false"), "text", lambda: lambda t: [], model).collect() == []
+
