@@ -176,11 +176,11 @@ class Trees:
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(margins, probabilities): the rising step function nearest to the labels, by pooling adjacent violators.
     Two imagined examples, one of each class at the share of the sample, keep the ends off 0 and 1."""
-    order = np.argsort(margin, kind="stable")
+    levels, of = np.unique(margin, return_inverse=True)  # examples of one margin are one step
     blocks: list[list[float]] = []  # sum, count, last margin, first margin
-    for m, v in zip(margin[order], y[order]):
-        blocks.append([float(v), 1.0, m, m])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][2] == blocks[-1][3]):
+    for m, v, n in zip(levels, np.bincount(of, y), np.bincount(of)):
+        blocks.append([float(v), float(n), m, m])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, c, last, _ = blocks.pop()
             blocks[-1][0] += s
             blocks[-1][1] += c
