@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from lacuna.llm import conversations, minmax, negatives, queries, secrets, suffixes, tokenfile, toxicity, transducer
+from lacuna.llm import bytecnn, conversations, minmax, negatives, queries, secrets, suffixes, tokenfile, toxicity, transducer
 from lacuna.llm.texts import bitmap, with_passed
 from test_llm_operators import rsa_key
 
@@ -377,3 +377,114 @@ def test_pairs_of_tokens_are_bounded(monkeypatch):
         word = "".join(pick.choice("abcd") for _ in range(pick.randrange(1, 30)))
         assert machine.count(word) == len(machine.merged(word.encode()))
         assert len(machine.allowed) < 50 + 30 * 8
+
+
+# ---------------------------------------------------------------- classifiers, one number at a time
+
+def slow_score(net, text):
+    """The byte network with loops over bytes, windows, chunks and filters."""
+    w = {k: v.astype(float) for k, v in net.weights.items()}
+    data = list(text.encode())
+    while len(data) < bytecnn.WIDTH or (len(data) - bytecnn.WIDTH) % bytecnn.STRIDE:
+        data.append(0)
+    responses = []
+    for at in range(0, len(data) - bytecnn.WIDTH + 1, bytecnn.STRIDE):
+        seen = [x for b in data[at : at + bytecnn.WIDTH] for x in w["embed"][b]]
+        responses.append([sum(x * f for x, f in zip(seen, w["filters"][:, j])) for j in range(bytecnn.FILTERS)])
+    chunks, first = [], 0
+    while True:
+        part = responses[first : first + bytecnn.CHUNK]
+        chunks.append([max(0.0, max(r[j] for r in part) + w["shift"][0, j]) for j in range(bytecnn.FILTERS)])
+        if first + bytecnn.CHUNK >= len(responses):
+            break
+        first += bytecnn.HOP
+    pooled = [f(c[j] for c in chunks) for f in (lambda v: sum(v) / len(chunks), max, min) for j in range(bytecnn.FILTERS)]
+    hidden = [max(0.0, sum(x * h for x, h in zip(pooled, w["hidden"][:, i])) + w["bias"][0, i]) for i in range(bytecnn.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(h * o for h, o in zip(hidden, w["out"][:, 0])) + w["prior"][0, 0])))
+
+
+def test_network_equals_its_loops():
+    net, pick = bytecnn.ByteNet(4), random.Random(8)
+    net.weights["shift"][:] = np.linspace(-0.5, 0.5, bytecnn.FILTERS, dtype=np.float32)
+    texts = ["", "a", "é" * 4, "12345678", "123456789", "x" * 500] + ["".join(pick.choice("abc dé.!\n") for _ in range(n)) for n in (7, 9, 128, 131, 132, 133, 700)]
+    assert np.allclose(net.score(texts), [slow_score(net, t) for t in texts], atol=1e-5)
+
+
+def slow_tree(rows, g, h, ridge, depth, level=0):
+    """The best split by trying every feature and every value between two different ones."""
+    total_g, total_h = sum(g), sum(h)
+    if level == depth:
+        return total_g / (total_h + ridge)
+    best = (1e-6, None, None)
+    for f in range(len(rows[0]) if len(rows) >= 2 else 0):
+        for limit in sorted({r[f] for r in rows}):
+            left = [i for i, r in enumerate(rows) if r[f] <= limit]
+            a, b = sum(g[i] for i in left), sum(h[i] for i in left)
+            gain = a**2 / (b + ridge) + (total_g - a) ** 2 / (total_h - b + ridge) - total_g**2 / (total_h + ridge)
+            if gain > best[0] + 1e-9:
+                best = (gain, f, limit)
+    _, f, limit = best
+    sides = [[i for i, r in enumerate(rows) if f is None or r[f] <= limit], [i for i, r in enumerate(rows) if f is not None and r[f] > limit]]
+    return f, limit, [slow_tree([rows[i] for i in s], [g[i] for i in s], [h[i] for i in s], ridge, depth, level + 1) if s else None for s in sides]
+
+
+def walked(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2][0 if tree[0] is None or row[tree[0]] <= tree[1] else 1]
+    return tree or 0.0
+
+
+def test_boosted_trees_equal_trying_every_split():
+    """Few different values, so the bins hold each of them: splits, leaves and margins of both ways agree."""
+    draw = np.random.default_rng(6)
+    x = draw.integers(0, 6, (160, 3)).astype(float) + np.array([0, 0.25, 0.5])
+    y = (x[:, 0] + 2 * (x[:, 1] > 3) + draw.normal(size=160) > 4).astype(float)
+    made = toxicity.Trees(x, y, rounds=5, bins=400)
+    rows, margin = x.tolist(), [made.start] * len(y)
+    assert made.start == pytest.approx(math.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    for _ in range(5):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        tree = slow_tree(rows, [v - q for v, q in zip(y, p)], [q * (1 - q) for q in p], 1.0, 3)
+        margin = [m + made.rate * walked(tree, r) for m, r in zip(margin, rows)]
+    assert np.allclose(made.margin(x), margin)
+
+
+def test_calibration_equals_the_min_max_formula():
+    """The rising fit at a point is the largest mean from some start to it, of the least means to some end behind it."""
+    draw = np.random.default_rng(12)
+    margin = np.round(draw.normal(size=60), 1)
+    y = (draw.random(60) < 1 / (1 + np.exp(-2 * margin))).astype(float)
+    levels = sorted(set(margin.tolist()))
+    sums = [(y[margin == v].sum(), (margin == v).sum()) for v in levels]
+    (at, value), want = toxicity.isotonic(margin, y), 0.0
+    for k, level in enumerate(levels):
+        a, b = max(((i, min(range(k, len(levels)), key=lambda j: (sum(s for s, _ in sums[i : j + 1]) / sum(c for _, c in sums[i : j + 1]), -j))) for i in range(k + 1)),
+                   key=lambda e: (round(sum(s for s, _ in sums[e[0] : e[1] + 1]) / sum(c for _, c in sums[e[0] : e[1] + 1]), 12), -e[0]))
+        s, c = sum(s for s, _ in sums[a : b + 1]), sum(c for _, c in sums[a : b + 1])
+        want = max(want, (s + y.mean()) / (c + 1))
+        assert float(np.interp(level, at, value)) == pytest.approx(want)
+
+
+def slow_features(text, lexicon):
+    """Every feature by its definition, word by word."""
+    words = re.findall(r"\w+", text.lower())
+    n = max(1, len(words))
+    whole = [lexicon.get(w, 0.0) for w in words]
+    begun = [max((lexicon.get(w[:k] + "*", 0.0) for k in toxicity.STARTS if len(w) > k), default=0.0) for w in words]
+    hidden = [re.sub(r"[*.\-_]", "", d.lower().translate(toxicity.PLAIN)) for d in toxicity.disguises(text)]
+    near = sum(1 for i in range(len(words)) if (whole[i] or begun[i]) and any(words[j] in toxicity.YOU for j in range(max(0, i - 5), min(len(words), i + 6))))
+    marks = re.findall(r"!!+|\?\?+|\.\.+|##+|\*\*+|&&+|\$\$+|%%+", text)
+    shouted = [w for w in re.findall(r"\w+", text) if len(w) >= 3 and all(c.isupper() for c in w)]
+    chars = max(1, len(text))
+    return {"words": math.log1p(len(words)), "hit_count": sum(x != 0 for x in whole), "hit_share": sum(x != 0 for x in whole) / n, "weight_share": sum(whole) / n,
+            "most": max([0.0, *whole, *begun]), "start_count": sum(x != 0 for x in begun), "start_share": sum(x != 0 for x in begun) / n,
+            "disguised_hits": sum(1 for d in hidden if lexicon.get(d) or any(lexicon.get(d[:k] + "*") for k in toxicity.STARTS if len(d) > k)), "disguised_share": len(hidden) / n,
+            "you_share": sum(w in toxicity.YOU for w in words) / n, "you_near": near / n, "capitals": sum(c.isupper() for c in text) / chars, "shouted": len(shouted) / n,
+            "exclaims": text.count("!") / n, "questions": text.count("?") / n, "signs": sum(c in "#&*$%@!?" for c in text) / chars, "doubled": len(marks) / n}
+
+
+@pytest.mark.parametrize("text", ["", "You are an 1diot!!", "IDIOTS everywhere?? you, YOU stupidly $tupid", "nothing to see here. Really... ok", "Der i.d.i.o.t sagte: du bist DUMM &&& #1",
+                                  "word " * 40 + "idiot " + "filler " * 4 + "you " + "rest " * 9])
+def test_features_equal_their_definitions(text):
+    lexicon = {"idiot": 2.0, "idio*": 1.5, "stupi*": 1.0, "dumm": 0.7, "stupid": 1.2}
+    assert dict(zip(toxicity.FEATURES, toxicity.Features(lexicon).of(text))) == pytest.approx(slow_features(text, lexicon))
