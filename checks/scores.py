@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.registry import LINE_SQL, LINEITEM, ORDERS, PART, check, coded, coded_sql, lineitem, table, u_sql
@@ -9,7 +10,7 @@ from lacuna.operators import ampute as A
 from lacuna.operators import cells as C
 from lacuna.operators import fidelity, position, split, utility
 from lacuna.plans.experiment import experiment
-from lacuna.scratch import new_path
+from lacuna.scratch import cut, new_path
 
 # A stand-in for an imputed table: hidden prices are 10 % too low, hidden codes one too high.
 _CODED = coded_sql("orders", ORDERS)
@@ -210,6 +211,21 @@ def logistic_regression(spark, folder):
     return _model(spark, folder, "logit")
 
 
+# at the fitted weights the mean loss with its penalty has no slope, in any class and covariate (the last one is the constant)
+@check("logistic_slope", _SPLIT[:_SPLIT.index(", nn AS")] + " SELECT c::INTEGER AS class, j::INTEGER AS covariate, 0.0::DOUBLE AS slope FROM (SELECT DISTINCT y AS c FROM z WHERE NOT te), range(0, 4) r(j)")
+def logistic_slope(spark, folder):
+    train, _ = _parts(spark, folder)
+    rows = cut(utility._assembled(train, PART), "rows")
+    n = rows.count()
+    model = utility.estimators(n)["logit"].fit(rows)
+    weights, classes, size = model.coefficientMatrix.toArray(), model.numClasses, len(PART.covariates)
+    made = model.transform(rows).select(vector_to_array("probability").alias("p"), vector_to_array("features").alias("x"), "label")
+    off = [F.get("p", F.lit(c)) - F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in range(classes)]
+    got = made.agg(*[F.avg(off[c] * (F.get("x", F.lit(j)) if j < size else F.lit(1.0))) for c in range(classes) for j in range(size + 1)]).first()
+    slopes = [(c, j, v + (weights[c, j] / n if j < size else 0.0)) for (c, j), v in zip(((c, j) for c in range(classes) for j in range(size + 1)), got)]
+    return spark.createDataFrame([(c, j, round(float(v), 2) + 0.0) for c, j, v in slopes], "class int, covariate int, slope double")
+
+
 _BAYES = ", ".join([
     _SPLIT[:_SPLIT.index(", nn AS")],
     "nb AS (SELECT y, count(*) AS n, " + ", ".join(f"avg({x}) AS m_{x}, avg({x} * {x}) - avg({x}) * avg({x}) AS v_{x}" for x in ("x1", "x2", "x3")) + " FROM z WHERE NOT te GROUP BY y)",
