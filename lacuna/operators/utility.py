@@ -13,7 +13,7 @@ from lacuna.functions.holes import known, q
 from lacuna.operators.cells import assert_no_holes
 from lacuna.operators.neighbors import PROFILE, nearest_cells, profiles, tag_rows, with_long_keys
 from lacuna.roles import Roles
-from lacuna.scratch import cut, cut_counted
+from lacuna.scratch import cut_spread
 
 MODELS = ("logit", "GaussNB", "KNN", "tree", "RF")
 KNN_K = 5
@@ -93,9 +93,9 @@ def model_scores(train: DataFrame, test: DataFrame, roles: Roles, models=MODELS,
     unknown = set(models) - set(MODELS)
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}")
-    fit_on, seen = cut_counted(_assembled(train, roles), "train")
-    score_on = cut(_assembled(test, roles), "test")
-    made = estimators(seen["n"], seed, **limits)
+    fit_on, n = cut_spread(_assembled(train, roles), "train")
+    score_on, _ = cut_spread(_assembled(test, roles), "test")
+    made = estimators(n, seed, **limits)
 
     def score(name):
         if name == "KNN":

@@ -55,6 +55,28 @@ def cut_counted(df: DataFrame, label: str, *metrics) -> tuple[DataFrame, dict]:
     return table, seen.get
 
 
+#: Rows that are worth a task of their own.
+TASK_ROWS = 1 << 14
+
+
+def spread(table: DataFrame, n: int | None = None) -> DataFrame:
+    """A table that is read from files, dealt out to all cores.
+
+    Spark cuts files by their bytes, so millions of narrow rows may be one task. A small table, or one that is read by as many
+    tasks as there are cores, stays as it is. ``n`` is its row count, where that is known.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    wanted = min(2 * cores, (table.count() if n is None else n) // TASK_ROWS)
+    return table if wanted < 2 or table.rdd.getNumPartitions() >= min(wanted, cores) else table.repartition(wanted)
+
+
+def cut_spread(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As ``cut``, with the row count; where one task would read many rows, the table is dealt out and written again."""
+    table, seen = cut_counted(df, label)
+    dealt = spread(table, seen["n"])
+    return (table if dealt is table else cut(dealt, label)), seen["n"]
+
+
 def small_table(spark: SparkSession, **columns) -> DataFrame:
     """A few rows known to the driver as a local relation: name = (values, arrow type)."""
     return spark.createDataFrame(pa.table({n: pa.array(list(v), t) for n, (v, t) in columns.items()}))
