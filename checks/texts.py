@@ -9,12 +9,13 @@ from checks.tables import CDF_SQL
 from lacuna.functions import text as T
 from lacuna.operators import ampute as A
 from lacuna.operators import pairs as P
+from lacuna.scratch import spread
 
 HOLED = "WITH " + holed_sql("part", PART)
 
 
 def _holed(spark, folder):
-    return A.apply_mask(table(spark, folder, "part"), A.mcar(PART, 0.3, 0))
+    return A.apply_mask(spread(table(spark, folder, "part")), A.mcar(PART, 0.3, 0))
 
 
 def _cell(f: str) -> str:

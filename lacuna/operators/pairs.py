@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lacuna.functions.holes import q
 from lacuna.functions.randomness import digest, truncated_poisson, uniform
 from lacuna.functions.text import (
     MASK_TOKEN, fields, fields_to_json, fields_to_sentence, fields_to_values,
@@ -82,13 +83,14 @@ def positives(df: DataFrame, roles: Roles, encoding: str = "tab2text", *, token:
     writers = {"tab2text": fields_to_sentence, "tab2json": fields_to_json, "tab2num": fields_to_values}
     if encoding not in writers:
         raise ValueError(f"unknown encoding {encoding!r}, one of {tuple(writers)}")
-    rows = df.select(roles.key, fields(df, roles, token).alias("items"))
+    # rows are put in order before their texts are made, so texts are neither sampled nor sorted, and are made by as many tasks as the sort has
+    placed = with_batch(df.select(roles.key, *[q(f) for f in roles.features]), roles.key, batch_size)
+    rows = placed.select("batch_id", roles.key, fields(placed, roles, token).alias("items"))
     key, items = F.col(roles.key), F.col("items")
     hidden = (remask_fixed(items, key, seed, token, salt=salt) if encoding == "tab2num"
               else remask(items, key, len(roles.features), seed, token, salt))
     write = writers[encoding]
-    texts = rows.select(roles.key, write(items).alias("anchor"), write(hidden).alias("positive"))
-    return with_batch(texts, roles.key, batch_size).select("batch_id", roles.key, "anchor", "positive")
+    return rows.select("batch_id", roles.key, write(items).alias("anchor"), write(hidden).alias("positive"))
 
 
 def contrastive_pairs(df: DataFrame, roles: Roles, encoding: str = "tab2text", *, token: str = MASK_TOKEN,

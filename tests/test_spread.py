@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lacuna import Roles
 from lacuna import scratch
-from lacuna.operators import utility
+from lacuna.operators import pairs, utility
 
 ROLES = Roles("id", ("x", "y"), ("c",), (), "c")
 
@@ -45,3 +45,23 @@ def test_forest_is_fitted_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(utility, "estimators", watched)
     scores = utility.model_scores(_one_file(spark, 1000), _one_file(spark, 50), ROLES, models=("tree",))
     assert seen[0][0] == 1000 and seen[0][1] > 4 and 0 <= scores.f1["tree"] <= 1
+
+
+def test_texts_are_made_after_the_sort(spark):
+    """Neither the sample for the sort nor the sort itself sees a text."""
+    sorted_columns = []
+    inner = pairs.with_batch
+
+    def watched(df, *args, **more):
+        sorted_columns.append(df.columns)
+        return inner(df, *args, **more)
+
+    pairs.with_batch = watched
+    try:
+        made = pairs.positives(_one_file(spark, 40), ROLES, batch_size=16)
+    finally:
+        pairs.with_batch = inner
+    assert sorted_columns == [["id", "x", "y", "c"]]
+    rows = made.orderBy("id").collect()
+    assert made.columns == ["batch_id", "id", "anchor", "positive"] and [r["batch_id"] for r in rows] == [i // 16 for i in range(40)]
+    assert rows[20]["anchor"] == "x is 7, y is 6, c is 0"
