@@ -14,7 +14,7 @@ from lacuna.functions.randomness import normal_weights
 from lacuna.operators import ampute as A
 from lacuna.operators import learn, pairs
 from lacuna.operators.embed import covariance, embed_text, embed_tokens, project, whitening
-from lacuna.scratch import cut
+from lacuna.scratch import cut, spread
 
 LETTERS = "aeio"
 
@@ -153,7 +153,7 @@ def epoch_tuning(spark, folder):
 
 def _pair_vectors(spark, folder):
     """Triples of texts of the holed parts, as vectors of the bag of their fields."""
-    holed = A.apply_mask(table(spark, folder, "part"), A.mcar(PART, 0.3, 0))
+    holed = A.apply_mask(spread(table(spark, folder, "part")), A.mcar(PART, 0.3, 0))
     made = pairs.contrastive_pairs(holed, PART)
     dim = 16
 
