@@ -17,7 +17,7 @@ from lacuna.operators.learn import learn_metric, tune_metric
 from lacuna.operators.pairs import contrastive_pairs
 from lacuna.operators.split import train_test_split
 from lacuna.roles import Roles
-from lacuna.scratch import cut
+from lacuna.scratch import cut, cut_spread
 from lacuna.sources.tables import cache_path, cached_embeddings, write_metrics
 
 METRIC_NAMES = ("smape", "error", "asmape", "kl", "base_cls", "imputed_cls", "model_selection", "feature_selection")
@@ -56,7 +56,7 @@ def prepare(df: DataFrame, roles: Roles, settings: Settings = Settings()) -> Pre
     df = nan_as_null(df, roles.features)
     types = {f: df.schema[f].dataType for f in roles.features}
     dimension = coding.build_dimension(df, roles.categorical)
-    coded = cut(coding.encode(df, dimension, roles.categorical).select(roles.key, *[q(f) for f in roles.features]), "coded")
+    coded, _ = cut_spread(coding.encode(df, dimension, roles.categorical).select(roles.key, *[q(f) for f in roles.features]), "coded")
     train, test = train_test_split(coded, roles, settings.test_size, settings.seed)
     hidden = A.hidden_cells(train, roles, settings.missing_type, settings.missing_rate, settings.seed)
     # one written table holds the truth and the mask; the holed table is a projection of it
