@@ -38,9 +38,12 @@ REFERENCES = 32
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 64 << 20  # profiles that one task cuts into blocks
 PART_ROWS = 4096  # and those that are worth a task
-TEAM_BYTES = 128 << 20  # query vectors and rows that a task holds
+TEAM_BYTES = 32 << 20  # query vectors and rows that a task holds
 TASKS_PER_CORE = 32
-SLOT_BLOCKS = 256  # donor blocks that stream past a team in one task
+SLOT_BYTES = 64 << 20  # donor blocks that stream past a team in one task
+SLOT_BLOCKS = 256  # and their number, or as many rows in smaller blocks
+STACK_ROWS = 2048  # profiles on each side of one tile, at least those of one block
+FEW_PAIRS = 50  # one in so many pairs of a tile is computed alone, more all at once
 SLACK = 1e-9  # bounds are widened by this, so rounding never excludes a tie
 ROUNDED = 4 * 10.0**-PLACES  # two ways to sum one distance may round it to neighbours
 
@@ -172,7 +175,7 @@ def _packer(references: np.ndarray, metric: str, block_rows: int, k: int, n_feat
                     best = _Best(Block(p, False, metric, n_features, vector_type), k, n_features)
                     for near in (donors, before):
                         if near is not None:
-                            best.add(near, metric)
+                            best.add([near], metric)
                     best.limit += ROUNDED
                     p["bound"], p["reach"] = best.limit.tobytes(), best.reach(metric).tobytes()
             seq, before = seq + len(packed), donors or before
@@ -264,6 +267,26 @@ class Block:
             bound = field("bound", np.float64)
             self.bound = bound.reshape(-1, n) if len(bound) else None
 
+    @classmethod
+    def stacked(cls, blocks: list[Block], donor: bool) -> Block:
+        """Several blocks as one; only of a single block are the ranges kept."""
+        if len(blocks) == 1:
+            return blocks[0]
+        out = cls.__new__(cls)
+        out.n = sum(b.n for b in blocks)
+        out.vectors = tuple(None if part[0] is None else np.concatenate(part) for part in zip(*(b.vectors for b in blocks)))
+        out.counts = np.concatenate([b.counts for b in blocks])
+        out.starts = np.cumsum(out.counts) - out.counts
+        out.observed = np.concatenate([b.observed for b in blocks])
+        if donor:
+            out.vals, out.keys = np.concatenate([b.vals for b in blocks]), np.concatenate([b.keys for b in blocks])
+            out.by_key = np.argsort(out.keys, kind="stable")
+            out.owner = np.repeat(np.arange(out.n), out.counts)
+        else:
+            out.ids, out.far = np.concatenate([b.ids for b in blocks]), np.concatenate([b.far for b in blocks])
+            out.bound = None if any(b.bound is None for b in blocks) else np.concatenate([b.bound for b in blocks], axis=1)
+        return out
+
     def rows_of(self, profiles: np.ndarray):
         """Row numbers of the given profiles, and for each row the position of its profile in the list."""
         counts = self.counts[profiles]
@@ -299,6 +322,7 @@ class _Best:
         self.limit = np.full((width, block.n), np.inf) if block.bound is None else block.bound.copy()
         self.last_key = np.full((width, block.n), np.iinfo(np.int64).max)
         self.held: list[dict | None] = [None] * width
+        self.full = np.zeros((width, block.n), dtype=bool)  # k donors are held
 
     def reach(self, metric: str) -> np.ndarray:
         """How far from each query a donor may be."""
@@ -308,17 +332,34 @@ class _Best:
         """Queries that a donor of the block may still serve, by its ranges around every reference."""
         return np.flatnonzero(beyond(self.block.far, donors.lo, donors.hi) <= self.reach(metric) + SLACK)
 
-    def add(self, donors: Block, metric: str):
-        rows = self.near(donors, metric)
-        if not len(rows):
+    def add(self, blocks: list[Block], metric: str):
+        """Blocks that may serve a query are one tile with all queries that one of them may serve."""
+        near = [(b, rows) for b in blocks if len(rows := self.near(b, metric))]
+        if not near:
             return
+        rows = near[0][1] if len(near) == 1 else np.flatnonzero(np.bincount(np.concatenate([r for _, r in near]), minlength=self.block.n))
+        donors = Block.stacked([b for b, _ in near], True)
         tile = Tile(tuple(None if part is None else part[rows] for part in self.block.vectors), donors.vectors, metric)
         offered = np.ones((len(self.wanted), donors.n), dtype=bool) if self.any_row else donors.observed.T
         wanted = self.wanted[:, rows]
-        open_ = wanted & np.isinf(self.limit[:, rows])
+        # a vector without spread is as far from all others, so once k are held only keys count
+        flat = tile.a[1] == 0 if metric == "correlation" else np.zeros(len(rows), dtype=bool)
+        by_key = wanted & flat & self.full[:, rows]
+        open_ = wanted & np.isinf(self.limit[:, rows]) & ~by_key
+        for f in np.flatnonzero(by_key.any(axis=1)):
+            self._search_keys(f, rows[by_key[f]], donors, offered[f])
         for f in np.flatnonzero(open_.any(axis=1)):
             self._search_all(f, np.flatnonzero(open_[f]), rows, tile, donors, offered[f])
-        self._search_near(tile, rows, donors, offered, wanted & ~open_)
+        self._search_near(tile, rows, donors, offered, wanted & ~open_ & ~by_key)
+
+    def _search_keys(self, f, rows, donors, offered):
+        """Cells that are equally far from every donor: the lowest keys."""
+        columns = donors.by_key[offered[donors.owner[donors.by_key]]]
+        many = np.minimum(np.searchsorted(donors.keys[columns], self.last_key[f][rows], side="right"), self.k)
+        if many.any():
+            i = np.repeat(rows, many)
+            at = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            self._merge(f, i, columns[at], np.full(len(i), np.inf), donors)
 
     def _search_all(self, f, open_, rows, tile, donors, offered):
         """Cells without a bound yet: the k best of the whole block."""
@@ -337,12 +378,28 @@ class _Best:
         if not cells.any():
             return
         reach = np.where(cells, self.limit[:, rows], -np.inf).max(axis=0)
-        pairs = np.flatnonzero(tile.rough <= (reach + tile.slack)[:, None])
-        if not len(pairs):
+        mask = tile.nearby(reach)
+        n = np.count_nonzero(mask)
+        if not n:
             return
+        least = donors.keys[donors.starts]
+        if n * FEW_PAIRS > mask.size:
+            return self._search_crowd(tile, rows, donors, offered, cells, reach, least)
+        i, j = np.divmod(np.flatnonzero(mask), donors.n)
+        d = tile.exact(i, j)
+        for f in range(len(cells)):
+            at = rows[i]
+            wins = (d < self.limit[f][at]) | ((d == self.limit[f][at]) & (least[j] <= self.last_key[f][at]))
+            near = np.flatnonzero(wins & cells[f][i] & offered[f][j])
+            if len(near):
+                found, pair = donors.rows_of(j[near])
+                self._merge(f, at[near][pair], found, d[near][pair], donors)
+
+    def _search_crowd(self, tile, rows, donors, offered, cells, reach, least):
+        """As ``_search_near`` where many pairs are as near as the bound: most lose by their keys."""
+        pairs = np.flatnonzero(tile.rough <= (reach + tile.slack)[:, None])
         i, j = np.divmod(pairs, donors.n)
-        rough = tile.rough.ravel()[pairs]
-        least = donors.keys[donors.starts][j]
+        rough, least = tile.rough.ravel()[pairs], least[j]
         for f in range(len(cells)):
             near = np.flatnonzero(cells[f][i] & offered[f][j])
             at = rows[i[near]]
@@ -376,6 +433,7 @@ class _Best:
         full = i[last]
         self.limit[f][full] = dist[order[last]]
         self.last_key[f][full] = key[order[last]]
+        self.full[f][full] = True
 
     def rows(self):
         for f, held in enumerate(self.held):
@@ -385,23 +443,38 @@ class _Best:
                                     "value": held["value"], "dist": held["dist"]})
 
 
-def _tile_task(k: int, metric: str, n_features: int, vector_type: str):
+def _tile_task(k: int, metric: str, n_features: int, vector_type: str, stack_rows: int = STACK_ROWS):
     def run(batches):
-        current, held = None, []
+        current, held, asking, giving = None, [], [], []
+
+        def ask():
+            held.append(_Best(Block.stacked(asking, False), k, n_features))
+            asking.clear()
+
+        def give():
+            for best in held:
+                best.add(giving, metric)
+            giving.clear()
+
+        def finished():
+            if giving:
+                give()
+            for best in held:
+                yield from best.rows()
+
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 if (row["team"], row["slot"]) != current:
-                    for best in held:
-                        yield from best.rows()
+                    yield from finished()
                     current, held = (row["team"], row["slot"]), []
-                if row["is_donor"]:
-                    donors = Block(row, True, metric, n_features, vector_type)
-                    for best in held:
-                        best.add(donors, metric)
-                else:
-                    held.append(_Best(Block(row, False, metric, n_features, vector_type), k, n_features))
-        for best in held:
-            yield from best.rows()
+                    asking.clear()
+                block, stack = Block(row, row["is_donor"], metric, n_features, vector_type), giving if row["is_donor"] else asking
+                if row["is_donor"] and asking:
+                    ask()
+                if stack and sum(b.n for b in stack) + block.n > stack_rows:
+                    give() if row["is_donor"] else ask()
+                stack.append(block)
+        yield from finished()
 
     return run
 
@@ -478,7 +551,11 @@ def deal(blocks: Blocks, chosen: DataFrame, tasks: int, slots: int) -> DataFrame
     """Blocks laid out for the tasks of the join: the queries of a team, then the donors of a slot, the nearest first. A task
     may get several slots of at most ``slots`` per team, one after the other."""
     task = F.pmod(F.col("team").cast("bigint") * slots + F.col("slot"), F.lit(tasks)).cast("int")
-    return blocks.table.join(chosen, "block").repartitionById(tasks, task).sortWithinPartitions("team", "slot", "is_donor", "rank")
+    # what only the other side of the join reads stays behind
+    given = {c: F.when(F.col("is_donor") == donors, F.col(c)) for donors, names in ((True, ("keys", "lo", "hi")), (False, ("ids", "far", "bound")))
+             for c in names}
+    met = blocks.table.drop("reach").join(chosen, "block").withColumns(given)
+    return met.repartitionById(tasks, task).sortWithinPartitions("team", "slot", "is_donor", "rank")
 
 
 def best_k(candidates: DataFrame, k: int) -> DataFrame:
@@ -516,10 +593,11 @@ def nearest_cells(queries: Profiles, donors: Profiles, k: int, metric: str, n_fe
     per_team = max(1, TEAM_BYTES // (size * row_bytes))
     blocks = build_blocks(queries.table, donors.table, references, metric, size, k, n_features, parts, per_team)
     least_slots = math.ceil(2 * cores / blocks.teams)
-    chosen = choose(blocks, SLOT_BLOCKS, least_slots)
-    slots = max(least_slots, math.ceil(blocks.n / SLOT_BLOCKS))
+    slot_blocks = max(1, min(SLOT_BLOCKS * max(1, most // size), SLOT_BYTES // (size * row_bytes)))
+    chosen = choose(blocks, slot_blocks, least_slots)
+    slots = max(least_slots, math.ceil(blocks.n / slot_blocks))
     tasks = min(blocks.teams * slots, TASKS_PER_CORE * cores)
-    task = _tile_task(k, metric, n_features, blocks.vector_type)
+    task = _tile_task(k, metric, n_features, blocks.vector_type, most)
     return best_k(deal(blocks, chosen, tasks, slots).mapInPandas(task, CANDIDATE_SCHEMA), k)
 
 
