@@ -16,6 +16,7 @@ from lacuna.operators.cells import null_counts
 from lacuna.operators.embed import embed_text, hash_vectors, in_metric_space
 from lacuna.operators.impute import impute, nearest_donors
 from lacuna.operators.neighbors import nearest_rows
+from lacuna.scratch import spread
 
 K = 5
 
@@ -288,6 +289,6 @@ LINES_SQL = imputed_sql(LINEITEM, "holed", f"WITH {LINE_SQL}, " + holed_sql("lin
 # the SQL looks at all pairs of rows, so it runs in a test on the smallest table alone
 @check("impute_lineitem")
 def impute_lineitem(spark, folder):
-    holed = A.apply_mask(lineitem(spark, folder), A.mcar(LINEITEM, 0.3, 0))
+    holed = A.apply_mask(spread(lineitem(spark, folder)), A.mcar(LINEITEM, 0.3, 0))
     return _rounded(impute(holed, LINEITEM), LINEITEM)
 

@@ -287,6 +287,18 @@ class Block:
             out.bound = None if any(b.bound is None for b in blocks) else np.concatenate([b.bound for b in blocks], axis=1)
         return out
 
+    def only(self, profiles: np.ndarray) -> Block:
+        """Some profiles of a donor block as a block."""
+        rows, _ = self.rows_of(profiles)
+        out = Block.__new__(Block)
+        out.n, out.counts = len(profiles), self.counts[profiles]
+        out.vectors = tuple(None if part is None else part[profiles] for part in self.vectors)
+        out.starts = np.cumsum(out.counts) - out.counts
+        out.observed, out.vals, out.keys = self.observed[profiles], self.vals[rows], self.keys[rows]
+        out.by_key = np.argsort(out.keys, kind="stable")
+        out.owner = np.repeat(np.arange(out.n), out.counts)
+        return out
+
     def rows_of(self, profiles: np.ndarray):
         """Row numbers of the given profiles, and for each row the position of its profile in the list."""
         counts = self.counts[profiles]
@@ -339,6 +351,13 @@ class _Best:
             return
         rows = near[0][1] if len(near) == 1 else np.flatnonzero(np.bincount(np.concatenate([r for _, r in near]), minlength=self.block.n))
         donors = Block.stacked([b for b, _ in near], True)
+        if not self.any_row:
+            # profiles without any cell that is wanted here
+            useful = donors.observed[:, self.wanted[:, rows].any(axis=1)].any(axis=1)
+            if not useful.any():
+                return
+            if not useful.all():
+                donors = donors.only(np.flatnonzero(useful))
         tile = Tile(tuple(None if part is None else part[rows] for part in self.block.vectors), donors.vectors, metric)
         offered = np.ones((len(self.wanted), donors.n), dtype=bool) if self.any_row else donors.observed.T
         wanted = self.wanted[:, rows]

@@ -78,3 +78,23 @@ def test_small_blocks_are_computed_in_large_tiles(metric, monkeypatch):
     for q, got in found.groupby("h1"):
         want = sorted(zip(d[q], range(256)))[:4]
         assert sorted(zip(got["dist"], got["key"])) == [(v, c) for v, c in want]
+
+
+def test_donors_without_a_wanted_cell_are_left_out(monkeypatch):
+    """Three donors of four have no cell that a query lacks: they are no column of a tile, and the fills are those of all pairs."""
+    pick = np.random.default_rng(7)
+    x = pick.standard_normal((64, 5))
+    vals = np.stack([np.arange(64.0), np.where(np.arange(64) % 4 == 0, np.arange(64.0), np.nan)], axis=1)
+    far, ids = np.zeros((64, 1)), np.arange(64)
+    row = {"n": 64, "ids": np.stack([ids, ids], axis=1).tobytes(), "mat": x.tobytes(), "counts": np.ones(64, np.int32).tobytes(), "keys": ids.tobytes(), "vals": vals.tobytes(),
+           "far": far.tobytes(), "lo": far[0].tobytes(), "hi": far[0].tobytes(), "bound": b""}
+    shapes, inner = [], N.Tile
+    monkeypatch.setattr(N, "Tile", lambda a, b, metric: shapes.append((len(a[0]), len(b[0]))) or inner(a, b, metric))
+    best = N._Best(N.Block(row, False, "cosine", 2, "<f8"), 3, 2)
+    best.add([N.Block(row, True, "cosine", 2, "<f8")], "cosine")
+    assert shapes == [(48, 16)]
+    d = distances(prepare(x, "cosine"), prepare(x, "cosine"), "cosine")
+    (found,) = best.rows()
+    for q, got in found.groupby("h1"):
+        assert [*zip(got["dist"], got["key"])] == sorted(zip(d[q][::4], range(0, 64, 4)))[:3] and (got["f"] == 1).all() and (got["value"] == got["key"]).all()
+    assert found["h1"].nunique() == 48
