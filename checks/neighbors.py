@@ -218,9 +218,9 @@ def hashed_words(dim: int = 64):
 @check("impute_labels", imputed_sql(LABELLED, "joined", _LABELLED, {"quality": "INTEGER", "toxic": "INTEGER"}, tokens=_WORDS))
 def impute_labels(spark, folder):
     """Quality and toxicity of unlabelled documents from labelled ones with like texts."""
-    joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
-    vectors = embed_text(joined, "text", hashed_words(), batch_size=512, limit=None)
-    return _rounded(impute(vectors, LABELLED, vector="vec"), LABELLED)
+    vectors = embed_text(table(spark, folder, "documents"), "text", hashed_words(), batch_size=512, limit=None)
+    joined = vectors.join(table(spark, folder, "labels"), "doc_id", "left")  # vectors travel, not texts
+    return _rounded(impute(joined, LABELLED, vector="vec"), LABELLED)
 
 
 _NO_DONOR = _PART + ", gone AS (SELECT p_partkey, p_retailprice, NULL::INTEGER AS p_size, p_brand, p_type FROM holed)"

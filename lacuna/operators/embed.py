@@ -16,7 +16,7 @@ from lacuna.functions.text import MAX_TOKENS, truncate_tokens, value_text
 from lacuna.functions.holes import known, q
 from lacuna.operators.position import order_statistics
 from lacuna.roles import Roles
-from lacuna.scratch import cut
+from lacuna.scratch import cut, cut_counted, drop_table, spread
 from lacuna.sources.tables import add_texts, known_texts
 
 
@@ -103,6 +103,19 @@ class HashEncoder:
         return {"encoder": "hash", "dim": self.dim, "bins": self.bins, "binning": self.binning}
 
 
+#: Texts that are worth a task.
+TASK_TEXTS = 1 << 10
+
+
+def _numbered(rows: DataFrame, number: str, chosen: DataFrame) -> DataFrame:
+    """The rows whose number is among the ``chosen``. Only one bit for every row is sent to all tasks, and no row is moved."""
+    bits = chosen.groupBy(F.bitmap_bucket_number(number).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("__bits"))
+    held = rows.withColumns({"__bucket": F.bitmap_bucket_number(number), "__bit": F.bitmap_bit_position(number)}).join(F.broadcast(bits), "__bucket")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    taken = held.withColumn("__byte", byte).where("shiftright(__byte, cast(__bit % 8 as int)) % 2 = 1")
+    return taken.drop("__bucket", "__bits", "__bit", "__byte")
+
+
 def hash_vectors(df: DataFrame, roles: Roles, encoder: HashEncoder = HashEncoder(), out: str = "vec") -> DataFrame:
     """The table with one vector per row."""
     return encoder.add(df, roles, encoder.fit(df, roles), out)
@@ -114,8 +127,8 @@ def embed_text(df: DataFrame, text: str, make_encoder, batch_size: int = 16, out
 
     ``make_encoder()`` runs once per Python worker and returns a function of an array of texts that
     gives an (n, D) matrix. It sees the first ``limit`` tokens (None: whole texts). With ``distinct`` every text is
-    encoded once: digests and row numbers choose one row per text, only chosen texts are encoded, and
-    vectors are joined to rows without their texts. ``kept`` names a folder that holds the vectors of one encoder by the digest of
+    encoded once: digests and row numbers choose one row per text, only chosen texts are encoded, where they lie, and
+    vectors are joined to rows without their texts, which are then deleted. ``kept`` names a folder that holds the vectors of one encoder by the digest of
     the text it sees: only texts that are not in it are encoded, and then added, whatever run they come from.
     """
     from pyspark.ml.functions import predict_batch_udf
@@ -134,10 +147,14 @@ def embed_text(df: DataFrame, text: str, make_encoder, batch_size: int = 16, out
         return rows.drop("__text", "__row").join(known, "__id", "left").drop("__id")
     if not distinct:
         return df.withColumn(out, encode(shown)).drop(text)
-    rows = cut(df.withColumn("__text", shown).drop(text).withColumns({"__id": F.md5("__text"), "__row": F.monotonically_increasing_id()}), "texts")
+    numbered = df.withColumn("__text", shown).drop(text).withColumns({"__id": F.md5("__text"), "__row": F.monotonically_increasing_id()})
+    rows, seen = cut_counted(numbered, "texts", lean=True)
     chosen = rows.where("__id IS NOT NULL").groupBy("__id").agg(F.min("__row").alias("__row")).select("__row")
-    once = rows.select("__row", "__id", "__text").join(chosen, "__row", "left_semi").select("__id", encode(F.col("__text")).alias(out))
-    return rows.drop("__text", "__row").join(once, "__id", "left").drop("__id")
+    texts = spread(rows.select("__row", "__id", "__text"), seen["n"], TASK_TEXTS)
+    once = _numbered(texts, "__row", chosen).select("__id", encode(F.col("__text")).alias(out))
+    found = cut(rows.drop("__text", "__row").join(once, "__id", "left").drop("__id"), "vectors", lean=True)
+    drop_table(rows)
+    return found
 
 
 #: Token places, padding included, that an encoder sees at once, and rows whose texts are sorted by length together.

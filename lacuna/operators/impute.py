@@ -52,7 +52,7 @@ def fill_table(coded: DataFrame, roles: Roles, vector: str = "vec", k: int = 5,
     """
     coded, restore = with_long_keys(nan_as_null(coded, roles.features), roles.key)
     table, metric = in_metric_space(coded, vector, metric)
-    tagged = cut(tag_rows(table, roles.key, vector, roles.features), "rows")
+    tagged = cut(tag_rows(table, roles.key, vector, roles.features), "rows", lean=True)
     groups = profiles(tagged, k)
     found = nearest_cells(groups, groups, k, metric, len(roles.features), **tuning)
     return restore(merge_fills(tagged, found, roles), roles.key)
@@ -62,7 +62,7 @@ def nearest_donors(coded: DataFrame, roles: Roles, vector: str = "vec", k: int =
     """The donors behind every fill: key, feature, rank, donor key, its value, distance."""
     coded, restore = with_long_keys(nan_as_null(coded, roles.features), roles.key)
     table, metric = in_metric_space(coded, vector, metric)
-    tagged = cut(tag_rows(table, roles.key, vector, roles.features), "rows")
+    tagged = cut(tag_rows(table, roles.key, vector, roles.features), "rows", lean=True)
     groups = profiles(tagged, k)
     found = nearest_cells(groups, groups, k, metric, len(roles.features), **tuning)
     names = F.array(*[F.lit(f) for f in roles.features])

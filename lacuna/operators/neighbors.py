@@ -8,10 +8,13 @@
    distances to every reference, and a first bound for each of its holes from its own donors.
 3. Query blocks that follow each other form teams that a task can hold. By the triangle inequality a donor block
    is left out for every team whose queries all lie beyond one of its ranges: the ranges alone travel to find this out, and
-   vectors only to the teams that may need them, the nearest first.
+   vectors only to the teams that may need them, the nearest first. Where only some features have holes, profiles without a hole
+   do not ask, and those without any wanted cell do not give; neither travels for nothing.
 4. Donors of a team are dealt into slots. A task takes one team and one slot, keeps the running k best of every
    cell while donor blocks stream past, and excludes blocks and pairs again as its bounds fall. What cannot be
    excluded is computed, so the result is exact.
+5. Teams take their turns in waves. What a wave is dealt has a bounded size and is deleted before the next, so the disk holds
+   the blocks and one wave, though the blocks sent to all teams grow with the square of the table.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from lacuna.functions.vectors import METRICS
 from lacuna.functions.holes import known, q, unused
 from lacuna.operators.position import with_position
 from lacuna.operators.tiles import PLACES, Tile, as_metric, closest, distances, prepare
-from lacuna.scratch import cut, cut_counted, small_table
+from lacuna.scratch import cut, cut_counted, cut_parts, drop_table, small_table
 
 REFERENCES = 32
 BLOCK_BYTES = 8 << 20
@@ -42,7 +45,9 @@ TEAM_BYTES = 32 << 20  # query vectors and rows that a task holds
 TASKS_PER_CORE = 32
 SLOT_BYTES = 64 << 20  # donor blocks that stream past a team in one task
 SLOT_BLOCKS = 256  # and their number, or as many rows in smaller blocks
+WAVE_BYTES = 4 << 30  # blocks that are dealt to tasks at one time
 STACK_ROWS = 2048  # profiles on each side of one tile, at least those of one block
+STRIP_PAIRS = 1 << 20  # pairs of a tile whose distances are held at once
 FEW_PAIRS = 50  # one in so many pairs of a tile is computed alone, more all at once
 SLACK = 1e-9  # bounds are widened by this, so rounding never excludes a tie
 ROUNDED = 4 * 10.0**-PLACES  # two ways to sum one distance may round it to neighbours
@@ -91,7 +96,7 @@ def profiles(tagged: DataFrame, k: int, once: bool = False) -> Profiles:
         F.collect_list(F.struct("key", "vals")).alias("rows"),  # k entries at most
     )
     table, seen = cut_counted(grouped, "profiles", F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"),
-                              F.count_if(F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull() | F.isnan(x))).alias("bad"))
+                              F.count_if(F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull() | F.isnan(x))).alias("bad"), lean=True)
     if seen["least"] != seen["most"] or seen["bad"]:
         raise ValueError("vectors must exist for every row, hold numbers alone and have one length")
     return Profiles(table, seen["n"], seen["most"] or 0)
@@ -129,7 +134,7 @@ def _assigner(references: np.ndarray, metric: str):
 
 
 BLOCK_SCHEMA = ("part int, seq int, asks boolean, gives boolean, n int, ids binary, mat binary, counts binary, keys binary, vals binary, "
-                "far binary, lo binary, hi binary, bound binary, reach binary")
+                "far binary, lo binary, hi binary, bound binary, reach binary, asked bigint, bytes bigint")
 
 
 def _packer(references: np.ndarray, metric: str, block_rows: int, k: int, n_features: int, vector_type: str):
@@ -159,11 +164,11 @@ def _packer(references: np.ndarray, metric: str, block_rows: int, k: int, n_feat
         from pyspark import TaskContext
 
         pending: list[pa.Table] = []
-        size = seq = 0
+        size = seq = asked = 0
         part, before = TaskContext.get().partitionId(), None
 
         def stretch():
-            nonlocal seq, before
+            nonlocal seq, before, asked
             t = pa.concat_tables(pending)
             asks, gives = t.column("asks"), t.column("gives")
             both = pc.all(asks).as_py() and pc.all(gives).as_py()
@@ -178,6 +183,8 @@ def _packer(references: np.ndarray, metric: str, block_rows: int, k: int, n_feat
                             best.add([near], metric)
                     best.limit += ROUNDED
                     p["bound"], p["reach"] = best.limit.tobytes(), best.reach(metric).tobytes()
+                p["asked"], p["bytes"] = asked, sum(len(v) for v in p.values() if isinstance(v, bytes))
+                asked += p["n"] if p["asks"] else 0
             seq, before = seq + len(packed), donors or before
             return pa.RecordBatch.from_pylist(packed, schema=types)
 
@@ -204,25 +211,46 @@ def _element(kind: str) -> str:
 
 @dataclass(frozen=True)
 class Blocks:
-    """Written table of blocks with their number along the curve, in teams of ``per_team``."""
+    """Written table of blocks with their number along the curve, and how many profiles ask and give. A team asks for as many
+    profiles as ``per_team`` full blocks hold."""
 
     table: DataFrame
     n: int
     per_team: int
     vector_type: str
+    block_rows: int
+    asking: int
+    giving: int
 
     @property
     def teams(self) -> int:
-        return math.ceil(self.n / self.per_team)
+        return math.ceil(self.asking / (self.per_team * self.block_rows))
+
+
+def hole(f: int) -> Column:
+    """Whether the rows of a profile lack a feature."""
+    value = F.col("rows")[0]["vals"][f]
+    return value.isNull() | F.isnan(value)
+
+
+def wanted_features(queries: DataFrame, n_features: int) -> list[int]:
+    """Features that a profile lacks."""
+    lacking = queries.agg(*[F.coalesce(F.max(hole(f)), F.lit(False)).alias(f"f{f}") for f in range(n_features)]).first()
+    return [f for f in range(n_features) if lacking[f]]
 
 
 def build_blocks(queries: DataFrame, donors: DataFrame, references: np.ndarray, metric: str, block_rows: int, k: int, n_features: int,
-                 parts: int = 1, per_team: int = 1) -> Blocks:
-    """Blocks of at most ``block_rows`` profiles, dealt to ``parts`` tasks by (nearest reference, distance to it)."""
-    def side(table: DataFrame, asks: bool, gives: bool) -> DataFrame:
-        return table.select("h1", "h2", "vec", "rows", F.lit(asks).alias("asks"), F.lit(gives).alias("gives"))
+                 parts: int = 1, per_team: int = 1, wanted: list[int] | None = None) -> Blocks:
+    """Blocks of at most ``block_rows`` profiles, dealt to ``parts`` tasks by (nearest reference, distance to it). Profiles that lack
+    a ``wanted`` feature ask, those that have one give; without any named, all do."""
+    holes = [hole(f) for f in wanted or []]
+    asks, gives = (F.greatest(F.lit(False), *holes), ~F.least(F.lit(True), *holes)) if holes else (F.lit(True), F.lit(True))
 
-    both = side(queries, True, True) if queries is donors else side(queries, True, False).unionByName(side(donors, False, True))
+    def side(table: DataFrame, asks: Column, gives: Column) -> DataFrame:
+        return table.select("h1", "h2", "vec", "rows", asks.alias("asks"), gives.alias("gives")).where("asks OR gives")
+
+    no = F.lit(False)
+    both = side(queries, asks, gives) if queries is donors else side(queries, asks, no).unionByName(side(donors, no, gives))
     kind = both.schema["vec"].dataType.simpleString()
     if kind not in ("array<float>", "array<double>"):
         both, kind = both.withColumn("vec", F.col("vec").cast("array<double>")), "array<double>"
@@ -230,15 +258,19 @@ def build_blocks(queries: DataFrame, donors: DataFrame, references: np.ndarray,
     placed = both.mapInArrow(_assigner(references, metric), PLACED.format(kind=kind) + ", cell int, ring double")
     ranged = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     packed = ranged.mapInArrow(_packer(references, metric, block_rows, k, n_features, _element(kind)), BLOCK_SCHEMA)
-    written, seen = cut_counted(packed, "blocks")
+    asking, giving = (F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0)).alias(c) for c in ("asks", "gives"))
+    written, seen = cut_counted(packed, "blocks", asking, giving, lean=True)
     if parts == 1:
-        return Blocks(written.withColumn("block", F.col("seq").cast("bigint")).drop("part", "seq"), seen["n"], per_team, _element(kind))
-    # one row per task that cut blocks
-    sizes = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
-    starts = [0, *accumulate(n for _, n in sizes)]
-    offsets = small_table(written.sparkSession, part=([p for p, _ in sizes], pa.int32()), start=(starts[:-1], pa.int64()))
-    table = written.join(offsets, "part").withColumn("block", F.col("start") + F.col("seq")).drop("part", "seq", "start")
-    return Blocks(table, starts[-1], per_team, _element(kind))
+        table = written.withColumns({"start": F.lit(0), "first": F.lit(0)})
+    else:
+        # one row per task that cut blocks
+        sizes = sorted((r["part"], r["n"], r["asks"]) for r in written.groupBy("part").agg(F.count(F.lit(1)).alias("n"), asking).collect())
+        starts, firsts = ([0, *accumulate(s[i] for s in sizes)][:-1] for i in (1, 2))
+        offsets = small_table(written.sparkSession, part=([s[0] for s in sizes], pa.int32()), start=(starts, pa.int64()), first=(firsts, pa.int64()))
+        table = written.join(offsets, "part")
+    team = F.floor((F.col("first") + F.col("asked")) / (per_team * block_rows)).cast("int")
+    table = table.withColumns({"block": (F.col("start") + F.col("seq")).cast("bigint"), "team": team}).drop("part", "seq", "start", "first", "asked")
+    return Blocks(table, seen["n"], per_team, _element(kind), block_rows, seen["asks"], seen["gives"])
 
 
 class Block:
@@ -385,7 +417,7 @@ class _Best:
         columns = donors.by_key[offered[donors.owner[donors.by_key]]]
         if not len(columns):
             return
-        step = max(1, (1 << 22) // len(columns))
+        step = max(1, STRIP_PAIRS // len(columns))
         for lo in range(0, len(open_), step):
             part = open_[lo:lo + step]
             d = tile.dense(part)[:, donors.owner[columns]]
@@ -415,21 +447,23 @@ class _Best:
                 self._merge(f, at[near][pair], found, d[near][pair], donors)
 
     def _search_crowd(self, tile, rows, donors, offered, cells, reach, least):
-        """As ``_search_near`` where many pairs are as near as the bound: most lose by their keys."""
-        pairs = np.flatnonzero(tile.rough <= (reach + tile.slack)[:, None])
-        i, j = np.divmod(pairs, donors.n)
-        rough, least = tile.rough.ravel()[pairs], least[j]
-        for f in range(len(cells)):
-            near = np.flatnonzero(cells[f][i] & offered[f][j])
-            at = rows[i[near]]
-            gap = rough[near] - self.limit[f][at]
-            # surely not nearer than the bound: only a key as low can win
-            near = near[(gap < -tile.slack) | ((gap <= tile.slack) & (least[near] <= self.last_key[f][at]))]
-            if not len(near):
-                continue
-            d = tile.exact(i[near], j[near])
-            found, pair = donors.rows_of(j[near])
-            self._merge(f, rows[i[near]][pair], found, d[pair], donors)
+        """As ``_search_near`` where many pairs are as near as the bound: most lose by their keys. Some rows at a time."""
+        step = max(1, STRIP_PAIRS // donors.n)
+        for lo in range(0, len(rows), step):
+            pairs = np.flatnonzero(tile.rough[lo:lo + step] <= (reach[lo:lo + step] + tile.slack)[:, None]) + lo * donors.n
+            i, j = np.divmod(pairs, donors.n)
+            rough, first = tile.rough.ravel()[pairs], least[j]
+            for f in range(len(cells)):
+                near = np.flatnonzero(cells[f][i] & offered[f][j])
+                at = rows[i[near]]
+                gap = rough[near] - self.limit[f][at]
+                # surely not nearer than the bound: only a key as low can win
+                near = near[(gap < -tile.slack) | ((gap <= tile.slack) & (first[near] <= self.last_key[f][at]))]
+                if not len(near):
+                    continue
+                d = tile.exact(i[near], j[near])
+                found, pair = donors.rows_of(j[near])
+                self._merge(f, rows[i[near]][pair], found, d[pair], donors)
 
     def _merge(self, f, i, rows, dist, donors):
         key = donors.keys[rows]
@@ -498,19 +532,19 @@ def _tile_task(k: int, metric: str, n_features: int, vector_type: str, stack_row
     return run
 
 
-DEALT = "team int, slot int, rank int, is_donor boolean, block bigint"
+DEALT = "team int, slot int, rank int, is_donor boolean, block bigint, bytes bigint"
 
 
-def _chooser(slot_blocks: int, least_slots: int):
+def _chooser(slot_rows: int, least_slots: int):
     """The tasks of every team: its query blocks, then the ranges of all donor blocks, to the blocks each slot gets."""
 
     def chosen(team, held, seen):
         """Donor blocks by how near they may be."""
         near = sorted(seen)
-        slots = max(math.ceil(len(near) / slot_blocks), min(least_slots, len(near)))
-        rows = [(team, slot, 0, False, block) for block in held for slot in range(slots)]
-        rows += [(team, i % slots, i // slots, True, block) for i, (_, block) in enumerate(near)]
-        return pd.DataFrame(rows, columns=["team", "slot", "rank", "is_donor", "block"])
+        slots = max(math.ceil(sum(n for *_, n, _ in near) / slot_rows), min(least_slots, len(near)))
+        rows = [(team, slot, 0, False, block, size) for block, size in held for slot in range(slots)]
+        rows += [(team, i % slots, i // slots, True, block, size) for i, (_, block, _, size) in enumerate(near)]
+        return pd.DataFrame(rows, columns=["team", "slot", "rank", "is_donor", "block", "bytes"])
 
     def run(batches):
         team, held, queries, seen, ready = None, [], [], [], None
@@ -526,7 +560,7 @@ def _chooser(slot_blocks: int, least_slots: int):
                     reach = np.frombuffer(row["reach"], np.float64)
                     if np.isneginf(reach).all():
                         continue  # nothing is wanted
-                    held.append(row["block"])
+                    held.append((row["block"], row["bytes"]))
                     queries.append((far[~np.isneginf(reach)], reach[~np.isneginf(reach)]))
                     continue
                 if not queries:
@@ -547,7 +581,7 @@ def _chooser(slot_blocks: int, least_slots: int):
                         if least <= 0:
                             break
                 if least is not None:
-                    seen.append((float(least), row["block"]))
+                    seen.append((float(least), row["block"], row["n"], row["bytes"]))
         if seen:
             yield chosen(team, held, seen)
 
@@ -558,12 +592,24 @@ def choose(blocks: Blocks, slot_blocks: int, least_slots: int) -> DataFrame:
     """Which block goes to which team and slot: query blocks to all slots of their team, a donor block to one slot of each
     team that may need it. Only ranges and bounds are read, no vectors."""
     nothing = F.lit(None).cast("binary")
-    queries = blocks.table.where("asks").select((F.col("block") / blocks.per_team).cast("int").alias("team"), F.lit(False).alias("is_donor"), "block", "n", "far",
+    queries = blocks.table.where("asks").select("team", F.lit(False).alias("is_donor"), "block", "n", "bytes", "far",
                                                 "reach", nothing.alias("lo"), nothing.alias("hi"))
     donors = blocks.table.where("gives").select(F.explode(F.sequence(F.lit(0), F.lit(blocks.teams - 1))).alias("team"), F.lit(True).alias("is_donor"), "block", "n",
-                                                nothing.alias("far"), nothing.alias("reach"), "lo", "hi")
+                                                "bytes", nothing.alias("far"), nothing.alias("reach"), "lo", "hi")
     met = queries.unionByName(donors).repartition(blocks.teams, "team").sortWithinPartitions("team", "is_donor", "block")
-    return met.mapInPandas(_chooser(slot_blocks, least_slots), DEALT)
+    return met.mapInPandas(_chooser(slot_blocks * blocks.block_rows, least_slots), DEALT)
+
+
+def waves(sizes: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """First and last team of every wave: teams that follow each other and are dealt at most so many bytes, or a single team."""
+    found, held = [], most + 1
+    for team in sorted(sizes):
+        if held + sizes[team] > most:
+            found.append((team, team))
+            held = 0
+        found[-1] = found[-1][0], team
+        held += sizes[team]
+    return found
 
 
 def deal(blocks: Blocks, chosen: DataFrame, tasks: int, slots: int) -> DataFrame:
@@ -573,7 +619,8 @@ def deal(blocks: Blocks, chosen: DataFrame, tasks: int, slots: int) -> DataFrame
     # what only the other side of the join reads stays behind
     given = {c: F.when(F.col("is_donor") == donors, F.col(c)) for donors, names in ((True, ("keys", "lo", "hi")), (False, ("ids", "far", "bound")))
              for c in names}
-    met = blocks.table.drop("reach").join(chosen, "block").withColumns(given)
+    # the list of a wave has some bytes for each block
+    met = blocks.table.drop("reach", "team", "bytes").join(F.broadcast(chosen.drop("bytes")), "block").withColumns(given)
     return met.repartitionById(tasks, task).sortWithinPartitions("team", "slot", "is_donor", "rank")
 
 
@@ -607,17 +654,29 @@ def nearest_cells(queries: Profiles, donors: Profiles, k: int, metric: str, n_fe
     size = block_rows or int(min(most, max(64, math.ceil(max(queries.n, donors.n) / (2 * cores)))))
     chosen = donors.table.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots or REFERENCES).collect()
     references = np.array([r["vec"] for r in chosen], dtype=np.float64)
+    wanted = wanted_features(queries.table, n_features) if n_features else None
+    if wanted == []:
+        return spark.createDataFrame([], CANDIDATE_SCHEMA + ", rank int")
     placed = queries.n + (0 if same else donors.n)
     parts = max(math.ceil(placed * row_bytes / PART_BYTES), min(cores, placed // PART_ROWS))
     per_team = max(1, TEAM_BYTES // (size * row_bytes))
-    blocks = build_blocks(queries.table, donors.table, references, metric, size, k, n_features, parts, per_team)
+    blocks = build_blocks(queries.table, donors.table, references, metric, size, k, n_features, parts, per_team, wanted)
     least_slots = math.ceil(2 * cores / blocks.teams)
     slot_blocks = max(1, min(SLOT_BLOCKS * max(1, most // size), SLOT_BYTES // (size * row_bytes)))
-    chosen = choose(blocks, slot_blocks, least_slots)
-    slots = max(least_slots, math.ceil(blocks.n / slot_blocks))
-    tasks = min(blocks.teams * slots, TASKS_PER_CORE * cores)
+    chosen = cut(choose(blocks, slot_blocks, least_slots), "dealt", lean=True)
+    slots = max(least_slots, math.ceil(blocks.giving / (slot_blocks * size)))
     task = _tile_task(k, metric, n_features, blocks.vector_type, most)
-    return best_k(deal(blocks, chosen, tasks, slots).mapInPandas(task, CANDIDATE_SCHEMA), k)
+    sizes = {r["team"]: r["bytes"] for r in chosen.groupBy("team").agg(F.sum("bytes").alias("bytes")).collect()}  # one row per team
+    found = []
+    for first, last in waves(sizes, WAVE_BYTES):
+        tasks = min((last - first + 1) * slots, TASKS_PER_CORE * cores)
+        dealt = deal(blocks, chosen.where(F.col("team").between(first, last)), tasks, slots)
+        found.append(best_k(dealt.mapInPandas(task, CANDIDATE_SCHEMA), k))
+    if not found:
+        return spark.createDataFrame([], CANDIDATE_SCHEMA + ", rank int")
+    result = cut_parts(found, "found", lean=True)
+    drop_table(blocks.table)
+    return result
 
 
 # ---------------------------------------------------------------- keys of any type
