@@ -82,6 +82,11 @@ def strings(array: pa.Array) -> list[str]:
     return array.to_numpy(zero_copy_only=False).tolist()
 
 
+def _bytes(words: dict[str, bytes]) -> int:
+    """What words and their ids take in memory."""
+    return sum(map(len, words)) + sum(map(len, words.values())) + ENTRY * len(words)
+
+
 class WordIds:
     """The bytes of the ids of words, which are what lies between spaces, tabs and line ends.
 
@@ -134,6 +139,10 @@ class WordIds:
     def _part(found, run, data, starts, ends):
         found.update(zip(run, [data[x:y] for x, y in zip(starts, ends)], strict=True))
 
+    def _growth(self, found: dict[str, bytes]) -> int:
+        """What it takes to remember these too."""
+        return _bytes(found) - _bytes({w: found[w] for w in found.keys() & self.known.keys()})
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = pc.split_pattern(pa.array([normalized(t) for t in texts], pa.large_string()), " ")
         coded = split.values.cast(pa.string()).dictionary_encode() if len(split.values) else pa.array([], pa.string()).dictionary_encode()
@@ -142,15 +151,16 @@ class WordIds:
         missing = [i for i, b in enumerate(ids) if b is None]
         if missing:
             found = self.learn(coded.dictionary.take(pa.array(missing)))
-            self.size += sum(len(w) + len(b) for w, b in found.items()) + ENTRY * len(found)
-            if self.size > MEMORY:
+            size = self._growth(found)
+            if self.size + size > MEMORY:
                 # of what is remembered, only words met again stay
                 self.known = {w: b for w, b in zip(words, ids) if b is not None}
-                self.size = sum(len(w) + len(b) + ENTRY for w, b in self.known.items())
+                self.size, size = _bytes(self.known), self._growth(found)
             for i in missing:
                 ids[i] = found[words[i]]
-            if self.size <= MEMORY:
+            if self.size + size <= MEMORY:
                 self.known.update(found)
+                self.size += size
         # the ids of all words, gathered from those of the different ones
         flat = np.frombuffer(b"".join(ids), self.kind)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
